@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from . import chat, line_dedup, quality, secrets
+from . import bpe, chat, line_dedup, packing, quality, secrets
 from .common import ship_package
 
 _MODULES = {
+    "op2_bpe": bpe,
     "op3_secrets": secrets,
     "op6_quality": quality,
+    "op7_packing": packing,
     "op9_chat": chat,
     "op10_line_dedup": line_dedup,
 }

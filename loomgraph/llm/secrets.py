@@ -62,7 +62,8 @@ def link_weak(parts: DataFrame, reach: int = REACH) -> DataFrame:
 
     An interval join: the gap between the two spans is under `reach`. Both sides are dealt by document and by
     stretches of `reach` code points, so a task never holds a document's pairs together, and a left semi join
-    emits each candidate once however many parts complete it. Spans over each other aren't complementary.
+    emits each candidate once however many parts complete it. Spans over each other aren't complementary, and a
+    weak span over a base one is no candidate.
     """
     roles = F.create_map(*[F.lit(x) for kind, role, *_ in BASE + WEAK for x in (ORDER[kind], role)])
     some = parts.filter(F.size("weak") > 0)
@@ -70,7 +71,12 @@ def link_weak(parts: DataFrame, reach: int = REACH) -> DataFrame:
     weak = weak.withColumn("cell", F.explode(F.expr(f"sequence(floor((w.start - {reach}) / {reach}), floor((w.end + {reach}) / {reach}))")))
     other = some.select("doc_id", "text_key", F.explode(F.concat("base", "weak")).alias("p")).withColumn("p_role", roles[F.col("p.rank")])
     other = other.withColumn("cell", F.explode(F.expr(f"sequence(floor(p.start / {reach}), floor(p.end / {reach}))")))
-    w, p = weak.alias("w_"), other.alias("p_")
+    base = some.select("doc_id", "text_key", F.explode("base").alias("b")).withColumn("cell", F.explode(F.expr(f"sequence(floor(b.start / {reach}), floor(b.end / {reach}))")))
+    w, b, p = weak.alias("w_"), base.alias("b_"), other.alias("p_")
+    own = F.col("w_.doc_id").eqNullSafe(F.col("b_.doc_id")) & (F.col("w_.text_key") == F.col("b_.text_key")) & (F.col("w_.cell") == F.col("b_.cell")) & (F.col("b.start") < F.col("w.end")) & (F.col("w.start") < F.col("b.end"))
+    covered = w.join(b, own, "left_semi").select("doc_id", "text_key", "w").distinct().alias("c_")
+    same = F.col("w_.doc_id").eqNullSafe(F.col("c_.doc_id")) & (F.col("w_.text_key") == F.col("c_.text_key")) & (F.col("w_.w") == F.col("c_.w"))
+    w = w.join(covered, same, "left_anti").alias("w_")
     near = (F.col("p.start") - F.col("w.end") < reach) & (F.col("w.start") - F.col("p.end") < reach) & ((F.col("p.start") >= F.col("w.end")) | (F.col("p.end") <= F.col("w.start")))
     on = F.col("w_.doc_id").eqNullSafe(F.col("p_.doc_id")) & (F.col("w_.text_key") == F.col("p_.text_key")) & (F.col("w_.cell") == F.col("p_.cell")) & near & (F.col("w_role") != F.col("p_role"))
     return w.join(p, on, "left_semi").groupBy("doc_id", "text_key").agg(F.collect_set("w").alias("linked"))
