@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from . import bpe, chat, line_dedup, packing, quality, secrets
+from . import bpe, chat, langid, line_dedup, packing, quality, secrets, sharding
 from .common import ship_package
 
 _MODULES = {
+    "op1_langid": langid,
     "op2_bpe": bpe,
     "op3_secrets": secrets,
+    "op5_sharding": sharding,
     "op6_quality": quality,
     "op7_packing": packing,
     "op9_chat": chat,
