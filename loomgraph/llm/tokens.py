@@ -9,6 +9,7 @@ from __future__ import annotations
 import os
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 
@@ -20,9 +21,11 @@ _ATOMS = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
 _WORDS = re.compile(f"[^{SPACE}]+")
 _SPACES_THEN_BLANK = re.compile(f"[{SPACE}] ")
 _PYTHON_ONLY = re.compile("[" + chr(0x1C) + "-" + chr(0x1F) + "]")
+#: Characters from which on case or composition may depend on neighbours.
+_CASE_BY_RULE = re.compile("[^" + chr(0) + "-" + chr(0x12F) + "]")
 _GAP = re.compile(f"[{SPACE}]")
 #: Spans that a worker remembers; beyond, it forgets all and starts anew. Only speed depends on it.
-MAX_SPANS = 1_200_000
+MAX_SPANS = 1_600_000
 #: Code points that are worked on at once.
 SLICE = 1_500_000
 
@@ -48,6 +51,8 @@ class SpanEncoder:
         self.tokenizer, self.words = Tokenizer.from_file(path), words
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        names = [self.tokenizer.id_to_token(i) or "" for i in range(self.tokenizer.get_vocab_size())]
+        self.marks = np.array([x.endswith("</w>") if words else x.startswith("\u0120") for x in names])
         self.forget()
 
     def forget(self) -> None:
@@ -56,12 +61,6 @@ class SpanEncoder:
         self.starts, self.sizes, self.ends_sentence = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int32), np.zeros(1 << 14, bool)
         self.n_ids = 0
 
-    def _parts(self, span: str) -> tuple[str, str]:
-        """(base, comma or full stop): both are encoded apart, as a letter and either are never merged. Vocabularies
-        of words drop case, so their bases are in lower case; only for letters where no rule of context holds."""
-        base, end = (span[:-1], span[-1]) if len(span) > 1 and span[-1] in ",." and span[-2] < "\u0250" and span[-2].isalpha() else (span, "")
-        return (base.lower(), end) if self.words and max(base) < "\u0130" else (base, end)
-
     def _store(self, places: np.ndarray, sizes: np.ndarray, ids: np.ndarray) -> None:
         while self.n_ids + len(ids) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
@@ -81,15 +80,18 @@ class SpanEncoder:
 
     def _learn(self) -> None:
         fresh, self.places.fresh = self.places.fresh, []
-        plain, made = [], []
+        plain, made, places = [], [], self.places
         for span in fresh:
-            base, end = self._parts(span)
-            if base == span:
-                plain.append(span)
+            # A letter and a comma or full stop after it are never merged: both are encoded apart.
+            if span[-1] in ",." and len(span) > 1 and span[-2] < "\u0250" and span[-2].isalpha():
+                made.append((places[span], places[span[:-1]], places[span[-1]]))
             else:
-                made.append((self.places[span], self.places[base], self.places[end] if end else -1))
+                plain.append(span)
         plain += self.places.fresh
         self.places.fresh = []
+        alone = [x.isalpha() if self.words else x[0] == " " and x[1:].isalpha() for x in plain]
+        self._learn_joined([x for x, a in zip(plain, alone, strict=True) if a])
+        plain = [x for x, a in zip(plain, alone, strict=True) if not a]
         for at in range(0, len(plain), 4096):
             part = plain[at : at + 4096]
             found = [e.ids for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
@@ -97,15 +99,29 @@ class SpanEncoder:
             self._store(np.array([self.places[x] for x in part]), sizes, np.fromiter((i for ids in found for i in ids), np.uint32, int(sizes.sum())))
         for at in range(0, len(made), 65536):
             span, base, end = np.array(made[at : at + 65536]).T
-            pair = np.stack([base, end], 1)
-            used = pair >= 0
-            ids, _ = self._gather(pair[used])
-            self._store(span, self.sizes[base] + np.where(used[:, 1], self.sizes[end], 0), ids)
-        known = np.array([self.places[x] for x in fresh], np.int64)
+            ids, _ = self._gather(np.stack([base, end], 1).ravel())
+            self._store(span, self.sizes[base] + self.sizes[end], ids)
+        known = np.fromiter(map(places.__getitem__, fresh), np.int64, len(fresh))
         self.ends_sentence[known] = [x[-1] in ".!?\u2026" for x in fresh]
 
+    def _learn_joined(self, plain: list[str]) -> None:
+        """Spans of letters alone: each is one piece to the vocabulary, so many are encoded as one text, and the mark
+        that the vocabulary puts at a word's end (or begin, where spans keep a blank) tells them apart."""
+        for at in range(0, len(plain), 8192):
+            part = plain[at : at + 8192]
+            ids = np.array(self.tokenizer.encode_batch_fast([(" " if self.words else "").join(part)], add_special_tokens=False)[0].ids, np.uint32)
+            mark = np.flatnonzero(self.marks[ids])
+            edges = np.concatenate([[0], mark + 1]) if self.words else np.concatenate([mark, [len(ids)]])
+            if len(edges) != len(part) + 1 or edges[0] or edges[-1] != len(ids):
+                found = [e.ids for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
+                edges = np.concatenate([[0], np.cumsum(list(map(len, found)))]).astype(np.int64)
+                ids = np.fromiter((i for x in found for i in x), np.uint32, int(edges[-1]))
+            self._store(np.fromiter(map(self.places.__getitem__, part), np.int64, len(part)), np.diff(edges), ids)
+
     def spans(self, text: str) -> list[str]:
         if self.words:
+            if not _CASE_BY_RULE.search(text):
+                text = text.lower()  # the vocabulary does so itself; fewer spans differ
             return _WORDS.findall(text) if _PYTHON_ONLY.search(text) else text.split()
         if _SPACES_THEN_BLANK.search(text) or text[:1] == " ":
             return _ATOMS.findall(text)
@@ -122,8 +138,7 @@ class SpanEncoder:
             self.forget()
         lists = [self.spans(t) for t in texts]
         counts = np.fromiter(map(len, lists), np.int64, len(lists))
-        get = self.places.__getitem__
-        place = np.fromiter((get(s) for spans in lists for s in spans), np.int64, int(counts.sum()))
+        place = np.fromiter(map(self.places.__getitem__, chain.from_iterable(lists)), np.int64, int(counts.sum()))
         if self.places.fresh:
             self._learn()
         ids, ends = self._gather(place)
