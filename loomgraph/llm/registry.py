@@ -4,16 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from . import bpe, chat, langid, line_dedup, packing, quality, secrets, sharding
+from . import ann, bpe, chat, jaccard, langid, line_dedup, packing, quality, secrets, sharding
 from .common import ship_package
 
 _MODULES = {
     "op1_langid": langid,
     "op2_bpe": bpe,
     "op3_secrets": secrets,
+    "op4_jaccard": jaccard,
     "op5_sharding": sharding,
     "op6_quality": quality,
     "op7_packing": packing,
+    "op8_ann": ann,
     "op9_chat": chat,
     "op10_line_dedup": line_dedup,
 }
