@@ -6,10 +6,10 @@ Light sets (up to a size chosen by cost): all their subsets of the sizes that a
 Two sets with a common subset of the size that they need are linked: no further check.
 
 Heavy sets: shingles are ordered by how common they are, and a set enters the inverted lists of the first few, as
-many as a partner cannot miss all. Lists never emit pairs. Neighbours of a list in order of size are joined to
-candidate groups, and the groups' sets are held against each other in blocks of bounded size: within each block
-first, then what isn't yet connected against all blocks of its group. So a document's links are found exactly, but
-links inside a class that is connected already needn't be.
+many as a partner cannot miss all. Short lists emit their pairs, which are checked with the texts. Long lists never
+do: neighbours in order of size are joined to groups, and a group's sets are held against each other in blocks of
+bounded size: within each block first, then what isn't yet connected against all blocks of its group. So components
+are exact, but links inside what is connected already needn't be looked for.
 
 Orders need no exact counts, so counts may merge shingles and take in copies: results are the same for any order.
 """
@@ -26,8 +26,13 @@ from .common import input_parallelism, materialize
 from .tokens import batches
 
 WORDS, PERCENT = 4, 85
-#: Sets of one block of a large candidate group.
+#: A list with more sets of one range of sizes than this is long.
+SHORT_LIST = 128
+#: Sets of one block of a group.
 BLOCK = 1024
+#: Bits that tell which shingles, by their upper 32 bits, were met twice or more. Fixed: beyond some billions of
+#: shingles the filter fills up and only saves less.
+TWICE_BITS = 1 << 27
 #: A shingle met so often is common, and the table of common ones is held to so many rows by raising that count.
 COMMON, MOST_COMMON = 16, 1 << 18
 #: Bits of the filter that tells which sets are candidates; false positives only cost work.
@@ -168,67 +173,104 @@ def _rows(rows, names: list[str], types: list):
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=names)
 
 
+def _part_of(values: np.ndarray, parts: int) -> np.ndarray:
+    """Parts are ranges of 32-bit values."""
+    return (values.astype(np.uint64) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+
+
+def _deltas(values: np.ndarray) -> bytes:
+    """Increasing 32-bit values as differences, lower halves first: the upper ones are mostly zero and compress."""
+    d = np.diff(values, prepend=np.uint32(0)).astype(np.uint32)
+    return (d & np.uint32(0xFFFF)).astype("<u2").tobytes() + (d >> np.uint32(16)).astype("<u2").tobytes()
+
+
+def _from_deltas(data: bytes) -> np.ndarray:
+    half = np.frombuffer(data, "<u2")
+    n = len(half) // 2
+    return np.cumsum(half[:n].astype(np.uint32) | half[n:].astype(np.uint32) << np.uint32(16), dtype=np.uint32)
+
+
 def _send_shingles(words: int, parts: int):
-    """Shingles cut to 32 bits, those of a few hundred documents at a time, by part."""
+    """Shingles cut to 32 bits, those of a few thousand documents at a time, by part; often: with how often."""
 
     def run(batch_iterator):
         import pyarrow as pa
 
         for some in _grouped((s for _, s, _ in _new_sets(batch_iterator, words)), len, 2_000_000):
             values, counts = np.unique((np.concatenate(some) >> np.uint64(32)).astype(np.uint32), return_counts=True)
-            once, often = values[counts == 1], counts > 1
-            yield _rows(list(_packed(once, once % parts, parts)), ["part", "once"], [pa.int32(), pa.binary()]).append_column("often", pa.nulls(len(np.unique(once % parts)), pa.binary()))
-            pair = np.stack([values[often], counts[often].astype(np.uint32)], 1)
-            if len(pair):
-                rows = list(_packed(pair, pair[:, 0] % parts, parts))
-                yield _rows([(k, None, v) for k, v in rows], ["part", "once", "often"], [pa.int32(), pa.binary(), pa.binary()])
+            edges = np.searchsorted(_part_of(values, parts), np.arange(parts + 1))
+            rows = []
+            for k in np.flatnonzero(np.diff(edges)).tolist():
+                v, c = values[edges[k] : edges[k + 1]], counts[edges[k] : edges[k + 1]]
+                rows.append((k, _deltas(v[c == 1]), v[c > 1].tobytes() + c[c > 1].astype("<u4").tobytes()))
+            yield _rows(rows, ["part", "once", "often"], [pa.int32(), pa.binary(), pa.binary()])
 
     return run
 
 
 def _count_shingles(least: int):
+    """Rows (shingle, n) of common ones, and (first byte, null, bytes) of the bits of those met twice."""
+
     def run(batch_iterator):
         import pyarrow as pa
 
-        once, often = {}, {}
+        held: dict[int, list[tuple[bytes, bytes]]] = {}
         for batch in batch_iterator:
             for k, a, b in zip(*(batch[c].to_pylist() for c in ("part", "once", "often")), strict=True):
-                (once if a is not None else often).setdefault(k, []).append(a if a is not None else b)
-        for k in once.keys() | often.keys():
-            a = np.frombuffer(b"".join(once.get(k, [])), np.uint32)
-            b = np.frombuffer(b"".join(often.get(k, [])), np.uint32).reshape(-1, 2)
-            values, at = np.unique(np.concatenate([a, b[:, 0]]), return_inverse=True)
-            count = np.bincount(at, np.concatenate([np.ones(len(a)), b[:, 1]]), len(values)).astype(np.int64)
+                held.setdefault(k, []).append((a, b))
+        for k in list(held):
+            rows = held.pop(k)
+            many = [np.frombuffer(b, np.uint32).reshape(2, -1) for _, b in rows]
+            once = [_from_deltas(a) for a, _ in rows]
+            values, at = np.unique(np.concatenate(once + [m[0] for m in many]), return_inverse=True)
+            count = np.bincount(at, np.concatenate([np.ones(sum(map(len, once)))] + [m[1] for m in many]), len(values)).astype(np.int64)
             keep = count >= least
-            yield pa.RecordBatch.from_arrays([pa.array(values[keep].astype(np.int64)), pa.array(count[keep])], names=["shingle", "n"])
+            twice = values[count >= 2] >> np.uint32(32 - TWICE_BITS.bit_length() + 1)
+            bits = np.zeros(0, np.uint8)
+            first = int(twice[0]) // 8 if len(twice) else 0
+            if len(twice):
+                bits = np.zeros(int(twice[-1]) // 8 - first + 1, np.uint8)
+                np.bitwise_or.at(bits, twice // 8 - first, np.left_shift(1, twice % 8).astype(np.uint8))
+            yield pa.RecordBatch.from_arrays([pa.array(values[keep].astype(np.int64)), pa.array(count[keep]), pa.nulls(int(keep.sum()), pa.binary())], names=["shingle", "n", "bits"])
+            yield pa.RecordBatch.from_arrays([pa.array([first], pa.int64()), pa.array([None], pa.int64()), pa.array([bits.tobytes()], pa.binary())], names=["shingle", "n", "bits"])
 
     return run
 
 
-def common_shingles(docs: DataFrame, words: int, parts: int) -> tuple[np.ndarray, np.ndarray]:
-    """The most common shingles' upper 32 bits, sorted, and how common each is: MOST_COMMON at most."""
-    counted = materialize(docs.mapInArrow(_send_shingles(words, parts), "part int, once binary, often binary").repartition(parts, "part").mapInArrow(_count_shingles(COMMON), "shingle long, n long"), "join-common")
+def corpus_shingles(docs: DataFrame, words: int, parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The most common shingles' upper 32 bits, sorted, and how common each is: MOST_COMMON at most; and the bits of
+    those met twice or more: TWICE_BITS."""
+    counted = materialize(docs.mapInArrow(_send_shingles(words, parts), "part int, once binary, often binary").repartition(parts, "part").mapInArrow(_count_shingles(COMMON), "shingle long, n long, bits binary"), "join-common")
+    common = counted.filter("n is not null")
     level = F.floor(F.log2("n")).cast("int")
     above, least = 0, 0
-    for r in counted.groupBy(level.alias("level")).count().orderBy(F.desc("level")).collect():  # a row per power of two
+    for r in common.groupBy(level.alias("level")).count().orderBy(F.desc("level")).collect():  # a row per power of two
         above += r["count"]
         if above > MOST_COMMON:
             least = 1 << (r["level"] + 1)
             break
-    rows = counted.filter(F.col("n") >= least).toArrow()
+    rows = common.filter(F.col("n") >= least).select("shingle", "n").toArrow()
     shingle, n = rows["shingle"].to_numpy().astype(np.uint32), rows["n"].to_numpy()
     order = np.argsort(shingle)
-    return shingle[order], n[order]
+    bits = np.zeros(TWICE_BITS // 8, np.uint8)
+    for r in counted.filter("n is null").select("shingle", "bits").toLocalIterator():
+        part = np.frombuffer(r["bits"], np.uint8)
+        bits[r["shingle"] : r["shingle"] + len(part)] |= part
+    return shingle[order], n[order], bits
 
 
-def _prefix(s: np.ndarray, common: tuple[np.ndarray, np.ndarray], percent: int) -> np.ndarray:
-    key = (s >> np.uint64(32)).astype(np.uint32)
-    shingle, n = common
+def _prefix(s: np.ndarray, corpus: tuple[np.ndarray, np.ndarray, np.ndarray], percent: int) -> np.ndarray:
+    """The lists that a set enters: its first shingles in order, without those that no other set has."""
+    shingle, n, bits = corpus
+    size = prefix_size(len(s), percent)
     if len(shingle):
+        key = (s >> np.uint64(32)).astype(np.uint32)
         at = np.minimum(np.searchsorted(shingle, key), len(shingle) - 1)
         weight = np.where(shingle[at] == key, n[at], 0)
         s = s[np.lexsort((s, weight))]
-    return s[: prefix_size(len(s), percent)]
+    s = s[:size]
+    place = s >> np.uint64(64 - TWICE_BITS.bit_length() + 1)
+    return s[bits[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8) & np.uint8(1) == 1]
 
 
 def subsets(s: np.ndarray, percent: int):
@@ -244,7 +286,7 @@ def subsets(s: np.ndarray, percent: int):
 _ENTRY = np.dtype([("key", "<u8"), ("more", "<u8"), ("class", "S16"), ("n", "<i4"), ("c", "<i4")])
 
 
-def _send_entries(words: int, parts: int, light: int, percent: int, common):
+def _send_entries(words: int, parts: int, light: int, percent: int, corpus):
     """Entries of inverted lists (c 0, key: the shingle) and of subsets (c: their size, key and more: their hash)."""
     least_heavy = -(-percent * (light + 1) // 100)
 
@@ -257,7 +299,7 @@ def _send_entries(words: int, parts: int, light: int, percent: int, common):
         if out:
             rows["key"], rows["more"], rows["c"] = map(np.array, zip(*((np.uint64(a), np.uint64(b), c) for a, b, c in out), strict=True))
         if len(s) >= least_heavy:
-            head = _prefix(s, common.value, percent)
+            head = _prefix(s, corpus.value, percent)
             listed = np.zeros(len(head), _ENTRY)
             listed["key"] = head
             rows = np.concatenate([rows, listed])
@@ -274,20 +316,36 @@ def _send_entries(words: int, parts: int, light: int, percent: int, common):
     return run
 
 
-def _chain(percent: int):
-    """Edges (a, b, sure) between entries of a list. sure: linked by a subset; else to be checked."""
+SURE, PAIR, CHAIN = 0, 1, 2
+
+
+def _list_edges(percent: int):
+    """Edges (a, b, kind) between entries of a list: linked by a subset, a pair to be checked, or neighbours of a
+    long list."""
 
     def edges(rows: np.ndarray):
         rows = rows[np.lexsort((rows["class"], rows["n"], rows["c"], rows["more"], rows["key"]))]
+        n = rows["n"].astype(np.int64)
+        same = (rows["key"][1:] == rows["key"][:-1]) & (rows["more"][1:] == rows["more"][:-1]) & (rows["c"][1:] == rows["c"][:-1])
+        fresh = ~(same & (rows["class"][1:] == rows["class"][:-1]))  # a set's entry may come from several tasks
+        keep = np.concatenate([[True], fresh]) if len(rows) else np.zeros(0, bool)
+        rows, n = rows[keep], n[keep]
         same = (rows["key"][1:] == rows["key"][:-1]) & (rows["more"][1:] == rows["more"][:-1]) & (rows["c"][1:] == rows["c"][:-1])
-        listed = same & (rows["c"][1:] == 0) & (rows["class"][1:] != rows["class"][:-1]) & (100 * rows["n"][:-1].astype(np.int64) >= percent * rows["n"][1:].astype(np.int64))
-        at = np.flatnonzero(listed)
-        yield rows["class"][at], rows["class"][at + 1], False
         # With the least set of a subset's bucket link all that are small enough; links of two others imply both of theirs.
-        head = np.maximum.accumulate(np.where(np.concatenate([[True], ~same]), np.arange(len(rows)), 0))
-        sure = (rows["c"] > 0) & (rows["class"] != rows["class"][head]) & (needed(rows["n"].astype(np.int64), rows["n"][head].astype(np.int64), percent) <= rows["c"])
-        at = np.flatnonzero(sure)
-        yield rows["class"][at], rows["class"][head[at]], True
+        head = np.maximum.accumulate(np.where(np.concatenate([[True], ~same]), np.arange(len(rows)), 0)) if len(rows) else np.zeros(0, int)
+        at = np.flatnonzero((rows["c"] > 0) & (np.arange(len(rows)) != head) & (needed(n, n[head], percent) <= rows["c"]))
+        yield rows["class"][at], rows["class"][head[at]], SURE
+        # Runs of a list in which each size is in reach of the one before.
+        near = same & (rows["c"][1:] == 0) & (100 * n[:-1] >= percent * n[1:])
+        begin = np.flatnonzero(np.concatenate([[True], ~near])) if len(rows) else np.zeros(0, int)
+        end = np.append(begin[1:], len(rows))
+        long = end - begin > SHORT_LIST
+        for a, b in zip(begin[long].tolist(), end[long].tolist(), strict=True):
+            yield rows["class"][a : b - 1], rows["class"][a + 1 : b], CHAIN
+        for step in range(1, int((end - begin)[~long].max(initial=1))):
+            a = np.concatenate([np.arange(x, y - step) for x, y in zip(begin[~long].tolist(), end[~long].tolist(), strict=True) if y - x > step] or [np.zeros(0, int)])
+            a = a[100 * n[a] >= percent * n[a + step]]
+            yield rows["class"][a], rows["class"][a + step], PAIR
 
     def run(batch_iterator):
         import pyarrow as pa
@@ -296,13 +354,18 @@ def _chain(percent: int):
         for batch in batch_iterator:
             for k, x in zip(batch["part"].to_pylist(), batch["entries"].to_pylist(), strict=True):
                 held.setdefault(k, []).append(x)
+        def whole(x: np.ndarray) -> list[bytes]:
+            return [v.ljust(16, b"\0") for v in x.tolist()]  # S16 drops zero bytes at the end
+
         for k in list(held):
             rows = np.frombuffer(b"".join(held.pop(k)), _ENTRY)
-            for a, b, sure in edges(rows):
-                # S16 drops zero bytes at the end: they are put back
-                pad = lambda x: [v.ljust(16, b"\0") for v in x.tolist()]
-                pairs = {(min(p), max(p)) for p in zip(pad(a), pad(b), strict=True)}
-                yield _rows([(p, q, sure) for p, q in pairs], ["a", "b", "sure"], [pa.binary(), pa.binary(), pa.bool_()])
+            met: dict[tuple[bytes, bytes], int] = {}
+            for a, b, kind in edges(rows):
+                for p, q in zip(whole(a), whole(b), strict=True):
+                    pair = (p, q) if p < q else (q, p)
+                    met[pair] = min(kind, met.get(pair, kind)) if kind != CHAIN else met.get(pair, kind)
+            for some in _grouped(((p, q, kind) for (p, q), kind in met.items()), lambda _: 1, 50_000):
+                yield _rows(some, ["a", "b", "kind"], [pa.binary(), pa.binary(), pa.int32()])
 
     return run
 
@@ -473,24 +536,35 @@ def jaccard_components(docs: DataFrame, text: str = "text", words: int = WORDS,
     classes = materialize(rows.mapInArrow(_classes(words), "doc_id long, n long, class binary"), "join-classes")
     sizes = {r["n"]: r["count"] for r in classes.filter(F.col("n").between(1, LIGHT_MOST * 2)).groupBy("n").count().collect()}
     light = light_size(sizes, percent)
-    common = spark.sparkContext.broadcast(common_shingles(rows, words, parts))
-    sent = rows.mapInArrow(_send_entries(words, parts, light, percent, common), "part int, entries binary").repartition(parts, "part")
-    edges = materialize(sent.mapInArrow(_chain(percent), "a binary, b binary, sure boolean"), "join-edges")
-    sure = edges.filter("sure").select("a", "b")
+    corpus = spark.sparkContext.broadcast(corpus_shingles(rows, words, parts))
+    sent = rows.mapInArrow(_send_entries(words, parts, light, percent, corpus), "part int, entries binary").repartition(parts, "part")
+    edges = materialize(sent.mapInArrow(_list_edges(percent), "a binary, b binary, kind int").groupBy("a", "b").agg(F.min("kind").alias("kind"), F.max("kind").alias("most")), "join-edges")
+    sure = edges.filter(F.col("kind") == SURE).select("a", "b")
 
-    # Candidate groups, and blocks of those that are larger than one.
-    group = components(edges.filter("not sure"), "join-groups")
+    # Groups of long lists, in blocks; pairs of short ones, unless one block holds both.
+    group = components(edges.filter(F.col("most") == CHAIN), "join-groups")
     counts = group.groupBy("comp").agg(F.count("*").alias("members"))
-    group = materialize(group.join(counts, "comp").withColumn("blocks", F.ceil(F.col("members") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")), "join-groups")
-    bits = spark.sparkContext.broadcast(_candidate_filter(group))
-    texts = materialize(rows.mapInArrow(_send_texts(words, bits), "node binary, text string").join(group, "node").select("node", "text", F.col("comp").alias("grp"), "blocks", "block"), "join-texts")
+    group = group.join(counts, "comp").withColumn("blocks", F.ceil(F.col("members") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    group = materialize(group.select("node", F.col("comp").alias("grp"), "blocks", "block"), "join-groups")
+    home = group.select("node", F.struct("grp", "block").alias("home"))
+    pairs = edges.filter(F.col("kind") == PAIR).select("a", "b").join(home.withColumnsRenamed({"node": "a", "home": "h_a"}), "a", "left").join(home.withColumnsRenamed({"node": "b", "home": "h_b"}), "b", "left")
+    pairs = materialize(pairs.filter("h_a is null or h_b is null or h_a != h_b").select("a", "b"), "join-pairs")
+    wanted = materialize(group.select("node").unionByName(pairs.select(F.col("a").alias("node"))).unionByName(pairs.select(F.col("b").alias("node"))).distinct(), "join-wanted")
+    bits = spark.sparkContext.broadcast(_candidate_filter(wanted))
+    texts = rows.mapInArrow(_send_texts(words, bits), "node binary, text string").join(wanted, "node")
+    texts = materialize(texts, "join-texts")
 
     def checked(dealt: DataFrame, tag: str) -> DataFrame:
         sorted_ = dealt.select("grp", "block", "node", "text", "role").repartition(parts, "grp", "block").sortWithinPartitions("grp", "block")
         return materialize(sorted_.mapInArrow(_check_blocks(words, percent), "a binary, b binary"), tag)
 
-    found = checked(texts.withColumn("role", F.lit(0)), "join-links").unionByName(sure)
-    large = texts.filter("blocks > 1").select("node", "text", "grp", "blocks", "block")
+    # A pair's second set goes to its first one; both are dealt by the first.
+    first = pairs.select(F.col("a").alias("node")).distinct().withColumn("grp", F.col("node")).withColumn("role", F.lit(0))
+    by_first = texts.join(first.unionByName(pairs.select(F.col("b").alias("node"), F.col("a").alias("grp"), F.lit(1).alias("role"))), "node")
+    found = sure.unionByName(checked(by_first.withColumn("block", F.lit(0)), "join-links"))
+    grouped = texts.join(group, "node")
+    found = found.unionByName(checked(grouped.withColumn("role", F.lit(0)), "join-links"))
+    large = grouped.filter("blocks > 1").select("node", "text", "grp", "blocks", "block")
     if large.limit(1).count():
         found = found.unionByName(_across_blocks(large, found, checked))
     comp = components(found, "join-components")
