@@ -17,8 +17,13 @@ WORD_GAP_CHARS = " \t\n\x0b\x0c\r"
 REPO_ROOT = str(Path(__file__).resolve().parents[2])
 
 
+#: Rows that Python workers get at once: texts may be long, and a batch is held whole on both sides.
+BATCH_ROWS = 500
+
+
 def ship_package(spark: SparkSession) -> None:
-    """Let Python workers import this package when the session was started elsewhere."""
+    """Let Python workers import this package when the session was started elsewhere, and get rows in small batches."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     env = spark.sparkContext.environment
     paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
     if REPO_ROOT not in paths:

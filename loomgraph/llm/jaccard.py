@@ -119,7 +119,7 @@ def prefix_size(n: int, percent: int = PERCENT) -> int:
 def _texts(batch_iterator):
     """Lists of (id, text) of bounded size; the ids may be anything."""
     for batch in batch_iterator:
-        yield from batches(zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), strict=True), lambda r: len(r[1] or "") + 1, 1_000_000)
+        yield from batches(zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), strict=True), lambda r: len(r[1] or "") + 1, 500_000)
 
 
 def _classes(words: int):
@@ -137,7 +137,7 @@ def _new_sets(batch_iterator, words: int):
     """Sets and their fingerprints; each set once in a task as far as it remembers."""
     seen: set[bytes] = set()
     for part in _texts(batch_iterator):
-        if len(seen) > 500_000:
+        if len(seen) > 200_000:
             seen.clear()
         for s, (_, text) in zip(shingle_sets([t or "" for _, t in part], words), part, strict=True):
             if len(s) and (f := fingerprint(s)) not in seen:
@@ -196,7 +196,7 @@ def _send_shingles(words: int, parts: int):
     def run(batch_iterator):
         import pyarrow as pa
 
-        for some in _grouped((s for _, s, _ in _new_sets(batch_iterator, words)), len, 2_000_000):
+        for some in _grouped((s for _, s, _ in _new_sets(batch_iterator, words)), len, 1_000_000):
             values, counts = np.unique((np.concatenate(some) >> np.uint64(32)).astype(np.uint32), return_counts=True)
             edges = np.searchsorted(_part_of(values, parts), np.arange(parts + 1))
             rows = []
@@ -426,22 +426,18 @@ def _send_texts(words: int, bits):
     return run
 
 
-def block_links(left: list[np.ndarray], right: list[np.ndarray] | None, percent: int) -> list[tuple[int, int]]:
-    """Linked pairs (i, j) of left and right, or of left alone with i < j. Overlaps come from products of 0-1
-    matrices over the shingles that two sets have at least, a bounded number of columns at a time."""
-    sets = left + (right or [])
-    if len(sets) < 2:
-        return []
-    size = np.array(list(map(len, sets)), np.int64)
+def linked_matrix(sets: list[np.ndarray], rows: int, percent: int) -> np.ndarray:
+    """linked[i, j]: do the first `rows` sets link with each. Overlaps come from products of 0-1 matrices over the
+    shingles that two sets have at least, a bounded number of columns at a time."""
+    size = np.array(list(map(len, sets)), np.int32)
     value, at, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    owner = np.repeat(np.arange(len(sets)), size)
+    owner = np.repeat(np.arange(len(sets), dtype=np.int32), size)
     column = np.cumsum(count > 1) - 1
     use = count[at] > 1
     column, owner = column[at[use]], owner[use]
     width = int((count > 1).sum())
-    rows = len(left)
     overlap = np.zeros((rows, len(sets)), np.float32)
-    step = max(256, (1 << 23) // len(sets))
+    step = max(256, (1 << 22) // len(sets))
     order = np.argsort(column, kind="stable")
     column, owner = column[order], owner[order]
     for lo in range(0, width, step):
@@ -449,27 +445,23 @@ def block_links(left: list[np.ndarray], right: list[np.ndarray] | None, percent:
         m = np.zeros((len(sets), min(step, width - lo)), np.float32)
         m[owner[a:b], column[a:b] - lo] = 1
         overlap += m[:rows] @ m.T
-    both = overlap.astype(np.int64)
-    linked = 100 * both >= percent * (size[:rows, None] + size[None, :] - both)
-    linked = np.triu(linked, 1) if right is None else linked[:, rows:]
-    return list(zip(*(x.tolist() for x in np.nonzero(linked)), strict=True))
+    # whole numbers under 2 ** 24, so single precision is exact; times 100 in double
+    return overlap.astype(np.float64) * (100 + percent) >= percent * (size[:rows, None] + size[None, :]).astype(np.float64)
 
 
-def _forest(pairs, n: int):
-    """Those pairs that join what wasn't joined before."""
-    root = list(range(n))
-
-    def find(x):
-        while root[x] != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        return x
-
-    for i, j in pairs:
-        a, b = find(i), find(j)
-        if a != b:
-            root[max(a, b)] = min(a, b)
-            yield i, j
+def spanning_links(linked: np.ndarray) -> list[tuple[int, int]]:
+    """Links (i, j) that connect all that `linked` does, one fewer than each component's members."""
+    rows, n = linked.shape
+    root = np.arange(n)
+    out = []
+    for i in range(rows):
+        near = np.flatnonzero(linked[i])
+        parts, first = np.unique(root[near], return_index=True)
+        new = parts != root[i]
+        if new.any():
+            out += [(i, j) for j in near[first[new]].tolist()]
+            root[np.isin(root, parts[new])] = root[i]
+    return out
 
 
 def _check_blocks(words: int, percent: int):
@@ -482,12 +474,11 @@ def _check_blocks(words: int, percent: int):
                 known[node] = (text, role)
         nodes = list(known)
         left, right = [x for x in nodes if known[x][1] == 0], [x for x in nodes if known[x][1] == 1]
-        sets = {x: s for part in batches(nodes, lambda x: len(known[x][0]) + 1, 1_000_000) for x, s in zip(part, shingle_sets([known[y][0] for y in part], words), strict=True)}
+        sets = {x: s for part in batches(nodes, lambda x: len(known[x][0]) + 1, 500_000) for x, s in zip(part, shingle_sets([known[y][0] for y in part], words), strict=True)}
         names = left + right
-        pairs = block_links([sets[x] for x in left], None, percent)
-        if right:
-            pairs += [(i, j + len(left)) for i, j in block_links([sets[x] for x in left], [sets[x] for x in right], percent)]
-        return [(names[i], names[j]) for i, j in _forest(pairs, len(names))]
+        if not left or len(names) < 2:
+            return []
+        return [(names[i], names[j]) for i, j in spanning_links(linked_matrix([sets[x] for x in names], len(left), percent))]
 
     def run(batch_iterator):
         import pyarrow as pa
