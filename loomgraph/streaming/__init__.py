@@ -1 +1 @@
-
+"""Watching for changes."""
