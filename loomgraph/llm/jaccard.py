@@ -7,7 +7,7 @@ Two sets with a common subset of the size that they need are linked: no further
 
 Heavy sets: shingles are ordered by how common they are, and a set enters the inverted lists of the first few, as
 many as a partner cannot miss all. Short lists emit their pairs, which are checked with the texts. Long lists never
-do: neighbours in order of size are joined to groups, and a group's sets are held against each other in blocks of
+do: their runs, in order of size, are joined to groups, and a group's sets are held against each other in blocks of
 bounded size: within each block first, then what isn't yet connected against all blocks of its group. So components
 are exact, but links inside what is connected already needn't be looked for.
 
@@ -316,12 +316,12 @@ def _send_entries(words: int, parts: int, light: int, percent: int, corpus):
     return run
 
 
-SURE, PAIR, CHAIN = 0, 1, 2
+SURE, PAIR, RUN = 0, 1, 2
 
 
 def _list_edges(percent: int):
-    """Edges (a, b, kind) between entries of a list: linked by a subset, a pair to be checked, or neighbours of a
-    long list."""
+    """Edges (a, b, kind) between entries of a list: linked by a subset, a pair to be checked, or a set with the
+    least one of its run in a long list."""
 
     def edges(rows: np.ndarray):
         rows = rows[np.lexsort((rows["class"], rows["n"], rows["c"], rows["more"], rows["key"]))]
@@ -341,7 +341,7 @@ def _list_edges(percent: int):
         end = np.append(begin[1:], len(rows))
         long = end - begin > SHORT_LIST
         for a, b in zip(begin[long].tolist(), end[long].tolist(), strict=True):
-            yield rows["class"][a : b - 1], rows["class"][a + 1 : b], CHAIN
+            yield np.full(b - a - 1, rows["class"][a]), rows["class"][a + 1 : b], RUN
         for step in range(1, int((end - begin)[~long].max(initial=1))):
             a = np.concatenate([np.arange(x, y - step) for x, y in zip(begin[~long].tolist(), end[~long].tolist(), strict=True) if y - x > step] or [np.zeros(0, int)])
             a = a[100 * n[a] >= percent * n[a + step]]
@@ -363,7 +363,7 @@ def _list_edges(percent: int):
             for a, b, kind in edges(rows):
                 for p, q in zip(whole(a), whole(b), strict=True):
                     pair = (p, q) if p < q else (q, p)
-                    met[pair] = min(kind, met.get(pair, kind)) if kind != CHAIN else met.get(pair, kind)
+                    met[pair] = min(kind, met.get(pair, kind)) if kind != RUN else met.get(pair, kind)
             for some in _grouped(((p, q, kind) for (p, q), kind in met.items()), lambda _: 1, 50_000):
                 yield _rows(some, ["a", "b", "kind"], [pa.binary(), pa.binary(), pa.int32()])
 
@@ -533,7 +533,7 @@ def jaccard_components(docs: DataFrame, text: str = "text", words: int = WORDS,
     sure = edges.filter(F.col("kind") == SURE).select("a", "b")
 
     # Groups of long lists, in blocks; pairs of short ones, unless one block holds both.
-    group = components(edges.filter(F.col("most") == CHAIN), "join-groups")
+    group = components(edges.filter(F.col("most") == RUN), "join-groups")
     counts = group.groupBy("comp").agg(F.count("*").alias("members"))
     group = group.join(counts, "comp").withColumn("blocks", F.ceil(F.col("members") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     group = materialize(group.select("node", F.col("comp").alias("grp"), "blocks", "block"), "join-groups")
