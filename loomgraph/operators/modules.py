@@ -18,7 +18,7 @@ def parts(path: Column) -> Column:
 
 
 def stem(path: Column) -> Column:
-    return F.regexp_replace(F.element_at(parts(path), -1), r"(?<=.)\.[^.]*$", "")
+    return F.regexp_replace(F.try_element_at(parts(path), F.lit(-1)), r"(?<=.)\.[^.]*$", "")
 
 
 def is_test(path: Column) -> Column:
@@ -27,7 +27,7 @@ def is_test(path: Column) -> Column:
 
 
 def is_config(path: Column) -> Column:
-    return F.lower(F.element_at(parts(path), -1)).isin(*CONFIG_FILES) | F.exists(parts(path), lambda p: F.lower(p).isin(*CONFIG_PARTS))
+    return F.lower(F.try_element_at(parts(path), F.lit(-1))).isin(*CONFIG_FILES) | F.exists(parts(path), lambda p: F.lower(p).isin(*CONFIG_PARTS))
 
 
 def top_dir(path: Column) -> Column:
