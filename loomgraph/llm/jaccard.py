@@ -370,27 +370,49 @@ def _list_edges(percent: int):
     return run
 
 
+def _contract(batch_iterator):
+    """Edges of a task, some at a time, as stars to the least node that they connect."""
+    import pyarrow as pa
+
+    pairs = ((p, q) for batch in batch_iterator for p, q in zip(batch["a"].to_pylist(), batch["b"].to_pylist(), strict=True))
+    for some in _grouped(pairs, lambda _: 1, 100_000):
+        root: dict[bytes, bytes] = {}
+
+        def find(x):
+            while (up := root.setdefault(x, x)) != x:
+                root[x] = root[up]
+                x = up
+            return x
+
+        for p, q in some:
+            x, y = find(p), find(q)
+            if x != y:
+                root[max(x, y)] = min(x, y)
+        stars = [(x, find(x)) for x in list(root)]
+        yield _rows([(x, r) for x, r in stars if x != r], ["a", "b"], [pa.binary(), pa.binary()])
+
+
 def components(edges: DataFrame, tag: str) -> DataFrame:
-    """(node, comp): the least node that is reachable. Large-star and small-star rounds of joins by group minimum;
-    each round is written to the shared folder. Every node has an edge."""
-    now = materialize(edges.select("a", "b").filter("a != b").distinct(), tag)
-    before = None
+    """(node, comp): the least node that is reachable. Each task contracts its edges to stars; then large-star and
+    small-star rounds of joins by group minimum, until all edges form stars. Each round is written to the shared
+    folder. Every node has an edge."""
+    now = materialize(edges.select("a", "b").filter("a != b").mapInArrow(_contract, "a binary, b binary"), tag)
     for _ in range(ROUNDS):
+        # A star: no node is above one edge and below another, and each is below one.
+        sides = now.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.lit(1).alias("low"), F.lit(0).alias("high")), F.struct(F.col("b").alias("node"), F.lit(0).alias("low"), F.lit(1).alias("high")))).alias("x")).select("x.*")
+        odd = sides.groupBy("node").agg(F.sum("low").alias("low"), F.max("high").alias("high")).filter("low + high > 1")
+        if not odd.limit(1).count():
+            break
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         # large star: larger neighbours of each node go to its least neighbour or itself
         least = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("m", "a"))
-        large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a != b").distinct()
+        large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         # small star: smaller neighbours of each node, and itself, go to the least of them
-        down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        low = down.groupBy("a").agg(F.min("b").alias("m"))
-        small = down.join(low, "a").select("b", "m").unionByName(low.select(F.col("a").alias("b"), "m")).filter("b != m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        now = materialize(small, tag)
-        state = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if state == before:
-            break
-        before = state
+        low = large.groupBy("a").agg(F.min("b").alias("m"))
+        small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b")))
+        now = materialize(small.filter("a != b").distinct(), tag)
     roots = now.select(F.col("b").alias("node")).distinct().select("node", F.col("node").alias("comp"))
-    return now.select(F.col("a").alias("node"), F.col("b").alias("comp")).unionByName(roots)
+    return now.select(F.col("a").alias("node"), F.col("b").alias("comp")).distinct().unionByName(roots)
 
 
 def _filter_places(f: bytes) -> list[int]:
@@ -555,21 +577,23 @@ def jaccard_components(docs: DataFrame, text: str = "text", words: int = WORDS,
     found = sure.unionByName(checked(by_first.withColumn("block", F.lit(0)), "join-links"))
     grouped = texts.join(group, "node")
     found = found.unionByName(checked(grouped.withColumn("role", F.lit(0)), "join-links"))
+    comp = components(found, "join-components")
     large = grouped.filter("blocks > 1").select("node", "text", "grp", "blocks", "block")
     if large.limit(1).count():
-        found = found.unionByName(_across_blocks(large, found, checked))
-    comp = components(found, "join-components")
+        more = _across_blocks(large, comp, checked)
+        if more.limit(1).count():
+            comp = components(comp.select(F.col("node").alias("a"), F.col("comp").alias("b")).unionByName(more), "join-components")
     by_class = classes.join(comp.withColumnRenamed("node", "class"), "class", "left").withColumn("comp", F.coalesce("comp", "class"))
     by_class = materialize(by_class.select("doc_id", "n", "comp"), "join-comp")
     least = by_class.filter("comp is not null").groupBy("comp").agg(F.min("doc_id").alias("least"))
     return by_class.join(least, "comp", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))
 
 
-def _across_blocks(large: DataFrame, found: DataFrame, checked) -> DataFrame:
+def _across_blocks(large: DataFrame, comp: DataFrame, checked) -> DataFrame:
     """Links between blocks of a group. Its largest connected part is left out on one side: two of its members
     needn't be compared. All others are held, in blocks, against all blocks of the group."""
     large = large.dropDuplicates(["node"])
-    so_far = components(found, "join-so-far").withColumnRenamed("comp", "part")
+    so_far = comp.withColumnRenamed("comp", "part")
     named = large.select("node", "grp", "blocks", "block").join(so_far, "node", "left").withColumn("part", F.coalesce("part", "node"))
     sizes = named.groupBy("grp", "part").agg(F.count("*").alias("n"))
     giant = sizes.groupBy("grp").agg(F.max_by("part", F.struct("n", "part")).alias("giant"), F.sum("n").alias("all"), F.max("n").alias("most"))
