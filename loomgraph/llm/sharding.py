@@ -102,7 +102,7 @@ def shard_rows(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS, text
     settled = materialize(cut.select("g", "shard", stay.alias("n")).filter("n > 0"), "shard-settled")
     upto = F.sum("n").over(Window.partitionBy("g").orderBy("shard").rowsBetween(Window.unboundedPreceding, 0))
     steps = settled.select("g", "shard", upto.alias("upto")).groupBy("g").agg(F.sort_array(F.collect_list(F.struct("upto", "shard"))).alias("steps"))  # a step per shard at most
-    placed = linked.join(steps, "g", "left").withColumn("shard", F.expr("filter(steps, s -> s.upto > k)[0].shard")).select("doc_id", "size", "text_crc32", "shard")
+    placed = linked.join(steps, "g", "left").withColumn("shard", F.expr("get(filter(steps, s -> s.upto > k), 0).shard")).select("doc_id", "size", "text_crc32", "shard")
     single = rows.join(groups.select("g"), "g", "left_anti").select("doc_id", "size", "text_crc32", F.lit(None).cast("int").alias("shard"))
     both = materialize(placed.unionByName(single), "shard-placed")
 
