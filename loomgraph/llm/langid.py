@@ -44,7 +44,7 @@ def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     low = [t.lower() for t in texts]
     raw = "\x00" + "\x00\x00".join(low) + "\x00"
     code = np.frombuffer(raw.encode("utf-32-le", "surrogatepass"), np.uint32)
-    sizes = np.array([len(t) + 2 for t in low])
+    sizes = np.array([len(t) + 2 for t in low], np.int64)
     owner = np.repeat(np.arange(len(texts), dtype=np.int32), sizes)
     letter = letters()[code]
     has = np.zeros(len(texts), bool)
@@ -85,6 +85,8 @@ class LanguageFilter:
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float, float]]:
         """(language or und, score, margin to the second) of each."""
+        if not self.languages or not texts:
+            return [("und", 0.0, 0.0)] * len(texts)
         cut, owner = [], []
         for k, t in enumerate(texts):
             for p in pieces(t or ""):
@@ -102,8 +104,6 @@ class LanguageFilter:
         for k in range(len(self.languages)):
             hit = np.bincount(of[(mask >> mask.dtype.type(k)) & mask.dtype.type(1) == 1], minlength=len(texts))
             share[k] = np.clip((hit / np.maximum(total, 1) - self.chance[k]) / (1 - self.chance[k]), 0, 1)
-        if not len(self.languages):
-            return [("und", 0.0, 0.0)] * len(texts)
         best = share.argmax(0)
         top = share.max(0)
         second = np.partition(share, -2, 0)[-2] if len(self.languages) > 1 else np.zeros(len(texts))
