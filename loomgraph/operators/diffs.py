@@ -70,6 +70,9 @@ def parse(text: str) -> list[FileDiff]:
                 out[-1].hunks.append(hunk)
         elif hunk is not None:
             hunk.lines.append(line)
+    for h in (h for d in out for h in d.hunks):
+        while h.lines and not h.lines[-1]:  # what only ends the text
+            h.lines.pop()
     return out
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import flows, graph, modules, render, resolve, search
 from . import facts as f
+from . import summary
 
 N, C, M, ME = (f.for_sql(x) for x in (f.NODES, f.CALLS, f.MODULES, f.MODULE_EDGES))
 _LABELS = "CASE " + " ".join(f"WHEN {' OR '.join(f"contains(lower(callee_name), '{m}')" for m in marks)} THEN '{label}'" for label, marks in graph.DATA_LABELS) + " ELSE '' END"
@@ -385,7 +386,23 @@ p AS (SELECT name, r <= 8 OR (SELECT count(*) FROM h) <= 8 AS core, CASE WHEN r
 SELECT a.place AS src, b.place AS dst, CAST(CASE WHEN bool_and(a.core AND b.core) THEN sum(call_count) ELSE 1 END AS BIGINT) AS call_count
 FROM ({ME}) e JOIN p a ON a.name = e.src JOIN p b ON b.name = e.dst WHERE a.core OR b.core GROUP BY 1, 2"""
 
+def source_refs(spark, d):
+    n = nodes(spark, d)
+    funcs = n.select("file", F.lit(0).alias("ord"), F.col("label").alias("name"), "line_start", "line_end")
+    return summary.source_refs(n.select(F.col("module_group").alias("name"), "file", "ord"), funcs)
+
+
+REFS = f"SELECT name, CAST(rank AS INT) AS rank, ref FROM (SELECT module_group AS name, row_number() OVER (PARTITION BY module_group ORDER BY ord) AS rank, file || ':L' || line_start || '-L' || line_end AS ref FROM ({N}) n WHERE NOT starts_with(label, '_')) q WHERE rank <= 5"
+
+
+def connections(spark, d):
+    m = mods(spark, d).withColumn("is_special", F.col("ord") % 10 == 0)
+    return summary.connections(m, mod_edges(spark, d))
+
+
 QUERIES = {
+    "source_refs": (source_refs, REFS),
+    "connections": (connections, f"SELECT src AS from_module, dst AS to_module, '调用' AS verb, call_count FROM ({ME}) e WHERE src IN (SELECT name FROM ({M}) m WHERE ord % 10 <> 0) AND dst IN (SELECT name FROM ({M}) m WHERE ord % 10 <> 0)"),
     "edge_aggregate": (edge_aggregate, E),
     "edge_strength": (edge_strength, f"SELECT src, dst, call_count, CASE WHEN call_count >= 5 THEN 'strong' ELSE 'weak' END AS strength, '调用 ' || call_count || ' 次' AS label FROM ({ME}) e"),
     "critical_edges": (critical_edges, f"SELECT * FROM ({ME}) e WHERE call_count >= 3"),

@@ -8,12 +8,15 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..extract.patterns import swift_targets
 from ..extract.router import facts, parse_files, quality, warning
 from ..functions import answers
+from ..functions.text import project_name
 from ..functions.naming import business_name, connection_verb, module_description
 from ..operators import diffs, glossary, graph, incremental, memory, modules, render, resolve, search, stats
 from ..sources.repository import MAX_FILES, ordered, scan
-from ..sources.store import RepositoryStore
+from ..sources.store import RepositoryStore, write_json
+from . import summary
 
 #: Fixed: roles and what they map to.
 ROLES = {"dev": "dev", "pm": "pm", "domain_expert": "domain_expert", "ceo": "pm", "investor": "pm", "qa": "pm"}
@@ -58,7 +61,7 @@ class Engine:
     def scan(self, url: str, listing: DataFrame, max_files: int | None = MAX_FILES) -> Repository:
         """Files to facts, graph and modules; only what changed is parsed where a former scan is known and less than
         FULL_SCAN_SHARE of it has changed."""
-        files, summary = scan(listing, max_files)
+        files, counts = scan(listing, max_files)
         files = self._kept("files", url, ordered(files))
         now = incremental.snapshot(files)
         was, old = self.store.load("snapshots", url), self.store.load("results", url)
@@ -77,19 +80,25 @@ class Engine:
         if results is None:
             results = self._kept("results", url, parse_files(files))
         self.store.save("snapshots", url, now)
-        return self._build(url, files, summary, results)
+        return self._build(url, files, counts, results)
 
-    def _build(self, url: str, files: DataFrame, summary: DataFrame, results: DataFrame) -> Repository:
+    def _build(self, url: str, files: DataFrame, counts: DataFrame, results: DataFrame) -> Repository:
         flat = facts(results)
         place = files.select(F.col("path").alias("file"), "ord", "line_count", "is_config")
         nodes, edges = resolve.build_graph(place, flat["functions"], flat["classes"], flat["imports"], flat["calls"])
         grouped = modules.module_files(place)
+        manifest = files.filter("path = 'Package.swift'").select("content").first()
+        targets = swift_targets(manifest["content"] or "") if manifest else []
+        if targets:  # a package's own targets are its modules; a file under two is in both
+            under = modules.swift_files(place, self.spark.createDataFrame(targets, "name string, path string, type string"))
+            kind = F.when(F.col("type") == "test", 2).otherwise(0)
+            grouped = under.select(*place.columns, kind.alias("kind"), "name", F.col("path").alias("dir_path"), F.col("name").alias("key"))
         mods = modules.build_modules(grouped, flat["functions"], flat["classes"], flat["calls"])
         nodes = self._kept("nodes", url, resolve.assign_modules(nodes, grouped.select("name", "file", "ord")))
         edges = self._kept("edges", url, edges)
         listed = mods.withColumn("ord", F.struct("rank.kind", "rank.by_name", "rank.ord"))
         mods = self._kept("modules", url, listed.drop("rank").withColumn("ord", F.col("ord.kind").cast("long") * 1_000_000_000 + F.col("ord.ord")))
-        return Repository(url, files, summary, results, nodes, edges, mods, graph.module_edges(nodes, edges))
+        return Repository(url, files, counts, results, nodes, edges, mods, graph.module_edges(nodes, edges))
 
     def open(self, url: str) -> Repository | None:
         """A repository scanned before."""
@@ -200,10 +209,31 @@ class Engine:
         found = [self.diagnose(r, query)] if query.strip() else []
         return {"report": report, "chapters": chapters, "diagnoses": found, "mermaid": report["mermaid"], "locations": [x for f in found for x in f["locations"]]}
 
-    def blueprint(self, r: Repository, path: str, summary: dict | None = None) -> str:
+    def blueprint(self, r: Repository, path: str, text: dict | None = None) -> str:
         places, links = graph.core_and_rest(r.module_list, r.module_edges)
         cards = places.select(F.col("place").alias("name"), "core").distinct().join(r.modules.select("name", "total_lines"), "name", "left").select("name", F.coalesce(graph.size_health(F.col("total_lines")), F.lit("green")).alias("health"), business_name(F.col("name")).alias("summary"))
-        return render.write_blueprint(path, r.url, [x.asDict() for x in cards.orderBy("name").collect()], [x.asDict() for x in links.collect()], summary)
+        return render.write_blueprint(path, r.url, [x.asDict() for x in cards.orderBy("name").collect()], [x.asDict() for x in links.collect()], text)
+
+    def summarize(self, r: Repository, answer: object = None) -> dict:
+        """A summary for the blueprint: a model's answer where it is given and sound, else by rules."""
+        def rules() -> dict:
+            project = self.spark.range(1).select(project_name(F.lit(r.url))).first()[0]
+            return summary.rule_summary(project, r.modules, r.results, r.module_edges)
+
+        return rules() if answer is None else summary.read_summary(answers.json_object(answer) if isinstance(answer, str) else answer, rules)
+
+    def save_summary(self, r: Repository, answer: object, path: str) -> str:
+        write_json(path, self.summarize(r, answer))
+        return path
+
+    def feedback(self, url: str, module: str, question: str, useful: bool) -> None:
+        self.remember(url, module, "qa", question, "", 1.0 if useful else 0.0)
+
+    def follow(self, url: str, listing, save):
+        """A watch of a repository; start(), look(), status(), stop() are its own."""
+        from ..streaming.watch import Watch
+
+        return Watch(self.spark, listing, save)
 
     # -- memory and terms
 

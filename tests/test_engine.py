@@ -1,9 +1,11 @@
 import pytest
 from pyspark.sql import functions as F
 
+from loomgraph.extract import health
 from loomgraph.functions import answers
 from loomgraph.operators import diffs, flows, glossary, incremental, memory, render, search
 from loomgraph.plans import bind_sources as b
+from loomgraph.plans import summary
 from loomgraph.plans.tools import Engine, role_of
 from loomgraph.sources import repository
 from loomgraph.sources.store import migrate, read_json, write_json
@@ -63,7 +65,7 @@ def test_report_and_chapter(engine):
 
 def test_diagnose_and_memory(engine):
     e, r = engine
-    found = e.diagnose(r, "who calls createOrder", "services")
+    found = e.diagnose(r, "where to create", "services")
     by = {x["label"]: x for x in found["locations"]}
     assert by["create_order"]["priority"] == "high" and by["handle_order"]["direction"] == "upstream" and by["save"]["direction"] == "downstream"
     assert "   2 | def create_order" in by["create_order"]["snippet"] and "classDef seed" in found["mermaid"] and found["context"]
@@ -78,7 +80,8 @@ def test_ask_explore_blueprint_terms(engine, tmp_path):
     a = e.ask_context(r, "why?", "services")
     assert "create_order" in a["context"] and "neighbour1:api" in a["used"] and e.ask_context(r, "why?", "services", budget=10)["used"] == []
     x = e.explore(r, "create order")
-    assert x["chapters"] and x["mermaid"] and x["locations"] and e.explore(r)["chapters"]
+    assert x["chapters"] and x["mermaid"] and x["locations"]
+    assert e.explore(r)["chapters"]
     page = open(e.blueprint(r, str(tmp_path / "b.html"), {"summary": "<hi>"})).read()
     assert "&lt;hi&gt;" in page and "services" in page
     e.correct_term(r.url, "order", "订单")
@@ -210,3 +213,39 @@ def test_store(tmp_path, spark):
 def test_picture_escapes(spark):
     one = spark.createDataFrame([('a/b.c::<x>"',)], "t string")
     assert one.select(render.safe_id(F.col("t")), render.safe_label(F.col("t"))).first() == ('a_b_c__x"', "a/b.c::‹x›'")
+
+
+def test_summary(engine, tmp_path):
+    e, r = engine
+    r = e.open(r.url)
+    s = e.summarize(r)
+    by = {m["code_path"]: m for m in s["modules"]}
+    assert s["project_name"] == "shop" and by["services"]["depends_on"] == ["db"] and by["services"]["used_by"] == ["api"] and by["db"]["business_name"] == "数据库" and "测试" not in by
+    told = {f["code_name"]: f["explanation"] for f in by["services"]["functions"]}
+    assert told["create_order"] == "创建 order，参数为 data" and {c["verb"] for c in s["connections"]} == {"读写数据", "调用"}
+    assert e.summarize(r, "no json") == s and e.summarize(r, {"project_name": "x", "project_description": "y", "modules": [{"code_path": "a", "business_name": "b", "description": "c"}]})["modules"][0]["health"] == "green"
+    assert read_json(e.save_summary(r, {"modules": 3}, str(tmp_path / "s.json")))["project_name"] == "shop"
+    assert summary.prompt("L4", module_name="m", source_code="{x}")[1] == "m\n{x}" and summary.banned_terms({}, None, "dev") == "" and "无" not in summary.banned_terms({}, None, "pm")
+    assert summary.load_config([str(tmp_path / "none.json")], {"a": 1}) == {"a": 1}
+
+
+def test_swift_package(spark, tmp_path):
+    e = Engine(spark, str(tmp_path))
+    files = {"Package.swift": '.target(name: "Core"), .testTarget(name: "CoreTests")', "Sources/Core/a.swift": "func go() {\n}\n", "Tests/CoreTests/t.swift": "func t() {\n}\n", "Other/x.swift": "class X {\n}\n"}
+    r = e.scan("swift", listing(spark, files))
+    assert {m["name"]: m["is_special"] for m in r.modules.collect()} == {"Core": False, "CoreTests": True, "Other": False, "<root>": False}
+
+
+def test_grammar_health():
+    now, calls = [0.0], []
+
+    def load(name):
+        calls.append(name)
+        if name != "shell":
+            raise ImportError
+        return name
+
+    h = health.GrammarHealth(load, lambda: now[0])
+    assert h.parser("bash") == "shell" and not h.available("go") and not h.available("go") and calls.count("go") == 1
+    now[0] = 301
+    assert not h.available("go") and calls.count("go") == 2
