@@ -26,6 +26,8 @@ SHARE = 0.25
 #: ... and where it was met so often.
 LEAST_COUNT = 3
 MOST_LANGUAGES = 64
+#: Code points that are worked on at once; a longer text is taken in parts of as many.
+SLICE = 400_000
 
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9))
 _letters: np.ndarray | None = None
@@ -89,7 +91,7 @@ class LanguageFilter:
             return [("und", 0.0, 0.0)] * len(texts)
         cut, owner = [], []
         for k, t in enumerate(texts):
-            for p in pieces(t or ""):
+            for p in pieces(t or "", SLICE):
                 cut.append(p)
                 owner.append(k)
         h, of, has_piece = grams(cut)
@@ -118,8 +120,8 @@ def _count_grams(batch_iterator):
     import pyarrow as pa
 
     for batch in batch_iterator:
-        rows = [(lang, p) for lang, text in zip(batch["lang"].to_pylist(), batch["text"].to_pylist(), strict=True) for p in pieces(text)]
-        for part in batches(rows, lambda r: len(r[1]) + 2):
+        rows = [(lang, p) for lang, text in zip(batch["lang"].to_pylist(), batch["text"].to_pylist(), strict=True) for p in pieces(text, SLICE)]
+        for part in batches(rows, lambda r: len(r[1]) + 2, SLICE):
             names = sorted({r[0] for r in part})
             h, of, _ = grams([r[1] for r in part])
             lang = np.array([names.index(r[0]) for r in part], np.int64)[of]
@@ -170,7 +172,7 @@ def _predict(model):
         known = model.value
         for batch in batch_iterator:
             at = 0
-            for part in batches(batch["text"].to_pylist(), lambda t: len(t or "") + 2):
+            for part in batches(batch["text"].to_pylist(), lambda t: len(t or "") + 2, SLICE):
                 found = known.predict(part)
                 cols = [pa.array([x[k] for x in found], t) for k, t in ((0, pa.string()), (1, pa.float64()), (2, pa.float64()))]
                 yield pa.RecordBatch.from_arrays([*[c for n, c in zip(batch.schema.names, batch.slice(at, len(part)).columns, strict=True)], *cols], names=[*batch.schema.names, "lang_pred", "score", "margin"])

@@ -24,8 +24,9 @@ _PYTHON_ONLY = re.compile("[" + chr(0x1C) + "-" + chr(0x1F) + "]")
 #: Characters from which on case or composition may depend on neighbours.
 _CASE_BY_RULE = re.compile("[^" + chr(0) + "-" + chr(0x12F) + "]")
 _GAP = re.compile(f"[{SPACE}]")
-#: Spans that a worker remembers; beyond, it forgets all and starts anew. Only speed depends on it.
-MAX_SPANS = 1_600_000
+#: Spans that a worker remembers: the first it meets, which are the frequent ones; others only while they are encoded.
+#: Where that share of spans isn't among them, it forgets all and starts anew. Only speed depends on either.
+MAX_SPANS, MOST_MISSED = 500_000, 0.3
 #: Code points that are worked on at once.
 SLICE = 1_500_000
 
@@ -60,6 +61,21 @@ class SpanEncoder:
         self.ids = np.zeros(1 << 16, np.uint32)
         self.starts, self.sizes, self.ends_sentence = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int32), np.zeros(1 << 14, bool)
         self.n_ids = 0
+        self.kept: tuple[int, int] | None = None  # spans and ids that stay, once there are enough
+
+    def _settle(self, met: int) -> None:
+        """After each call: what goes beyond MAX_SPANS is dropped again."""
+        if self.kept is None:
+            if len(self.places) > MAX_SPANS:
+                self.kept = (len(self.places), self.n_ids)
+            return
+        spans, ids = self.kept
+        if len(self.places) - spans > MOST_MISSED * met:
+            self.forget()
+            return
+        while len(self.places) > spans:
+            self.places.popitem()
+        self.n_ids = ids
 
     def _store(self, places: np.ndarray, sizes: np.ndarray, ids: np.ndarray) -> None:
         while self.n_ids + len(ids) > len(self.ids):
@@ -134,8 +150,6 @@ class SpanEncoder:
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """ids of all texts in one array; where each text's ids begin and end (one more than texts); where each
         span's ids end; where each text's spans begin and end."""
-        if len(self.places) > MAX_SPANS:
-            self.forget()
         lists = [self.spans(t) for t in texts]
         counts = np.fromiter(map(len, lists), np.int64, len(lists))
         place = np.fromiter(map(self.places.__getitem__, chain.from_iterable(lists)), np.int64, int(counts.sum()))
@@ -144,6 +158,7 @@ class SpanEncoder:
         ids, ends = self._gather(place)
         span_at = np.concatenate([[0], np.cumsum(counts)])
         self.last_sentence_ends = self.ends_sentence[place]
+        self._settle(len(place))
         return ids, np.concatenate([[0], ends])[span_at], ends, span_at
 
 
