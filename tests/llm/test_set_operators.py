@@ -125,5 +125,8 @@ def test_ann_recall_and_ties(spark):
     assert hits / (20 * 150) >= 0.9
     few = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.5, 0.0]), (2, [1.0, 0.0])], "vec_id long, embedding array<float>")
     assert [tuple(r) for r in ann.nearest_neighbours(few, F.col("vec_id") % 20 == 0).orderBy("rank").collect()] == [(0, 1, 2, 1.0), (0, 2, 1, 0.5)]
+    some = spark.createDataFrame([(k, [float(v) for v in x[k]]) for k in range(40)], "vec_id long, embedding array<double>")
+    all_of = ann.nearest_neighbours(some, F.col("vec_id") % 20 == 0, k=60).toPandas()
+    assert (all_of.groupby("query_id").size() == 39).all() and len(all_of) == 78
     assert ann.nearest_neighbours(few.limit(0), F.col("vec_id") % 20 == 0).count() == 0
     assert ann.nearest_neighbours(few.limit(1), F.col("vec_id") % 20 == 0).count() == 0
