@@ -27,7 +27,7 @@ from .tokens import batches
 
 WORDS, PERCENT = 4, 85
 #: A list with more sets of one range of sizes than this is long.
-SHORT_LIST = 128
+SHORT_LIST = 32
 #: Sets of one block of a group.
 BLOCK = 1024
 #: Bits that tell which shingles, by their upper 32 bits, were met twice or more. Fixed: beyond some billions of
@@ -554,12 +554,12 @@ def jaccard_components(docs: DataFrame, text: str = "text", words: int = WORDS,
     edges = materialize(sent.mapInArrow(_list_edges(percent), "a binary, b binary, kind int").groupBy("a", "b").agg(F.min("kind").alias("kind"), F.max("kind").alias("most")), "join-edges")
     sure = edges.filter(F.col("kind") == SURE).select("a", "b")
 
-    # Groups of long lists, in blocks; pairs of short ones, unless one block holds both.
+    # Groups of long lists, in blocks; pairs of short ones, unless one group holds both: its blocks cover them.
     group = components(edges.filter(F.col("most") == RUN), "join-groups")
     counts = group.groupBy("comp").agg(F.count("*").alias("members"))
     group = group.join(counts, "comp").withColumn("blocks", F.ceil(F.col("members") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     group = materialize(group.select("node", F.col("comp").alias("grp"), "blocks", "block"), "join-groups")
-    home = group.select("node", F.struct("grp", "block").alias("home"))
+    home = group.select("node", F.col("grp").alias("home"))
     pairs = edges.filter(F.col("kind") == PAIR).select("a", "b").join(home.withColumnsRenamed({"node": "a", "home": "h_a"}), "a", "left").join(home.withColumnsRenamed({"node": "b", "home": "h_b"}), "b", "left")
     pairs = materialize(pairs.filter("h_a is null or h_b is null or h_a != h_b").select("a", "b"), "join-pairs")
     wanted = materialize(group.select("node").unionByName(pairs.select(F.col("a").alias("node"))).unionByName(pairs.select(F.col("b").alias("node"))).distinct(), "join-wanted")
