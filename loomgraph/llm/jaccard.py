@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import input_parallelism, materialize
+from .common import input_parallelism, materialize, tidy
 from .tokens import batches
 
 WORDS, PERCENT = 4, 85
@@ -240,7 +240,7 @@ def _count_shingles(least: int):
 def corpus_shingles(docs: DataFrame, words: int, parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The most common shingles' upper 32 bits, sorted, and how common each is: MOST_COMMON at most; and the bits of
     those met twice or more: TWICE_BITS."""
-    counted = materialize(docs.mapInArrow(_send_shingles(words, parts), "part int, once binary, often binary").repartition(parts, "part").mapInArrow(_count_shingles(COMMON), "shingle long, n long, bits binary"), "join-common")
+    counted = materialize(docs.mapInArrow(tidy(_send_shingles(words, parts)), "part int, once binary, often binary").repartition(parts, "part").mapInArrow(tidy(_count_shingles(COMMON)), "shingle long, n long, bits binary"), "join-common")
     common = counted.filter("n is not null")
     level = F.floor(F.log2("n")).cast("int")
     above, least = 0, 0
@@ -396,7 +396,7 @@ def components(edges: DataFrame, tag: str) -> DataFrame:
     """(node, comp): the least node that is reachable. Each task contracts its edges to stars; then large-star and
     small-star rounds of joins by group minimum, until all edges form stars. Each round is written to the shared
     folder. Every node has an edge."""
-    now = materialize(edges.select("a", "b").filter("a != b").mapInArrow(_contract, "a binary, b binary"), tag)
+    now = materialize(edges.select("a", "b").filter("a != b").mapInArrow(tidy(_contract), "a binary, b binary"), tag)
     for _ in range(ROUNDS):
         # A star: no node is above one edge and below another, and each is below one.
         sides = now.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.lit(1).alias("low"), F.lit(0).alias("high")), F.struct(F.col("b").alias("node"), F.lit(0).alias("low"), F.lit(1).alias("high")))).alias("x")).select("x.*")
@@ -546,12 +546,12 @@ def jaccard_components(docs: DataFrame, text: str = "text", words: int = WORDS,
     spark = docs.sparkSession
     rows = docs.select("doc_id", F.col(text).alias("text"))
     parts = input_parallelism(docs)
-    classes = materialize(rows.mapInArrow(_classes(words), "doc_id long, n long, class binary"), "join-classes")
+    classes = materialize(rows.mapInArrow(tidy(_classes(words)), "doc_id long, n long, class binary"), "join-classes")
     sizes = {r["n"]: r["count"] for r in classes.filter(F.col("n").between(1, LIGHT_MOST * 2)).groupBy("n").count().collect()}
     light = light_size(sizes, percent)
     corpus = spark.sparkContext.broadcast(corpus_shingles(rows, words, parts))
-    sent = rows.mapInArrow(_send_entries(words, parts, light, percent, corpus), "part int, entries binary").repartition(parts, "part")
-    edges = materialize(sent.mapInArrow(_list_edges(percent), "a binary, b binary, kind int").groupBy("a", "b").agg(F.min("kind").alias("kind"), F.max("kind").alias("most")), "join-edges")
+    sent = rows.mapInArrow(tidy(_send_entries(words, parts, light, percent, corpus)), "part int, entries binary").repartition(parts, "part")
+    edges = materialize(sent.mapInArrow(tidy(_list_edges(percent)), "a binary, b binary, kind int").groupBy("a", "b").agg(F.min("kind").alias("kind"), F.max("kind").alias("most")), "join-edges")
     sure = edges.filter(F.col("kind") == SURE).select("a", "b")
 
     # Groups of long lists, in blocks; pairs of short ones, unless one group holds both: its blocks cover them.
@@ -564,12 +564,12 @@ def jaccard_components(docs: DataFrame, text: str = "text", words: int = WORDS,
     pairs = materialize(pairs.filter("h_a is null or h_b is null or h_a != h_b").select("a", "b"), "join-pairs")
     wanted = materialize(group.select("node").unionByName(pairs.select(F.col("a").alias("node"))).unionByName(pairs.select(F.col("b").alias("node"))).distinct(), "join-wanted")
     bits = spark.sparkContext.broadcast(_candidate_filter(wanted))
-    texts = rows.mapInArrow(_send_texts(words, bits), "node binary, text string").join(wanted, "node")
+    texts = rows.mapInArrow(tidy(_send_texts(words, bits)), "node binary, text string").join(wanted, "node")
     texts = materialize(texts, "join-texts")
 
     def checked(dealt: DataFrame, tag: str) -> DataFrame:
         sorted_ = dealt.select("grp", "block", "node", "text", "role").repartition(parts, "grp", "block").sortWithinPartitions("grp", "block")
-        return materialize(sorted_.mapInArrow(_check_blocks(words, percent), "a binary, b binary"), tag)
+        return materialize(sorted_.mapInArrow(tidy(_check_blocks(words, percent)), "a binary, b binary"), tag)
 
     # A pair's second set goes to its first one; both are dealt by the first.
     first = pairs.select(F.col("a").alias("node")).distinct().withColumn("grp", F.col("node")).withColumn("role", F.lit(0))

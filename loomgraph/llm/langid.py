@@ -13,6 +13,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import tidy
 from .tokens import batches, pieces
 
 #: Lengths of n-grams, in code points; a blank stands for what surrounds a word.
@@ -143,7 +144,7 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", fit_docs: int =
         return LanguageFilter([], np.zeros(SLOTS, kind), np.zeros(0))
     share = F.create_map(*[F.lit(x) for k in names for x in (k, float(min(1.0, fit_docs / counts[k])))])
     sample = known.filter((F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) / F.lit(1 << 20)) < share[F.col(lang)])
-    counted = sample.select(F.col(lang).alias("lang"), F.col(text).alias("text")).mapInArrow(_count_grams, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counted = sample.select(F.col(lang).alias("lang"), F.col(text).alias("text")).mapInArrow(tidy(_count_grams), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     wide = counted.groupBy("gram").agg(*[F.coalesce(F.sum(F.when(F.col("lang") == k, F.col("n"))), F.lit(0)).alias(f"n{i}") for i, k in enumerate(names)])
     totals = {r[0]: r[1] for r in counted.groupBy("lang").agg(F.sum("n")).collect()}
     rate = [F.col(f"n{i}") / F.lit(float(max(1, totals.get(k, 0)))) for i, k in enumerate(names)]
@@ -187,7 +188,7 @@ def predict(docs: DataFrame, model: LanguageFilter, text: str = "text", keep: tu
     tie: the first in order. Rows stay as they are, repeated ones too; an empty table gives no rows."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs.select(*keep, F.col(text).alias("text"))
-    return rows.mapInArrow(_predict(shared), ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + ", lang_pred string, score double, margin double")
+    return rows.mapInArrow(tidy(_predict(shared)), ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + ", lang_pred string, score double, margin double")
 
 
 def fit_split(docs: DataFrame) -> LanguageFilter:

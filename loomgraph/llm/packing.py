@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import input_parallelism, text_key
+from .common import input_parallelism, text_key, tidy
 from .tokens import batches, encoder, pieces
 
 WINDOW = 4096
@@ -167,9 +167,9 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, text: str = "text", win
     width = -(-(hi - lo + 1) // max(1, -(-n // block_docs)))
     block = F.coalesce(F.floor((F.col("doc_id") - F.lit(lo)) / F.lit(width)) if abs(hi) + abs(lo) < 1 << 52 else F.expr(f"cast((cast(doc_id as decimal(20)) - {lo}) div {width} as bigint)"), F.lit(-1)).cast("long")
     rows = docs.select("doc_id", block.alias("block"), text_key(text).alias("tie"), F.col(text).alias("text"))
-    ids = rows.mapInArrow(_tokenize(tokenizer_path), "doc_id long, block long, tie long, width int, ids binary, ends binary")
+    ids = rows.mapInArrow(tidy(_tokenize(tokenizer_path)), "doc_id long, block long, tie long, width int, ids binary, ends binary")
     dealt = ids.repartition(input_parallelism(docs), "block").sortWithinPartitions("block", "doc_id", "tie")
-    return dealt.mapInArrow(_pack(window), "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
+    return dealt.mapInArrow(tidy(_pack(window)), "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
 
 
 def vocabulary(name: str) -> str:
