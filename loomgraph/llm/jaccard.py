@@ -359,12 +359,13 @@ def _list_edges(percent: int):
 
         for k in list(held):
             rows = np.frombuffer(b"".join(held.pop(k)), _ENTRY)
-            met: dict[tuple[bytes, bytes], int] = {}
+            # A long list's edge stays beside a pair's other kind: it alone puts both sets in one group.
+            met: dict[tuple[bytes, bytes, bool], int] = {}
             for a, b, kind in edges(rows):
                 for p, q in zip(whole(a), whole(b), strict=True):
-                    pair = (p, q) if p < q else (q, p)
-                    met[pair] = min(kind, met.get(pair, kind)) if kind != RUN else met.get(pair, kind)
-            for some in _grouped(((p, q, kind) for (p, q), kind in met.items()), lambda _: 1, 50_000):
+                    pair = (p, q, kind == RUN) if p < q else (q, p, kind == RUN)
+                    met[pair] = min(kind, met.get(pair, kind))
+            for some in _grouped(((p, q, kind) for (p, q, _), kind in met.items()), lambda _: 1, 50_000):
                 yield _rows(some, ["a", "b", "kind"], [pa.binary(), pa.binary(), pa.int32()])
 
     return run

@@ -55,6 +55,28 @@ def test_jaccard_against_brute_force(spark, monkeypatch, block, short):
     assert jaccard.jaccard_components(df.limit(0)).count() == 0
 
 
+def test_jaccard_long_list_beside_short_one(spark, monkeypatch):
+    """x meets the head of the long lists in a short list of the same part, too, but links to another member only."""
+    monkeypatch.setattr(jaccard, "SHORT_LIST", 4)
+    ship_package(spark)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    names = [f"t{k}" for k in range(600)]
+    names = [names[k] for k in np.argsort(np.concatenate(jaccard.shingle_sets(names, 1)))]  # in order of lists
+    low, rest = names[:7], iter(names[10:])
+    long, tail = [low[0], *low[4:]], [next(rest) for _ in range(550)]
+    x_m = tail[-33:]
+    texts = [[*long, low[1], *tail[:34]], [*low, *x_m], [*names[7:10], *long, *x_m]] + [[*long, *tail[50 + 36 * k : 86 + 36 * k]] for k in range(8)]
+    rows = [(k, " ".join(t)) for k, t in enumerate(texts)]
+    want = brute_components(rows, words=1)
+    assert [c for _, _, c in want] == [0, 1, 1, *range(3, 11)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "1")
+        assert sorted(tuple(r) for r in jaccard.jaccard_components(df, words=1).collect()) == want
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 def test_jaccard_parts():
     for n in range(1, 12):
         sizes = {c for c, _ in jaccard.subsets(np.arange(n, dtype=np.uint64), 85)}
