@@ -13,6 +13,8 @@ from loomgraph.llm import jaccard, langid, line_dedup, packing, secrets
 from loomgraph.llm.common import materialize, ship_package
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+#: Near copies share this percentage of their word shingles of this size; the op4 query keeps its own contract (4, 85).
+NEAR_WORDS, NEAR_PERCENT = 5, 80
 #: Below this share of known n-grams a text is in no learned language.
 LEAST_SCORE = 0.1
 
@@ -35,9 +37,13 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one with the least doc_id stays; of rows alike in id and text, one."""
+    """Of each group of linked documents the one with the least doc_id stays; of rows alike in id and text, one.
+
+    Linked are documents whose sets of five-word shingles have a Jaccard similarity of 0.8 at least, not op4's four
+    words and 0.85.
+    """
     ship_package(spark)
-    gone = jaccard.jaccard_components(docs).filter("doc_id != component_id").select("doc_id").distinct()
+    gone = jaccard.jaccard_components(docs, words=NEAR_WORDS, percent=NEAR_PERCENT).filter("doc_id != component_id").select("doc_id").distinct()
     left = docs.join(gone, "doc_id", "left_anti")
     ids = docs.agg(F.count("doc_id"), F.countDistinct("doc_id")).first()
     return _columns(left if ids[0] == ids[1] else left.dropDuplicates(["doc_id", "text"]))

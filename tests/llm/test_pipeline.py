@@ -40,6 +40,20 @@ def test_stages_one_by_one(spark):
     assert last.groupBy("doc_id").agg(F.sum("length") == F.first("doc_tokens")).count() == fourth.count()
 
 
+def test_near_duplicates_take_five_words_and_80_percent(spark):
+    def copy(k, n, more=0, cut=0):
+        words = [f"w{k}x{j}" for j in range(n)]
+        return " ".join(words[: n - cut] + [f"m{k}x{j}" for j in range(more)])
+
+    rows = []
+    for k, (more, cut) in enumerate([(20, 0), (24, 0), (27, 0), (0, 17), (0, 19), (0, 24), (0, 0)]):
+        rows += [(2 * k, copy(k, 100)), (2 * k + 1, copy(k, 100, more, cut))]
+    want = sorted({c for _, _, c in brute_components(rows, words=5, percent=80)})
+    assert want == [0, 2, 4, 5, 6, 8, 10, 11, 12] and len({c for _, _, c in brute_components(rows)}) == 13
+    docs = spark.createDataFrame([(k, t, "en", "s1", len(t)) for k, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()) == want
+
+
 def test_run_equals_its_stages(spark, tmp_path):
     make(spark).write.parquet(str(tmp_path / "documents.parquet"))
     got = corpus_pipeline.run(spark, str(tmp_path)).toPandas()
