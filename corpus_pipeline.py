@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph.llm import jaccard, langid, line_dedup, packing, secrets
-from loomgraph.llm.common import materialize, ship_package
+from loomgraph.llm.common import materialize, ship_package, text_key
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: Near copies share this percentage of their word shingles of this size; the op4 query keeps its own contract (4, 85).
@@ -37,15 +37,23 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one with the least doc_id stays; of rows alike in id and text, one.
+    """Of each group of linked documents one stays: the one with the least doc_id (null: after all others) and, of
+    rows with that id, with the least hash of its text; of rows alike in id and text, one, null ids being alike.
+
+    Rows are told apart by id and text, so rows with null ids are compared and removed as all others, and of a
+    repeated id only the texts that are copies go.
 
     Linked are documents whose sets of five-word shingles have a Jaccard similarity of 0.8 at least, not op4's four
     words and 0.85.
     """
     ship_package(spark)
-    gone = jaccard.jaccard_components(docs, words=NEAR_WORDS, percent=NEAR_PERCENT).filter("doc_id != component_id").select("doc_id").distinct()
-    left = docs.join(gone, "doc_id", "left_anti")
-    ids = docs.agg(F.count("doc_id"), F.countDistinct("doc_id")).first()
+    rows = jaccard.row_components(docs, words=NEAR_WORDS, percent=NEAR_PERCENT, keyed=True)
+    place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "key")
+    linked = rows.filter("comp is not null").withColumn("place", place)
+    stays = linked.groupBy("comp").agg(F.min("place").alias("stays"))
+    gone = linked.join(stays, "comp").filter("place != stays").select(F.col("doc_id").alias("gone_id"), F.col("key").alias("gone_key")).distinct()
+    left = docs.join(gone, docs["doc_id"].eqNullSafe(F.col("gone_id")) & (text_key() == F.col("gone_key")), "left_anti")
+    ids = rows.agg(F.count("*"), F.countDistinct(F.struct("doc_id", "key"))).first()
     return _columns(left if ids[0] == ids[1] else left.dropDuplicates(["doc_id", "text"]))
 
 

@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import input_parallelism, materialize, tidy
+from .common import input_parallelism, materialize, text_key, tidy
 from .tokens import batches
 
 WORDS, PERCENT = 4, 85
@@ -123,12 +123,19 @@ def _texts(batch_iterator):
 
 
 def _classes(words: int):
+    """Rows' ids with their sets' sizes and fingerprints; with a column of texts' keys, these too."""
+
     def run(batch_iterator):
         import pyarrow as pa
 
-        for part in _texts(batch_iterator):
-            sets = shingle_sets([t or "" for _, t in part], words)
-            yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in part], pa.int64()), pa.array(list(map(len, sets)), pa.int64()), pa.array([fingerprint(s) if len(s) else None for s in sets], pa.binary())], names=["doc_id", "n", "class"])
+        for batch in batch_iterator:
+            keys = [batch["key"]] if "key" in batch.schema.names else []
+            done = 0
+            for part in _texts([batch]):
+                sets = shingle_sets([t or "" for _, t in part], words)
+                cols = [pa.array([d for d, _ in part], pa.int64()), pa.array(list(map(len, sets)), pa.int64()), pa.array([fingerprint(s) if len(s) else None for s in sets], pa.binary())]
+                yield pa.RecordBatch.from_arrays(cols + [k.slice(done, len(part)) for k in keys], names=["doc_id", "n", "class", "key"][: 3 + len(keys)])
+                done += len(part)
 
     return run
 
@@ -544,10 +551,19 @@ def jaccard_components(docs: DataFrame, text: str = "text", words: int = WORDS,
     columns aren't read; an empty table gives no rows. Texts are read four times and only those of candidates are
     shuffled.
     """
+    by_class = row_components(docs, text, words, percent)
+    least = by_class.filter("comp is not null").groupBy("comp").agg(F.min("doc_id").alias("least"))
+    return by_class.join(least, "comp", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))
+
+
+def row_components(docs: DataFrame, text: str = "text", words: int = WORDS, percent: int = PERCENT, keyed: bool = False) -> DataFrame:
+    """One row per row of docs: doc_id, n, comp (a set that stands for all that are reachable by links; null without
+    shingles); keyed: key, which with the id tells rows apart, too."""
     spark = docs.sparkSession
     rows = docs.select("doc_id", F.col(text).alias("text"))
     parts = input_parallelism(docs)
-    classes = materialize(rows.mapInArrow(tidy(_classes(words)), "doc_id long, n long, class binary"), "join-classes")
+    named, types = (docs.select("doc_id", F.col(text).alias("text"), text_key(text).alias("key")), ", key long") if keyed else (rows, "")
+    classes = materialize(named.mapInArrow(tidy(_classes(words)), "doc_id long, n long, class binary" + types), "join-classes")
     sizes = {r["n"]: r["count"] for r in classes.filter(F.col("n").between(1, LIGHT_MOST * 2)).groupBy("n").count().collect()}
     light = light_size(sizes, percent)
     corpus = spark.sparkContext.broadcast(corpus_shingles(rows, words, parts))
@@ -585,9 +601,7 @@ def jaccard_components(docs: DataFrame, text: str = "text", words: int = WORDS,
         if more.limit(1).count():
             comp = components(comp.select(F.col("node").alias("a"), F.col("comp").alias("b")).unionByName(more), "join-components")
     by_class = classes.join(comp.withColumnRenamed("node", "class"), "class", "left").withColumn("comp", F.coalesce("comp", "class"))
-    by_class = materialize(by_class.select("doc_id", "n", "comp"), "join-comp")
-    least = by_class.filter("comp is not null").groupBy("comp").agg(F.min("doc_id").alias("least"))
-    return by_class.join(least, "comp", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))
+    return materialize(by_class.select("doc_id", "n", "comp", *["key"] * keyed), "join-comp")
 
 
 def _across_blocks(large: DataFrame, comp: DataFrame, checked) -> DataFrame:

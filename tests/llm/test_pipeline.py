@@ -54,6 +54,18 @@ def test_near_duplicates_take_five_words_and_80_percent(spark):
     assert sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()) == want
 
 
+def test_near_duplicates_null_and_repeated_ids(spark):
+    def text(k, more=""):
+        return " ".join(f"w{k}x{j}" for j in range(60)) + more
+
+    rows = [(1, text(1)), (None, text(1)), (None, text(1, " end")), (None, text(2)), (None, text(2)), (None, text(2, " end")), (None, text(3)), (5, text(1, " more")), (5, text(4)), (6, text(5)), (6, text(5)), (6, text(6)), (None, "")]
+    docs = spark.createDataFrame([(k, t, "en", "s1", len(t)) for k, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    got = [(r.doc_id, r.text) for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()]
+    two = [r for r in got if r[1].startswith("w2x")]
+    assert len(two) == 1 and two[0] in {(None, text(2)), (None, text(2, " end"))}
+    assert sorted(got, key=str) == sorted([(1, text(1)), *two, (None, text(3)), (5, text(4)), (6, text(5)), (6, text(6)), (None, "")], key=str)
+
+
 def test_run_equals_its_stages(spark, tmp_path):
     make(spark).write.parquet(str(tmp_path / "documents.parquet"))
     got = corpus_pipeline.run(spark, str(tmp_path)).toPandas()
