@@ -36,6 +36,7 @@ def mod_edges(spark, d) -> DataFrame:
 
 
 def sparse_edges(spark, d) -> DataFrame:
+    """The slice on which paths are enumerated; all other queries take edges()."""
     return graph.aggregate_calls(f.facts(spark, d, f.SPARSE_CALLS))
 
 
@@ -103,9 +104,10 @@ def adjacency(spark, d):
 
 
 def call_chain(spark, d):
-    return flat(graph.call_chains(nodes(spark, d), sparse_edges(spark, d), "m1/brand11", 2).drop("file", "line_start"), "callers", "callees")
+    return flat(graph.call_chains(nodes(spark, d), edges(spark, d), "m1/brand11", 2).drop("file", "line_start"), "callers", "callees")
 
 
+_WE = f"SELECT src, dst, CAST(count(*) AS BIGINT) AS call_count FROM ({C}) c WHERE src <> dst GROUP BY src, dst"
 _SE = f"SELECT src, dst, CAST(count(*) AS BIGINT) AS call_count FROM ({f.for_sql(f.SPARSE_CALLS)}) c WHERE src <> dst GROUP BY src, dst"
 
 
@@ -116,7 +118,7 @@ def _chain_sql(a: str, b: str, name: str) -> str:
   JOIN (SELECT node_id, module_group || '/' || label AS display FROM n) s ON w.n = s.node_id GROUP BY 1, 2) q GROUP BY 1)"""
 
 
-CALL_CHAIN = f"""WITH n AS ({N}), se AS ({_SE}), {_chain_sql('dst', 'src', 'up')}, {_chain_sql('src', 'dst', 'down')}
+CALL_CHAIN = f"""WITH n AS ({N}), se AS ({_WE}), {_chain_sql('dst', 'src', 'up')}, {_chain_sql('src', 'dst', 'down')}
 SELECT node_id, label AS function, coalesce(up.x, '') AS callers, coalesce(down.x, '') AS callees FROM n LEFT JOIN up ON up.root = node_id LEFT JOIN down ON down.root = node_id
 WHERE module_group = 'm1/brand11'"""
 
@@ -126,7 +128,7 @@ def _seeds(spark, d):
 
 
 def trace(spark, d):
-    found, _ = graph.trace(nodes(spark, d), sparse_edges(spark, d), _seeds(spark, d))
+    found, _ = graph.trace(nodes(spark, d), edges(spark, d), _seeds(spark, d))
     return found
 
 
@@ -142,7 +144,7 @@ def _bfs_sql(a: str, b: str, name: str) -> str:
  UNION ALL SELECT e3.{b}, 3 FROM seeds s JOIN se e ON e.{a} = s.node_id JOIN se e2 ON e2.{a} = e.{b} JOIN se e3 ON e3.{a} = e2.{b}) w GROUP BY 1)"""
 
 
-TRACE = f"""WITH se AS ({_SE}), seeds AS ({_TOP}), {_bfs_sql('dst', 'src', 'up')}, {_bfs_sql('src', 'dst', 'down')},
+TRACE = f"""WITH se AS ({_WE}), seeds AS ({_TOP}), {_bfs_sql('dst', 'src', 'up')}, {_bfs_sql('src', 'dst', 'down')},
 every AS (SELECT n, CASE WHEN min(r) = 0 THEN 'seed' WHEN min(r) = 1 THEN 'upstream' ELSE 'downstream' END AS direction, arg_min(d, r) AS depth, min(r) AS r FROM (
   SELECT n, d, CASE WHEN d = 0 THEN 0 ELSE 1 END AS r FROM up UNION ALL SELECT n, d, CASE WHEN d = 0 THEN 0 ELSE 2 END FROM down) q GROUP BY 1)
 SELECT n AS node_id, direction, depth FROM every LEFT JOIN ({N}) x ON n = node_id ORDER BY r, depth, ord, n LIMIT 30"""
@@ -172,22 +174,25 @@ def cross_module(spark, d):
 
 
 def entry_nodes(spark, d):
-    return flows.entry_nodes(nodes(spark, d), sparse_edges(spark, d))
+    return flows.entry_nodes(nodes(spark, d), edges(spark, d))
 
 
-_ENTRY = f"""SELECT node_id FROM ({N}) n WHERE node_type IN ('function', 'method') AND (node_id NOT IN (SELECT dst FROM ({_SE}) e)
+def _entry_sql(edges_sql: str) -> str:
+    return f"""SELECT node_id FROM ({N}) n WHERE node_type IN ('function', 'method') AND (node_id NOT IN (SELECT dst FROM ({edges_sql}) e)
  OR lower(label) IN ({', '.join(f"'{x}'" for x in flows.ENTRY_NAMES)}) OR {' OR '.join(f"starts_with(lower(label), '{p}')" for p in flows.ENTRY_PREFIXES)})"""
 
 
 def _paths(spark, d):
-    return flows.simple_paths(entry_nodes(spark, d), sparse_edges(spark, d), 4, None)
+    """All paths of the slice, from its own entries."""
+    e = sparse_edges(spark, d)
+    return flows.simple_paths(flows.entry_nodes(nodes(spark, d), e), e, 4, None)
 
 
 def simple_paths(spark, d):
     return _paths(spark, d).select(F.array_join("path", ">").alias("path"), F.size("path").alias("n"))
 
 
-_PATHS = f"""WITH RECURSIVE se AS ({_SE}), ent AS ({_ENTRY}),
+_PATHS = f"""WITH RECURSIVE se AS ({_SE}), ent AS ({_entry_sql(_SE)}),
 w AS (SELECT [node_id] AS path, node_id AS last, 0 AS d, CAST(0 AS BIGINT) AS calls FROM ent
  UNION ALL SELECT list_append(path, e.dst), e.dst, d + 1, calls + e.call_count FROM w JOIN se e ON e.src = w.last WHERE d < 4 AND NOT list_contains(path, e.dst)),
 p AS (SELECT path, calls FROM w WHERE len(path) >= 2 AND (d = 4 OR NOT EXISTS (SELECT 1 FROM se e WHERE e.src = w.last AND NOT list_contains(w.path, e.dst))))"""
@@ -256,7 +261,7 @@ def topk_nodes(spark, d):
 
 
 def diagnose(spark, d):
-    n, e = nodes(spark, d), sparse_edges(spark, d)
+    n, e = nodes(spark, d), edges(spark, d)
     found, _ = graph.trace(n, e, search.match_nodes(n, "where does mainCheck get handled", limit=5))
     return search.locations(found, n).select("node_id", "direction", "depth", "priority", "ref")
 
@@ -296,12 +301,12 @@ def module_interfaces(spark, d):
     placed = modules.module_files(n.select("file", "ord", F.lit(10).alias("line_count")))
     funcs = n.filter("node_type != 'class'").select("file", F.lit(0).alias("ord"), F.col("label").alias("name"), (F.col("node_type") == "method").alias("is_method"))
     classes = n.filter("node_type = 'class'").select("file", F.lit(0).alias("ord"), F.col("label").alias("name"))
-    c = f.facts(spark, d, f.SPARSE_CALLS).join(n.select(F.col("node_id").alias("src"), "file"), "src").select("file", "callee_name")
+    c = calls(spark, d).join(n.select(F.col("node_id").alias("src"), "file"), "src").select("file", "callee_name")
     out = modules.build_modules(placed, funcs, classes, c)
     return flat(out.select("name", "entry_functions", "public_interfaces", "total_lines", F.size("files").cast("long").alias("n_files")), "entry_functions", "public_interfaces")
 
 
-INTERFACES = f"""WITH n AS ({N}), c AS (SELECT DISTINCT s.module_group AS g, callee_name FROM ({f.for_sql(f.SPARSE_CALLS)}) c JOIN n s ON s.node_id = c.src),
+INTERFACES = f"""WITH n AS ({N}), c AS (SELECT DISTINCT s.module_group AS g, callee_name FROM ({C}) c JOIN n s ON s.node_id = c.src),
 e AS (SELECT module_group AS g, label, row_number() OVER (PARTITION BY module_group ORDER BY ord) AS k FROM n WHERE node_type = 'function' AND NOT EXISTS (SELECT 1 FROM c WHERE c.g = module_group AND c.callee_name = label)),
 p AS (SELECT g, label, row_number() OVER (PARTITION BY g ORDER BY o) AS k, o FROM (SELECT module_group AS g, label, min(ord) AS o FROM n WHERE node_type <> 'method' GROUP BY 1, 2) q)
 SELECT m.g AS name, coalesce(ee.x, '') AS entry_functions, coalesce(pp.x, '') AS public_interfaces, m.total_lines, m.n_files FROM (SELECT module_group AS g, CAST(count(*) * 10 AS BIGINT) AS total_lines, count(*) AS n_files FROM n GROUP BY 1) m
@@ -354,7 +359,7 @@ def mermaid_functions(spark, d):
 
 
 def mermaid_chain(spark, d):
-    n, e = nodes(spark, d), sparse_edges(spark, d)
+    n, e = nodes(spark, d), edges(spark, d)
     found, links = graph.trace(n, e, _seeds(spark, d))
     return render.chain_picture(found, links, n, e)
 
@@ -421,7 +426,7 @@ QUERIES = {
     "hub_modules": (hub_modules, f"SELECT name, n_in, n_out, score FROM ({HUB}) h"),
     "core_modules": (core_modules, _CORE),
     "cross_module": (cross_module, f"WITH j AS (SELECT a.module_group AS a, b.module_group AS b FROM ({E}) e JOIN ({N}) a ON e.src = a.node_id JOIN ({N}) b ON e.dst = b.node_id WHERE a.module_group <> b.module_group) SELECT name, CAST(sum(o) AS BIGINT) AS calls_out, CAST(sum(i) AS BIGINT) AS calls_in FROM (SELECT a AS name, 1 AS o, 0 AS i FROM j UNION ALL SELECT b, 0, 1 FROM j) q GROUP BY 1"),
-    "entry_nodes": (entry_nodes, _ENTRY),
+    "entry_nodes": (entry_nodes, _entry_sql(_WE)),
     "simple_paths": (simple_paths, f"{_PATHS} SELECT array_to_string(path, '>') AS path, len(path) AS n FROM p"),
     "path_scores": (path_scores, PATH_SCORES),
     "coverage": (coverage, f"{_PATHS} SELECT (SELECT count(*) FROM ({N}) n) AS n_core, count(DISTINCT x) AS n_covered, round(count(DISTINCT x) / (SELECT count(*) FROM ({N}) n), 9) AS coverage FROM (SELECT unnest(path) AS x FROM p) q"),

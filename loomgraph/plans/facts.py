@@ -26,8 +26,8 @@ SELECT l_partkey AS a, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY {_
 CALLS = f"""
 SELECT s.node_id AS src, d.node_id AS dst, d.label AS callee_name, c.ord AS ord
 FROM ({STEPS}) c JOIN ({NODES}) s ON c.a = s.ord JOIN ({NODES}) d ON c.b = d.ord"""
-#: A graph without cycles and with few ways on from each node: of all forward steps from a part, those to its nearest
-#: and its farthest follower.
+#: A graph without cycles and with few ways on from each node, for enumerations of paths only, which are exponential:
+#: of all forward steps from a part, those to its nearest and its farthest follower.
 SPARSE = f"""
 SELECT a, b, ord FROM (
   SELECT a, b, ord, min(b) OVER (PARTITION BY a) AS nearest, max(b) OVER (PARTITION BY a) AS farthest FROM ({STEPS}) x WHERE a < b) y
