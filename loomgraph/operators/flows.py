@@ -71,11 +71,11 @@ def path_scores(paths: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFra
     return out.select("path_id", "path", (F.size("path") * F.coalesce("mean_calls", F.lit(1.0)) * F.coalesce("bonus", F.lit(1.0))).alias("score"))
 
 
-def main_flows(scored: DataFrame, max_flows: int = MAX_FLOWS, candidates: int = 2000) -> list[dict]:
-    """The best paths that overlap little, chosen one after the other: inherently sequential, so on the driver, over
-    the best `candidates` (a bound)."""
+def main_flows(scored: DataFrame, max_flows: int = MAX_FLOWS) -> list[dict]:
+    """The best paths that overlap little, chosen one after the other: inherently sequential, so on the driver, which
+    reads paths in order, a partition at a time, until max_flows are chosen or all are seen."""
     out, covered = [], set()
-    for r in scored.filter(F.size("path") >= LEAST_NODES).orderBy(F.desc("score"), "path").limit(candidates).toLocalIterator():
+    for r in scored.filter(F.size("path") >= LEAST_NODES).orderBy(F.desc("score"), "path").toLocalIterator():
         own = set(r["path"])
         if not out or len(own & covered) / len(own) < MOST_OVERLAP:
             out.append(r.asDict())

@@ -180,6 +180,13 @@ def test_flows(spark):
     assert flows.coverage(nodes, paths).first()["coverage"] == 1.0
 
 
+def test_main_flows_beyond_a_hub(spark):
+    """More paths through one hub than any bound come before the others, which are found all the same."""
+    rows = [(["h", "i", "j", f"x{k}"], 9000.0 - k) for k in range(3000)] + [([f"{k}a", f"{k}b", f"{k}c"], 5.0 - k) for k in range(5)]
+    found = flows.main_flows(spark.createDataFrame(rows, "path array<string>, score double"))
+    assert [f["path"][0] for f in found] == ["h", "0a", "1a", "2a", "3a"]
+
+
 def test_terms(spark):
     cols = "source_term string, target_phrase string, context string, domain string, source string, confidence double, usage_count long, ord long"
     own = spark.createDataFrame([("a", "A1", "", "general", "default", 0.8, 0, 1), ("a", "A2", "", "general", "user_correction", 1.0, 0, 2)], cols)
