@@ -39,7 +39,6 @@ COMMON, MOST_COMMON = 16, 1 << 18
 FILTER_BITS = 1 << 26
 #: Light sets are no larger, whatever the costs.
 LIGHT_MOST = 14
-ROUNDS = 40
 
 _ROOT = 0x9E3779B97F4A7C15 | 1
 _M = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB))
@@ -405,7 +404,7 @@ def components(edges: DataFrame, tag: str) -> DataFrame:
     small-star rounds of joins by group minimum, until all edges form stars. Each round is written to the shared
     folder. Every node has an edge."""
     now = materialize(edges.select("a", "b").filter("a != b").mapInArrow(tidy(_contract), "a binary, b binary"), tag)
-    for _ in range(ROUNDS):
+    while True:
         # A star: no node is above one edge and below another, and each is below one.
         sides = now.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.lit(1).alias("low"), F.lit(0).alias("high")), F.struct(F.col("b").alias("node"), F.lit(0).alias("low"), F.lit(1).alias("high")))).alias("x")).select("x.*")
         odd = sides.groupBy("node").agg(F.sum("low").alias("low"), F.max("high").alias("high")).filter("low + high > 1")

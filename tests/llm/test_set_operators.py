@@ -96,6 +96,14 @@ def test_components(spark):
     assert got == {k: 0 for k in range(201)} | dict.fromkeys((299, 300, 301), 299)
 
 
+def test_components_end_with_stars_only(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "ROUNDS", 1, raising=False)  # a bound on rounds would leave parts
+    node = lambda k: k.to_bytes(16, "big")
+    order = np.random.default_rng(3).permutation(400).tolist()
+    df = spark.createDataFrame([(node(a), node(b)) for a, b in zip(order, order[1:], strict=False)], "a binary, b binary").repartition(40)
+    assert {(int.from_bytes(r.node, "big"), int.from_bytes(r.comp, "big")) for r in jaccard.components(df, "t").collect()} == {(k, 0) for k in range(400)}
+
+
 def check_shards(rows, got, shards):
     assert sorted((str(r.doc_id), r.size, r.text_crc32) for r in got) == sorted((str(d), len((t or "").encode()) + 16, zlib.crc32((t or "").encode())) for d, t in rows)
     by = {h: sorted(r.slot for r in got if r.shard == h) for h in range(shards)}
