@@ -360,19 +360,22 @@ def _list_edges(percent: int):
         for batch in batch_iterator:
             for k, x in zip(batch["part"].to_pylist(), batch["entries"].to_pylist(), strict=True):
                 held.setdefault(k, []).append(x)
-        def whole(x: np.ndarray) -> list[bytes]:
-            return [v.ljust(16, b"\0") for v in x.tolist()]  # S16 drops zero bytes at the end
-
         for k in list(held):
             rows = np.frombuffer(b"".join(held.pop(k)), _ENTRY)
-            # A long list's edge stays beside a pair's other kind: it alone puts both sets in one group.
-            met: dict[tuple[bytes, bytes, bool], int] = {}
+            # Of each kind by itself: a long list's edge stays beside a pair's other kind, as it alone puts both sets in
+            # one group. As arrays, since pairs are many.
+            met: dict[int, list[np.ndarray]] = {}
             for a, b, kind in edges(rows):
-                for p, q in zip(whole(a), whole(b), strict=True):
-                    pair = (p, q, kind == RUN) if p < q else (q, p, kind == RUN)
-                    met[pair] = min(kind, met.get(pair, kind))
-            for some in _grouped(((p, q, kind) for (p, q, _), kind in met.items()), lambda _: 1, 50_000):
-                yield _rows(some, ["a", "b", "kind"], [pa.binary(), pa.binary(), pa.int32()])
+                pair = np.empty(len(a), [("p", "S16"), ("q", "S16")])
+                pair["p"], pair["q"] = np.where(a < b, a, b), np.where(a < b, b, a)
+                met.setdefault(kind, []).append(np.unique(pair.view("S32")))
+                if sum(map(len, met[kind][1:])) > 500_000:
+                    met[kind] = [np.unique(np.concatenate(met[kind]))]
+            for kind in list(met):
+                pairs = np.unique(np.concatenate(met.pop(kind)))
+                for lo in range(0, len(pairs), 50_000):
+                    raw = pairs[lo : lo + 50_000].tobytes()
+                    yield _rows([(raw[x : x + 16], raw[x + 16 : x + 32], kind) for x in range(0, len(raw), 32)], ["a", "b", "kind"], [pa.binary(), pa.binary(), pa.int32()])
 
     return run
 
