@@ -26,7 +26,15 @@ SEGMENTS = {
 VERBS = {
     "get": "获取", "set": "设置", "create": "创建", "make": "生成", "build": "构建", "delete": "删除", "remove": "移除", "update": "更新", "modify": "修改", "patch": "局部更新", "save": "保存", "load": "加载", "read": "读取", "write": "写入",
     "send": "发送", "receive": "接收", "fetch": "拉取", "pull": "拉取", "push": "推送", "parse": "解析", "format": "格式化", "convert": "转换", "transform": "变换", "validate": "验证", "verify": "验证", "check": "检查", "test": "测试", "assert": "断言",
-    "init": "初始化", "initialize": "初始化", "setup": "设置", "configure": "配置", "start": "启动", "stop": "停止", "run": "运行", "execute": "执行", "process": "处理", "handle": "处理", "dispatch": "分发", "emit": "触发", "trigger": "触发", "listen": "监听", "subscribe": "订阅",
+    "init": "初始化", "initialize": "初始化", "setup": "设置", "configure": "配置", "start": "启动", "stop": "停止", "run": "运行", "execute": "执行", "process": "处理", "handle": "处理", "dispatch": "分发", "emit": "触发", "trigger": "触发", "listen": "监听", "subscribe": "订阅", "publish": "发布", "register": "注册", "unregister": "注销",
+    "login": "登录", "logout": "登出", "authenticate": "认证", "authorize": "授权", "encrypt": "加密", "decrypt": "解密", "hash": "哈希计算", "sign": "签名", "log": "记录", "print": "打印", "render": "渲染", "display": "显示", "show": "展示", "hide": "隐藏",
+    "open": "打开", "close": "关闭", "connect": "连接", "disconnect": "断开连接", "bind": "绑定", "unbind": "解绑", "attach": "附加", "detach": "分离", "add": "添加", "insert": "插入", "append": "追加", "merge": "合并", "split": "拆分", "sort": "排序", "filter": "过滤", "search": "搜索", "find": "查找", "query": "查询", "list": "列出", "count": "计数",
+    "aggregate": "聚合", "calculate": "计算", "compute": "计算", "compare": "比较", "diff": "差异对比", "sync": "同步", "async": "异步处理", "cache": "缓存", "flush": "刷新", "clear": "清除", "reset": "重置", "retry": "重试", "recover": "恢复", "rollback": "回滚", "migrate": "迁移", "export": "导出", "import": "导入", "upload": "上传", "download": "下载",
+    "notify": "通知", "alert": "告警", "schedule": "调度", "cancel": "取消", "approve": "审批", "reject": "拒绝", "submit": "提交", "confirm": "确认", "scan": "扫描", "detect": "检测", "monitor": "监控", "track": "跟踪", "resolve": "解析", "serialize": "序列化", "deserialize": "反序列化", "encode": "编码", "decode": "解码", "compile": "编译", "evaluate": "评估",
+    "map": "映射", "reduce": "归约", "collect": "收集", "generate": "生成", "extract": "提取", "apply": "应用", "wrap": "包装", "unwrap": "解包", "mount": "挂载", "unmount": "卸载", "clone": "克隆", "copy": "复制", "move": "移动", "rename": "重命名", "drop": "丢弃", "truncate": "截断", "sanitize": "清理", "normalize": "规范化", "refresh": "刷新", "reload": "重新加载",
+    "revert": "还原", "revoke": "撤销", "grant": "授权", "deny": "拒绝", "lock": "加锁", "unlock": "解锁", "enable": "启用", "disable": "禁用", "activate": "激活", "deactivate": "停用", "unsubscribe": "退订", "benchmark": "基准测试", "profile": "性能分析", "debug": "调试", "inspect": "检查", "audit": "审计", "archive": "归档", "restore": "恢复", "backup": "备份", "destroy": "销毁",
+    "bootstrap": "引导启动", "shutdown": "关闭", "provision": "配置资源", "allocate": "分配", "deallocate": "释放", "acquire": "获取", "release": "释放", "await": "等待", "wait": "等待", "poll": "轮询", "ping": "探测", "probe": "探测", "warm": "预热", "cooldown": "冷却", "throttle": "限流", "limit": "限制", "batch": "批量处理", "stream": "流式处理", "pipe": "管道传输",
+    "route": "路由", "forward": "转发", "redirect": "重定向", "proxy": "代理", "relay": "中继", "broadcast": "广播", "multicast": "组播", "enqueue": "入队", "dequeue": "出队", "peek": "查看队首", "pop": "弹出",
 }
 # Fixed: what calling a module means, in the order in which partial matches are tried.
 CONNECTIONS = {
@@ -40,6 +48,7 @@ FLOW_VERBS = {
     "import": "导入", "export": "导出", "login": "登录", "logout": "登出", "register": "注册", "upload": "上传", "download": "下载", "search": "搜索", "build": "构建", "generate": "生成", "parse": "解析", "render": "渲染", "publish": "发布",
     "subscribe": "订阅", "notify": "通知", "migrate": "迁移", "deploy": "部署", "test": "测试", "scan": "扫描", "analyze": "分析", "schedule": "调度",
 }
+# Fixed: endings of labels that need no "module" after them.
 LABEL_SUFFIXES = ("系统", "模块", "引擎", "工具", "服务", "接口", "组件", "平台")
 
 

@@ -87,10 +87,12 @@ def function_explanations(spark, d):
     return p.select("p_partkey", told.alias("told"), naming.plain_description(told).alias("plain"), naming.flow_name(name).alias("flow"))
 
 
-_VERBS = ("get", "save", "odd", "handle", "run")
+#: All known verbs, and one that isn't.
+_VERBS = (*naming.VERBS, "odd")
 _V = "[" + ", ".join(f"'{v}'" for v in _VERBS) + f"][p_partkey % {len(_VERBS)} + 1]"
-_ACT = f"CASE {_V} WHEN 'get' THEN '获取' WHEN 'save' THEN '保存' WHEN 'handle' THEN '处理' WHEN 'run' THEN '运行' ELSE '处理' END"
-EXPLAIN = f"SELECT p_partkey, {_ACT} || ' 用户管理，参数为 a, b，返回 int' AS told, {_ACT} || ' 用户管理' AS plain, CASE {_V} WHEN 'get' THEN '用户管理获取流程' WHEN 'handle' THEN '用户管理处理流程' ELSE {_V} || '_users流程' END AS flow FROM part"
+_ACT = f"coalesce({_exact(_V, naming.VERBS)}, '处理')"
+_FLOW = f"coalesce('用户管理' || {_exact(_V, naming.FLOW_VERBS)} || '流程', {_V} || '_users流程')"
+EXPLAIN = f"SELECT p_partkey, {_ACT} || ' 用户管理，参数为 a, b，返回 int' AS told, {_ACT} || ' 用户管理' AS plain, {_FLOW} AS flow FROM part"
 
 
 def module_descriptions(spark, d):
