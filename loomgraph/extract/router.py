@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import signal
+import threading
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import native, patterns
+from . import grammar, native, patterns
 
 SCHEMA = (
     "file_path string, language string, line_count long, parse_method string, parse_confidence double, fallback_reason string, parse_errors array<string>,"
@@ -16,23 +20,51 @@ SCHEMA = (
 )
 #: Fixed: languages that a grammar would serve; without one the reason is told.
 GRAMMARS = ("python", "typescript", "javascript", "java", "go", "rust", "cpp", "csharp", "ruby", "php", "swift", "kotlin", "zig", "scala", "dart", "objc", "haskell", "ocaml", "elixir", "erlang", "lua", "perl", "r", "julia", "bash", "clojure", "groovy", "nim", "v", "d")
-#: A file is parsed as a whole; a longer one gets the lowest tier's empty result instead of blocking its task.
-LARGEST = 5_000_000
+#: Seconds that a file may take; after them it gets the lowest tier's empty result, and its task goes on.
+SECONDS = 5.0
 TIMED_OUT = ("basic", 0.3)
 
-#: Further tiers by language: (source) -> facts. A grammar-backed extractor can be put here; it is tried before patterns.
-GRAMMAR_EXTRACTORS: dict = {}
 
+class TooLong(BaseException):
+    """Not an Exception: the tiers' own handlers leave it alone."""
+
+
+@contextmanager
+def limited(seconds: float):
+    """Raises TooLong inside after so many seconds; only in a process's main thread, where workers run tasks."""
+    if threading.current_thread() is not threading.main_thread():
+        yield
+        return
+
+    def ring(*_):
+        raise TooLong
+
+    before = signal.signal(signal.SIGALRM, ring)
+    signal.setitimer(signal.ITIMER_REAL, seconds)
+    try:
+        yield
+    finally:
+        signal.setitimer(signal.ITIMER_REAL, 0)
+        signal.signal(signal.SIGALRM, before)
 
-def parse(path: str, language: str, content: str | None, is_config: bool = False, line_count: int = 0) -> dict:
+
+def parse(path: str, language: str, content: str | None, is_config: bool = False, line_count: int = 0, seconds: float = SECONDS) -> dict:
+    """The facts of one file, by the best tier in the time it has."""
+    try:
+        with limited(seconds):
+            return _parse(path, language, content, is_config, line_count)
+    except TooLong:
+        none: dict = {"functions": [], "classes": [], "imports": [], "calls": []}
+        return {"file_path": path, "language": language, "line_count": line_count, "parse_method": TIMED_OUT[0], "parse_confidence": TIMED_OUT[1], "fallback_reason": "", "parse_errors": [f"Timeout after {seconds:g}s"], **none}
+
+
+def _parse(path: str, language: str, content: str | None, is_config: bool, line_count: int) -> dict:
     none: dict = {"functions": [], "classes": [], "imports": [], "calls": []}
     out = {"file_path": path, "language": language, "line_count": line_count, "parse_method": "full", "parse_confidence": 1.0, "fallback_reason": "", "parse_errors": [], **none}
     if is_config:
         return out
     if content is None:
         return out | {"parse_method": patterns.FAILED, "parse_confidence": 0.0, "parse_errors": ["Read error: no content"]}
-    if len(content) > LARGEST:
-        return out | {"parse_method": TIMED_OUT[0], "parse_confidence": TIMED_OUT[1], "parse_errors": ["too large"]}
     lines = content.count("\n") + (content != "" and not content.endswith("\n"))
     if language == "python":
         try:
@@ -42,12 +74,14 @@ def parse(path: str, language: str, content: str | None, is_config: bool = False
         except (ValueError, RecursionError, MemoryError) as e:
             out["fallback_reason"] = f"native ast error: {e}"
     if language in GRAMMARS:
-        try:
-            return out | GRAMMAR_EXTRACTORS[language](content) | {"line_count": lines}
-        except KeyError:
+        parser = grammar.HEALTH.parser(language)
+        if parser is None:
             out["fallback_reason"] = "tree-sitter unavailable"
-        except Exception as e:  # whatever a plug-in raises, patterns still serve
-            out["fallback_reason"] = f"tree-sitter parse error: {e}"
+        else:
+            try:
+                return out | grammar.extract(parser, content, language) | {"line_count": lines}
+            except Exception as e:  # whatever a grammar raises, patterns still serve
+                out["fallback_reason"] = f"tree-sitter parse error: {e}"
     try:
         facts, confidence = patterns.extract(content, language)
         return out | facts | {"line_count": lines, "parse_method": patterns.METHOD, "parse_confidence": confidence}

@@ -22,7 +22,7 @@ SECONDS = 0.5
 
 def watched(path: Column) -> Column:
     """Not below an excluded directory, and with a known suffix."""
-    known = [e for many in LANGUAGE_EXTENSIONS.values() for e in many.split()] + list(CONFIG_EXTENSIONS)
+    known = [*LANGUAGE_EXTENSIONS, *CONFIG_EXTENSIONS]
     return ~F.exists(parts(path), lambda p: p.isin(*EXCLUDED_DIRS)) & extension(path).isin(*known)
 
 
