@@ -6,10 +6,14 @@ Light sets (up to a size chosen by cost): all their subsets of the sizes that a
 Two sets with a common subset of the size that they need are linked: no further check.
 
 Heavy sets: shingles are ordered by how common they are, and a set enters the inverted lists of the first few, as
-many as a partner cannot miss all. Short lists emit their pairs, which are checked with the texts. Long lists never
-do: their runs, in order of size, are joined to groups, and a group's sets are held against each other in blocks of
-bounded size: within each block first, then what isn't yet connected against all blocks of its group. So components
-are exact, but links inside what is connected already needn't be looked for.
+many as a partner cannot miss all. Short lists emit their pairs. A pair first meets both sets' sketches: a row of
+bits in which each shingle flips one, about as many bits as shingles. Bits that differ need a shingle each that only
+one set has, so a pair that differs in more bits than linked sets may is no link, and no text moves for it. What is
+left is checked with the texts, one pair for each set first, then the pairs that aren't connected by then.
+
+Long lists never emit pairs: their runs, in order of size, are joined to groups, and a group's sets are held against
+each other in blocks of bounded size: within each block first, then what isn't yet connected against all blocks of
+its group. So components are exact, but links inside what is connected already needn't be looked for.
 
 Orders need no exact counts, so counts may merge shingles and take in copies: results are the same for any order.
 """
@@ -28,15 +32,18 @@ from .tokens import batches
 WORDS, PERCENT = 4, 85
 #: A list with more sets of one range of sizes than this is long.
 SHORT_LIST = 32
-#: Sets of one block of a group.
-BLOCK = 1024
+#: Sets of one block of a group, and shingles of all of them.
+BLOCK, BLOCK_SHINGLES = 1024, 1 << 23
+#: Bits of a sketch at least; larger sets have the next power of two from their size on.
+SKETCH_BITS = 512
 #: Bits that tell which shingles, by their upper 32 bits, were met twice or more. Fixed: beyond some billions of
 #: shingles the filter fills up and only saves less.
 TWICE_BITS = 1 << 27
 #: A shingle met so often is common, and the table of common ones is held to so many rows by raising that count.
 COMMON, MOST_COMMON = 16, 1 << 18
-#: Bits of the filter that tells which sets are candidates; false positives only cost work.
-FILTER_BITS = 1 << 26
+#: Bits of the filter that tells which sets are candidates: so many for each, in these bounds. False positives only
+#: cost work.
+FILTER_BITS_EACH, FILTER_BITS_LEAST, FILTER_BITS_MOST = 16, 1 << 20, 1 << 28
 #: Light sets are no larger, whatever the costs.
 LIGHT_MOST = 14
 
@@ -106,6 +113,20 @@ def fingerprint(s: np.ndarray) -> bytes:
     return s.sum(dtype=np.uint64).tobytes() + (x.sum(dtype=np.uint64) ^ np.uint64(len(s))).tobytes()
 
 
+def sketch(s: np.ndarray) -> bytes:
+    """Bits, each flipped by the shingles that fall to it. A sketch of half the bits is the exclusive or of both halves."""
+    bits = max(SKETCH_BITS, 1 << (len(s) - 1).bit_length()) if len(s) else SKETCH_BITS
+    flips = np.bincount((_mix(s * _M[4]) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(flips.astype(bool), bitorder="little").tobytes()
+
+
+def _folded(rows: np.ndarray, width: int) -> np.ndarray:
+    while rows.shape[1] > width:
+        half = rows.shape[1] // 2
+        rows = rows[:, :half] ^ rows[:, half:]
+    return rows
+
+
 def needed(a, b, percent: int = PERCENT):
     """Least overlap of linked sets of sizes a and b."""
     return -(-percent * (a + b) // (100 + percent))
@@ -122,18 +143,31 @@ def _texts(batch_iterator):
 
 
 def _classes(words: int):
-    """Rows' ids with their sets' sizes and fingerprints; with a column of texts' keys, these too."""
+    """Rows' ids with their sets' sizes, fingerprints and sketches (these once in a task as far as it remembers); with a
+    column of texts' keys, these too."""
 
     def run(batch_iterator):
         import pyarrow as pa
 
+        seen: set[bytes] = set()
+
+        def fresh(f):
+            if f in seen:
+                return False
+            if len(seen) > 200_000:
+                seen.clear()
+            seen.add(f)
+            return True
+
         for batch in batch_iterator:
             keys = [batch["key"]] if "key" in batch.schema.names else []
             done = 0
             for part in _texts([batch]):
                 sets = shingle_sets([t or "" for _, t in part], words)
-                cols = [pa.array([d for d, _ in part], pa.int64()), pa.array(list(map(len, sets)), pa.int64()), pa.array([fingerprint(s) if len(s) else None for s in sets], pa.binary())]
-                yield pa.RecordBatch.from_arrays(cols + [k.slice(done, len(part)) for k in keys], names=["doc_id", "n", "class", "key"][: 3 + len(keys)])
+                names = [fingerprint(s) if len(s) else None for s in sets]
+                cols = [pa.array([d for d, _ in part], pa.int64()), pa.array(list(map(len, sets)), pa.int64()), pa.array(names, pa.binary())]
+                cols.append(pa.array([sketch(s) if f and fresh(f) else None for f, s in zip(names, sets, strict=True)], pa.binary()))
+                yield pa.RecordBatch.from_arrays(cols + [k.slice(done, len(part)) for k in keys], names=["doc_id", "n", "class", "sketch", "key"][: 4 + len(keys)])
                 done += len(part)
 
     return run
@@ -425,23 +459,53 @@ def components(edges: DataFrame, tag: str) -> DataFrame:
     return now.select(F.col("a").alias("node"), F.col("b").alias("comp")).distinct().unionByName(roots)
 
 
-def _filter_places(f: bytes) -> list[int]:
+def _may_link(percent: int):
+    """Pairs whose sketches differ in no more bits than linked sets' may: |A or B| - |A and B| at most."""
+
+    def run(batch_iterator):
+        import pyarrow as pa
+
+        for batch in batch_iterator:
+            n_a, n_b = batch["n_a"].to_numpy(), batch["n_b"].to_numpy()
+            most = n_a + n_b - 2 * needed(n_a, n_b, percent)
+            raw = [batch[c].to_pylist() for c in ("s_a", "s_b")]
+            sizes = np.array([list(map(len, x)) for x in raw]).reshape(2, -1)
+            keep = np.zeros(len(most), bool)
+            for wide, narrow in {tuple(x) for x in sizes.T.tolist()}:
+                at = np.flatnonzero((sizes[0] == wide) & (sizes[1] == narrow))
+                a, b = (np.frombuffer(b"".join(x[k] for k in at.tolist()), "<u8").reshape(len(at), -1) for x in raw)
+                width = min(a.shape[1], b.shape[1])
+                keep[at] = np.bitwise_count(_folded(a, width) ^ _folded(b, width)).sum(1) <= most[at]
+            yield pa.RecordBatch.from_arrays([batch[c].filter(pa.array(keep)) for c in ("a", "b")], names=["a", "b"])
+
+    return run
+
+
+def possible_pairs(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that their sketches don't rule out."""
+    for side in "ab":
+        pairs = pairs.join(sketches.withColumnsRenamed({"class": side, "n": f"n_{side}", "sketch": f"s_{side}"}), side)
+    return pairs.mapInArrow(tidy(_may_link(percent)), "a binary, b binary")
+
+
+def _filter_places(f: bytes, bits: int) -> list[int]:
     a, b = int.from_bytes(f[:8], "little"), int.from_bytes(f[8:], "little")
-    return [(a + k * (b | 1)) % FILTER_BITS for k in range(3)]
+    return [(a + k * (b | 1)) % bits for k in range(3)]
 
 
-def _candidate_filter(groups: DataFrame) -> np.ndarray:
-    """Bits of a Bloom filter of fixed size; partial filters meet as (byte, bits) rows, FILTER_BITS / 8 at most."""
+def _candidate_filter(nodes: DataFrame) -> np.ndarray:
+    """Bits of a Bloom filter of bounded size; partial filters meet as (byte, bits) rows."""
+    size = min(FILTER_BITS_MOST, max(FILTER_BITS_LEAST, 1 << (FILTER_BITS_EACH * nodes.count()).bit_length()))
 
     def run(batch_iterator):
         import pyarrow as pa
 
         for batch in batch_iterator:
-            at = np.array([p for f in batch["node"].to_pylist() for p in _filter_places(f)], np.int64)
+            at = np.array([p for f in batch["node"].to_pylist() for p in _filter_places(f, size)], np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(at >> 3), pa.array(np.left_shift(1, at & 7).astype(np.int32))], names=["byte", "bits"])
 
-    rows = groups.select("node").mapInArrow(run, "byte long, bits int").groupBy("byte").agg(F.bit_or("bits").alias("bits")).toArrow()
-    out = np.zeros(FILTER_BITS // 8, np.uint8)
+    rows = nodes.select("node").mapInArrow(run, "byte long, bits int").groupBy("byte").agg(F.bit_or("bits").alias("bits")).toArrow()
+    out = np.zeros(size // 8, np.uint8)
     out[rows["byte"].to_numpy()] = rows["bits"].to_numpy()
     return out
 
@@ -451,7 +515,7 @@ def _send_texts(words: int, bits):
         import pyarrow as pa
 
         known = bits.value
-        some = ((f, t) for f, _, t in _new_sets(batch_iterator, words) if all(known[p >> 3] >> (p & 7) & 1 for p in _filter_places(f)))
+        some = ((f, t) for f, _, t in _new_sets(batch_iterator, words) if all(known[p >> 3] >> (p & 7) & 1 for p in _filter_places(f, len(known) * 8)))
         for rows in _grouped(some, lambda r: len(r[1]), 1_000_000):
             yield _rows(rows, ["node", "text"], [pa.binary(), pa.string()])
 
@@ -554,7 +618,7 @@ def jaccard_components(docs: DataFrame, text: str = "text", words: int = WORDS,
     shuffled.
     """
     by_class = row_components(docs, text, words, percent)
-    least = by_class.filter("comp is not null").groupBy("comp").agg(F.min("doc_id").alias("least"))
+    least = materialize(by_class.filter("comp is not null").groupBy("comp").agg(F.min("doc_id").alias("least")), "join-least")
     return by_class.join(least, "comp", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))
 
 
@@ -565,7 +629,8 @@ def row_components(docs: DataFrame, text: str = "text", words: int = WORDS, perc
     rows = docs.select("doc_id", F.col(text).alias("text"))
     parts = input_parallelism(docs)
     named, types = (docs.select("doc_id", F.col(text).alias("text"), text_key(text).alias("key")), ", key long") if keyed else (rows, "")
-    classes = materialize(named.mapInArrow(tidy(_classes(words)), "doc_id long, n long, class binary" + types), "join-classes")
+    classes = materialize(named.mapInArrow(tidy(_classes(words)), "doc_id long, n long, class binary, sketch binary" + types), "join-classes")
+    sketches = classes.filter("sketch is not null").select("class", "n", "sketch").groupBy("class").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"))
     sizes = {r["n"]: r["count"] for r in classes.filter(F.col("n").between(1, LIGHT_MOST * 2)).groupBy("n").count().collect()}
     light = light_size(sizes, percent)
     corpus = spark.sparkContext.broadcast(corpus_shingles(rows, words, parts))
@@ -575,12 +640,14 @@ def row_components(docs: DataFrame, text: str = "text", words: int = WORDS, perc
 
     # Groups of long lists, in blocks; pairs of short ones, unless one group holds both: its blocks cover them.
     group = components(edges.filter(F.col("most") == RUN), "join-groups")
-    counts = group.groupBy("comp").agg(F.count("*").alias("members"))
-    group = group.join(counts, "comp").withColumn("blocks", F.ceil(F.col("members") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    group = group.join(sketches.select(F.col("class").alias("node"), "n"), "node")
+    counts = group.groupBy("comp").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    group = group.join(counts, "comp").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     group = materialize(group.select("node", F.col("comp").alias("grp"), "blocks", "block"), "join-groups")
     home = group.select("node", F.col("grp").alias("home"))
     pairs = edges.filter(F.col("kind") == PAIR).select("a", "b").join(home.withColumnsRenamed({"node": "a", "home": "h_a"}), "a", "left").join(home.withColumnsRenamed({"node": "b", "home": "h_b"}), "b", "left")
-    pairs = materialize(pairs.filter("h_a is null or h_b is null or h_a != h_b").select("a", "b"), "join-pairs")
+    pairs = pairs.filter("h_a is null or h_b is null or h_a != h_b").select("a", "b")
+    pairs = materialize(possible_pairs(pairs, sketches, percent), "join-pairs")
     wanted = materialize(group.select("node").unionByName(pairs.select(F.col("a").alias("node"))).unionByName(pairs.select(F.col("b").alias("node"))).distinct(), "join-wanted")
     bits = spark.sparkContext.broadcast(_candidate_filter(wanted))
     texts = rows.mapInArrow(tidy(_send_texts(words, bits)), "node binary, text string").join(wanted, "node")
@@ -590,13 +657,27 @@ def row_components(docs: DataFrame, text: str = "text", words: int = WORDS, perc
         sorted_ = dealt.select("grp", "block", "node", "text", "role").repartition(parts, "grp", "block").sortWithinPartitions("grp", "block")
         return materialize(sorted_.mapInArrow(tidy(_check_blocks(words, percent)), "a binary, b binary"), tag)
 
-    # A pair's second set goes to its first one; both are dealt by the first.
-    first = pairs.select(F.col("a").alias("node")).distinct().withColumn("grp", F.col("node")).withColumn("role", F.lit(0))
-    by_first = texts.join(first.unionByName(pairs.select(F.col("b").alias("node"), F.col("a").alias("grp"), F.lit(1).alias("role"))), "node")
-    found = sure.unionByName(checked(by_first.withColumn("block", F.lit(0)), "join-links"))
+    def checked_pairs(some: DataFrame) -> DataFrame:
+        # A pair's second set goes to its first one, which comes to each block of its partners.
+        width = some.groupBy("a").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+        first = width.select(F.col("a").alias("node"), F.col("a").alias("grp"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(0).alias("role"))
+        second = some.join(width, "a").select(F.col("b").alias("node"), F.col("a").alias("grp"), F.pmod(F.xxhash64("b"), F.col("blocks")).cast("int").alias("block"), F.lit(1).alias("role"))
+        return checked(texts.join(first.unionByName(second), "node"), "join-links")
+
+    # Of each set one pair first: most others are connected by then.
+    once = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+    found = sure.unionByName(checked_pairs(once))
     grouped = texts.join(group, "node")
     found = found.unionByName(checked(grouped.withColumn("role", F.lit(0)), "join-links"))
     comp = components(found, "join-components")
+    rest = pairs.join(once, ["a", "b"], "left_anti")
+    for side in "ab":
+        rest = rest.join(comp.withColumnsRenamed({"node": side, "comp": f"c_{side}"}), side, "left")
+    rest = materialize(rest.filter("c_a is null or c_b is null or c_a != c_b").select("a", "b"), "join-pairs")
+    if rest.limit(1).count():
+        more = checked_pairs(rest)
+        if more.limit(1).count():
+            comp = components(comp.select(F.col("node").alias("a"), F.col("comp").alias("b")).unionByName(more), "join-components")
     large = grouped.filter("blocks > 1").select("node", "text", "grp", "blocks", "block")
     if large.limit(1).count():
         more = _across_blocks(large, comp, checked)
