@@ -50,7 +50,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     rows = jaccard.row_components(docs, words=NEAR_WORDS, percent=NEAR_PERCENT, keyed=True)
     place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "key")
     linked = rows.filter("comp is not null").withColumn("place", place)
-    stays = linked.groupBy("comp").agg(F.min("place").alias("stays"))
+    stays = materialize(linked.groupBy("comp").agg(F.min("place").alias("stays")), "pipeline-stays")
     gone = linked.join(stays, "comp").filter("place != stays").select(F.col("doc_id").alias("gone_id"), F.col("key").alias("gone_key")).distinct()
     left = docs.join(gone, docs["doc_id"].eqNullSafe(F.col("gone_id")) & (text_key() == F.col("gone_key")), "left_anti")
     ids = rows.agg(F.count("*"), F.countDistinct(F.struct("doc_id", "key"))).first()
