@@ -17,6 +17,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import running_starts, substrings
+
 #: Fixed: strings that must not stand unescaped inside a text.
 CONTROL = ("<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>")
 
@@ -50,10 +52,11 @@ def format_chats(rows: DataFrame, conv_id: str = "conv_id", turn: str = "turn",
     code points of `formatted`, one for each turn of train_role) and round_trip (boolean: `turns` equal the source).
 
     Turns are ordered by turn, role, text, nulls first, and repeated rows are kept. Null roles and texts count as
-    empty; rows without conv_id form one conversation; other columns are dropped. An empty table gives no rows.
+    empty; a row without conv_id is a conversation of its own; other columns are dropped. An empty table gives no rows.
     A conversation's turns meet in one row: its size is that of one training example.
     """
-    df = rows.groupBy(F.col(conv_id).alias("conv_id")).agg(F.sort_array(F.collect_list(F.struct(F.col(turn).alias("turn"), F.coalesce(F.col(role), F.lit("")).alias("role"), F.coalesce(F.col(text), F.lit("")).alias("text")))).alias("rows"))
+    own = F.when(F.col(conv_id).isNull(), F.monotonically_increasing_id())
+    df = rows.withColumn("own__", own).groupBy(F.col(conv_id).alias("conv_id"), "own__").agg(F.sort_array(F.collect_list(F.struct(F.col(turn).alias("turn"), F.coalesce(F.col(role), F.lit("")).alias("role"), F.coalesce(F.col(text), F.lit("")).alias("text")))).alias("rows"))
     df = df.select("conv_id", F.expr("transform(rows, x -> struct(x.role as role, x.text as text))").alias("turns"))
     odd = " or ".join(f"instr(x.text, '{c}') > 0 or instr(x.role, '{c}') > 0" for c in CONTROL) + " or instr(x.role, '\\n') > 0 or endswith(x.role, '&')"
     df = df.withColumn("conflicts", F.expr(f"exists(turns, x -> {odd})"))
@@ -63,8 +66,7 @@ def format_chats(rows: DataFrame, conv_id: str = "conv_id", turn: str = "turn",
     df = df.withColumn("ok1", F.expr(f"ok0 or ({_parse('out1')}) <=> turns"))
     df = df.withColumn("pieces", F.expr(f"if(ok1, pieces1, {_render('true')})")).withColumn("formatted", F.expr("array_join(pieces, '')"))
     df = df.withColumn("level", F.expr("if(ok0, 0, if(ok1, 1, 2))")).withColumn("back", F.expr(_parse("formatted")))
-    starts = "aggregate(pieces, struct(0 as at, cast(array() as array<int>) as all), (s, p) -> struct(s.at + length(p) as at, array_append(s.all, s.at) as all)).all"
-    df = df.withColumn("starts", F.expr(starts))
+    df = df.withColumn("starts", F.expr(running_starts("transform(pieces, p -> length(p))")))
     mask = f"filter(transform(pieces, (p, i) -> if(back[i].role = '{train_role}', struct(starts[i] + instr(p, '\\n') as start, length(p) - instr(p, '\\n') - 4 as length, endswith(substring_index(p, '\\n', 1), '&') as escaped), null)), m -> m is not null)"
     df = df.withColumn("loss_mask", F.expr(mask)).withColumn("round_trip", F.expr("back <=> turns"))
     return df.select("conv_id", "formatted", "level", F.col("back").alias("turns"), "loss_mask", "round_trip")
@@ -72,8 +74,8 @@ def format_chats(rows: DataFrame, conv_id: str = "conv_id", turn: str = "turn",
 
 def masked_text() -> str:
     """Expression for the unescaped text that `loss_mask` marks in `formatted`."""
-    piece = "substring(formatted, m.start + 1, m.length)"
-    return f"array_join(transform(loss_mask, m -> if(m.escaped, {_DECODE.format(x=piece)}, {piece})), '')"
+    pieces = substrings("formatted", "loss_mask")
+    return f"array_join(transform({pieces}, (p, i) -> if(loss_mask[i].escaped, {_DECODE.format(x='p')}, p)), '')"
 
 
 def query(spark, sf_dir: str) -> DataFrame:

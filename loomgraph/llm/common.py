@@ -21,21 +21,30 @@ REPO_ROOT = str(Path(__file__).resolve().parents[2])
 BATCH_ROWS = 500
 
 
+#: Workers' allocators: large arrays go back to the system when they are freed, not when the process ends.
+WORKER_MEMORY = {"MALLOC_ARENA_MAX": "2", "MALLOC_MMAP_THRESHOLD_": "1048576", "MALLOC_TRIM_THRESHOLD_": "8388608", "ARROW_DEFAULT_MEMORY_POOL": "system"}
+
+
 def ship_package(spark: SparkSession) -> None:
     """Let Python workers import this package when the session was started elsewhere, and get rows in small batches."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     env = spark.sparkContext.environment
+    for name, value in WORKER_MEMORY.items():
+        env.setdefault(name, value)
     paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
     if REPO_ROOT not in paths:
         env["PYTHONPATH"] = os.pathsep.join([*paths, REPO_ROOT])
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, set here only where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Set here only where it is unset and there is
+    one machine; on a cluster without it, raises."""
     sc = spark.sparkContext
     found = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="loomgraph-")
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir isn't set: intermediate tables need a folder that driver and executors share")
+        found = "file://" + tempfile.mkdtemp(prefix="loomgraph-")  # one machine
         sc.setCheckpointDir(found)
     elif not sc.getCheckpointDir():
         sc.setCheckpointDir(found)
@@ -56,9 +65,41 @@ def text_key(text: str = "text") -> Column:
     return F.xxhash64(F.col(text))
 
 
+#: Bytes of input, as files hold them, for each part that is dealt out by a key.
+PART_BYTES = 32 << 20
+
+
 def input_parallelism(df: DataFrame) -> int:
-    """Partitions that shuffles of this session are dealt to."""
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    """Partitions that df is dealt to: as many as the session's shuffles have, more where its input is large."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    known = size if size < 1 << 60 else 0  # tables of unknown size are told as huge
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(-(-known // PART_BYTES), 1 << 17))
+
+
+def let(value: str, name: str, body: str) -> str:
+    """SQL for body, in which name stands for value; value is computed once."""
+    return f"transform(array({value}), {name} -> {body})[0]"
+
+
+def in_blocks(array: str, name: str, body: str) -> str:
+    """SQL for body, in which name stands for array's entries in blocks of about the root of their number: work on
+    each block and then on all blocks costs little more than once over the array, however long it is."""
+    cut = "transform(sequence(0, cast((size(a_) - 1) div w_ as int)), i_ -> slice(a_, i_ * w_ + 1, w_))"
+    return let(array, "a_", let("greatest(64, cast(ceil(sqrt(size(a_))) as int))", "w_", let(f"if(size(a_) = 0, slice(array(a_), 1, 0), {cut})", name, body)))
+
+
+def running_starts(lengths: str) -> str:
+    """SQL for array<int>: the sum of all lengths (array<int>) before each."""
+    before = "aggregate(slice(sums_, 1, k_), 0, (s_, y_) -> s_ + y_)"
+    fold = f"aggregate(x_, struct({before} as at, cast(array() as array<int>) as all), (s_, y_) -> struct(s_.at + y_ as at, array_append(s_.all, s_.at) as all)).all"
+    return in_blocks(lengths, "b_", let("transform(b_, x_ -> aggregate(x_, 0, (s_, y_) -> s_ + y_))", "sums_", f"flatten(transform(b_, (x_, k_) -> {fold}))"))
+
+
+def substrings(text: str, spans: str) -> str:
+    """SQL for array<string>: what spans (in order, of start and length, code points from 0) hold of text."""
+    last = "x_[size(x_) - 1]"
+    held = let(f"substring({text}, x_[0].start + 1, {last}.start + {last}.length - x_[0].start)", "g_", "transform(x_, y_ -> substring(g_, y_.start - x_[0].start + 1, y_.length))")
+    return in_blocks(spans, "b_", f"flatten(transform(b_, x_ -> {held}))")
 
 
 def tidy(run):

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, text_key
+from .common import in_blocks, let, materialize, running_starts, text_key
 
 #: Fixed patterns: (kind, role, pattern, group whose length counts, least length of it).
 BASE = (
@@ -36,8 +36,8 @@ def _matches(text: str, pattern: str, group: int, least: int, rank: int) -> Colu
     p = "'" + pattern.replace("\\", "\\\\").replace("'", "\\'") + "'"
     whole, part = f"regexp_extract_all({text}, {p}, 0)", f"regexp_extract_all({text}, {p}, {group})"
     pairs = f"arrays_zip(transform(split({text}, {p}, -1), g -> length(g)), transform({whole}, m -> length(m)), transform({part}, m -> length(m)))"
-    step = "struct(s.at + x.`0` + coalesce(x.`1`, 0) as at, if(x.`2` >= {least}, array_append(s.all, struct(s.at + x.`0` as start, {rank} as rank, s.at + x.`0` + x.`1` as end)), s.all) as all)".format(least=least, rank=rank)
-    found = f"aggregate({pairs}, struct(0 as at, cast(array() as {_SPANS}) as all), (s, x) -> {step}).all"
+    place = f"transform(p_, (x, i) -> struct(at_[i] + x.`0` as start, {rank} as rank, at_[i] + x.`0` + x.`1` as end, x.`2` as n))"
+    found = let(pairs, "p_", let(running_starts("transform(p_, x -> x.`0` + coalesce(x.`1`, 0))"), "at_", f"transform(filter({place}, x -> x.n >= {least}), x -> struct(x.start as start, x.rank as rank, x.end as end))"))
     return F.expr(f"if(rlike({text}, {p}), {found}, cast(array() as {_SPANS}))")
 
 
@@ -66,7 +66,7 @@ def link_weak(parts: DataFrame, reach: int = REACH) -> DataFrame:
     weak span over a base one is no candidate.
     """
     roles = F.create_map(*[F.lit(x) for kind, role, *_ in BASE + WEAK for x in (ORDER[kind], role)])
-    some = parts.filter(F.size("weak") > 0)
+    some = parts.filter(F.size("weak") > 0).dropDuplicates(["doc_id", "text_key"])  # rows alike in both have like spans
     weak = some.select("doc_id", "text_key", F.explode("weak").alias("w")).withColumn("w_role", roles[F.col("w.rank")])
     weak = weak.withColumn("cell", F.explode(F.expr(f"sequence(floor((w.start - {reach}) / {reach}), floor((w.end + {reach}) / {reach}))")))
     other = some.select("doc_id", "text_key", F.explode(F.concat("base", "weak")).alias("p")).withColumn("p_role", roles[F.col("p.rank")])
@@ -103,19 +103,42 @@ def spans_text(column: str) -> Column:
     return F.expr(f"array_join(transform({column}, x -> concat({names}[x.rank], ':', x.start, ':', x.end)), ',')")
 
 
+#: Up to so many documents with linked weak spans, these are sent to all executors: some 100 bytes each, so 10 MB.
+BROADCAST_LINKED = 100_000
+
+
+def _base_spans(text: str) -> Column:
+    return F.sort_array(F.concat(*[_matches(text, pattern, group, least, ORDER[kind]) for kind, _, pattern, group, least in BASE]))
+
+
+def _without(text: str, spans: str, mark: str) -> str:
+    """SQL for text with mark in place of spans (sorted; those over each other are one), block by block: what a block's
+    spans leave of the text between the ends of the block before and its own."""
+    ends = let("transform(b_, x -> array_max(transform(x, y -> y.end)))", "most_", "transform(sequence(0, size(b_)), i -> coalesce(array_max(slice(most_, 1, i)), 0))")
+    step = f"if(y.start - c_[i] >= s.at, struct(y.end - c_[i] as at, array_append(s.all, concat(substring(g_, s.at + 1, y.start - c_[i] - s.at), {mark})) as all), struct(greatest(s.at, y.end - c_[i]) as at, s.all as all))"
+    fold = f"aggregate(x, struct(0 as at, cast(array() as array<string>) as all), (s, y) -> {step}, s -> s.all)"
+    kept = f"flatten(transform(b_, (x, i) -> {let(f'substring({text}, c_[i] + 1, c_[i + 1] - c_[i])', 'g_', fold)}))"
+    return in_blocks(spans, "b_", let(ends, "c_", f"concat(array_join({kept}, ''), substring({text}, c_[size(b_)] + 1))"))
+
+
 def redact(docs: DataFrame, text: str = "text", mark: str = "[SECRET]", reach: int = REACH) -> DataFrame:
     """docs with each reported span of `text` replaced by `mark`; spans that overlap become one. Null text stays.
 
-    Only documents with spans go through the join's small side; beyond the session's broadcast threshold Spark
-    deals both sides by id and text hash.
+    Null and repeated ids are allowed, an empty table gives none; columns starting with two underscores are in use while
+    it runs. Base spans are replaced where the row is. Only documents with linked weak spans are joined by id and text
+    hash: they are counted first, and up to BROADCAST_LINKED they go to all executors, so no text is shuffled; beyond,
+    both sides are dealt.
     """
-    found = find_secrets(docs, text, reach).filter(F.size("spans") > 0).select(F.col("doc_id").alias("__d"), F.col("text_key").alias("__k"), F.col("spans").alias("__spans")).dropDuplicates(["__d", "__k"])
+    weak = materialize(scan_parts(docs, text).filter(F.size("weak") > 0), "secret-parts")
+    linked = materialize(link_weak(weak, reach).select(F.col("doc_id").alias("__d"), F.col("text_key").alias("__k"), F.col("linked").alias("__linked")), "secret-linked")
+    side = F.broadcast(linked) if linked.count() <= BROADCAST_LINKED else linked
     df = docs.withColumn("__tk", text_key(text))
-    df = df.join(found, df["doc_id"].eqNullSafe(F.col("__d")) & (F.col("__tk") == F.col("__k")), "left")
-    step = "if(x.start >= s.at, struct(x.end as at, array_append(s.all, concat(substring({t}, s.at + 1, x.start - s.at), '{m}')) as all), struct(greatest(s.at, x.end) as at, s.all as all))"
-    done = "aggregate(__spans, struct(0 as at, cast(array() as array<string>) as all), (s, x) -> " + step + ", s -> concat(array_join(s.all, ''), substring({t}, s.at + 1)))"
-    new = F.expr(f"if(__spans is null, `{text}`, " + done.format(t=f"`{text}`", m=mark.replace("'", "\\'")) + ")")
-    return df.withColumn(text, new).drop("__d", "__k", "__tk", "__spans")
+    df = df.join(side, df["doc_id"].eqNullSafe(F.col("__d")) & (F.col("__tk") == F.col("__k")), "left")
+    base = _base_spans(f"`{text}`")
+    df = df.withColumn("__spans", F.when(F.col("__linked").isNull(), base).otherwise(F.sort_array(F.concat(base, F.col("__linked")))))
+    quoted = "'" + mark.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    new = F.expr(let("__spans", "z_", f"if(size(z_) > 0, {_without(f'`{text}`', 'z_', quoted)}, `{text}`)"))
+    return df.withColumn(text, new).select(*docs.columns)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
