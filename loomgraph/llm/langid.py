@@ -13,12 +13,13 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import tidy
+from .common import let, materialize, tidy
 from .tokens import batches, pieces
 
 #: Lengths of n-grams, in code points; a blank stands for what surrounds a word.
 LENGTHS = (3, 4)
-#: Slots of the filter and probes of each n-gram. The filter takes 8 bytes a slot at most, whatever the corpus.
+#: Slots of the filter and probes of each n-gram. The filter takes a byte a slot up to 8 languages, 8 bytes for each 64
+#: beyond, whatever the corpus.
 SLOTS, PROBES = 1 << 21, 3
 #: The filter is fitted on about so many labelled documents of each language (a bound; texts are read whole).
 FIT_DOCS = 4000
@@ -26,7 +27,8 @@ FIT_DOCS = 4000
 SHARE = 0.25
 #: ... and where it was met so often.
 LEAST_COUNT = 3
-MOST_LANGUAGES = 64
+#: Languages of one word of a mask; there are as many words as it takes.
+WORD_BITS = 64
 #: Code points that are worked on at once; a longer text is taken in parts of as many.
 SLICE = 400_000
 
@@ -83,7 +85,7 @@ def slots(h: np.ndarray, probe: int, n_slots: int = SLOTS) -> np.ndarray:
 @dataclass
 class LanguageFilter:
     languages: list[str]
-    masks: np.ndarray
+    masks: np.ndarray  # slots, words
     chance: np.ndarray  # by language: how often a gram that isn't its own has its bit
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float, float]]:
@@ -104,8 +106,9 @@ class LanguageFilter:
             mask &= self.masks[slots(h, probe, len(self.masks))]
         total = np.bincount(of, minlength=len(texts))
         share = np.zeros((len(self.languages), len(texts)))
+        one = mask.dtype.type(1)
         for k in range(len(self.languages)):
-            hit = np.bincount(of[(mask >> mask.dtype.type(k)) & mask.dtype.type(1) == 1], minlength=len(texts))
+            hit = np.bincount(of[(mask[:, k // WORD_BITS] >> mask.dtype.type(k % WORD_BITS)) & one == 1], minlength=len(texts))
             share[k] = np.clip((hit / np.maximum(total, 1) - self.chance[k]) / (1 - self.chance[k]), 0, 1)
         best = share.argmax(0)
         top = share.max(0)
@@ -132,37 +135,45 @@ def _count_grams(batch_iterator):
 
 
 def fit(docs: DataFrame, text: str = "text", lang: str = "lang", fit_docs: int = FIT_DOCS) -> LanguageFilter:
-    """From rows with a language and a text. Of languages with more than fit_docs rows, those whose ids hash lowest
-    are taken, fit_docs in expectation. The driver gets counts by language and at most SLOTS masks."""
+    """From rows with a language and a text. Of languages with more than fit_docs rows, those whose hashes of id and text
+    are lowest are taken, fit_docs in expectation. Any number of languages; the driver gets counts by language and at
+    most SLOTS masks. An empty table, or one without languages, gives a filter that answers `und`."""
     known = docs.filter(F.col(lang).isNotNull() & F.col(text).isNotNull())
     counts = {r[0]: r[1] for r in known.groupBy(lang).count().collect()}
     names = sorted(counts)
-    if len(names) > MOST_LANGUAGES:
-        raise ValueError(f"{len(names)} languages; a mask holds {MOST_LANGUAGES}")
+    words = max(1, -(-len(names) // WORD_BITS))
     kind = np.uint8 if len(names) <= 8 else np.uint64
     if not names:
-        return LanguageFilter([], np.zeros(SLOTS, kind), np.zeros(0))
+        return LanguageFilter([], np.zeros((SLOTS, 1), kind), np.zeros(0))
     share = F.create_map(*[F.lit(x) for k in names for x in (k, float(min(1.0, fit_docs / counts[k])))])
-    sample = known.filter((F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) / F.lit(1 << 20)) < share[F.col(lang)])
+    sample = known.filter((F.pmod(F.xxhash64("doc_id", text), F.lit(1 << 20)) / F.lit(1 << 20)) < share[F.col(lang)])
     counted = sample.select(F.col(lang).alias("lang"), F.col(text).alias("text")).mapInArrow(tidy(_count_grams), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    wide = counted.groupBy("gram").agg(*[F.coalesce(F.sum(F.when(F.col("lang") == k, F.col("n"))), F.lit(0)).alias(f"n{i}") for i, k in enumerate(names)])
+    counted = materialize(counted, "langid-grams")
     totals = {r[0]: r[1] for r in counted.groupBy("lang").agg(F.sum("n")).collect()}
-    rate = [F.col(f"n{i}") / F.lit(float(max(1, totals.get(k, 0)))) for i, k in enumerate(names)]
-    top = F.greatest(*rate) if len(rate) > 1 else rate[0]
-    mask = sum((F.when((F.col(f"n{i}") >= LEAST_COUNT) & (r >= top * SHARE), F.shiftleft(F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long")) for i, r in enumerate(rate)), F.lit(0).cast("long"))
+    place = F.create_map(*[F.lit(x) for i, k in enumerate(names) for x in (k, i)])
+    total = F.create_map(*[F.lit(x) for k in names for x in (k, float(max(1, totals.get(k, 0))))])
+    uses = counted.select("gram", F.struct(place[F.col("lang")].alias("i"), "n", (F.col("n") / total[F.col("lang")]).alias("rate")).alias("x"))
+    own = F.expr(let("array_max(transform(uses, y -> y.rate))", "top", f"filter(uses, x -> x.n >= {LEAST_COUNT} and x.rate >= {SHARE}D * top)"))
+    # An entry for each language that uses the n-gram, at most; set bits by word.
+    owned = uses.groupBy("gram").agg(F.collect_list("x").alias("uses")).select("gram", own.alias("own")).filter(F.size("own") > 0)
+    mask = F.expr(f"transform(sequence(0, {words - 1}), w -> aggregate(filter(own, x -> x.i div {WORD_BITS} = w), 0L, (s, x) -> s | shiftleft(1L, x.i % {WORD_BITS})))")
 
     def places(batch_iterator):
         import pyarrow as pa
 
         for batch in batch_iterator:
             gram = batch["gram"].to_numpy(zero_copy_only=False).view(np.uint64)
-            m = batch["mask"].to_numpy(zero_copy_only=False)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([slots(gram, p) for p in range(PROBES)])), pa.array(np.tile(m, PROBES))], names=["slot", "mask"])
-
-    rows = wide.select("gram", mask.alias("mask")).filter("mask != 0").mapInArrow(places, "slot long, mask long").groupBy("slot").agg(F.bit_or("mask").alias("mask")).toArrow()
-    masks = np.zeros(SLOTS, kind)
-    masks[rows["slot"].to_numpy()] = rows["mask"].to_numpy().view(np.uint64).astype(kind)
-    chance = np.array([((masks >> kind(i)) & kind(1)).mean() ** PROBES for i in range(len(names))])
+            m = batch["mask"].flatten().to_numpy(zero_copy_only=False).reshape(-1, words)
+            where = np.concatenate([slots(gram, p) for p in range(PROBES)])
+            yield pa.RecordBatch.from_arrays([pa.array(where), *[pa.array(np.tile(m[:, w], PROBES)) for w in range(words)]], names=["slot", *[f"m{w}" for w in range(words)]])
+
+    cols = [f"m{w}" for w in range(words)]
+    placed = owned.select("gram", mask.alias("mask")).mapInArrow(places, "slot long, " + ", ".join(f"{c} long" for c in cols))
+    rows = placed.groupBy("slot").agg(*[F.bit_or(c).alias(c) for c in cols]).toArrow()
+    masks = np.zeros((SLOTS, words), kind)
+    for w, c in enumerate(cols):
+        masks[rows["slot"].to_numpy(), w] = rows[c].to_numpy().view(np.uint64).astype(kind)
+    chance = np.array([((masks[:, i // WORD_BITS] >> kind(i % WORD_BITS)) & kind(1)).mean() ** PROBES for i in range(len(names))])
     return LanguageFilter(names, masks, chance)
 
 
