@@ -3,6 +3,10 @@
 Documents keep their order. Cuts are chosen at ends of documents or sentences so that padding plus penalties for
 cutting documents is least; as padding is linear in the cut's place, the best window start for each end is the
 least of a sliding window, kept in a monotone queue: constant work for each possible cut.
+
+Documents are dealt in equal stretches of their order. A stretch is read as a stream: as soon as all choices that are
+still open agree on what came before, that part is cut for good, so cuts are the best of the whole stretch though only
+its open end is held.
 """
 
 from __future__ import annotations
@@ -13,22 +17,19 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import input_parallelism, text_key, tidy
+from .common import input_parallelism, tidy
 from .tokens import batches, encoder, pieces
 
 WINDOW = 4096
 #: In padded ids: what a cut between sentences of a document costs, and one inside a sentence.
 SENTENCE_CUT, FORCED_CUT = 24.0, 400.0
-#: Documents that one block of the order holds on average; a block is packed by one task.
-BLOCK_DOCS = 512
-#: Ids after which a block's task closes its windows and goes on with an empty one, at the end of a document.
-FLUSH_IDS = 1 << 21
+#: Ids after which a task looks for what it can cut for good. Results don't depend on it.
+HELD_IDS = 1 << 20
 END_ID = 2
 
 
-def choose_cuts(ends: np.ndarray, penalties: np.ndarray, window: int = WINDOW) -> list[int]:
-    """Places to cut, the last of ends among them. ends: increasing places where a cut is possible, each at most
-    `window` after the one before (or 0); penalties: of each. Least sum of padding and penalties over all choices."""
+def _best_before(ends: np.ndarray, penalties: np.ndarray, window: int) -> tuple[list[int], list[int]]:
+    """(places, with 0 first; of each the index of the place where its window begins)."""
     place, cost = [0, *map(int, ends)], [0.0] * (len(ends) + 1)
     before = [0] * len(place)
     queue = deque([(0.0, 0)])  # (cost + place, index): costs increase, so the head is best
@@ -42,13 +43,36 @@ def choose_cuts(ends: np.ndarray, penalties: np.ndarray, window: int = WINDOW) -
         while queue and queue[-1][0] >= new:
             queue.pop()
         queue.append((new, j))
-    cuts, j = [], len(ends)
+    return place, before
+
+
+def _path(place: list[int], before: list[int], j: int) -> list[int]:
+    cuts = []
     while j:
         cuts.append(place[j])
         j = before[j]
     return cuts[::-1]
 
 
+def choose_cuts(ends: np.ndarray, penalties: np.ndarray, window: int = WINDOW) -> list[int]:
+    """Places to cut, the last of ends among them. ends: increasing places where a cut is possible, each at most
+    `window` after the one before (or 0); penalties: of each. Least sum of padding and penalties over all choices."""
+    place, before = _best_before(ends, penalties, window)
+    return _path(place, before, len(ends))
+
+
+def settled_cuts(ends: np.ndarray, penalties: np.ndarray, window: int = WINDOW) -> list[int]:
+    """The cuts that stay the best whatever follows: those before the last place that all places in reach of what
+    follows come from."""
+    place, before = _best_before(ends, penalties, window)
+    open_ = {j for j in range(len(place) - 1, -1, -1) if place[j] >= place[-1] - window}
+    while len(open_) > 1:
+        j = max(open_)
+        open_.remove(j)
+        open_.add(before[j])
+    return _path(place, before, open_.pop())
+
+
 def possible_cuts(doc_ends: np.ndarray, sentence_ends: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
     """choose_cuts()'s arguments; stretches over a window without an end get cuts inside sentences."""
     places = np.union1d(doc_ends, sentence_ends)
@@ -72,104 +96,113 @@ def close_tail(last: int, end: int, window: int = WINDOW) -> list[int]:
     return out
 
 
-def _tokenize(path: str):
-    def run(batch_iterator):
-        import pyarrow as pa
-
-        known = encoder(path, words=True)
-        for batch in batch_iterator:
-            rows = zip(batch["doc_id"].to_pylist(), batch["block"].to_pylist(), batch["tie"].to_pylist(), batch["text"].to_pylist(), strict=True)
-            for part in batches(rows, lambda r: len(r[3] or "") + 1):
-                texts, owner = [], []
-                for k, row in enumerate(part):
-                    for piece in pieces(row[3] or ""):
-                        texts.append(piece)
-                        owner.append(k)
-                ids, at, span_ends, span_at = known.encode(texts)
-                stops = span_ends[known.last_sentence_ends]
-                first = np.searchsorted(owner, np.arange(len(part) + 1))
-                lo = at[first]
-                cut = np.searchsorted(stops, lo, side="right")
-                packed = ids.astype("<u2") if known.tokenizer.get_vocab_size() <= 65536 else ids.astype("<u4")
-                width = packed.itemsize
-                out_ids = [packed[lo[k] : lo[k + 1]].tobytes() + END_ID.to_bytes(width, "little") for k in range(len(part))]
-                out_ends = [(stops[cut[k] : cut[k + 1]] - lo[k]).astype("<i4").tobytes() for k in range(len(part))]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([r[0] for r in part], pa.int64()), pa.array([r[1] for r in part], pa.int64()), pa.array([r[2] for r in part], pa.int64()), pa.array([width] * len(part), pa.int32()), pa.array(out_ids, pa.binary()), pa.array(out_ends, pa.binary())],
-                    names=["doc_id", "block", "tie", "width", "ids", "ends"],
-                )
-
-    return run
-
-
-def _pack(window: int):
-    def cut(held, first_sequence):
-        """Pieces of the documents held. Their ids stand one after the other."""
-        sizes = np.array([len(x[1]) for x in held], np.int64)
+def _encoded(batch_iterator, path: str):
+    """(doc_id, ids with END_ID, where its sentences end) of rows in order."""
+    known = encoder(path, words=True)
+    for batch in batch_iterator:
+        rows = zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), strict=True)
+        for part in batches(rows, lambda r: len(r[1] or "") + 1):
+            texts, owner = [], []
+            for k, row in enumerate(part):
+                for piece in pieces(row[1] or ""):
+                    texts.append(piece)
+                    owner.append(k)
+            ids, at, span_ends, _ = known.encode(texts)
+            stops = span_ends[known.last_sentence_ends]
+            lo = at[np.searchsorted(owner, np.arange(len(part) + 1))]
+            cut = np.searchsorted(stops, lo, side="right")
+            for k, row in enumerate(part):
+                yield row[0], np.append(ids[lo[k] : lo[k + 1]], np.uint32(END_ID)).astype("<u4"), stops[cut[k] : cut[k + 1]] - lo[k]
+
+
+class _Stream:
+    """Documents that aren't cut yet, or in part; their ids stand one after the other."""
+
+    def __init__(self, window: int, first_sequence: int):
+        self.window, self.sequence = window, first_sequence
+        self.held: list[tuple] = []  # doc_id, ids left, sentence ends in them, ids before them
+        self.n = 0
+
+    def add(self, doc_id, ids: np.ndarray, stops: np.ndarray) -> None:
+        self.held.append((doc_id, ids, stops, 0))
+        self.n += len(ids)
+
+    def cut(self, last: bool):
+        """Pieces that are settled; last: all."""
+        if not self.held:
+            return
+        sizes = np.array([len(x[1]) for x in self.held], np.int64)
         doc_ends = np.cumsum(sizes)
         begin = doc_ends - sizes
-        stops = np.concatenate([x[2] + b for x, b in zip(held, begin, strict=True)]) if held else np.zeros(0, np.int64)
-        cuts = choose_cuts(*possible_cuts(doc_ends, stops, window), window)
-        last = cuts[-2] if len(cuts) > 1 else 0
-        cuts = np.array(cuts[:-1] + close_tail(last, int(doc_ends[-1]), window), np.int64)
-        edges = np.union1d(cuts, doc_ends)  # each piece ends at a cut or its document's end
+        stops = np.concatenate([x[2] + b for x, b in zip(self.held, begin, strict=True)])
+        choices = possible_cuts(doc_ends, stops, self.window)
+        if last:
+            cuts = choose_cuts(*choices, self.window)
+            before = cuts[-2] if len(cuts) > 1 else 0
+            cuts = cuts[:-1] + close_tail(before, int(doc_ends[-1]), self.window)
+        else:
+            cuts = settled_cuts(*choices, self.window)
+        if not cuts:
+            return
+        end = cuts[-1]
+        cuts = np.array(cuts, np.int64)
+        edges = np.union1d(cuts, doc_ends[doc_ends < end])  # each piece ends at a cut or its document's end
         starts = np.concatenate([[0], edges[:-1]])
         doc = np.searchsorted(doc_ends, starts, side="right")
         seq = np.searchsorted(cuts, starts, side="right")
         offset = starts - np.concatenate([[0], cuts])[seq]
         for s, e, d, q, o in zip(starts.tolist(), edges.tolist(), doc.tolist(), seq.tolist(), offset.tolist(), strict=True):
+            doc_id, ids, _, gone = self.held[d]
             b = int(begin[d])
-            yield held[d][0], s - b, e - s, held[d][1][s - b : e - b].astype("<u4").tobytes(), int(sizes[d]), first_sequence + q, o
-        cut.n = len(cuts)
+            yield doc_id, gone + s - b, e - s, ids[s - b : e - b].tobytes(), gone + len(ids), self.sequence + q, o
+        self.sequence += len(cuts)
+        first = int(np.searchsorted(doc_ends, end, side="right"))
+        left = self.held[first:]
+        if left:
+            doc_id, ids, stops, gone = left[0]
+            used = end - int(begin[first])
+            left[0] = (doc_id, ids[used:], stops[stops > used] - used, gone + used)
+        self.held, self.n = left, int(doc_ends[-1]) - end
+
+
+def _pack(path: str, window: int, held_ids: int):
+    names = ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"]
 
     def run(batch_iterator):
         import pyarrow as pa
+        from pyspark import TaskContext
+
+        types = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
+        stream, most = _Stream(window, TaskContext.get().partitionId() << 40), held_ids
+
+        def sent(last):
+            rows = list(stream.cut(last))
+            for at in range(0, len(rows), 20_000):
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[at : at + 20_000], strict=True), types, strict=True)], names=names)
 
-        def flush(rows):
-            cols = list(zip(*rows, strict=True))
-            types = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64())
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"])
-
-        block, held, n_held, sequence, rows, n_rows = None, [], 0, 0, [], 0
-        for batch in batch_iterator:
-            for doc_id, b, width, ids, ends in zip(*(batch[c].to_pylist() for c in ("doc_id", "block", "width", "ids", "ends")), strict=True):
-                if held and (b != block or n_held > FLUSH_IDS):
-                    rows += cut(held, sequence)
-                    sequence, n_rows, held, n_held = sequence + cut.n, n_rows + n_held, [], 0
-                if b != block:
-                    block, sequence = b, (b + 1) << 24
-                a = np.frombuffer(ids, f"<u{width}")
-                held.append((doc_id, a, np.frombuffer(ends, "<i4").astype(np.int64)))
-                n_held += len(a)
-                if n_rows > 2_000_000:
-                    yield flush(rows)
-                    rows, n_rows = [], 0
-        if held:
-            rows += cut(held, sequence)
-        if rows:
-            yield flush(rows)
+        for row in _encoded(batch_iterator, path):
+            stream.add(*row)
+            if stream.n >= most:
+                yield from sent(False)
+                most = max(held_ids, 2 * stream.n)  # where little could be settled, more has to come
+        yield from sent(True)
 
     return run
 
 
-def pack_documents(docs: DataFrame, tokenizer_path: str, text: str = "text", window: int = WINDOW, block_docs: int = BLOCK_DOCS) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer_path: str, text: str = "text", window: int = WINDOW, held_ids: int = HELD_IDS) -> DataFrame:
     """Pieces: doc_id, start, length, ids (binary, 32-bit little-endian), doc_tokens, sequence_id, offset.
 
-    A document's ids are those of its whole text, then END_ID; null text: END_ID alone. doc_ids are cut into equal
-    stretches of about block_docs rows, each packed in order of doc_id by one task (null ids by a block of their
-    own; repeated ids in order of their texts' hashes, and rows alike in both have like ids). A task holds at most
-    FLUSH_IDS ids and one document. Sequences end on a power of two or are to be padded to `window`. Other columns
-    aren't read. An empty table gives no rows. Ids, two bytes each, are shuffled once; texts aren't.
+    A document's ids are those of its whole text, then END_ID; null text: END_ID alone. Documents are dealt in order of
+    doc_id (null ids first, rows with the same id in the order of the input) in stretches of about equally many rows,
+    one for each partition, so neither gaps in ids nor rows with the same id or without one make a stretch long; a
+    task packs its stretch as a stream and holds what isn't settled yet, held_ids and one document or so.
+    Sequences end on a power of two or are to be padded to `window`; a sequence's id is its stretch's number times
+    2 ** 40 and its own. Other columns aren't read. An empty table gives no rows. Texts are shuffled once.
     """
-    spark = docs.sparkSession
-    n, lo, hi = docs.agg(F.count("*"), F.min("doc_id"), F.max("doc_id")).first()
-    lo, hi = lo or 0, hi or 0
-    width = -(-(hi - lo + 1) // max(1, -(-n // block_docs)))
-    block = F.coalesce(F.floor((F.col("doc_id") - F.lit(lo)) / F.lit(width)) if abs(hi) + abs(lo) < 1 << 52 else F.expr(f"cast((cast(doc_id as decimal(20)) - {lo}) div {width} as bigint)"), F.lit(-1)).cast("long")
-    rows = docs.select("doc_id", block.alias("block"), text_key(text).alias("tie"), F.col(text).alias("text"))
-    ids = rows.mapInArrow(tidy(_tokenize(tokenizer_path)), "doc_id long, block long, tie long, width int, ids binary, ends binary")
-    dealt = ids.repartition(input_parallelism(docs), "block").sortWithinPartitions("block", "doc_id", "tie")
-    return dealt.mapInArrow(tidy(_pack(window)), "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
+    rows = docs.select("doc_id", F.col(text).alias("text"), F.monotonically_increasing_id().alias("nth"))
+    dealt = rows.repartitionByRange(input_parallelism(docs), "doc_id", "nth").sortWithinPartitions("doc_id", "nth")
+    return dealt.select("doc_id", "text").mapInArrow(tidy(_pack(tokenizer_path, window, held_ids)), "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
 
 
 def vocabulary(name: str) -> str:
