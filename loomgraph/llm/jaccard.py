@@ -44,6 +44,8 @@ COMMON, MOST_COMMON = 16, 1 << 18
 #: Bits of the filter that tells which sets are candidates: so many for each, in these bounds. False positives only
 #: cost work.
 FILTER_BITS_EACH, FILTER_BITS_LEAST, FILTER_BITS_MOST = 16, 1 << 20, 1 << 28
+#: Fingerprints that a task remembers of sets it has sent; only the volume sent depends on it.
+REMEMBERED = 100_000
 #: Light sets are no larger, whatever the costs.
 LIGHT_MOST = 14
 
@@ -154,7 +156,7 @@ def _classes(words: int):
         def fresh(f):
             if f in seen:
                 return False
-            if len(seen) > 200_000:
+            if len(seen) > REMEMBERED:
                 seen.clear()
             seen.add(f)
             return True
@@ -177,7 +179,7 @@ def _new_sets(batch_iterator, words: int):
     """Sets and their fingerprints; each set once in a task as far as it remembers."""
     seen: set[bytes] = set()
     for part in _texts(batch_iterator):
-        if len(seen) > 200_000:
+        if len(seen) > REMEMBERED:
             seen.clear()
         for s, (_, text) in zip(shingle_sets([t or "" for _, t in part], words), part, strict=True):
             if len(s) and (f := fingerprint(s)) not in seen:
@@ -630,7 +632,8 @@ def row_components(docs: DataFrame, text: str = "text", words: int = WORDS, perc
     parts = input_parallelism(docs)
     named, types = (docs.select("doc_id", F.col(text).alias("text"), text_key(text).alias("key")), ", key long") if keyed else (rows, "")
     classes = materialize(named.mapInArrow(tidy(_classes(words)), "doc_id long, n long, class binary, sketch binary" + types), "join-classes")
-    sketches = classes.filter("sketch is not null").select("class", "n", "sketch").groupBy("class").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+    sketches = classes.filter("sketch is not null").groupBy("class").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+    sketches = materialize(sketches, "join-sketches")
     sizes = {r["n"]: r["count"] for r in classes.filter(F.col("n").between(1, LIGHT_MOST * 2)).groupBy("n").count().collect()}
     light = light_size(sizes, percent)
     corpus = spark.sparkContext.broadcast(corpus_shingles(rows, words, parts))

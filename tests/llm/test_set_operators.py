@@ -160,3 +160,54 @@ def test_ann_recall_and_ties(spark):
     assert (all_of.groupby("query_id").size() == 39).all() and len(all_of) == 78
     assert ann.nearest_neighbours(few.limit(0), F.col("vec_id") % 20 == 0).count() == 0
     assert ann.nearest_neighbours(few.limit(1), F.col("vec_id") % 20 == 0).count() == 0
+
+
+def brute_neighbours(rows, k, asked):
+    """Exact neighbours of rows (id, vector), ties to the smaller id."""
+    out = []
+    for q, v in rows:
+        if asked(q):
+            best = sorted((-float(sum(a * b for a, b in zip(v, w, strict=True))), i) for i, w in rows if i != q)[:k]
+            out += [(q, r + 1, i, -s) for r, (s, i) in enumerate(best)]
+    return sorted(out)
+
+
+def test_ann_equal_ragged_and_repeated_vectors(spark):
+    """Vectors that are equal by the hundred, of other lengths, and of ids that repeat."""
+    ship_package(spark)
+    rng = np.random.default_rng(6)
+    kinds = rng.integers(-3, 4, size=(6, 4)).astype(float) + 0.5
+    rows = [(k, kinds[0 if k < 200 else k % 6].tolist()) for k in range(320)]
+    odd = [(1000, [1.0, 2.0]), (1020, [1.0] * 5), (40, [9.0, 9.0, 9.0, 9.0]), (40, rows[40][1]), (2000, [-0.0, 0.5, 0.5, 0.5]), (2001, [0.0, 0.5, 0.5, 0.5])]
+    df = spark.createDataFrame(rows + odd, "vec_id long, embedding array<double>").repartition(5)
+    keep = dict(rows) | {2000: odd[-2][1], 2001: odd[-1][1]}
+    keep[40] = min(rows[40][1], odd[2][1])
+    got = ann.nearest_neighbours(df, F.col("vec_id") % 20 == 0).collect()
+    want = brute_neighbours(sorted(keep.items()), 20, lambda q: q % 20 == 0)
+    assert sorted((r.query_id, r.rank, r.vec_id, r.score) for r in got) == want
+    same = spark.createDataFrame([(k, [1.0, 2.0]) for k in range(500)], "vec_id long, embedding array<float>")
+    got = ann.nearest_neighbours(same, F.col("vec_id") % 100 == 0, k=3).collect()
+    assert sorted((r.query_id, r.rank, r.vec_id) for r in got) == [(q, n + 1, [i for i in range(5) if i != q][n]) for q in range(0, 500, 100) for n in range(3)]
+
+
+def test_ann_many_cells(spark):
+    x = np.random.default_rng(1).normal(size=(9000, 8)).astype(np.float32)
+    c = ann._kmeans(x, 1100, 3, np.random.default_rng(2))
+    assert 1000 <= len(c) <= 1200 and np.isfinite(c).all()
+    index = ann.fit(x, 9000)
+    assert index.least_scores(x[:5], 21).shape == (5,) and all((x @ x[k] >= index.least_scores(x[k : k + 1], 21)[0]).sum() >= 21 for k in range(5))
+    assert np.allclose(ann.exact_scores(x[:9], x[9:18]), (x[:9].astype(float) * x[9:18]).sum(1))
+
+
+def test_sketches_never_rule_out_a_link():
+    """Bits that differ are at most the shingles that one set alone has, whatever the sizes."""
+    rng = np.random.default_rng(8)
+    for n, m in ((5, 6), (500, 520), (500, 900), (3000, 3300)):
+        for shared in (0, min(n, m) // 2, min(n, m)):
+            pool = np.unique(rng.integers(0, 1 << 63, n + m, dtype=np.uint64))
+            rng.shuffle(pool)
+            a, b = pool[:n], np.concatenate([pool[:shared], pool[n : n + m - shared]])
+            raw = [np.frombuffer(jaccard.sketch(x), "<u8").reshape(1, -1) for x in (a, b)]
+            width = min(r.shape[1] for r in raw)
+            differ = int(np.bitwise_count(jaccard._folded(raw[0], width) ^ jaccard._folded(raw[1], width)).sum())
+            assert differ <= len(set(a.tolist()) ^ set(b.tolist()))
