@@ -183,9 +183,11 @@ def test_quality_against_brute_force(spark, texts):
 def test_quality_lines(spark):
     clean = " ".join(f"word{k}" for k in range(60)) + "."
     nav = "Home | News | About | Contact | Help"
-    df = spark.createDataFrame([(0, clean), (1, clean + "\nAll rights reserved."), (2, clean[:400] + "\n" + "\n".join([nav] * 40)), (3, "$$$ " * 100)], "doc_id long, text string")
+    df = spark.createDataFrame([(0, clean), (1, clean + "\nAll rights reserved."), (2, clean[:400] + "\n" + "\n".join([nav] * 40)), (3, "$$$ " * 100), (4, clean + "\nHome\n- News\nWOW!! BUY!! NOW!! YES!! GO!!\nsee http://a.b and http://c.d now\n \n" + clean), (5, ("A very long text of many words. " * 40_000).strip())], "doc_id long, text string")
     got = {r.doc_id: r for r in quality.judge_quality(df).collect()}
     assert got[0].kept and got[0].cleaned == clean and got[1].kept and got[1].cleaned == clean and not got[2].kept and not got[3].kept
+    assert got[4].cleaned == clean + "\n \n" + clean and (got[4].n_punctuation, got[4].n_navigation, got[4].n_boilerplate) == (2, 2, 0) and (got[1].n_boilerplate, got[2].n_navigation) == (1, 40)
+    assert not got[5].kept and got[5].n_words == 280_000 and got[5].n_repeat_words == 280_000
     assert quality.judge_quality(df.limit(0)).count() == 0
 
 
