@@ -42,11 +42,10 @@ def _count(x: str, signs: str) -> str:
 def _rules(l: str, trim: str, last: str, phrase: str) -> str:
     """SQL, in either engine, for the kind of rule that line l fails, else 0. Words are counted by blanks.
 
-    punctuation: over a tenth of the characters are symbols; five ! or ? or more, and one for each four words or more;
-    or a fragment: fewer than FRAGMENT_WORDS words, and no sign of ENDS at the end. navigation: three separators or
-    more, and one for each four words or more; two links or more, and one for each three words or more; or a bullet
-    before fewer than ENTRY_WORDS words. boilerplate: a phrase in a line under PHRASE_CHARS characters. Blank lines
-    fail none.
+    The first of them counts: navigation: three separators or more, and one for each four words or more; two links or
+    more, and one for each three words or more; or a bullet before fewer than ENTRY_WORDS words. punctuation: over a tenth of the characters are symbols; five ! or ? or more, and one for each four words or more;
+    or, last, a fragment: fewer than FRAGMENT_WORDS words, and no sign of ENDS at the end. boilerplate: a phrase in a
+    line under PHRASE_CHARS characters. Blank lines fail none.
     """
     n_words = f"({_count(l, ' ')} + 1)"
     links = f"((length({l}) - length(replace({l}, '://', ''))) / 3)"
@@ -54,8 +53,8 @@ def _rules(l: str, trim: str, last: str, phrase: str) -> str:
     bullets = BULLETS.replace("'", "''")
     return (
         f"case when {trim} = '' then 0"
-        f" when {_count(l, SYMBOLS)} * 10 > length({l}) or ({_count(l, '!?')} >= 5 and {_count(l, '!?')} * 4 >= {n_words}) then {PUNCTUATION}"
         f" when ({_count(l, SEPARATORS)} >= 3 and {_count(l, SEPARATORS)} * 4 >= {n_words}) or ({links} >= 2 and {links} * 3 >= {n_words}) or (instr('{bullets}', left({trim}, 1)) > 0 and {_count(trim, ' ')} < {ENTRY_WORDS}) then {NAVIGATION}"
+        f" when {_count(l, SYMBOLS)} * 10 > length({l}) or ({_count(l, '!?')} >= 5 and {_count(l, '!?')} * 4 >= {n_words}) then {PUNCTUATION}"
         f" when length({l}) < {PHRASE_CHARS} and {phrase} then {PHRASE}"
         f" when {n_words} < {FRAGMENT_WORDS} and instr('{ends}', {last}) = 0 then {PUNCTUATION} else 0 end"
     )
