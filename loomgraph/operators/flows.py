@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import naming
+from ..sources.shared import settled
+
 #: Fixed: names and beginnings of names of entry points.
 ENTRY_NAMES = ("main", "app", "run", "start", "serve", "execute", "cli", "entrypoint", "entry_point", "bootstrap", "launch", "init", "initialize", "setup")
 ENTRY_PREFIXES = ("handle", "process", "dispatch", "on_", "route")
 MAX_DEPTH, MAX_FLOWS, LEAST_NODES, MOST_OVERLAP = 15, 5, 3, 0.7
-#: Paths of each length that are followed further from one entry, best calls first: enumeration is exponential.
-PATHS_PER_ENTRY = 200
-
 
 def _by_name(label):
     low = F.lower(label)
@@ -33,26 +33,28 @@ def entry_nodes(nodes: DataFrame, edges: DataFrame, entry_names: DataFrame | Non
     return out.distinct()
 
 
-def simple_paths(entries: DataFrame, edges: DataFrame, max_depth: int = MAX_DEPTH, per_entry: int | None = PATHS_PER_ENTRY) -> DataFrame:
+def simple_paths(entries: DataFrame, edges: DataFrame, max_depth: int = MAX_DEPTH, most: int | None = None) -> DataFrame:
     """(path (array)): cycle-free paths from entries that can't go on or are max_depth steps long, two nodes at least.
 
-    One join per step; it ends when no path goes on. per_entry bounds how many paths of each length are followed
-    from an entry (None: all, where the graph is known to be sparse).
+    One join per step; each step is written, so none is computed again, and it ends when no path goes on. Enumeration
+    is exponential: `most` bounds the paths of one length, and beyond it this raises instead of leaving any out.
     """
-    steps = edges.select(F.col("src").alias("last"), F.col("dst").alias("next"), "call_count")
-    live = entries.select(F.array("node_id").alias("path"), F.col("node_id").alias("last"), F.lit(0).cast("long").alias("calls"))
+    steps = settled(edges.select(F.col("src").alias("last"), F.col("dst").alias("next")), "path-steps")
+    live = entries.select(F.array("node_id").alias("path"), F.col("node_id").alias("last"))
     done = None
     for d in range(max_depth):
         on = live.join(steps, "last").filter(~F.array_contains("path", F.col("next")))
-        ended = live.join(on.select("path").distinct(), "path", "left_anti").select("path")
-        longer = on.select(F.array_append("path", F.col("next")).alias("path"), F.col("next").alias("last"), (F.col("calls") + F.col("call_count")).alias("calls"))
-        if per_entry is not None:
-            rank = F.row_number().over(Window.partitionBy(F.col("path")[0]).orderBy(F.desc("calls"), "path"))
-            longer = longer.withColumn("k", rank).filter(F.col("k") <= per_entry).drop("k")
-        longer = longer.checkpoint() if d % 4 == 3 and longer.sparkSession.sparkContext.getCheckpointDir() else longer
+        longer = settled(on.select(F.array_append("path", F.col("next")).alias("path"), F.col("next").alias("last")), "path-longer")
+        n = longer.count()
+        if most is not None and n > most:
+            raise ValueError(f"{n} paths of {d + 1} steps: more than {most}; lower the depth or thin the graph")
         if d:
+            began = longer.select(F.expr("slice(path, 1, size(path) - 1)").alias("path")).distinct()
+            ended = live.join(began, "path", "left_anti").select("path")
             done = ended if done is None else done.unionByName(ended)
         live = longer
+        if not n:
+            break
     last = live.select("path")
     return last if done is None else done.unionByName(last)
 
@@ -105,3 +107,18 @@ def coverage(nodes: DataFrame, paths: DataFrame) -> DataFrame:
     on = paths.select(F.explode("path").alias("node_id")).distinct().withColumn("on", F.lit(1))
     out = core.join(on, "node_id", "left").agg(F.count("*").alias("n_core"), F.count("on").alias("n_covered"))
     return out.withColumn("coverage", F.when(F.col("n_core") > 0, F.col("n_covered") / F.col("n_core")).otherwise(0.0))
+
+
+def named_flows(mains: list[dict], branches: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(flow, name, importance, entry, step, node_id, label, file, text, n_branches): the main flows as they are told:
+    named by their entry, each step with what it does, and with how many branches hang on it. The flows are few and so
+    are their nodes, which are joined to the whole table of nodes."""
+    spark = nodes.sparkSession
+    rows = [(k, float(m["importance"]), i, n) for k, m in enumerate(mains) for i, n in enumerate(m["path"])]
+    steps = spark.createDataFrame(rows, "flow int, importance double, step int, node_id string")
+    shown = F.broadcast(steps).join(nodes.select("node_id", "label", "file", "node_type"), "node_id")
+    entry = shown.filter("step = 0").select("flow", F.col("label").alias("entry"), naming.flow_name(F.col("label")).alias("name"))
+    count = branches.groupBy(F.col("main").alias("flow")).agg(F.count("*").alias("n_branches"))
+    none = F.lit(None).cast("string")
+    text = naming.plain_description(naming.function_explanation(F.col("label"), F.array().cast("array<string>"), none, none))
+    return shown.withColumn("text", text).join(entry, "flow").join(count, "flow", "left").select("flow", "name", "importance", "entry", "step", "node_id", "label", "file", "text", F.coalesce("n_branches", F.lit(0)).alias("n_branches"))

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import settled
+
 #: Fixed: what a call does by its name; the first that the name holds.
 DATA_LABELS = (
     ("查询数据", ("get",)),
@@ -77,7 +79,7 @@ def overview_groups(modules: DataFrame, max_nodes: int = OVERVIEW_NODES) -> Data
     max_nodes = max(1, max_nodes)
     tops = super_groups(modules).withColumn("rank", F.row_number().over(Window.orderBy(F.desc("n"), "ord")))  # a row per top directory
     counts = tops.agg(F.sum("n").alias("all_modules"), F.count("*").alias("all_tops"))
-    named = modules.withColumn("group", top_of(F.col("name"))).join(F.broadcast(tops.select("group", "rank").hint("broadcast")), "group").crossJoin(F.broadcast(counts))
+    named = modules.withColumn("group", top_of(F.col("name"))).join(tops.select("group", "rank"), "group").crossJoin(F.broadcast(counts))
     over = (F.col("all_tops") > max_nodes) & (F.col("rank") > max_nodes - 1)
     return named.select("name", F.when(F.col("all_modules") <= max_nodes, F.col("name")).when(over, OTHERS).otherwise(F.col("group")).alias("group"), "ord")
 
@@ -142,16 +144,20 @@ def call_chains(nodes: DataFrame, edges: DataFrame, module: str, depth: int = 2)
 
 def _breadth_first(edges: DataFrame, seeds: DataFrame, depth: int, order: DataFrame) -> DataFrame:
     """(node_id, depth, parent): each node once, at its least depth, under the parent that comes first in order.
-    Depth is a constant, so this is one static plan of frontier joins."""
-    seen = seeds.select("node_id")
-    front, out = seen, None
+    What each step finds is written, so no step is computed again, and the walk ends where nothing new is found."""
+    spark = edges.sparkSession
+    out = spark.createDataFrame([], "node_id string, depth int, parent string")
+    seen = front = seeds.select("node_id").join(order, "node_id", "left").select("node_id", F.coalesce("ord", F.lit(0)).alias("ord"))
     for d in range(1, depth + 1):
         step = front.join(edges.select(F.col("src").alias("node_id"), F.col("dst").alias("next")), "node_id")
-        step = step.join(order, "node_id", "left").groupBy(F.col("next")).agg(F.min_by("node_id", F.struct(F.coalesce("ord", F.lit(0)), "node_id")).alias("parent"))
-        found = step.withColumnRenamed("next", "node_id").join(seen, "node_id", "left_anti").withColumn("depth", F.lit(d))
-        front = found.select("node_id")
+        step = step.groupBy("next").agg(F.min_by("node_id", F.struct("ord", "node_id")).alias("parent")).withColumnRenamed("next", "node_id")
+        found = step.join(seen.select("node_id"), "node_id", "left_anti").join(order, "node_id", "left")
+        found = settled(found.select("node_id", F.lit(d).alias("depth"), "parent", F.coalesce("ord", F.lit(0)).alias("ord")), "walk")
+        out = out.unionByName(found.drop("ord"))
+        if found.isEmpty():
+            break
+        front = found.select("node_id", "ord")
         seen = seen.unionByName(front)
-        out = found if out is None else out.unionByName(found)
     return out
 
 
@@ -160,9 +166,10 @@ def trace(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, depth: int = 3,
 
     Callers are followed first, so a node reached both ways is upstream. Of all found, seeds stay and others by
     direction, depth and ord as far as `cap` goes (a fixed rule, where a queue would overshoot by chance). Links are
-    those by which nodes were found and those between seeds.
+    those by which nodes were found and those between seeds. Edges and seeds are written once, as each step meets them.
     """
-    order = nodes.select("node_id", "ord")
+    edges, seeds = settled(edges.select("src", "dst"), "trace-edges"), settled(seeds.select("node_id"), "trace-seeds")
+    order = settled(nodes.select("node_id", "ord"), "trace-order")
     back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
     up = _breadth_first(back, seeds, depth, order).select("node_id", F.lit("upstream").alias("direction"), "depth", "parent")
     down = _breadth_first(edges, seeds, depth, order).select("node_id", F.lit("downstream").alias("direction"), "depth", "parent")
@@ -172,7 +179,7 @@ def trace(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, depth: int = 3,
     every = root.unionByName(up).unionByName(down).withColumn("k", F.row_number().over(first)).filter("k = 1").drop("k")
     # TakeOrderedAndProject: each task sends `cap` rows at most
     kept = every.join(order, "node_id", "left").orderBy(rank, "depth", F.coalesce("ord", F.lit(0)), "node_id").limit(cap)
-    kept = root.unionByName(kept.select("node_id", "direction", "depth", "parent")).dropDuplicates(["node_id"])
+    kept = settled(root.unionByName(kept.select("node_id", "direction", "depth", "parent")).dropDuplicates(["node_id"]), "trace-found")
     by_tree = kept.filter("parent is not null").select(F.when(F.col("direction") == "upstream", F.col("node_id")).otherwise(F.col("parent")).alias("src"), F.when(F.col("direction") == "upstream", F.col("parent")).otherwise(F.col("node_id")).alias("dst"))
     s = seeds.select(F.col("node_id"))
     between = edges.join(s.withColumnRenamed("node_id", "src"), "src", "left_semi").join(s.withColumnRenamed("node_id", "dst"), "dst", "left_semi").select("src", "dst")

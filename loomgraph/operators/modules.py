@@ -51,11 +51,13 @@ def module_files(files: DataFrame) -> DataFrame:
 
 def swift_files(files: DataFrame, targets: DataFrame) -> DataFrame:
     """(file, ord, line_count, name, type): files under each target's path, a file under two in both; the rest keep
-    their directory. targets (name, path, type): a package's few, so the prefix join sends them to all tasks."""
-    few = F.broadcast(targets.limit(10_000).select(F.col("name"), F.regexp_replace("path", "/+$", "").alias("path"), "type"))
-    under = files.join(few, F.col("file").startswith(F.concat("path", F.lit("/"))) | (F.col("file") == F.col("path")))
+    their directory. targets: name, path, type. A file meets targets by each of its own directories, so however many
+    targets there are, this is an equi-join."""
+    own = targets.select(F.col("name"), F.regexp_replace("path", "/+$", "").alias("path"), "type")
+    above = F.transform(F.sequence(F.lit(1), F.size(F.split("file", "/"))), lambda n: F.array_join(F.slice(F.split("file", "/"), 1, n), "/"))
+    under = files.withColumn("path", F.explode(above)).join(own, "path")
     rest = files.join(under.select("file").distinct(), "file", "left_anti").withColumns({"name": top_dir(F.col("file")), "path": top_dir(F.col("file")), "type": F.lit("rest")})
-    return under.unionByName(rest)
+    return under.unionByName(rest.select(under.columns))
 
 
 def build_modules(placed: DataFrame, functions: DataFrame, classes: DataFrame, calls: DataFrame) -> DataFrame:

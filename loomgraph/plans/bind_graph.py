@@ -185,7 +185,7 @@ def _entry_sql(edges_sql: str) -> str:
 def _paths(spark, d):
     """All paths of the slice, from its own entries."""
     e = sparse_edges(spark, d)
-    return flows.simple_paths(flows.entry_nodes(nodes(spark, d), e), e, 4, None)
+    return flows.simple_paths(flows.entry_nodes(nodes(spark, d), e), e, 4)
 
 
 def simple_paths(spark, d):
@@ -212,18 +212,6 @@ def coverage(spark, d):
     return flows.coverage(nodes(spark, d), _paths(spark, d)).select("n_core", "n_covered", F.round("coverage", 9).alias("coverage"))
 
 
-def main_flows(spark, d):
-    found = flows.main_flows(flows.path_scores(_paths(spark, d), nodes(spark, d), sparse_edges(spark, d)))
-    rows = [(k, ">".join(x["path"]), float(x["score"]), float(x["importance"])) for k, x in enumerate(found)]
-    return spark.createDataFrame(rows, "flow int, path string, score double, importance double")
-
-
-def branch_flows(spark, d):
-    p = _paths(spark, d)
-    mains = flows.main_flows(flows.path_scores(p, nodes(spark, d), sparse_edges(spark, d)))
-    return flows.branch_flows(p, mains).select(F.array_join("path", ">").alias("path"), "main")
-
-
 def resolve_callee(spark, d):
     """Calls by name only: the first definition of the name outside the caller's file."""
     n, c = nodes(spark, d), calls(spark, d)
@@ -430,8 +418,6 @@ QUERIES = {
     "simple_paths": (simple_paths, f"{_PATHS} SELECT array_to_string(path, '>') AS path, len(path) AS n FROM p"),
     "path_scores": (path_scores, PATH_SCORES),
     "coverage": (coverage, f"{_PATHS} SELECT (SELECT count(*) FROM ({N}) n) AS n_core, count(DISTINCT x) AS n_covered, round(count(DISTINCT x) / (SELECT count(*) FROM ({N}) n), 9) AS coverage FROM (SELECT unnest(path) AS x FROM p) q"),
-    "main_flows": (main_flows, None),
-    "branch_flows": (branch_flows, None),
     "flow_steps": (flow_steps, FLOW_STEPS),
     "resolve_callee": (resolve_callee, RESOLVE),
     "module_index": (module_index, MODULE_INDEX),
@@ -445,9 +431,5 @@ QUERIES = {
     "health": (health, f"SELECT \"group\", total_lines, CASE WHEN total_lines > 3000 THEN 'red' WHEN total_lines > 1000 THEN 'yellow' ELSE 'green' END AS health FROM (SELECT {TOP.format(x='module_group')} AS \"group\", CAST(sum(line_end - line_start) AS BIGINT) AS total_lines, count(DISTINCT module_group) AS n FROM ({N}) n GROUP BY 1) q WHERE n > 1"),
     "mermaid_module": (mermaid_module, MERMAID),
     "mermaid_overview": (mermaid_overview, MERMAID_OVERVIEW),
-    "mermaid_focus": (mermaid_focus, None),
-    "mermaid_functions": (mermaid_functions, None),
-    "mermaid_chain": (mermaid_chain, None),
     "detail_grid": (detail_grid, GRID),
-    "layout_layers": (layout_layers, None),
 }

@@ -170,7 +170,6 @@ QUERIES = {
     "scan_files": (scan_files, _FILES),
     "scan_summary": (scan_summary, SUMMARY),
     "language_stats": (language_stats, f"SELECT language, count(*) AS files, CAST(sum(line_count) AS BIGINT) AS lines FROM ({_FILES}) f WHERE NOT is_config GROUP BY 1"),
-    "architecture": (architecture, None),
     "snapshot_hash": (snapshot_hash, f"SELECT path, sha256(content) AS sha256 FROM ({_OLD}) o"),
     "snapshot_diff": (snapshot_diff, _CHANGES),
     "incremental_merge": (incremental_merge, f"SELECT path, sha256(content) AS sha256 FROM ({_NEW}) n"),

@@ -28,6 +28,11 @@ def role_of(name: str) -> str:
     return ROLES.get(name, "pm")
 
 
+def role_column(name):
+    """The same for a column of names."""
+    return F.coalesce(F.element_at(F.create_map(*[F.lit(x) for pair in ROLES.items() for x in pair]), name), F.lit("pm"))
+
+
 @dataclass
 class Repository:
     """Tables of one scanned repository. All are plans over stored tables, so each is read only where asked for."""

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import bind_graph, bind_memory, bind_sources, bind_text
+from .plans import bind_graph, bind_memory, bind_more, bind_sources, bind_text
 
-_MODULES = (bind_graph, bind_text, bind_memory, bind_sources)
+_MODULES = (bind_graph, bind_text, bind_memory, bind_sources, bind_more)
 
 
 def _shipped(run: Callable) -> Callable:
