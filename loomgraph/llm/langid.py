@@ -85,7 +85,7 @@ def slots(h: np.ndarray, probe: int, n_slots: int = SLOTS) -> np.ndarray:
 @dataclass
 class LanguageFilter:
     languages: list[str]
-    masks: np.ndarray  # slots, words
+    masks: np.ndarray  # words, slots
     chance: np.ndarray  # by language: how often a gram that isn't its own has its bit
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float, float]]:
@@ -101,14 +101,18 @@ class LanguageFilter:
         of = np.array(owner, np.int64)[of]
         has = np.zeros(len(texts), bool)
         has[np.array(owner, np.int64)[has_piece]] = True
-        mask = self.masks[slots(h, 0, len(self.masks))]
-        for probe in range(1, PROBES):
-            mask &= self.masks[slots(h, probe, len(self.masks))]
+        at = [slots(h, probe, self.masks.shape[1]) for probe in range(PROBES)]
+        mask = []
+        for word in self.masks:
+            m = word[at[0]]
+            for place in at[1:]:
+                m &= word[place]
+            mask.append(m)
         total = np.bincount(of, minlength=len(texts))
         share = np.zeros((len(self.languages), len(texts)))
-        one = mask.dtype.type(1)
+        kind = self.masks.dtype.type
         for k in range(len(self.languages)):
-            hit = np.bincount(of[(mask[:, k // WORD_BITS] >> mask.dtype.type(k % WORD_BITS)) & one == 1], minlength=len(texts))
+            hit = np.bincount(of[(mask[k // WORD_BITS] >> kind(k % WORD_BITS)) & kind(1) == 1], minlength=len(texts))
             share[k] = np.clip((hit / np.maximum(total, 1) - self.chance[k]) / (1 - self.chance[k]), 0, 1)
         best = share.argmax(0)
         top = share.max(0)
@@ -144,7 +148,7 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", fit_docs: int =
     words = max(1, -(-len(names) // WORD_BITS))
     kind = np.uint8 if len(names) <= 8 else np.uint64
     if not names:
-        return LanguageFilter([], np.zeros((SLOTS, 1), kind), np.zeros(0))
+        return LanguageFilter([], np.zeros((1, SLOTS), kind), np.zeros(0))
     share = F.create_map(*[F.lit(x) for k in names for x in (k, float(min(1.0, fit_docs / counts[k])))])
     sample = known.filter((F.pmod(F.xxhash64("doc_id", text), F.lit(1 << 20)) / F.lit(1 << 20)) < share[F.col(lang)])
     counted = sample.select(F.col(lang).alias("lang"), F.col(text).alias("text")).mapInArrow(tidy(_count_grams), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
@@ -170,10 +174,10 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", fit_docs: int =
     cols = [f"m{w}" for w in range(words)]
     placed = owned.select("gram", mask.alias("mask")).mapInArrow(places, "slot long, " + ", ".join(f"{c} long" for c in cols))
     rows = placed.groupBy("slot").agg(*[F.bit_or(c).alias(c) for c in cols]).toArrow()
-    masks = np.zeros((SLOTS, words), kind)
+    masks = np.zeros((words, SLOTS), kind)
     for w, c in enumerate(cols):
-        masks[rows["slot"].to_numpy(), w] = rows[c].to_numpy().view(np.uint64).astype(kind)
-    chance = np.array([((masks[:, i // WORD_BITS] >> kind(i % WORD_BITS)) & kind(1)).mean() ** PROBES for i in range(len(names))])
+        masks[w, rows["slot"].to_numpy()] = rows[c].to_numpy().view(np.uint64).astype(kind)
+    chance = np.array([((masks[i // WORD_BITS] >> kind(i % WORD_BITS)) & kind(1)).mean() ** PROBES for i in range(len(names))])
     return LanguageFilter(names, masks, chance)
 
 
