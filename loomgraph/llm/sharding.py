@@ -15,6 +15,8 @@ from .common import materialize
 
 SHARDS = 40
 ROUNDS = 4
+#: A group is hot beyond so many rows, or beyond this share of all: so hot groups are at most 1 / HOT_SHARE.
+HOT_ROWS, HOT_SHARE = 512, 1e-4
 #: Parts that each shard's or group's documents are dealt to when they are numbered.
 PARTS = 64
 
@@ -76,19 +78,36 @@ def propagate(state: DataFrame, quota: list[int], rounds: int = ROUNDS) -> DataF
     return state
 
 
+def _by_group(rows: DataFrame, table: DataFrame, hot: DataFrame) -> DataFrame:
+    """rows with table's columns by g (left). Hot groups' entries, at most 1 / HOT_SHARE, go to all tasks, so their rows
+    stay where they are; only the others are dealt by g."""
+    few = F.broadcast(table.join(F.broadcast(hot), "g", "left_semi").withColumn("__hot", F.lit(True)))
+    met = rows.join(few, "g", "left")
+    cold = met.filter("__hot is null").select(*rows.columns).join(table, "g", "left")
+    return met.filter("__hot").select(*cold.columns).unionByName(cold)
+
+
+def cut_links(sharded: DataFrame) -> DataFrame:
+    """One row: links (a group's documents less one, summed) and cut (groups' shards less one, summed): how many links
+    between documents of equal text lead to another shard, in the least way of joining them."""
+    by = sharded.filter("size > 16").groupBy("text_crc32", "size", "shard").agg(F.count("*").alias("n")).groupBy("text_crc32", "size").agg(F.sum("n").alias("n"), F.count("*").alias("shards"))
+    return by.agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("links"), F.coalesce(F.sum(F.col("shards") - 1), F.lit(0)).alias("cut"))
+
+
 def shard_rows(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS, text: str = "text") -> DataFrame:
     """doc_id, size, text_crc32, law (`rows`: counts of shards are at most one apart), shard, slot, grown_shard (null).
 
     Null texts link with nothing, size 16, crc32 0; empty texts are equal texts. Ids may be null or repeat: rows
     alike in id and text are interchangeable. Other columns aren't read. An empty table gives no rows. Texts aren't
-    shuffled: their hashes are.
+    shuffled: their hashes are, and of hot groups not even these before they are numbered in parts.
     """
     t = F.coalesce(F.col(text), F.lit(""))
     rows = materialize(docs.select("doc_id", (F.octet_length(t) + 16).cast("long").alias("size"), F.crc32(t.cast("binary")).alias("text_crc32"), F.unhex(F.md5(F.col(text))).alias("g")), "shard-rows")
     groups = materialize(rows.filter("g is not null").groupBy("g").agg(F.count("*").alias("members")).filter("members > 1"), "shard-groups")
     quota = targets(rows.count(), shards)
-    linked = rows.join(groups, "g")
-    linked = materialize(numbered(linked, ["g"], [F.col("doc_id")], "k"), "shard-linked")
+    hot = groups.filter(F.col("members") > max(HOT_ROWS, int(rows.count() * HOT_SHARE))).select("g")
+    marked = materialize(_by_group(rows, groups, hot), "shard-marked")
+    linked = materialize(numbered(marked.filter("members is not null"), ["g"], [F.col("doc_id")], "k"), "shard-linked")
     first = F.pmod(F.xxhash64("doc_id", "g"), F.lit(shards)).cast("int")
     state = propagate(materialize(linked.withColumn("shard", first).groupBy("g", "shard").agg(F.count("*").alias("n")), "shard-state"), quota, rounds)
 
@@ -102,8 +121,8 @@ def shard_rows(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS, text
     settled = materialize(cut.select("g", "shard", stay.alias("n")).filter("n > 0"), "shard-settled")
     upto = F.sum("n").over(Window.partitionBy("g").orderBy("shard").rowsBetween(Window.unboundedPreceding, 0))
     steps = settled.select("g", "shard", upto.alias("upto")).groupBy("g").agg(F.sort_array(F.collect_list(F.struct("upto", "shard"))).alias("steps"))  # a step per shard at most
-    placed = linked.join(steps, "g", "left").withColumn("shard", F.expr("get(filter(steps, s -> s.upto > k), 0).shard")).select("doc_id", "size", "text_crc32", "shard")
-    single = rows.join(groups.select("g"), "g", "left_anti").select("doc_id", "size", "text_crc32", F.lit(None).cast("int").alias("shard"))
+    placed = _by_group(linked, materialize(steps, "shard-steps"), hot).withColumn("shard", F.expr("get(filter(steps, s -> s.upto > k), 0).shard")).select("doc_id", "size", "text_crc32", "shard")
+    single = marked.filter("members is null").select("doc_id", "size", "text_crc32", F.lit(None).cast("int").alias("shard"))
     both = materialize(placed.unionByName(single), "shard-placed")
 
     held = {r["shard"]: r["n"] for r in both.groupBy("shard").agg(F.count("*").alias("n")).collect()}
