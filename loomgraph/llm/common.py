@@ -51,15 +51,29 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Tables that this process has written and not yet deleted.
+MADE: list[str] = []
+
+
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Write df as a table in the shared folder and read it back: lineage is cut and the data
     survives the loss of any executor."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/loomgraph/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    MADE.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession, first: int) -> None:
+    """Delete tables written from place `first` of MADE on, but for the last one: for whom nothing else is read again."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for path in MADE[first:-1]:
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(conf).delete(at, True)
+    MADE[first:] = MADE[-1:]
+
+
 def text_key(text: str = "text") -> Column:
     """With an id, tells rows apart whose ids repeat; rows alike in both give like results."""
     return F.xxhash64(F.col(text))
