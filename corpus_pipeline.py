@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph.llm import jaccard, langid, line_dedup, packing, secrets
-from loomgraph.llm.common import materialize, ship_package, text_key
+from loomgraph.llm.common import MADE, discard, materialize, ship_package, text_key
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: Near copies share this percentage of their word shingles of this size; the op4 query keeps its own contract (4, 85).
@@ -24,7 +24,11 @@ def _columns(docs: DataFrame) -> DataFrame:
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without text or letters, or in no learned language, go; a missing lang is filled in."""
+    """Documents without text or letters, or in no learned language, go; a missing lang is filled in.
+
+    Null and empty texts go; null ids, lang and source and repeated rows stay as they are, texts of any length are read
+    whole, an empty table gives none, and columns beyond those of documents are dropped.
+    """
     ship_package(spark)
     found = langid.predict(docs, langid.fit_split(docs), keep=("doc_id", "lang", "source", "n_chars"))
     known = found.filter((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE))
@@ -32,7 +36,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that stand on too many documents of a source go."""
+    """Lines that stand on too many documents of a source go. All rows stay, those with null or empty texts and repeated
+    ones too; a null source is a source; an empty table gives none; columns beyond those of documents are dropped."""
     return _columns(line_dedup.drop_boilerplate(docs))
 
 
@@ -43,7 +48,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     Rows are told apart by id and text, so rows with null ids are compared and removed as all others, and of a
     repeated id only the texts that are copies go.
 
-    Linked are documents whose sets of five-word shingles have a Jaccard similarity of 0.8 at least, not op4's four
+    Null and empty texts are linked with nothing, but of rows alike in id and text, null ones too, one stays. An empty
+    table gives none; columns beyond those of documents are dropped. Linked are documents whose sets of five-word shingles have a Jaccard similarity of 0.8 at least, not op4's four
     words and 0.85.
     """
     ship_package(spark)
@@ -58,12 +64,14 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets are replaced by a mark; documents stay."""
+    """Secrets are replaced by a mark; all rows stay, null and empty texts as they are, null and repeated ids too. An
+    empty table gives none; columns beyond those of documents are dropped."""
     return _columns(secrets.redact(docs))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sequences for training, by piece."""
+    """Sequences for training, by piece: null and empty texts give their end id, null ids come first, rows with the same
+    id follow each other, an empty table gives none, other columns are dropped."""
     ship_package(spark)
     return packing.pack_documents(docs, packing.vocabulary("word_bpe_49k.json"))
 
@@ -75,7 +83,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages. Of the tables that they write only the last one's stays: a stage's own are deleted, with its input, as
+    soon as its result is written."""
+    docs, first = spark.read.parquet(f"{sf_dir}/documents.parquet"), len(MADE)
     for k, (_, stage) in enumerate(STAGES):
         docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{k}")
+        discard(spark, first)
     return docs
