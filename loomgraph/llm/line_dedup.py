@@ -42,7 +42,8 @@ def boilerplate_lines(docs: DataFrame, text: str = "text", host: str = "source",
 
 
 def drop_boilerplate(docs: DataFrame, text: str = "text", host: str = "source", max_ratio: float = 0.2, min_pages: int = 5) -> DataFrame:
-    """docs with boilerplate lines taken out of `text`, plus n_lines and n_dropped (lines, long).
+    """docs with boilerplate lines taken out of `text`, plus n_lines and n_dropped (lines, long), which replace columns
+    of docs with these names; `__host`, `__rules`, `__salt` and `__left` are in use while it runs.
 
     All rows stay, also those left with an empty text. Null text: null, 0, 0. Empty text: one line, blank, so it stays.
     Repeated rows count as pages of their own. An empty table gives an empty result.

@@ -129,6 +129,57 @@ def test_sharding(spark):
     check_shards(few, sharding.shard_rows(spark.createDataFrame(few, "doc_id long, text string")).collect(), 40)
 
 
+def propagate_by_hand(state, quota, rounds):
+    """One move after the other: each group's strays ask for its home, the best asker first, as long as there is room."""
+    state = {k: n for k, n in state.items()}
+    for _ in range(rounds):
+        free = {h: max(0, q - sum(n for (_, s), n in state.items() if s == h)) for h, q in enumerate(quota)}
+        asks = []
+        for g in {g for g, _ in state}:
+            mine = sorted(((-n, s) for (x, s), n in state.items() if x == g))
+            home, gain = mine[0][1], -mine[0][0]
+            asks += [(-gain, g, s, home, -n) for n, s in mine[1:]]
+        moved = 0
+        for _, g, s, home, n in sorted(asks):
+            go = min(n, free[home])
+            free[home] -= go
+            moved += go
+            state[g, s] -= go
+            state[g, home] += go
+        state = {k: n for k, n in state.items() if n}
+        if not moved:
+            break
+    return state
+
+
+def test_propagation_against_sequential(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "PARTS", 1)  # one part of each shard's askers: the order is theirs alone
+    rng = random.Random(9)
+    state = {}
+    for g in range(40):
+        for s in rng.sample(range(5), rng.randint(1, 4)):
+            state[g, s] = rng.randint(1, 6)
+    quota = sharding.targets(sum(state.values()) + 20, 5)
+    df = spark.createDataFrame([(g, s, n) for (g, s), n in state.items()], "g long, shard int, n long")
+    got = {(r.g, r.shard): r.n for r in sharding.propagate(df, quota, 3).collect()}
+    assert got == propagate_by_hand(state, quota, 3)
+
+
+def test_hot_groups_and_cut_links(spark, monkeypatch):
+    rows = [(k, "hot" if k % 3 else f"text {k // 6}") for k in range(900)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    want = None
+    for hot in (512, 10):
+        monkeypatch.setattr(sharding, "HOT_ROWS", hot)
+        got = sharding.shard_rows(df, shards=8)
+        check_shards(rows, got.collect(), 8)
+        cut = sharding.cut_links(got).first()
+        assert cut.links == 599 + 150 and 4 <= cut.cut < 200  # without slack few moves fit
+        placed = sorted((r.doc_id, r.shard, r.slot) for r in got.collect())
+        want = want or placed
+        assert placed == want
+
+
 def test_numbering(spark):
     df = spark.range(500).withColumn("k", F.when(F.col("id") < 400, 0).otherwise(F.col("id")))
     got = sharding.numbered(df, ["k"], [F.col("id")], "n", parts=8).collect()

@@ -268,7 +268,7 @@ def test_language_id_against_exact_dictionary(spark, n_languages):
         uses[g] = {names.index(x) for x, c in by.items() if c >= langid.LEAST_COUNT and c / totals[x] >= langid.SHARE * top}
     for g, own in list(uses.items())[:500]:  # no false negatives
         at = [int(langid.slots(np.array([g], np.uint64), p)[0]) for p in range(langid.PROBES)]
-        mask = model.masks[at[0]] & model.masks[at[1]] & model.masks[at[2]]
+        mask = model.masks[:, at[0]] & model.masks[:, at[1]] & model.masks[:, at[2]]
         assert all(int(mask[i // langid.WORD_BITS]) >> (i % langid.WORD_BITS) & 1 for i in own)
     texts = [" ".join(rng.choice(words[names[j]], 20)) for j in range(n_languages)] + ["", "12 !"]
     got = [x[0] for x in model.predict(texts)]
