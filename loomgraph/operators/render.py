@@ -118,7 +118,52 @@ def blueprint(title: str, modules: list[dict], links: list[dict], summary: dict
     return f'<!DOCTYPE html><html><head><meta charset="utf-8"><title>{html.escape(title)}</title><style>rect{{fill:#f1f3f5;stroke:#495057}}line{{stroke:#868e96}}</style></head><body><h1>{html.escape(title)}</h1>{lead}<svg viewBox="0 0 {width} {height}">{lines}{boxes}</svg>{cards}<script type="application/json" id="data">{data}</script></body></html>'
 
 
-def write_blueprint(path: str, title: str, modules: list[dict], links: list[dict], summary: dict | None = None) -> str:
+def write_page(path: str, text: str) -> str:
     Path(path).parent.mkdir(parents=True, exist_ok=True)
-    Path(path).write_text(blueprint(title, modules, links, summary), encoding="utf-8")
+    Path(path).write_text(text, encoding="utf-8")
     return path
+
+
+def write_blueprint(path: str, title: str, modules: list[dict], links: list[dict], summary: dict | None = None) -> str:
+    return write_page(path, blueprint(title, modules, links, summary))
+
+
+#: Colors of flows, one after the other.
+FLOW_COLORS = ("#6366f1", "#10b981", "#f59e0b", "#ef4444", "#06b6d4")
+
+_PAGE = """<!DOCTYPE html><html lang="zh"><head><meta charset="utf-8"><title>%TITLE%</title><style>
+body{margin:0;font:14px sans-serif;color:#212529}nav{padding:8px 14px;border-bottom:1px solid #dee2e6}nav a{cursor:pointer;color:#1971c2}
+svg{width:100vw;height:78vh;background:#f8f9fa;cursor:grab}.box rect{fill:#fff;stroke-width:2}.box{cursor:pointer}.link{stroke:#868e96;fill:none}
+text{font:12px sans-serif}aside{padding:8px 14px}table{border-collapse:collapse}td{border:1px solid #dee2e6;padding:2px 8px}</style></head><body>
+<nav><a id="home">Overview</a><span id="crumb"></span></nav>
+<svg id="canvas"><defs><marker id="arrowhead" markerWidth="8" markerHeight="8" refX="8" refY="4" orient="auto"><path d="M0,0 L8,4 L0,8 z" fill="#868e96"/></marker></defs><g id="scene"></g></svg>
+<aside><p id="said"></p><p>对话：在 MCP 宿主中就任一模块继续提问。</p></aside>
+<script>const __BLUEPRINT_DATA = %DATA%;
+const NS = "http://www.w3.org/2000/svg", scene = document.getElementById("scene"), canvas = document.getElementById("canvas");
+const view = {x: 20, y: 20, k: 1};
+function place() { scene.setAttribute("transform", `translate(${view.x},${view.y}) scale(${view.k})`); }
+function draw(kind, at, parent, text) { const e = document.createElementNS(NS, kind); for (const n in at) e.setAttribute(n, at[n]); if (text !== undefined) e.textContent = text; (parent || scene).appendChild(e); return e; }
+function clear(crumb, said) { scene.replaceChildren(); document.getElementById("crumb").textContent = crumb ? " / " + crumb : ""; document.getElementById("said").textContent = said || ""; }
+function box(x, y, title, below, color) { const g = draw("g", {class: "box", transform: `translate(${x},${y})`}); draw("rect", {width: 180, height: 56, rx: 8, stroke: color}, g); draw("text", {x: 90, y: 24, "text-anchor": "middle"}, g, title); draw("text", {x: 90, y: 42, "text-anchor": "middle", fill: "#868e96"}, g, below || ""); return g; }
+function line(a, b, label, width) { draw("path", {class: "link", d: `M${a.x + 180},${a.y + 28} C${a.x + 220},${a.y + 28} ${b.x - 40},${b.y + 28} ${b.x},${b.y + 28}`, "stroke-width": width, "marker-end": "url(#arrowhead)"}); if (label) draw("text", {x: (a.x + b.x + 180) / 2, y: (a.y + b.y) / 2 + 20, "text-anchor": "middle", fill: "#495057"}, scene, label); }
+function renderFlows() { clear("", __BLUEPRINT_DATA.summary); __BLUEPRINT_DATA.flows.forEach((f, r) => { draw("text", {x: 0, y: r * 130 + 14, "font-weight": "bold", fill: f.color}, scene, f.name + (f.description ? " — " + f.description : "")); f.steps.forEach((s, i) => { const at = {x: i * 230, y: r * 130 + 28}; box(at.x, at.y, String(s), "", f.color); if (i) line({x: at.x - 230, y: at.y}, at, "", 2); }); }); }
+function renderOverview() { clear("", __BLUEPRINT_DATA.summary); const at = {}; __BLUEPRINT_DATA.modules.forEach(m => at[m.name] = m); __BLUEPRINT_DATA.links.forEach(e => at[e.src] && at[e.dst] && line(at[e.src], at[e.dst], e.verb, e.call_count >= 5 ? 3 : 1.5)); __BLUEPRINT_DATA.modules.forEach(m => box(m.x, m.y, m.title || m.name, m.name, m.color).addEventListener("dblclick", () => enterModule(m))); }
+function enterModule(m) { clear(m.name, m.summary); box(0, 0, m.title || m.name, m.name, m.color); (m.functions || []).forEach((f, i) => box(230 + i % 3 * 220, Math.floor(i / 3) * 80, f.business_name || f.code_name, f.explanation, "#adb5bd")); }
+function home() { __BLUEPRINT_DATA.flows.length ? renderFlows() : renderOverview(); }
+canvas.addEventListener("wheel", e => { e.preventDefault(); const k = e.deltaY < 0 ? 1.1 : 1 / 1.1; view.x = e.offsetX - (e.offsetX - view.x) * k; view.y = e.offsetY - (e.offsetY - view.y) * k; view.k *= k; place(); }, {passive: false});
+canvas.addEventListener("pointermove", e => { if (e.buttons) { view.x += e.movementX; view.y += e.movementY; place(); } });
+document.getElementById("home").addEventListener("click", home); place(); home();
+</script></body></html>"""
+
+
+def interactive_blueprint(title: str, modules: list[dict], links: list[dict], summary: dict | None = None) -> str:
+    """One page without anything from elsewhere: flows where the summary has any, else modules in layers; a double
+    click opens a module, the wheel zooms, dragging moves. Names are put in as data, never as markup."""
+    at = grid([m["name"] for m in modules], [(e["src"], e["dst"]) for e in links], 300, 110)
+    told = {m.get("code_path"): m for m in (summary or {}).get("modules", [])}
+    shown = [{"name": m["name"], "title": m.get("summary", ""), "x": at[m["name"]][0], "y": at[m["name"]][1], "color": COLORS.get(m.get("health", "green"), COLORS["green"]), "summary": told.get(m["name"], {}).get("description", m.get("summary", "")), "functions": told.get(m["name"], {}).get("functions", [])} for m in modules]
+    known = set(at)
+    flows = [{"name": f.get("name", ""), "description": f.get("description", ""), "steps": [s.get("name", s.get("text", "")) if isinstance(s, dict) else s for s in f.get("steps", [])], "color": FLOW_COLORS[k % len(FLOW_COLORS)]} for k, f in enumerate((summary or {}).get("flows", []))]
+    data = {"summary": (summary or {}).get("project_description", ""), "modules": shown, "links": [e for e in links if e["src"] in known and e["dst"] in known], "flows": flows}
+    text = json.dumps(data, ensure_ascii=False, default=str).replace("<", "\\u003c")
+    return _PAGE.replace("%TITLE%", html.escape(title)).replace("%DATA%", text)

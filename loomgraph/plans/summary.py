@@ -104,11 +104,38 @@ def fill(template: str, **values: object) -> str:
 
 #: Templates of prompts by level, (system, user); a caller may pass its own, as read from a file.
 TEMPLATES = {
-    "L1": ("Describe the project for its readers.", "{file_tree}\n\n{language_stats}\n\n{entry_file_content}"),
-    "L2": ("Describe the modules. Avoid these words:\n{banned_terms}", "{project_summary}\n\n{module_groups}\n\n{dependency_edges}\n\n{module_functions}"),
-    "L3": ("Describe one module. Avoid these words:\n{banned_terms}\n{http_status_annotations}", "{module_name}\n{module_info}\n\n{source_code}\n\n{parse_result}\n\nUpstream: {upstream}\nDownstream: {downstream}"),
-    "L4": ("Describe what a function does.", "{module_name}\n{source_code}"),
+    "L1": ("用一段话说明这个项目做什么、给谁用、由哪些部分组成。只依据给出的内容。\n{guidance}", "目录：\n{file_tree}\n\n语言：{language_stats}\n\n入口文件：\n{entry_file_content}"),
+    "L2": ("逐个模块说明它负责什么、从哪里进入、和谁往来。\n{guidance}\n不要使用以下术语，改用右边的说法：\n{banned_terms}", "项目：{project_summary}\n\n模块：\n{module_groups}\n\n依赖：\n{dependency_edges}\n\n函数：\n{module_functions}"),
+    "L3": ("说明这个模块：用途、流程、入口、风险，并给出代码位置。状态码第一次出现时附上说明：\n{http_status_annotations}\n{guidance}\n不要使用以下术语，改用右边的说法：\n{banned_terms}", "模块：{module_name}\n{module_info}\n\n源代码：\n{source_code}\n\n解析结果：\n{parse_result}\n\n上游：{upstream}\n下游：{downstream}"),
+    "L4": ("说明这段函数做什么：输入、输出、步骤与边界条件。\n{guidance}", "{module_name}\n{source_code}"),
 }
+# Fixed: names of files where a program starts, the first that there is.
+ENTRY_FILES = ("main.py", "app.py", "index.ts", "index.js", "server.py", "app/__init__.py")
+
+
+def entry_file(files: DataFrame, lines: int = 100) -> DataFrame:
+    """(path, content): the first of ENTRY_FILES, in order of these and then of files, cut to some lines; no row without."""
+    place = F.lit(None).cast("int")
+    for k, name in reversed(list(enumerate(ENTRY_FILES))):
+        place = F.when(F.col("path").endswith(name), k).otherwise(place)
+    cut = F.array_join(F.slice(F.split("content", "\n"), 1, lines), "\n")
+    return files.withColumn("k", place).filter("k is not null").orderBy("k", "ord").limit(1).select("path", cut.alias("content"))
+
+
+def module_lines(modules: DataFrame) -> DataFrame:
+    """(ord, line): a module as a line of text, with up to five of its entries and interfaces."""
+    def some(column: str, title: str):
+        return F.when(F.size(column) > 0, F.concat(F.lit(f"\n  {title}: "), F.array_join(F.slice(column, 1, 5), ", "))).otherwise("")
+
+    special = F.when(F.col("is_special"), " [特殊模块]").otherwise("")
+    head = F.concat(F.lit("- "), "name", special, F.lit(": "), F.size("files").cast("string"), F.lit(" 文件, "), F.col("total_lines").cast("string"), F.lit(" 行"))
+    return modules.select("ord", F.concat(head, some("entry_functions", "入口函数"), some("public_interfaces", "公开接口")).alias("line"))
+
+
+def edge_lines(edges: DataFrame) -> DataFrame:
+    """(src, dst, line): a link between modules as a line of text."""
+    word = F.when(graph.strength(F.col("call_count")) == "strong", "强").otherwise("弱")
+    return edges.select("src", "dst", F.concat(F.lit("- "), "src", F.lit(" → "), "dst", F.lit(" ("), F.col("call_count").cast("string"), F.lit(" 次, "), word, F.lit("依赖)")).alias("line"))
 
 
 def prompt(level: str, templates: dict[str, tuple[str, str]] = TEMPLATES, **values: object) -> tuple[str, str]:
@@ -123,14 +150,6 @@ def load_config(paths: list[str], built_in: dict) -> dict:
     return next((c for c in map(read_json, paths) if c), built_in)
 
 
-def banned_terms(config: dict, glossary_text: str | None, role: str) -> str:
-    """Words to avoid and what to say instead: a repository's glossary, else the configuration's; none for developers."""
-    if role == "dev":
-        return ""
-    terms = config.get("banned_terms_in_pm_fields", {}).get("terms", {})
-    return glossary_text or "\n".join(f"- 「{a}」→ {b}" for a, b in terms.items()) or "（未配置禁用术语表）"
-
-
 def summary_prompt(rule: dict) -> str:
     """What a model needs to write the summary: the rules' one, to be improved on."""
     return "Improve names and descriptions; keep code_path, code_name and the structure; answer with JSON only.\n" + json.dumps(rule, ensure_ascii=False)

@@ -16,23 +16,12 @@ from ..functions.naming import business_name, connection_verb, module_descriptio
 from ..operators import diffs, glossary, graph, incremental, memory, modules, render, resolve, search, stats
 from ..sources.repository import MAX_FILES, ordered, scan
 from ..sources.store import RepositoryStore, write_json
-from . import summary
+from . import codegen, roles, summary
+from .roles import BADGES, ROLES, role_column, role_of
 
-#: Fixed: roles and what they map to.
-ROLES = {"dev": "dev", "pm": "pm", "domain_expert": "domain_expert", "ceo": "pm", "investor": "pm", "qa": "pm"}
-BADGES = {"dev": "开发者视角：关注代码逻辑、性能瓶颈、边界条件", "pm": "PM 视角：关注功能完整性、变更影响、风险识别", "domain_expert": "行业专家视角：关注业务规则验证、合规检查、风险识别"}
 LARGE_MODULE, CARDS = 3000, 10
 
 
-def role_of(name: str) -> str:
-    return ROLES.get(name, "pm")
-
-
-def role_column(name):
-    """The same for a column of names."""
-    return F.coalesce(F.element_at(F.create_map(*[F.lit(x) for pair in ROLES.items() for x in pair]), name), F.lit("pm"))
-
-
 @dataclass
 class Repository:
     """Tables of one scanned repository. All are plans over stored tables, so each is read only where asked for."""
@@ -56,10 +45,13 @@ class Engine:
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.store = spark, RepositoryStore(spark, root)
+        self.watches: dict = {}
 
     def _kept(self, name: str, url: str, df: DataFrame) -> DataFrame:
+        """df as it is stored; an empty one as an empty table of its schema, without being computed again."""
         self.store.save(name, url, df)
-        return self.store.load(name, url) if not df.isEmpty() else df
+        found = self.store.load(name, url)
+        return found if found is not None else self.spark.createDataFrame([], df.schema)
 
     # -- scanning
 
@@ -131,11 +123,21 @@ class Engine:
 
     # -- questions
 
+    def read_chapter(self, r: Repository, wanted: str, role: str = "pm") -> dict:
+        """chapter() as a reader sees it, who is counted: a view is kept for what is known of the module."""
+        own = self.chapter(r, wanted)
+        if own["status"] == "ok":
+            self.remember(r.url, own["name"], "view", wanted, "", 1.0)
+        return own | {"role": role_of(role), "guidance": roles.guidance(role)}
+
     def chapter(self, r: Repository, wanted: str) -> dict:
-        """A module's files as cards: signatures, classes, calls, imports; a large one's first ten files."""
+        """A module's files as cards: signatures, classes, calls, imports; a large one's first ten files. Several modules
+        that hold a name are told, as are all where none does."""
         found = modules.find_module(r.modules, wanted).collect()
         if not found:
-            return {"status": "not_found", "wanted": wanted}
+            several = [x["name"] for x in modules.modules_in_scope(r.modules, wanted).orderBy("ord").limit(CARDS).collect()]
+            known = several or [x["name"] for x in r.modules.filter("not is_special").orderBy("ord").limit(CARDS).collect()]
+            return {"status": "ambiguous" if several else "not_found", "wanted": wanted, "available": known}
         m = found[0]
         shown = m["files"][:CARDS] if m["total_lines"] > LARGE_MODULE else m["files"]
         own = r.results.filter(F.col("file_path").isin(shown)) if shown else r.results.limit(0)
@@ -184,7 +186,7 @@ class Engine:
         parts += [("history", "\n".join(past)), ("hotspots", "" if log is None else "\n".join(f"{x['topic']} ({x['question_count']})" for x in memory.hotspots(log.filter(F.col("module_name") == own["name"])).collect()))]
         parts += [(f"neighbour2:{n}", card_text(self.chapter(r, n))) for n in far if n not in near]
         text, used = answers.fill_budget(parts, budget)
-        return {"status": "ok", "module": own["name"], "role": role_of(role), "context": text, "used": used, "prompt": f"{BADGES[role_of(role)]}\n\n{text}\n\n问题：{question}"}
+        return {"status": "ok", "module": own["name"], "role": role_of(role), "context": text, "used": used, "prompt": f"{BADGES[role_of(role)]}\n{roles.guidance(role)}\n\n{text}\n\n问题：{question}"}
 
     def code_context(self, r: Repository, refs: list[tuple[str, int, int]]) -> str:
         """Numbered code around places (file, first line, last line)."""
@@ -195,12 +197,49 @@ class Engine:
             out.append(f"### {path}\n{answers.numbered(lines, first)}")
         return "\n\n".join(out)
 
+    def _contents(self, r: Repository, paths: list[str]) -> dict[str, str]:
+        """Texts of a few files."""
+        return {x["path"]: x["content"] or "" for x in r.files.filter(F.col("path").isin(paths)).select("path", "content").collect()} if paths else {}
+
+    def code_request(self, r: Repository, instruction: str, located: dict | None = None, paths: list[str] | None = None, role: str = "pm") -> dict:
+        """What a model is given to change code: files of a diagnosis and those that are named."""
+        wanted = sorted({x["file"] for x in codegen.places(located)} | set(paths or []))
+        return codegen.request(instruction, self._contents(r, wanted), located, role, self.domain(r) if role_of(role) == "domain_expert" else None)
+
     def check_code(self, r: Repository, answer: str) -> dict:
-        """A model's answer taken apart, with its diffs checked against the repository's files."""
-        found = answers.code_answer(answer)
-        text = diffs.assemble(found["diffs"])
-        touched = self.spark.createDataFrame([("answer", text)], "diff_id string, text string")
-        return found | {"diff": text, "checks": [x.asDict() for x in diffs.check_diffs(touched, r.files).collect()] if text else []}
+        """A model's answer taken apart, with its diff checked against the repository's files."""
+        touched = [d.path for d in diffs.parse(diffs.assemble(codegen.read_answer(answer)["diff_blocks"]))]
+        return codegen.result(answer, self._contents(r, touched))
+
+    def prompt(self, r: Repository, level: str, module: str = "", role: str = "pm", project_summary: str = "", lines: int = 400) -> tuple[str, str]:
+        """(system, user) for a summary: L1 the project, L2 its modules, L3 one module, L4 one module's code. Texts are
+        bounded by what a model reads: as many lines of each table."""
+        view = role_of(role)
+        said = {"guidance": roles.guidance(view, self.domain(r) if view == "domain_expert" else None), "http_status_annotations": roles.http_annotations()}
+        terms = self.glossary(r.url)
+        said["banned_terms"] = roles.banned_terms(view, None if terms is None else glossary.as_text(terms).first()[0])
+        text = lambda df, *order: "\n".join(x["line"] for x in df.orderBy(*order).limit(lines).collect())
+        if level == "L1":
+            tree = modules.file_tree(r.files.select(F.col("path").alias("file")), 2).select("path", F.col("path").alias("line"))
+            entry = summary.entry_file(r.files).collect()
+            stat = {x["language"]: x["files"] for x in stats.language_stats(r.files).collect()}
+            return summary.prompt(level, file_tree=text(tree, "path"), language_stats=stat, entry_file_content=entry[0]["content"] if entry else "(入口文件未找到)", **said)
+        if level == "L2":
+            told = r.results.filter("size(functions) > 0").select(F.col("file_path"), F.concat(F.lit("- "), "file_path", F.lit(": "), F.array_join(F.expr("transform(slice(functions, 1, 10), f -> f.name)"), ", ")).alias("line"))
+            return summary.prompt(level, project_summary=project_summary or "(待生成)", module_groups=text(summary.module_lines(r.modules), "ord"), dependency_edges=text(summary.edge_lines(r.module_edges), "src", "dst"), module_functions=text(told, "file_path"), **said)
+        own = self.chapter(r, module)
+        if own["status"] != "ok":
+            raise ValueError(f"{module}: {own['status']}")
+        code = "\n\n".join(f"### {p}\n{answers.numbered(t.splitlines()[:200])}" for p, t in sorted(self._contents(r, [c["file_path"] for c in own["cards"]][:CARDS]).items()))
+        near = graph.neighbours(r.module_edges, own["name"], 1).collect()
+        side = {d: ", ".join(sorted(x["name"] for x in near if x["direction"] == d)) or "无" for d in ("upstream", "downstream")}
+        info = {"name": own["name"], "total_lines": own["total_lines"], "files": len(own["cards"]) + len(own["remaining"])}
+        return summary.prompt(level, module_name=own["name"], module_info=info, source_code=code, parse_result=card_text(own), **side, **said)
+
+    def domain(self, r: Repository) -> str | None:
+        """What field a project is in, by its README and what it imports."""
+        imports = r.results.select(F.explode("imports").alias("i")).select(F.col("i.module").alias("module"))
+        return roles.infer_domain(r.files.select("path", "content"), imports).first()["domain"]
 
     def explore(self, r: Repository, query: str = "", role: str = "pm") -> dict:
         """Scan report, the chapters that fit the question best (or the hubs), and diagnoses of the question."""
@@ -214,10 +253,14 @@ class Engine:
         found = [self.diagnose(r, query)] if query.strip() else []
         return {"report": report, "chapters": chapters, "diagnoses": found, "mermaid": report["mermaid"], "locations": [x for f in found for x in f["locations"]]}
 
-    def blueprint(self, r: Repository, path: str, text: dict | None = None) -> str:
+    def blueprint(self, r: Repository, path: str, text: dict | None = None, version: int = 2) -> str:
+        """A report as one page: version 1 a still drawing, version 2 one to move about in, by flows where there are any."""
         places, links = graph.core_and_rest(r.module_list, r.module_edges)
         cards = places.select(F.col("place").alias("name"), "core").distinct().join(r.modules.select("name", "total_lines"), "name", "left").select("name", F.coalesce(graph.size_health(F.col("total_lines")), F.lit("green")).alias("health"), business_name(F.col("name")).alias("summary"))
-        return render.write_blueprint(path, r.url, [x.asDict() for x in cards.orderBy("name").collect()], [x.asDict() for x in links.collect()], text)
+        shown, lines = [x.asDict() for x in cards.orderBy("name").collect()], [x.asDict() for x in links.withColumn("verb", connection_verb(F.col("dst"))).collect()]
+        if version == 1:
+            return render.write_blueprint(path, r.url, shown, lines, text)
+        return render.write_page(path, render.interactive_blueprint(r.url, shown, lines, text))
 
     def summarize(self, r: Repository, answer: object = None) -> dict:
         """A summary for the blueprint: a model's answer where it is given and sound, else by rules."""
@@ -231,19 +274,39 @@ class Engine:
         write_json(path, self.summarize(r, answer))
         return path
 
-    def feedback(self, url: str, module: str, question: str, useful: bool) -> None:
-        self.remember(url, module, "qa", question, "", 1.0 if useful else 0.0)
+    def feedback(self, r: Repository, module: str, question: str, answer_summary: str, confidence: float = 0.9, follow_ups: list[str] | None = None) -> dict:
+        """Keeps how a question about a module was answered; modules are called by their name or directory."""
+        known = r.modules.filter((F.col("name") == module) | (F.col("dir_path") == module)).select("name").limit(1).collect()
+        if not known:
+            return {"status": "error", "error": f"模块「{module}」不存在", "available_modules": [x["name"] for x in r.modules.filter("not is_special").orderBy("ord").limit(CARDS).collect()]}
+        more = follow_ups or []
+        self.remember(r.url, known[0]["name"], "qa", question, answer_summary, confidence, more)
+        return {"status": "ok", "message": f"已记录：模块「{module}」的 Q&A 交互。置信度 {confidence:.0%}，后续追问方向 {len(more)} 个。"}
 
     def follow(self, url: str, listing, save):
-        """A watch of a repository; start(), look(), status(), stop() are its own."""
+        """A watch of a repository, one at a time for each: start(), look(), status(), stop() are its own."""
         from ..streaming.watch import Watch
 
-        return Watch(self.spark, listing, save)
+        if url not in self.watches:
+            self.watches[url] = Watch(self.spark, listing, save)
+        return self.watches[url]
+
+    def unfollow(self, url: str) -> dict:
+        """Stops a repository's watch; what it had seen, or that there was none."""
+        watch = self.watches.pop(url, None)
+        if watch is None:
+            return {"status": "error", "error": "没有正在进行的监听"}
+        watch.stop()
+        return {"status": "ok", **watch.status()}
+
+    def watching(self) -> dict:
+        return {url: watch.status() for url, watch in self.watches.items()}
 
     # -- memory and terms
 
-    def remember(self, url: str, module: str, kind: str, query: str, summary: str, confidence: float) -> None:
-        row = self.spark.range(1).select(*memory.record(F.lit(module), kind, F.lit(query), F.lit(summary), F.lit(confidence)), F.lit(time.time_ns()).alias("ord"))
+    def remember(self, url: str, module: str, kind: str, query: str, summary: str, confidence: float, follow_ups: list[str] | None = None) -> None:
+        more = F.array(*[F.lit(x) for x in follow_ups or []]).cast("array<string>")
+        row = self.spark.range(1).select(*memory.record(F.lit(module), kind, F.lit(query), F.lit(summary), F.lit(confidence)), more.alias("follow_ups"), F.lit(time.time_ns()).alias("ord"))
         self.store.save("interactions", url, row, append=True)
 
     def log(self, url: str) -> DataFrame | None:

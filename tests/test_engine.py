@@ -5,7 +5,7 @@ from loomgraph.extract import health
 from loomgraph.functions import answers
 from loomgraph.operators import diffs, flows, glossary, incremental, memory, render, search
 from loomgraph.plans import bind_sources as b
-from loomgraph.plans import summary
+from loomgraph.plans import codegen, roles, summary
 from loomgraph.plans.tools import Engine, role_of
 from loomgraph.sources import repository
 from loomgraph.sources.store import migrate, read_json, write_json
@@ -60,7 +60,7 @@ def test_report_and_chapter(engine):
     assert [(x["src"], x["dst"]) for x in report["links"]] and report["parse_quality"]["native"] == 6
     c = e.chapter(r, "Serv")
     assert c["name"] == "services" and c["cards"][0]["functions"][0]["name"] == "create_order"
-    assert e.chapter(r, "nothing")["status"] == "not_found" and role_of("dev") == "dev" and role_of("?") == "pm"
+    assert e.chapter(r, "nothing")["status"] == "not_found" and role_of("dev") == "dev" and role_of("?") == "pm" and role_of("qa") == "dev"
 
 
 def test_diagnose_and_memory(engine):
@@ -82,14 +82,78 @@ def test_ask_explore_blueprint_terms(engine, tmp_path):
     x = e.explore(r, "create order")
     assert x["chapters"] and x["mermaid"] and x["locations"]
     assert e.explore(r)["chapters"]
-    page = open(e.blueprint(r, str(tmp_path / "b.html"), {"summary": "<hi>"})).read()
+    page = open(e.blueprint(r, str(tmp_path / "b.html"), {"summary": "<hi>"}, version=1)).read()
     assert "&lt;hi&gt;" in page and "services" in page
+    told = e.summarize(r) | {"flows": [{"name": "主流程", "description": "</script>", "steps": ["一", "二"]}]}
+    page = open(e.blueprint(r, str(tmp_path / "c.html"), told)).read()
+    assert page.startswith("<!DOCTYPE html>") and all(x in page for x in ("主流程", "renderFlows", "renderOverview", "enterModule", "dblclick", "wheel", "Overview", "arrowhead", "创建 order")) and "\\u003c/script>" in page and "http://" not in page.replace("http://www.w3.org/2000/svg", "")
     e.correct_term(r.url, "order", "订单")
     e.correct_term(r.url, "order", "单")
     assert e.glossary(r.url).first()["target_phrase"] == "单" and e.glossary("other") is None
     assert "   1 | from services" in e.code_context(r, [("api/views.py", 1, 2)])
     answer = '```json\n{"diff_blocks": [{"file": "db/store.py", "diff_content": "@@ -1,2 +1,2 @@\\n def save(row):\\n-    return row\\n+    return dict(row)\\n"}]}\n```'
-    assert e.check_code(r, answer)["checks"][0]["valid"]
+    done = e.check_code(r, answer)
+    assert done["diff_valid"] and done["status"] == "success"
+
+
+def test_roles_prompts_and_feedback(spark, engine):
+    e, r = engine
+    assert roles.guidance("ceo") == roles.GUIDANCE["pm"] and "KYC" in roles.guidance("domain_expert", "fintech") and roles.guidance("domain_expert", "none") == roles.GUIDANCE["domain_expert"]
+    assert "- 404（找不到）" in roles.http_annotations() and "「slug」" in roles.banned_terms("domain_expert") and roles.banned_terms("qa") == "" and roles.banned_terms("pm", "- a → b") == "- a → b"
+    shop = spark.createDataFrame([("README.md", "电商 订单 与 支付"), ("a.py", "订单")], "path string, content string")
+    used = spark.createDataFrame([("shopify.api",), ("stripe",)], "module string")
+    assert roles.infer_domain(shop, used).first()["domain"] == "ecommerce" and roles.infer_domain(shop.limit(0), used.limit(0)).first()["domain"] is None
+    system, user = e.prompt(r, "L1")
+    assert "产品经理" in system and "api/views.py" in user and "python" in user and "入口文件未找到" in user
+    system, user = e.prompt(r, "L2", role="dev")
+    assert "- services: 1 文件, 6 行" in user and "api → services (1 次, 弱依赖)" in user and "create_order" in user
+    system, user = e.prompt(r, "L3", "services")
+    assert "404" in system and "上游：api" in user and "下游：db" in user and "def create_order" in user
+    assert e.read_chapter(r, "services", "qa")["role"] == "dev" and e.chapter(r, "s")["status"] == "ambiguous"
+    before = {x["module_name"]: x for x in memory.understanding(e.log(r.url)).collect()}["services"]["view_count"]
+    assert before >= 1
+    assert e.feedback(r, "nothing", "q", "a")["status"] == "error" and e.feedback(r, "db", "q", "a", 0.5, ["x"])["status"] == "ok"
+    assert e.log(r.url).filter("module_name = 'db'").first()["follow_ups"] == ["x"]
+    assert e.watching() == {} and e.unfollow(r.url)["status"] == "error"
+    e.follow(r.url, lambda: listing(spark), lambda df, _: df)
+    assert e.follow(r.url, None, None) is e.watches[r.url] and e.watching()[r.url]["active"] is False and e.unfollow(r.url)["status"] == "ok"
+
+
+def test_codegen(engine):
+    e, r = engine
+    asked = e.code_request(r, "把报错改成中文", e.diagnose(r, "create order"), ["db/store.py"], "dev")
+    assert asked["status"] == "context_ready" and {"db/store.py", "services/orders.py"} <= set(asked["files"]) and "   2 | def create_order" in asked["current_code"]["services/orders.py"] and asked["locate_info"]["exact_locations"]
+    assert e.code_request(r, "x")["status"] == "error"
+    md = """## 变更摘要
+| 文件 | 行 | 改之前 | 改之后 |
+|---|---|---|---|
+| `db/store.py` | 1-2 | 原样 | 复制 |
+
+## 代码变更
+### 变更 1：复制一份
+**文件**：`db/store.py`
+**改之前**：原样返回
+```diff
+@@ -5,2 +5,2 @@
+ def save(row):
+-    return row
++    return dict(row)
+```
+**改之后**：返回副本
+
+## 影响范围
+| 模块 | 影响 | 行动 |
+|---|---|---|
+| **services** | 无 | 仅需知晓 |
+
+## 验证方式
+1. **保存订单** → 返回副本
+"""
+    done = e.check_code(r, md)
+    assert done["status"] == "success" and "@@ -1,2 +1,2 @@" in done["unified_diff"] and done["change_summary"] == [{"file": "db/store.py", "line_range": "1-2", "before": "原样", "after": "复制"}]
+    assert done["diff_blocks"][0]["title"] == "复制一份" and done["diff_blocks"][0]["before_desc"] == "原样返回" and done["diff_blocks"][0]["after_desc"] == "返回副本"
+    assert done["blast_radius"][0]["file_or_module"] == "services" and done["verification_steps"] == [{"step": "保存订单", "expected_result": "返回副本"}]
+    assert codegen.result("no diff", {})["status"] == "error" and e.check_code(r, md.replace("return row", "return nothing"))["status"] == "partial"
 
 
 def test_incremental_scan(spark, engine):
@@ -214,7 +278,10 @@ def test_store(tmp_path, spark):
 
     s = RepositoryStore(spark, str(tmp_path / "new"))
     assert migrate(s, str(tmp_path / "old")) == 1 and migrate(s, str(tmp_path / "old")) == 0 and s.load("diagnoses", "u").count() == 1 and s.load("nothing") is None
-    assert s.load("diagnoses").count() == 1
+    assert s.load("diagnoses").count() == 1 and s.load("diagnoses", "u").first()["q"] == 1
+    write_json(str(tmp_path / "older" / "r.json"), {"repo_url": "v", "interactions": [{"module_name": "m", "kind": "qa", "query": "why", "confidence": 0.2}], "odd": [{"a": 1, "b": [2]}, {"a": 1.5}]})
+    assert migrate(s, str(tmp_path / "older")) == 1 and memory.understanding(s.load("interactions", "v")).first()["ask_count"] == 1
+    assert sorted((r["a"], r["b"]) for r in s.load("odd", "v").collect()) == [(1.0, "[2]"), (1.5, None)]
 
 
 def test_picture_escapes(spark):
@@ -232,7 +299,7 @@ def test_summary(engine, tmp_path):
     assert told["create_order"] == "创建 order，参数为 data" and {c["verb"] for c in s["connections"]} == {"读写数据", "调用"}
     assert e.summarize(r, "no json") == s and e.summarize(r, {"project_name": "x", "project_description": "y", "modules": [{"code_path": "a", "business_name": "b", "description": "c"}]})["modules"][0]["health"] == "green"
     assert read_json(e.save_summary(r, {"modules": 3}, str(tmp_path / "s.json")))["project_name"] == "shop"
-    assert summary.prompt("L4", module_name="m", source_code="{x}")[1] == "m\n{x}" and summary.banned_terms({}, None, "dev") == "" and "无" not in summary.banned_terms({}, None, "pm")
+    assert summary.prompt("L4", module_name="m", source_code="{x}")[1] == "m\n{x}" and roles.banned_terms("dev") == "" and "无" not in roles.banned_terms("pm")
     assert summary.load_config([str(tmp_path / "none.json")], {"a": 1}) == {"a": 1}
 
 
