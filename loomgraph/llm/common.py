@@ -21,16 +21,10 @@ REPO_ROOT = str(Path(__file__).resolve().parents[2])
 BATCH_ROWS = 500
 
 
-#: Workers' allocators: large arrays go back to the system when they are freed, not when the process ends.
-WORKER_MEMORY = {"MALLOC_ARENA_MAX": "2", "MALLOC_MMAP_THRESHOLD_": "1048576", "MALLOC_TRIM_THRESHOLD_": "8388608", "ARROW_DEFAULT_MEMORY_POOL": "system"}
-
-
 def ship_package(spark: SparkSession) -> None:
     """Let Python workers import this package when the session was started elsewhere, and get rows in small batches."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     env = spark.sparkContext.environment
-    for name, value in WORKER_MEMORY.items():
-        env.setdefault(name, value)
     paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
     if REPO_ROOT not in paths:
         env["PYTHONPATH"] = os.pathsep.join([*paths, REPO_ROOT])
