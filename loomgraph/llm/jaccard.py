@@ -629,7 +629,7 @@ def row_components(docs: DataFrame, text: str = "text", words: int = WORDS, perc
     shingles); keyed: key, which with the id tells rows apart, too."""
     spark = docs.sparkSession
     rows = docs.select("doc_id", F.col(text).alias("text"))
-    parts = input_parallelism(docs)
+    parts = 2 * input_parallelism(docs)  # a task holds its part's shingles or entries
     named, types = (docs.select("doc_id", F.col(text).alias("text"), text_key(text).alias("key")), ", key long") if keyed else (rows, "")
     classes = materialize(named.mapInArrow(tidy(_classes(words)), "doc_id long, n long, class binary, sketch binary" + types), "join-classes")
     sketches = classes.filter("sketch is not null").groupBy("class").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"))
