@@ -4,8 +4,9 @@ Texts are cut where a rolling hash of the last 16 code points says so, so passag
 alike. A chunk met before isn't encoded again. Chunks are cut anywhere, also inside words: at each join the last
 and first spans of both sides are encoded anew, and the window grows until its outer ids agree with both chunks'.
 
-Documents that share lines are dealt to the same task: by the least hash of their lines, so copies and near copies
-meet. Groups too large for a task are dealt over several; each then encodes its chunks once.
+Documents are dealt to parts by the least hash of their lines, so most copies and near copies meet; groups too large
+for a task are dealt over several parts. Within a part a chunk is encoded once. Chunks of several parts, which a first
+pass over hashes finds, are dealt by their hash, encoded once there, and their ids are sent to the parts that have them.
 """
 
 from __future__ import annotations
@@ -16,7 +17,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import input_parallelism
+from .common import input_parallelism, materialize, tidy
+from .jaccard import _candidate_filter, _filter_places
 from .packing import vocabulary
 from .tokens import SpanEncoder, batches, encoder
 
@@ -26,6 +28,8 @@ CUT_MASK, LEAST_CHUNK, MOST_CHUNK = 1023, 256, 8192
 REMEMBERED = 12_000_000
 #: UTF-8 bytes that documents of one group bring to one task.
 GROUP_BYTES = 16 << 20
+#: Up to so many groups over that are sent to all tasks: 12 bytes each.
+HOT_GROUPS = 200_000
 
 
 def chunk_ends(text: str) -> list[int]:
@@ -50,15 +54,32 @@ def chunk_ends(text: str) -> list[int]:
     return [*ends, n]
 
 
+def cut_text(text: str) -> list[str]:
+    ends = chunk_ends(text)
+    return [text[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+
+
+def chunk_name(chunk: str) -> bytes:
+    """128 bits that stand for a chunk."""
+    return hashlib.blake2b(chunk.encode("utf-8", "surrogatepass"), digest_size=16).digest()
+
+
 class ChunkEncoder:
-    """Encodes texts from chunks; `reused` and `encoded` count code points of chunks."""
+    """Encodes texts from chunks; `reused` and `encoded` count code points of chunks. given: what others have encoded,
+    by name: (ids, where spans end)."""
 
     def __init__(self, spans: SpanEncoder):
         self.spans, self.chunks, self.held = spans, {}, 0
+        self.given: dict[bytes, tuple[np.ndarray, np.ndarray]] = {}
         self.joins: dict[tuple[str, str], tuple[int, int, np.ndarray]] = {}
         self.reused = self.encoded = self.widened = 0
 
     def _learn(self, fresh: list[str]) -> None:
+        if self.given:
+            known = {c: found for c in fresh if (found := self.given.get(chunk_name(c))) is not None}
+            self.chunks |= known
+            self.held += sum(map(len, known))
+            fresh = [c for c in fresh if c not in known]
         for part in batches(fresh):
             ids, at, ends, span_at = self.spans.encode(part)
             for k, chunk in enumerate(part):
@@ -70,10 +91,7 @@ class ChunkEncoder:
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         if self.held > REMEMBERED:
             self.chunks, self.joins, self.held = {}, {}, 0
-        cut = []
-        for t in texts:
-            ends = chunk_ends(t)
-            cut.append([t[a:b] for a, b in zip([0, *ends], ends, strict=False)])
+        cut = [cut_text(t) for t in texts]
         fresh = {c: None for chunks in cut for c in chunks if c not in self.chunks}
         self.reused += sum(map(len, texts)) - sum(map(len, fresh))
         self._learn(list(fresh))
@@ -149,13 +167,16 @@ class Decoder:
 
 
 def _encode_rows(path: str, keep_ids: bool):
+    """Rows of parts, each part's given chunks (node) before its documents."""
+
     def run(batch_iterator):
         import pyarrow as pa
 
         spans = encoder(path, words=False)
-        chunks, decoder = ChunkEncoder(spans), Decoder(spans)
-        for batch in batch_iterator:
-            for part in batches(zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), strict=True), lambda r: len(r[1]) + 1):
+        chunks, decoder, part_of = ChunkEncoder(spans), Decoder(spans), None
+
+        def documents(rows):
+            for part in batches(rows, lambda r: len(r[1]) + 1):
                 found = chunks.encode([r[1] for r in part])
                 raw = [ids.astype("<u4").tobytes() for ids in found]
                 decoded = [decoder.decode(ids) for ids in found]
@@ -168,36 +189,119 @@ def _encode_rows(path: str, keep_ids: bool):
                     names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
                 yield pa.RecordBatch.from_arrays(cols, names=names)
 
+        for batch in batch_iterator:
+            rows = []
+            for part, node, ids, ends, doc_id, text in zip(*(batch[c].to_pylist() for c in ("part", "node", "ids", "ends", "doc_id", "text")), strict=True):
+                if part != part_of:
+                    yield from documents(rows)
+                    rows, part_of = [], part
+                    chunks.given = {}
+                if node is not None:
+                    chunks.given[node] = np.frombuffer(ids, "<u4"), np.frombuffer(ends, "<i4")
+                else:
+                    rows.append((doc_id, text))
+            yield from documents(rows)
+
     return run
 
 
-def deal_by_content(docs: DataFrame, text: str = "text", group_bytes: int = GROUP_BYTES) -> DataFrame:
-    """(doc_id, text), null texts empty, dealt so that documents with lines in common tend to meet.
+def _names_met(batch_iterator):
+    """(node, part) of chunks, each once in a task as far as it remembers."""
+    import pyarrow as pa
+
+    seen: set[tuple[bytes, int]] = set()
+    for batch in batch_iterator:
+        if len(seen) > 200_000:
+            seen.clear()
+        fresh = {(chunk_name(c), part) for part, text in zip(batch["part"].to_pylist(), batch["text"].to_pylist(), strict=True) for c in cut_text(text)} - seen
+        seen |= fresh
+        nodes, parts = zip(*fresh, strict=True) if fresh else ((), ())
+        yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.binary()), pa.array(parts, pa.int32())], names=["node", "part"])
+
+
+def _texts_of(bits):
+    """(node, chunk) of chunks that the filter lets through, each once in a task as far as it remembers."""
 
-    A group is the least hash of a document's lines. Groups over group_bytes are few (at most all bytes divided by
-    group_bytes, so the table of them is bounded by the number of tasks) and are dealt over as many parts as they
-    have times group_bytes.
+    def run(batch_iterator):
+        import pyarrow as pa
+
+        known, seen = bits.value, set()
+        for batch in batch_iterator:
+            if len(seen) > 200_000:
+                seen.clear()
+            rows = []
+            for text in batch["text"].to_pylist():
+                for c in cut_text(text):
+                    f = chunk_name(c)
+                    if f not in seen and all(known[p >> 3] >> (p & 7) & 1 for p in _filter_places(f, len(known) * 8)):
+                        seen.add(f)
+                        rows.append((f, c))
+            yield pa.RecordBatch.from_arrays([pa.array([f for f, _ in rows], pa.binary()), pa.array([c for _, c in rows], pa.string())], names=["node", "chunk"])
+
+    return run
+
+
+def _encode_chunks(path: str):
+    def run(batch_iterator):
+        import pyarrow as pa
+
+        spans = encoder(path, words=False)
+        for batch in batch_iterator:
+            for some in batches(zip(batch["node"].to_pylist(), batch["chunk"].to_pylist(), strict=True), lambda r: len(r[1]) + 1):
+                chunks = ChunkEncoder(spans)
+                chunks._learn([c for _, c in some])
+                found = [chunks.chunks[c] for _, c in some]
+                cols = [pa.array([f for f, _ in some], pa.binary()), pa.array([ids.astype("<u4").tobytes() for ids, _ in found], pa.binary()), pa.array([ends.astype("<i4").tobytes() for _, ends in found], pa.binary())]
+                yield pa.RecordBatch.from_arrays(cols, names=["node", "ids", "ends"])
+
+    return run
+
+
+def place_by_content(docs: DataFrame, text: str = "text", group_bytes: int = GROUP_BYTES) -> DataFrame:
+    """(doc_id, text, part), null texts empty, placed so that documents with lines in common tend to meet.
+
+    A group is the least hash of a document's lines. Groups over group_bytes are spread over as many parts as they
+    have times group_bytes. They are written and counted first: up to HOT_GROUPS of them are sent to all tasks; of
+    more, each row asks for its own.
     """
     t = F.coalesce(F.col(text), F.lit(""))
     rows = docs.select("doc_id", t.alias("text"), F.array_min(F.transform(F.split(t, "\n"), lambda x: F.xxhash64(x))).alias("route"))
     hot = rows.groupBy("route").agg(F.sum(F.octet_length("text")).alias("bytes")).filter(F.col("bytes") > group_bytes)
-    hot = hot.select("route", F.ceil(F.col("bytes") / group_bytes).cast("int").alias("ways"))
-    salted = rows.join(F.broadcast(hot), "route", "left").withColumn("way", F.when(F.col("ways").isNull(), 0).otherwise(F.pmod(F.xxhash64("doc_id"), F.col("ways")).cast("int")))
-    return salted.repartition(input_parallelism(docs), "route", "way").select("doc_id", "text")
-
-
-def encode_documents(docs: DataFrame, tokenizer_path: str, text: str = "text") -> DataFrame:
+    hot = materialize(hot.select("route", F.ceil(F.col("bytes") / group_bytes).cast("int").alias("ways")), "bpe-hot")
+    side = F.broadcast(hot) if hot.count() <= HOT_GROUPS else hot
+    way = F.when(F.col("ways").isNull(), 0).otherwise(F.pmod(F.xxhash64("doc_id", "text"), F.col("ways")).cast("int"))
+    return rows.join(side, "route", "left").select("doc_id", "text", F.pmod(F.xxhash64("route", way), F.lit(input_parallelism(docs))).cast("int").alias("part"))
+
+
+def _dealt(docs: DataFrame, path: str, text: str, group_bytes: int = GROUP_BYTES) -> DataFrame:
+    """(part, node, ids, ends, doc_id, text): each part's chunks that other parts have, too, then its documents."""
+    spark = docs.sparkSession
+    placed = place_by_content(docs, text, group_bytes)
+    met = placed.select("part", "text").mapInArrow(tidy(_names_met), "node binary, part int")
+    shared = materialize(met.distinct().groupBy("node").agg(F.collect_list("part").alias("parts")).filter(F.size("parts") > 1), "bpe-shared")
+    bits = spark.sparkContext.broadcast(_candidate_filter(shared))
+    texts = placed.select("text").mapInArrow(tidy(_texts_of(bits)), "node binary, chunk string").join(shared.select("node"), "node", "left_semi")
+    once = texts.groupBy("node").agg(F.first("chunk").alias("chunk"))
+    known = materialize(once.mapInArrow(tidy(_encode_chunks(path)), "node binary, ids binary, ends binary"), "bpe-chunks")
+    none = lambda kind: F.lit(None).cast(kind)
+    given = known.join(shared, "node").select(F.explode("parts").alias("part"), "node", "ids", "ends", none("long").alias("doc_id"), none("string").alias("text"))
+    own = placed.select("part", none("binary").alias("node"), none("binary").alias("ids"), none("binary").alias("ends"), "doc_id", "text")
+    return given.unionByName(own).repartition(input_parallelism(docs), "part").sortWithinPartitions("part", F.col("node").isNull())
+
+
+def encode_documents(docs: DataFrame, tokenizer_path: str, text: str = "text", group_bytes: int = GROUP_BYTES) -> DataFrame:
     """One row per row of docs: doc_id, n_tokens, ids (binary, 32-bit little-endian), decoded (string).
 
     ids are exactly the vocabulary's for the whole text, without special tokens added; their strings in a text are
     taken as the vocabulary takes them. Null and empty texts have no ids. Repeated rows give repeated rows, other
-    columns aren't read, an empty table gives no rows. Texts are shuffled once; tasks remember a bounded number of
-    chunks, so a very large group is encoded once per task and REMEMBERED code points.
+    columns aren't read, an empty table gives no rows. Texts are shuffled once. A task remembers REMEMBERED code points
+    of chunks; should a part hold more, it forgets them and encodes anew what it meets again.
     """
-    return deal_by_content(docs, text).mapInArrow(_encode_rows(tokenizer_path, True), "doc_id long, n_tokens long, ids binary, decoded string")
+    return _dealt(docs, tokenizer_path, text, group_bytes).mapInArrow(tidy(_encode_rows(tokenizer_path, True)), "doc_id long, n_tokens long, ids binary, decoded string")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
     """All of documents; the digests are taken where the ids are, so ids and texts needn't come back."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return deal_by_content(docs).mapInArrow(_encode_rows(vocabulary("byte_bpe_50k.json"), False), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    path = vocabulary("byte_bpe_50k.json")
+    return _dealt(docs, path, "text").mapInArrow(tidy(_encode_rows(path, False)), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

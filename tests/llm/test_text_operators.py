@@ -73,8 +73,29 @@ def test_bpe_rows(spark, docs):
 
 def test_large_groups_are_dealt_over_tasks(spark):
     same = spark.range(400).select(F.col("id").alias("doc_id"), F.lit("the same text " * 20).alias("text"))
-    dealt = bpe.deal_by_content(same, group_bytes=20_000).withColumn("p", F.spark_partition_id())
-    assert dealt.count() == 400 and dealt.select("p").distinct().count() > 1
+    for hot in (bpe.HOT_GROUPS, 0):  # both ways of meeting large groups
+        bpe.HOT_GROUPS, kept = hot, bpe.HOT_GROUPS
+        dealt = bpe.place_by_content(same, group_bytes=20_000)
+        bpe.HOT_GROUPS = kept
+        assert dealt.count() == 400 and dealt.select("part").distinct().count() > 1
+
+
+def test_chunks_of_several_parts_are_encoded_once(spark):
+    """Documents with one long passage and own lines land in several parts; all ids are the vocabulary's."""
+    ship_package(spark)
+    rng = np.random.default_rng(3)
+    passage = " ".join("".join(rng.choice(list("abcdefgh"), 6)) for _ in range(1500))
+    rows = [(k, f"own line {k} {rng.integers(1 << 30)}\n{passage} tail {k}") for k in range(60)] + [(None, "x"), (60, None), (7, rng.bytes(4).hex() + passage)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    placed = bpe.place_by_content(df)
+    names = placed.select("part", "text").mapInArrow(bpe._names_met, "node binary, part int").distinct()
+    assert names.groupBy("node").count().filter("count > 1").count() >= 3
+    dealt = bpe._dealt(df, BYTE, "text").collect()
+    assert sum(r.node is not None for r in dealt) >= 6 and sum(r.node is None for r in dealt) == len(rows)
+    t = tokenizers.Tokenizer.from_file(BYTE)
+    got = bpe.encode_documents(df, BYTE, group_bytes=50_000).collect()
+    assert sorted((str(r.doc_id), r.decoded) for r in got) == sorted((str(d), x or "") for d, x in rows)
+    assert all(np.frombuffer(r.ids, "<u4").tolist() == t.encode(r.decoded, add_special_tokens=False).ids for r in got)
 
 
 def brute_cuts(ends, penalties, window):
