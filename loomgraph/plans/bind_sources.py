@@ -8,7 +8,7 @@ from pathlib import Path
 from pyspark.sql import functions as F
 
 from ..extract import router
-from ..operators import diffs, incremental, stats
+from ..operators import incremental, stats
 from ..sources import repository
 
 ROOT = str(Path(__file__).resolve().parents[2])
@@ -96,7 +96,7 @@ def scan_plan(spark, d):
     return incremental.plan_scan(incremental.snapshot(_old(spark, d)), incremental.snapshot(_new(spark, d)))
 
 
-#: Sources of the extraction queries, of our own making.
+#: Sources and diffs of our own making, for tests; the queries make theirs of tables' rows.
 PYTHON = '''import os, sys as system
 from .base import Base, helper as h
 
@@ -125,13 +125,6 @@ OTHER = "module Shop\n  def buy(x)\n    pay(x)\n  end\nimport thing;\n"
 SOURCES = (("svc.py", "python", PYTHON), ("broken.py", "python", BROKEN), ("view.ts", "typescript", TYPESCRIPT), ("m.go", "go", GO), ("l.rs", "rust", RUST), ("A.java", "java", JAVA), ("shop.zig", "zig", OTHER), ("empty.py", "python", ""), ("none.py", "python", None))
 
 
-def extract(spark, d):
-    rows = spark.createDataFrame([(p, lang, c, False, 0) for p, lang, c in SOURCES], "path string, language string, content string, is_config boolean, line_count long")
-    r = router.parse_files(rows)
-    names = [F.array_join(F.transform(c, lambda x: x["name"]), ",").alias(c) for c in ("functions", "classes")]
-    return r.select("file_path", "parse_method", "parse_confidence", "line_count", *names, F.array_join(F.transform("imports", lambda x: x.module), ",").alias("imports"), F.array_join(F.transform("calls", lambda x: F.concat(x.caller_func, F.lit(">"), x.callee_name)), ",").alias("calls"))
-
-
 def extract_documents(spark, d):
     """Every document as a source file of its path's language: what a scan parses, by method."""
     files, _ = repository.scan(listing(spark, d), None)
@@ -148,24 +141,6 @@ DIFFS = (
 )
 
 
-def _diffs(spark):
-    return spark.createDataFrame(DIFFS, "diff_id string, text string"), spark.createDataFrame([("f.txt", FILE)], "path string, content string")
-
-
-def diff_parse(spark, d):
-    return diffs.diff_lines(_diffs(spark)[0])
-
-
-def diff_context(spark, d):
-    t, files = _diffs(spark)
-    return diffs.context_mismatches(diffs.diff_lines(t), files)
-
-
-def diff_apply(spark, d):
-    t, files = _diffs(spark)
-    return diffs.check_diffs(t, files).select("diff_id", "path", "valid", "message", F.size("details").alias("n_details"), F.sha2("applied", 256).alias("applied"))
-
-
 QUERIES = {
     "scan_files": (scan_files, _FILES),
     "scan_summary": (scan_summary, SUMMARY),
@@ -174,9 +149,5 @@ QUERIES = {
     "snapshot_diff": (snapshot_diff, _CHANGES),
     "incremental_merge": (incremental_merge, f"SELECT path, sha256(content) AS sha256 FROM ({_NEW}) n"),
     "scan_plan": (scan_plan, f"SELECT count(*) AS n_changed, (SELECT count(*) FROM documents) AS n_files, CASE WHEN count(*) = 0 THEN 'none' WHEN count(*) / (SELECT count(*) FROM documents) < 0.3 THEN 'incremental' ELSE 'full' END AS mode FROM ({_CHANGES}) c"),
-    "extract": (extract, None),
     "extract_documents": (extract_documents, None),
-    "diff_parse": (diff_parse, None),
-    "diff_context": (diff_context, None),
-    "diff_apply": (diff_apply, None),
 }

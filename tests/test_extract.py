@@ -1,6 +1,7 @@
 from loomgraph.extract import grammar, patterns
 from loomgraph.extract.patterns import swift_targets
 from loomgraph.extract.router import facts, parse, parse_files, quality, warning
+from loomgraph.operators import diffs
 from loomgraph.plans import bind_sources as b
 
 
@@ -121,3 +122,16 @@ def test_parse_files_and_facts(spark):
     q = quality(r).first().asDict()
     assert q["files"] == len(b.SOURCES) and q["failed"] == 1
     assert warning({"files": 4, "partial": 3, "basic": 0}).startswith("⚠️") and warning({"files": 4, "partial": 0, "basic": 0}) == ""
+
+
+def test_sources_and_diffs_by_hand(spark):
+    rows = spark.createDataFrame([(p, lang, c, False, 0) for p, lang, c in b.SOURCES], "path string, language string, content string, is_config boolean, line_count long")
+    got = {r.file_path: r for r in parse_files(rows).collect()}
+    assert {k: r.parse_method for k, r in got.items()} == {"svc.py": "native", "broken.py": "partial", "view.ts": "partial", "m.go": "partial", "l.rs": "partial", "A.java": "partial", "shop.zig": "partial", "empty.py": "native", "none.py": "failed"}
+    texts = spark.createDataFrame(b.DIFFS, "diff_id string, text string")
+    files = spark.createDataFrame([("f.txt", b.FILE)], "path string, content string")
+    done = {r.diff_id: r for r in diffs.check_diffs(texts, files).collect()}
+    assert {k: (r.valid, r.message) for k, r in done.items()} == {"good": (True, "ok"), "moved": (True, "repaired"), "wrong": (False, "context"), "new": (True, "ok")}
+    assert done["good"].applied.split("\n")[2:6] == ["line 3", "line four", "more", "line 5"] and done["moved"].applied.split("\n")[20] == "line x" and done["new"].applied == "a\nb"
+    lines = diffs.diff_lines(texts)
+    assert lines.count() == 13 and {(r.diff_id, r.line) for r in diffs.context_mismatches(lines, files).collect()} >= {("wrong", 2), ("moved", 8)}
