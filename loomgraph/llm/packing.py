@@ -24,7 +24,7 @@ WINDOW = 4096
 #: In padded ids: what a cut between sentences of a document costs, and one inside a sentence.
 SENTENCE_CUT, FORCED_CUT = 24.0, 400.0
 #: Ids after which a task looks for what it can cut for good. Results don't depend on it.
-HELD_IDS = 1 << 20
+HELD_IDS = 1 << 21
 END_ID = 2
 
 
@@ -73,14 +73,27 @@ def settled_cuts(ends: np.ndarray, penalties: np.ndarray, window: int = WINDOW)
     return _path(place, before, open_.pop())
 
 
+def _merged(*parts: np.ndarray) -> np.ndarray:
+    """All values of sorted arrays, each once, in order."""
+    every = np.sort(np.concatenate(parts), kind="stable")
+    return every[np.concatenate([[True], every[1:] != every[:-1]])] if len(every) else every
+
+
+def _among(values: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which values a sorted array has."""
+    if not len(known):
+        return np.zeros(len(values), bool)
+    return known[np.minimum(np.searchsorted(known, values), len(known) - 1)] == values
+
+
 def possible_cuts(doc_ends: np.ndarray, sentence_ends: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
-    """choose_cuts()'s arguments; stretches over a window without an end get cuts inside sentences."""
-    places = np.union1d(doc_ends, sentence_ends)
+    """choose_cuts()'s arguments, of sorted places; stretches over a window without an end get cuts inside sentences."""
+    places = _merged(doc_ends, sentence_ends)
     gaps = np.diff(places, prepend=0)
     extra = [np.arange(e - g + window, e, window) for e, g in zip(places[gaps > window], gaps[gaps > window], strict=True)]
     if extra:
-        places = np.union1d(places, np.concatenate(extra))
-    penalty = np.where(np.isin(places, doc_ends), 0.0, np.where(np.isin(places, sentence_ends), SENTENCE_CUT, FORCED_CUT))
+        places = _merged(places, *extra)
+    penalty = np.where(_among(places, doc_ends), 0.0, np.where(_among(places, sentence_ends), SENTENCE_CUT, FORCED_CUT))
     return places, penalty
 
 
@@ -110,9 +123,11 @@ def _encoded(batch_iterator, path: str):
             ids, at, span_ends, _ = known.encode(texts)
             stops = span_ends[known.last_sentence_ends]
             lo = at[np.searchsorted(owner, np.arange(len(part) + 1))]
-            cut = np.searchsorted(stops, lo, side="right")
-            for k, row in enumerate(part):
-                yield row[0], np.append(ids[lo[k] : lo[k + 1]], np.uint32(END_ID)).astype("<u4"), stops[cut[k] : cut[k + 1]] - lo[k]
+            cut = np.searchsorted(stops, lo, side="right").tolist()
+            ended = np.insert(ids, lo[1:], END_ID).astype("<u4", copy=False)
+            first = (lo + np.arange(len(lo))).tolist()
+            for k, (row, at_k) in enumerate(zip(part, lo.tolist(), strict=False)):
+                yield row[0], ended[first[k] : first[k + 1]], stops[cut[k] : cut[k + 1]] - at_k
 
 
 class _Stream:
@@ -146,7 +161,7 @@ class _Stream:
             return
         end = cuts[-1]
         cuts = np.array(cuts, np.int64)
-        edges = np.union1d(cuts, doc_ends[doc_ends < end])  # each piece ends at a cut or its document's end
+        edges = _merged(cuts, doc_ends[doc_ends < end])  # each piece ends at a cut or its document's end
         starts = np.concatenate([[0], edges[:-1]])
         doc = np.searchsorted(doc_ends, starts, side="right")
         seq = np.searchsorted(cuts, starts, side="right")

@@ -24,6 +24,8 @@ _PYTHON_ONLY = re.compile("[" + chr(0x1C) + "-" + chr(0x1F) + "]")
 #: Characters from which on case or composition may depend on neighbours.
 _CASE_BY_RULE = re.compile("[^" + chr(0) + "-" + chr(0x12F) + "]")
 _GAP = re.compile(f"[{SPACE}]")
+#: A comma or full stop at a span's end that no small letter stands before.
+_OTHER_STOP = re.compile("[^a-z" + chr(0xDF) + "-" + chr(0xF6) + chr(0xF8) + "-" + chr(0x24F) + f"][,.](?:[{SPACE}]|" + r"\Z)")
 #: Spans that a worker remembers: the first it meets, which are the frequent ones; others only while they are encoded.
 #: Where that share of spans isn't among them, it forgets all and starts anew. Only speed depends on either.
 MAX_SPANS, MOST_MISSED = 500_000, 0.3
@@ -138,6 +140,11 @@ class SpanEncoder:
         if self.words:
             if not _CASE_BY_RULE.search(text):
                 text = text.lower()  # the vocabulary does so itself; fewer spans differ
+            if not _OTHER_STOP.search(text):
+                # A letter and a comma or full stop after it are never merged: apart they are far fewer spans.
+                text = text.replace(", ", " , ").replace(". ", " . ").replace(",\n", " ,\n").replace(".\n", " .\n")
+                if text[-1:] in (",", "."):
+                    text = text[:-1] + " " + text[-1]
             return _WORDS.findall(text) if _PYTHON_ONLY.search(text) else text.split()
         if _SPACES_THEN_BLANK.search(text) or text[:1] == " ":
             return _ATOMS.findall(text)
