@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import os
-import tempfile
-import uuid
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import new_folder
+
 #: What separates words in every contract: space, tab, newline, vertical tab, form feed, carriage return.
 WORD_GAP = r"[\x20\x09-\x0D]+"
 WORD_GAP_CHARS = " \t\n\x0b\x0c\r"
@@ -30,21 +30,6 @@ def ship_package(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join([*paths, REPO_ROOT])
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir. Set here only where it is unset and there is
-    one machine; on a cluster without it, raises."""
-    sc = spark.sparkContext
-    found = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not found:
-        if not sc.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir isn't set: intermediate tables need a folder that driver and executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="loomgraph-")  # one machine
-        sc.setCheckpointDir(found)
-    elif not sc.getCheckpointDir():
-        sc.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
 #: Tables that this process has written and not yet deleted.
 MADE: list[str] = []
 
@@ -53,7 +38,7 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Write df as a table in the shared folder and read it back: lineage is cut and the data
     survives the loss of any executor."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/loomgraph/{tag}-{uuid.uuid4().hex}"
+    path = new_folder(spark, tag)
     df.write.parquet(path)
     MADE.append(path)
     return spark.read.schema(df.schema).parquet(path)
