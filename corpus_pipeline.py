@@ -15,6 +15,8 @@ from loomgraph.llm.common import MADE, discard, materialize, ship_package, text_
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: Near copies share this percentage of their word shingles of this size; the op4 query keeps its own contract (4, 85).
 NEAR_WORDS, NEAR_PERCENT = 5, 80
+#: Up to so many copies' keys are sent to all executors, so texts stay where they are: 16 bytes each, so 16 MB at most.
+BROADCAST_GONE = 1_000_000
 #: Below this share of known n-grams a text is in no learned language.
 LEAST_SCORE = 0.1
 
@@ -58,7 +60,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     linked = rows.filter("comp is not null").withColumn("place", place)
     stays = materialize(linked.groupBy("comp").agg(F.min("place").alias("stays")), "pipeline-stays")
     gone = linked.join(stays, "comp").filter("place != stays").select(F.col("doc_id").alias("gone_id"), F.col("key").alias("gone_key")).distinct()
-    left = docs.join(gone, docs["doc_id"].eqNullSafe(F.col("gone_id")) & (text_key() == F.col("gone_key")), "left_anti")
+    gone = materialize(gone, "pipeline-gone")
+    side = F.broadcast(gone) if gone.count() <= BROADCAST_GONE else gone
+    left = docs.join(side, docs["doc_id"].eqNullSafe(F.col("gone_id")) & (text_key() == F.col("gone_key")), "left_anti")
     ids = rows.agg(F.count("*"), F.countDistinct(F.struct("doc_id", "key"))).first()
     return _columns(left if ids[0] == ids[1] else left.dropDuplicates(["doc_id", "text"]))
 
