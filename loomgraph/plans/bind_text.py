@@ -21,7 +21,7 @@ def _parts(spark, d):
 
 
 def keywords(spark, d):
-    """Of questions about each part, and of all whole documents' words in one row each."""
+    """Of questions about each part."""
     p = _parts(spark, d)
     return flat(p.select("p_partkey", text.keywords(F.expr(QUESTION)).alias("keywords")), "keywords")
 

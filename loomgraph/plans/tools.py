@@ -43,9 +43,11 @@ class Repository:
 class Engine:
     """Scans and questions, with tables kept in a folder by repository."""
 
-    def __init__(self, spark: SparkSession, root: str):
+    def __init__(self, spark: SparkSession, root: str, templates: list[str] | None = None):
+        """templates: files with prompts by level, (system, user) each, the first that can be read; else the built-in ones."""
         self.spark, self.store = spark, RepositoryStore(spark, root)
         self.watches: dict = {}
+        self.templates = summary.load_config(templates or [], summary.TEMPLATES)
 
     def _kept(self, name: str, url: str, df: DataFrame) -> DataFrame:
         """df as it is stored; an empty one as an empty table of its schema, without being computed again."""
@@ -110,7 +112,8 @@ class Engine:
     def scan_report(self, r: Repository, role: str = "pm") -> dict:
         """What a scan shows: overview, modules with health and names, links with verbs, pictures, parse quality."""
         started = time.time()
-        cards = r.modules.select("name", "total_lines", "is_special", F.size("files").alias("n_files"), graph.size_health(F.col("total_lines")).alias("health"), business_name(F.col("name")).alias("title"), module_description(F.col("name"), F.col("entry_functions"), F.lit(0), F.size("files"), F.col("total_lines")).alias("summary"))
+        cards = r.modules.select("name", "total_lines", "is_special", F.size("files").alias("n_files"), graph.size_health(F.col("total_lines")).alias("health"), business_name(F.col("name")).alias("title"), module_description(F.col("name"), F.col("entry_functions"), F.lit(0), F.size("files"), F.col("total_lines")).alias("summary"), "entry_functions", "public_interfaces")
+        cards = cards.withColumn("body", summary.node_body(F.col("summary"), F.col("entry_functions"), F.col("public_interfaces"))).drop("entry_functions", "public_interfaces")
         links = r.module_edges.select("src", "dst", "call_count", connection_verb(F.col("dst")).alias("verb"), graph.strength(F.col("call_count")).alias("strength"), graph.call_label(F.col("call_count")).alias("label"))
         q = quality(r.results.join(r.files.filter("not is_config").select(F.col("path").alias("file_path")), "file_path", "left_semi")).first().asDict()
         listed = r.module_list
@@ -206,10 +209,15 @@ class Engine:
         wanted = sorted({x["file"] for x in codegen.places(located)} | set(paths or []))
         return codegen.request(instruction, self._contents(r, wanted), located, role, self.domain(r) if role_of(role) == "domain_expert" else None)
 
-    def check_code(self, r: Repository, answer: str) -> dict:
-        """A model's answer taken apart, with its diff checked against the repository's files."""
+    def check_code(self, r: Repository, answer: str, root: str | None = None) -> dict:
+        """A model's answer taken apart, with its diff checked against the repository's files; and by git where root, a
+        working tree, is given."""
         touched = [d.path for d in diffs.parse(diffs.assemble(codegen.read_answer(answer)["diff_blocks"]))]
-        return codegen.result(answer, self._contents(r, touched))
+        done = codegen.result(answer, self._contents(r, touched))
+        if root is not None and done["diff_valid"]:
+            fits, said = diffs.git_check(root, done["unified_diff"])
+            done |= {"git_applies": fits, "git_says": said}
+        return done
 
     def prompt(self, r: Repository, level: str, module: str = "", role: str = "pm", project_summary: str = "", lines: int = 400) -> tuple[str, str]:
         """(system, user) for a summary: L1 the project, L2 its modules, L3 one module, L4 one module's code. Texts are
@@ -223,10 +231,10 @@ class Engine:
             tree = modules.file_tree(r.files.select(F.col("path").alias("file")), 2).select("path", F.col("path").alias("line"))
             entry = summary.entry_file(r.files).collect()
             stat = {x["language"]: x["files"] for x in stats.language_stats(r.files).collect()}
-            return summary.prompt(level, file_tree=text(tree, "path"), language_stats=stat, entry_file_content=entry[0]["content"] if entry else "(入口文件未找到)", **said)
+            return summary.prompt(level, self.templates, file_tree=text(tree, "path"), language_stats=stat, entry_file_content=entry[0]["content"] if entry else "(入口文件未找到)", **said)
         if level == "L2":
             told = r.results.filter("size(functions) > 0").select(F.col("file_path"), F.concat(F.lit("- "), "file_path", F.lit(": "), F.array_join(F.expr("transform(slice(functions, 1, 10), f -> f.name)"), ", ")).alias("line"))
-            return summary.prompt(level, project_summary=project_summary or "(待生成)", module_groups=text(summary.module_lines(r.modules), "ord"), dependency_edges=text(summary.edge_lines(r.module_edges), "src", "dst"), module_functions=text(told, "file_path"), **said)
+            return summary.prompt(level, self.templates, project_summary=project_summary or "(待生成)", module_groups=text(summary.module_lines(r.modules), "ord"), dependency_edges=text(summary.edge_lines(r.module_edges), "src", "dst"), module_functions=text(told, "file_path"), **said)
         own = self.chapter(r, module)
         if own["status"] != "ok":
             raise ValueError(f"{module}: {own['status']}")
@@ -234,7 +242,7 @@ class Engine:
         near = graph.neighbours(r.module_edges, own["name"], 1).collect()
         side = {d: ", ".join(sorted(x["name"] for x in near if x["direction"] == d)) or "无" for d in ("upstream", "downstream")}
         info = {"name": own["name"], "total_lines": own["total_lines"], "files": len(own["cards"]) + len(own["remaining"])}
-        return summary.prompt(level, module_name=own["name"], module_info=info, source_code=code, parse_result=card_text(own), **side, **said)
+        return summary.prompt(level, self.templates, module_name=own["name"], module_info=info, source_code=code, parse_result=card_text(own), **side, **said)
 
     def domain(self, r: Repository) -> str | None:
         """What field a project is in, by its README and what it imports."""
@@ -270,6 +278,10 @@ class Engine:
 
         return rules() if answer is None else summary.read_summary(answers.json_object(answer) if isinstance(answer, str) else answer, rules)
 
+    def summary_prompt(self, r: Repository) -> str:
+        """What a model is given to write the summary that summarize() reads."""
+        return summary.summary_prompt(self.summarize(r))
+
     def save_summary(self, r: Repository, answer: object, path: str) -> str:
         write_json(path, self.summarize(r, answer))
         return path
@@ -304,6 +316,21 @@ class Engine:
 
     # -- memory and terms
 
+    def end_session(self, url: str, session_id: str) -> dict:
+        """What was found and what stays open of a session, kept with the last ones: and what was asked about most."""
+        log = self.log(url)
+        if log is None:
+            return {"status": "error", "error": "没有交互记录"}
+        findings, unresolved = memory.session_summary(log)
+        focus = [x["module_name"] for x in memory.focus_profile(log).orderBy(F.desc("n"), "module_name").limit(5).collect()]
+        told = {"findings": [x["summary"] for x in findings.collect()], "unresolved": [x["query"] for x in unresolved.collect()], "focus": focus}
+        kinds = "session_id string, ts timestamp, findings array<string>, unresolved array<string>, focus array<string>"
+        row = self.spark.createDataFrame([(session_id, None, *told.values())], kinds).withColumn("ts", F.current_timestamp())
+        known = self.store.load("sessions", url)
+        kept = memory.keep_sessions(row if known is None else known.unionByName(row))  # KEPT_SESSIONS rows
+        self.store.save("sessions", url, self.spark.createDataFrame(kept.collect(), kinds))
+        return {"status": "ok", **told}
+
     def remember(self, url: str, module: str, kind: str, query: str, summary: str, confidence: float, follow_ups: list[str] | None = None) -> None:
         more = F.array(*[F.lit(x) for x in follow_ups or []]).cast("array<string>")
         row = self.spark.range(1).select(*memory.record(F.lit(module), kind, F.lit(query), F.lit(summary), F.lit(confidence)), more.alias("follow_ups"), F.lit(time.time_ns()).alias("ord"))

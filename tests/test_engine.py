@@ -114,6 +114,9 @@ def test_roles_prompts_and_feedback(spark, engine):
     assert before >= 1
     assert e.feedback(r, "nothing", "q", "a")["status"] == "error" and e.feedback(r, "db", "q", "a", 0.5, ["x"])["status"] == "ok"
     assert e.log(r.url).filter("module_name = 'db'").first()["follow_ups"] == ["x"]
+    said = e.end_session(r.url, "s1")
+    assert said["status"] == "ok" and said["focus"] and e.end_session(r.url, "s2")["status"] == "ok" and {x["session_id"] for x in e.store.load("sessions", r.url).collect()} == {"s1", "s2"}
+    assert e.end_session("https://none", "s")["status"] == "error" and "project_name" in e.summary_prompt(r)
     assert e.watching() == {} and e.unfollow(r.url)["status"] == "error"
     e.follow(r.url, lambda: listing(spark), lambda df, _: df)
     assert e.follow(r.url, None, None) is e.watches[r.url] and e.watching()[r.url]["active"] is False and e.unfollow(r.url)["status"] == "ok"
@@ -153,6 +156,7 @@ def test_codegen(engine):
     assert done["status"] == "success" and "@@ -1,2 +1,2 @@" in done["unified_diff"] and done["change_summary"] == [{"file": "db/store.py", "line_range": "1-2", "before": "原样", "after": "复制"}]
     assert done["diff_blocks"][0]["title"] == "复制一份" and done["diff_blocks"][0]["before_desc"] == "原样返回" and done["diff_blocks"][0]["after_desc"] == "返回副本"
     assert done["blast_radius"][0]["file_or_module"] == "services" and done["verification_steps"] == [{"step": "保存订单", "expected_result": "返回副本"}]
+    assert "git_applies" not in done and "git_applies" in e.check_code(r, md, "/nowhere")
     assert codegen.result("no diff", {})["status"] == "error" and e.check_code(r, md.replace("return row", "return nothing"))["status"] == "partial"
 
 
