@@ -28,6 +28,8 @@ CUT_MASK, LEAST_CHUNK, MOST_CHUNK = 1023, 256, 8192
 REMEMBERED = 12_000_000
 #: UTF-8 bytes that documents of one group bring to one task.
 GROUP_BYTES = 16 << 20
+#: Parts for each partition, so that these come out even.
+PARTS_EACH = 4
 #: Up to so many groups over that are sent to all tasks: 12 bytes each.
 HOT_GROUPS = 200_000
 
@@ -270,7 +272,7 @@ def place_by_content(docs: DataFrame, text: str = "text", group_bytes: int = GRO
     hot = materialize(hot.select("route", F.ceil(F.col("bytes") / group_bytes).cast("int").alias("ways")), "bpe-hot")
     side = F.broadcast(hot) if hot.count() <= HOT_GROUPS else hot
     way = F.when(F.col("ways").isNull(), 0).otherwise(F.pmod(F.xxhash64("doc_id", "text"), F.col("ways")).cast("int"))
-    return rows.join(side, "route", "left").select("doc_id", "text", F.pmod(F.xxhash64("route", way), F.lit(input_parallelism(docs))).cast("int").alias("part"))
+    return rows.join(side, "route", "left").select("doc_id", "text", F.pmod(F.xxhash64("route", way), F.lit(PARTS_EACH * input_parallelism(docs))).cast("int").alias("part"))
 
 
 def _dealt(docs: DataFrame, path: str, text: str, group_bytes: int = GROUP_BYTES) -> DataFrame:
@@ -282,7 +284,7 @@ def _dealt(docs: DataFrame, path: str, text: str, group_bytes: int = GROUP_BYTES
     bits = spark.sparkContext.broadcast(_candidate_filter(shared))
     texts = placed.select("text").mapInArrow(tidy(_texts_of(bits)), "node binary, chunk string").join(shared.select("node"), "node", "left_semi")
     once = texts.groupBy("node").agg(F.first("chunk").alias("chunk"))
-    known = materialize(once.mapInArrow(tidy(_encode_chunks(path)), "node binary, ids binary, ends binary"), "bpe-chunks")
+    known = materialize(once.mapInArrow(tidy(_encode_chunks(path), tokenizes=True), "node binary, ids binary, ends binary"), "bpe-chunks")
     none = lambda kind: F.lit(None).cast(kind)
     given = known.join(shared, "node").select(F.explode("parts").alias("part"), "node", "ids", "ends", none("long").alias("doc_id"), none("string").alias("text"))
     own = placed.select("part", none("binary").alias("node"), none("binary").alias("ids"), none("binary").alias("ends"), "doc_id", "text")
@@ -297,11 +299,11 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, text: str = "text", g
     columns aren't read, an empty table gives no rows. Texts are shuffled once. A task remembers REMEMBERED code points
     of chunks; should a part hold more, it forgets them and encodes anew what it meets again.
     """
-    return _dealt(docs, tokenizer_path, text, group_bytes).mapInArrow(tidy(_encode_rows(tokenizer_path, True)), "doc_id long, n_tokens long, ids binary, decoded string")
+    return _dealt(docs, tokenizer_path, text, group_bytes).mapInArrow(tidy(_encode_rows(tokenizer_path, True), tokenizes=True), "doc_id long, n_tokens long, ids binary, decoded string")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
     """All of documents; the digests are taken where the ids are, so ids and texts needn't come back."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     path = vocabulary("byte_bpe_50k.json")
-    return _dealt(docs, path, "text").mapInArrow(tidy(_encode_rows(path, False)), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return _dealt(docs, path, "text").mapInArrow(tidy(_encode_rows(path, False), tokenizes=True), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -62,11 +62,11 @@ def text_key(text: str = "text") -> Column:
 PART_BYTES = 32 << 20
 
 
-def input_parallelism(df: DataFrame) -> int:
+def input_parallelism(df: DataFrame, part_bytes: int = PART_BYTES) -> int:
     """Partitions that df is dealt to: as many as the session's shuffles have, more where its input is large."""
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     known = size if size < 1 << 60 else 0  # tables of unknown size are told as huge
-    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(-(-known // PART_BYTES), 1 << 17))
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(-(-known // part_bytes), 1 << 18))
 
 
 def let(value: str, name: str, body: str) -> str:
@@ -95,10 +95,15 @@ def substrings(text: str, spans: str) -> str:
     return in_blocks(spans, "b_", f"flatten(transform(b_, x_ -> {held}))")
 
 
-def tidy(run):
-    """run, a function on batches, which gives memory back to the system when its task ends: workers live on."""
+def tidy(run, tokenizes: bool = False):
+    """run, a function on batches, which gives memory back to the system when its task ends: workers live on. What
+    tokenizers have learnt in a worker stays between tasks that tokenize; any other task lets go of it."""
 
     def tidied(batches):
+        if not tokenizes:
+            from .tokens import let_go
+
+            let_go()
         yield from run(batches)
         try:
             import ctypes

@@ -46,6 +46,8 @@ COMMON, MOST_COMMON = 16, 1 << 18
 FILTER_BITS_EACH, FILTER_BITS_LEAST, FILTER_BITS_MOST = 16, 1 << 20, 1 << 28
 #: Fingerprints that a task remembers of sets it has sent; only the volume sent depends on it.
 REMEMBERED = 100_000
+#: Bytes of input for each part of shingles or entries, which a task holds as a whole.
+PART_BYTES = 5 << 20
 #: Light sets are no larger, whatever the costs.
 LIGHT_MOST = 14
 
@@ -629,7 +631,7 @@ def row_components(docs: DataFrame, text: str = "text", words: int = WORDS, perc
     shingles); keyed: key, which with the id tells rows apart, too."""
     spark = docs.sparkSession
     rows = docs.select("doc_id", F.col(text).alias("text"))
-    parts = 2 * input_parallelism(docs)  # a task holds its part's shingles or entries
+    parts = input_parallelism(docs, PART_BYTES)
     named, types = (docs.select("doc_id", F.col(text).alias("text"), text_key(text).alias("key")), ", key long") if keyed else (rows, "")
     classes = materialize(named.mapInArrow(tidy(_classes(words)), "doc_id long, n long, class binary, sketch binary" + types), "join-classes")
     sketches = classes.filter("sketch is not null").groupBy("class").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"))

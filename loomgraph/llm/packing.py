@@ -24,7 +24,9 @@ WINDOW = 4096
 #: In padded ids: what a cut between sentences of a document costs, and one inside a sentence.
 SENTENCE_CUT, FORCED_CUT = 24.0, 400.0
 #: Ids after which a task looks for what it can cut for good. Results don't depend on it.
-HELD_IDS = 1 << 21
+HELD_IDS = 1 << 20
+#: Ids of pieces that go out at once.
+BATCH_IDS = 1 << 18
 END_ID = 2
 
 
@@ -191,9 +193,8 @@ def _pack(path: str, window: int, held_ids: int):
         stream, most = _Stream(window, TaskContext.get().partitionId() << 40), held_ids
 
         def sent(last):
-            rows = list(stream.cut(last))
-            for at in range(0, len(rows), 20_000):
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[at : at + 20_000], strict=True), types, strict=True)], names=names)
+            for rows in batches(stream.cut(last), lambda r: r[2], BATCH_IDS):
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
 
         for row in _encoded(batch_iterator, path):
             stream.add(*row)
@@ -217,7 +218,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, text: str = "text", win
     """
     rows = docs.select("doc_id", F.col(text).alias("text"), F.monotonically_increasing_id().alias("nth"))
     dealt = rows.repartitionByRange(input_parallelism(docs), "doc_id", "nth").sortWithinPartitions("doc_id", "nth")
-    return dealt.select("doc_id", "text").mapInArrow(tidy(_pack(tokenizer_path, window, held_ids)), "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
+    return dealt.select("doc_id", "text").mapInArrow(tidy(_pack(tokenizer_path, window, held_ids), tokenizes=True), "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
 
 
 def vocabulary(name: str) -> str:

@@ -177,6 +177,11 @@ def encoder(path: str, words: bool) -> SpanEncoder:
     return store[path, words]
 
 
+def let_go() -> None:
+    """Forget this worker's encoders."""
+    _worker_store().clear()
+
+
 def _worker_store() -> dict:
     import sys
     import types
