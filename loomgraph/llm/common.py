@@ -105,6 +105,9 @@ def tidy(run, tokenizes: bool = False):
 
             let_go()
         yield from run(batches)
+        import pyarrow as pa
+
+        pa.default_memory_pool().release_unused()
         try:
             import ctypes
 
