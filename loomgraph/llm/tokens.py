@@ -28,7 +28,7 @@ _GAP = re.compile(f"[{SPACE}]")
 _OTHER_STOP = re.compile("[^a-z" + chr(0xDF) + "-" + chr(0xF6) + chr(0xF8) + "-" + chr(0x24F) + f"][,.](?:[{SPACE}]|" + r"\Z)")
 #: Spans that a worker remembers: the first it meets, which are the frequent ones; others only while they are encoded.
 #: Where that share of spans isn't among them, it forgets all and starts anew. Only speed depends on either.
-MAX_SPANS, MOST_MISSED = 500_000, 0.3
+MAX_SPANS, MOST_MISSED = 150_000, 0.3
 #: Code points that are worked on at once.
 SLICE = 1_500_000
 
