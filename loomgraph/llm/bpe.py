@@ -285,6 +285,7 @@ def _dealt(docs: DataFrame, path: str, text: str, group_bytes: int = GROUP_BYTES
     texts = placed.select("text").mapInArrow(tidy(_texts_of(bits)), "node binary, chunk string").join(shared.select("node"), "node", "left_semi")
     once = texts.groupBy("node").agg(F.first("chunk").alias("chunk"))
     known = materialize(once.mapInArrow(tidy(_encode_chunks(path), tokenizes=True), "node binary, ids binary, ends binary"), "bpe-chunks")
+    bits.destroy()
     none = lambda kind: F.lit(None).cast(kind)
     given = known.join(shared, "node").select(F.explode("parts").alias("part"), "node", "ids", "ends", none("long").alias("doc_id"), none("string").alias("text"))
     own = placed.select("part", none("binary").alias("node"), none("binary").alias("ids"), none("binary").alias("ends"), "doc_id", "text")

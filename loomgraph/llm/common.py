@@ -3,8 +3,13 @@
 from __future__ import annotations
 
 import os
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
+from dataclasses import dataclass, field
 from pathlib import Path
 
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,27 +35,66 @@ def ship_package(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join([*paths, REPO_ROOT])
 
 
-#: Tables that this process has written and not yet deleted.
-MADE: list[str] = []
+#: What the run that this thread is in has made; None outside of runs, whose tables stay until the cluster cleans them.
+_RUN: ContextVar[Run | None] = ContextVar("loomgraph_run", default=None)
 
 
-def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Write df as a table in the shared folder and read it back: lineage is cut and the data
-    survives the loss of any executor."""
-    spark = df.sparkSession
-    path = new_folder(spark, tag)
+@dataclass
+class Run:
+    """Tables and broadcasts of one run. Runs don't know of each other's, so any number may go on side by side."""
+
+    spark: SparkSession
+    tables: list[str] = field(default_factory=list)
+    shared: list[Broadcast] = field(default_factory=list)
+
+    def discard(self) -> None:
+        for path in self.tables:
+            delete(self.spark, path)
+        for value in self.shared:
+            value.destroy()
+        self.tables, self.shared = [], []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Run]:
+    """A run: what materialize() writes and share() sends inside it, in this thread, goes at its end. Its result must be
+    written by then, with written()."""
+    own = Run(spark)
+    before = _RUN.set(own)
+    try:
+        yield own
+    finally:
+        _RUN.reset(before)
+        own.discard()
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def written(df: DataFrame, tag: str) -> tuple[DataFrame, str]:
+    """df as a table in the shared folder, read back, and its place: lineage is cut and the data survives the loss of
+    any executor. Whoever writes it deletes it."""
+    path = new_folder(df.sparkSession, tag)
     df.write.parquet(path)
-    MADE.append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
-def discard(spark: SparkSession, first: int) -> None:
-    """Delete tables written from place `first` of MADE on, but for the last one: for whom nothing else is read again."""
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    for path in MADE[first:-1]:
-        at = jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(conf).delete(at, True)
-    MADE[first:] = MADE[-1:]
+def materialize(df: DataFrame, tag: str) -> DataFrame:
+    """written(), deleted at the end of the run that this thread is in, if any."""
+    out, path = written(df, tag)
+    if own := _RUN.get():
+        own.tables.append(path)
+    return out
+
+
+def share(spark: SparkSession, value) -> Broadcast:
+    """A broadcast, let go at the end of the run that this thread is in, if any."""
+    out = spark.sparkContext.broadcast(value)
+    if own := _RUN.get():
+        own.shared.append(out)
+    return out
 
 
 def text_key(text: str = "text") -> Column:
@@ -69,6 +113,12 @@ def input_parallelism(df: DataFrame, part_bytes: int = PART_BYTES) -> int:
     return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(-(-known // part_bytes), 1 << 18))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df, dealt anew only where its files come in far fewer splits than there is work for."""
+    wanted = input_parallelism(df)
+    return df.repartition(wanted) if 4 * df.rdd.getNumPartitions() < wanted else df
+
+
 def let(value: str, name: str, body: str) -> str:
     """SQL for body, in which name stands for value; value is computed once."""
     return f"transform(array({value}), {name} -> {body})[0]"

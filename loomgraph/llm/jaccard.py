@@ -641,6 +641,7 @@ def row_components(docs: DataFrame, text: str = "text", words: int = WORDS, perc
     corpus = spark.sparkContext.broadcast(corpus_shingles(rows, words, parts))
     sent = rows.mapInArrow(tidy(_send_entries(words, parts, light, percent, corpus)), "part int, entries binary").repartition(parts, "part")
     edges = materialize(sent.mapInArrow(tidy(_list_edges(percent)), "a binary, b binary, kind int").groupBy("a", "b").agg(F.min("kind").alias("kind"), F.max("kind").alias("most")), "join-edges")
+    corpus.destroy()
     sure = edges.filter(F.col("kind") == SURE).select("a", "b")
 
     # Groups of long lists, in blocks; pairs of short ones, unless one group holds both: its blocks cover them.
@@ -657,6 +658,7 @@ def row_components(docs: DataFrame, text: str = "text", words: int = WORDS, perc
     bits = spark.sparkContext.broadcast(_candidate_filter(wanted))
     texts = rows.mapInArrow(tidy(_send_texts(words, bits)), "node binary, text string").join(wanted, "node")
     texts = materialize(texts, "join-texts")
+    bits.destroy()
 
     def checked(dealt: DataFrame, tag: str) -> DataFrame:
         sorted_ = dealt.select("grp", "block", "node", "text", "role").repartition(parts, "grp", "block").sortWithinPartitions("grp", "block")

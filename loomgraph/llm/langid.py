@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let, materialize, tidy
+from .common import let, materialize, share, tidy
 from .tokens import batches, pieces
 
 #: Lengths of n-grams, in code points; a blank stands for what surrounds a word.
@@ -201,7 +201,7 @@ def predict(docs: DataFrame, model: LanguageFilter, text: str = "text", keep: tu
     """docs' columns `keep` with text, lang_pred (a learned language; und for null texts and those without a
     letter, and where nothing was learned), score (0 to 1) and margin. Nothing but text is looked at. Languages that
     tie: the first in order. Rows stay as they are, repeated ones too; an empty table gives no rows."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = share(docs.sparkSession, model)
     rows = docs.select(*keep, F.col(text).alias("text"))
     return rows.mapInArrow(tidy(_predict(shared)), ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + ", lang_pred string, score double, margin double")
 

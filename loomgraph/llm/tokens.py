@@ -48,10 +48,10 @@ class _Places(dict):
 class SpanEncoder:
     """words: the vocabulary drops white space, so spans are words; else spans keep the white space before them."""
 
-    def __init__(self, path: str, words: bool):
+    def __init__(self, path: str, words: bool, most: int | None = None):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.words = Tokenizer.from_file(path), words
+        self.tokenizer, self.words, self.most = Tokenizer.from_file(path), words, most
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         names = [self.tokenizer.id_to_token(i) or "" for i in range(self.tokenizer.get_vocab_size())]
@@ -68,7 +68,7 @@ class SpanEncoder:
     def _settle(self, met: int) -> None:
         """After each call: what goes beyond MAX_SPANS is dropped again."""
         if self.kept is None:
-            if len(self.places) > MAX_SPANS:
+            if len(self.places) > (self.most or MAX_SPANS):
                 self.kept = (len(self.places), self.n_ids)
             return
         spans, ids = self.kept
@@ -169,12 +169,12 @@ class SpanEncoder:
         return ids, np.concatenate([[0], ends])[span_at], ends, span_at
 
 
-def encoder(path: str, words: bool) -> SpanEncoder:
-    """One for each worker process and vocabulary."""
+def encoder(path: str, words: bool, most: int | None = None) -> SpanEncoder:
+    """One for each worker process, vocabulary and number of spans to remember."""
     store = _worker_store()
-    if (path, words) not in store:
-        store[path, words] = SpanEncoder(path, words)
-    return store[path, words]
+    if (path, words, most) not in store:
+        store[path, words, most] = SpanEncoder(path, words, most)
+    return store[path, words, most]
 
 
 def let_go() -> None:
