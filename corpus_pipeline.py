@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph.llm import jaccard, langid, line_dedup, packing, secrets
-from loomgraph.llm.common import MADE, discard, materialize, ship_package, text_key
+from loomgraph.llm.common import materialize, scratch, ship_package, text_key, written
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: Near copies share this percentage of their word shingles of this size; the op4 query keeps its own contract (4, 85).
@@ -50,19 +50,21 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     Rows are told apart by id and text, so rows with null ids are compared and removed as all others, and of a
     repeated id only the texts that are copies go.
 
-    Null and empty texts are linked with nothing, but of rows alike in id and text, null ones too, one stays. An empty
-    table gives none; columns beyond those of documents are dropped. Linked are documents whose sets of five-word shingles have a Jaccard similarity of 0.8 at least, not op4's four
-    words and 0.85.
+    Null and empty texts are linked with nothing, but of rows alike in id and text, null ones too, one stays. Texts of
+    any length are read whole; an empty table gives none; columns beyond those of documents are dropped first, so their
+    names don't matter. Linked are documents whose sets of five-word shingles have a Jaccard similarity of 0.8 at least,
+    not op4's four words and 0.85.
     """
     ship_package(spark)
+    docs = docs.select(*COLUMNS)
     rows = jaccard.row_components(docs, words=NEAR_WORDS, percent=NEAR_PERCENT, keyed=True)
     place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "key")
     linked = rows.filter("comp is not null").withColumn("place", place)
     stays = materialize(linked.groupBy("comp").agg(F.min("place").alias("stays")), "pipeline-stays")
-    gone = linked.join(stays, "comp").filter("place != stays").select(F.col("doc_id").alias("gone_id"), F.col("key").alias("gone_key")).distinct()
+    gone = linked.join(stays, "comp").filter("place != stays").select(F.col("doc_id").alias("__gone_id"), F.col("key").alias("__gone_key")).distinct()
     gone = materialize(gone, "pipeline-gone")
     side = F.broadcast(gone) if gone.count() <= BROADCAST_GONE else gone
-    left = docs.join(side, docs["doc_id"].eqNullSafe(F.col("gone_id")) & (text_key() == F.col("gone_key")), "left_anti")
+    left = docs.join(side, docs["doc_id"].eqNullSafe(F.col("__gone_id")) & (text_key() == F.col("__gone_key")), "left_anti")
     ids = rows.agg(F.count("*"), F.countDistinct(F.struct("doc_id", "key"))).first()
     return _columns(left if ids[0] == ids[1] else left.dropDuplicates(["doc_id", "text"]))
 
@@ -87,10 +89,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages. Of the tables that they write only the last one's stays: a stage's own are deleted, with its input, as
-    soon as its result is written."""
-    docs, first = spark.read.parquet(f"{sf_dir}/documents.parquet"), len(MADE)
+    """All stages. Each is a run of its own: its tables and broadcasts go, with its input, as soon as its result is
+    written. Only the last one's table stays."""
+    docs, last = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for k, (_, stage) in enumerate(STAGES):
-        docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{k}")
-        discard(spark, first)
+        with scratch(spark) as own:
+            docs, place = written(stage(spark, docs, sf_dir), f"pipeline-{k}")
+            own.tables += [last] * (last is not None)
+        last = place
     return docs
