@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from . import ann, best_fit, bpe, chat, clustering, jaccard, langid, line_dedup, packing, quality, secrets, sharding
+from . import ann, best_fit, bpe, chat, clustering, jaccard, langid, line_dedup, packing, quality, secrets, sharding, spelling
 from .common import ship_package
 
 _MODULES = {
@@ -18,6 +18,7 @@ _MODULES = {
     "op8_ann": ann,
     "op9_chat": chat,
     "op10_line_dedup": line_dedup,
+    "op11_spelling": spelling,
     "op12_best_fit": best_fit,
     "op13_clustering": clustering,
 }
