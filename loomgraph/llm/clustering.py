@@ -150,7 +150,7 @@ def first_centroids(vectors: DataFrame, k: int = CENTROIDS, seed: int = 2) -> np
     """Those with the least hashes of seed and id; k rows reach the driver."""
     key = F.sha2(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("vec_id").cast("string"), F.lit(""))), 256)
     rows = vectors.select(key.alias("key"), "v").orderBy("key", "v").limit(k).collect()
-    return np.array([np.frombuffer(r["v"], "<i4") for r in rows], np.int64).reshape(len(rows), -1)
+    return np.array([np.frombuffer(r["v"], "<i4") for r in rows], np.int64)
 
 
 def cluster(table: DataFrame, k: int = CENTROIDS, rounds: int = ROUNDS, dimension: int = DIMENSION, scale: int = SCALE, seed: int = 2, column: str = "embedding") -> tuple[DataFrame, np.ndarray]:
