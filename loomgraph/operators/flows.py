@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import naming
@@ -64,30 +64,128 @@ def path_scores(paths: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFra
     keyed = paths.withColumn("path_id", F.xxhash64("path"))
     pairs = keyed.select("path_id", "path", F.explode(F.expr("transform(sequence(1, size(path) - 1), i -> struct(path[i - 1] as src, path[i] as dst))")).alias("e"))
     calls = pairs.select("path_id", "e.*").join(edges.select("src", "dst", "call_count"), ["src", "dst"]).groupBy("path_id").agg((F.sum("call_count") / F.count("*")).alias("mean_calls"))
-    low = F.lower("label")
-    prefix = F.lit(False)
-    for p in ENTRY_PREFIXES:
-        prefix = prefix | low.startswith(p)
-    bonus = nodes.select(F.col("node_id").alias("entry"), F.when(low.isin(*ENTRY_NAMES), 2.0).when(prefix, 1.5).otherwise(1.0).alias("bonus"))
+    bonus = nodes.select(F.col("node_id").alias("entry"), _bonus(F.col("label")).alias("bonus"))
     out = keyed.withColumn("entry", F.col("path")[0]).join(calls, "path_id", "left").join(bonus, "entry", "left")
     return out.select("path_id", "path", (F.size("path") * F.coalesce("mean_calls", F.lit(1.0)) * F.coalesce("bonus", F.lit(1.0))).alias("score"))
 
 
-def main_flows(scored: DataFrame, max_flows: int = MAX_FLOWS) -> list[dict]:
-    """The best paths that overlap little, chosen one after the other: inherently sequential, so on the driver, which
-    reads paths in order, a partition at a time, until max_flows are chosen or all are seen."""
-    out, covered = [], set()
-    for r in scored.filter(F.size("path") >= LEAST_NODES).orderBy(F.desc("score"), "path").toLocalIterator():
-        own = set(r["path"])
-        if not out or len(own & covered) / len(own) < MOST_OVERLAP:
-            out.append(r.asDict())
-            covered |= own
-        if len(out) == max_flows:
+#: Partial paths that go on at once, and tables of partial paths after which they are written as one.
+FRONT, TABLES = 512, 12
+#: What a node has ahead: of the walks of each length from it, the most calls, its first node, and the most with another
+#: first node.
+AHEAD = "array<struct<r:int,most:long,first:string,other:long>>"
+
+
+def calls_ahead(edges: DataFrame, depth: int) -> DataFrame:
+    """(node_id, ahead): for each number r of steps, up to `depth`, the most calls that r steps on from the node can
+    have, where no step goes straight back. A step may meet a node again, so it is a bound of what paths have.
+
+    One join and one ranking for each r; a hub's callees are cut to two before they are shuffled.
+    """
+    steps = settled(edges.select("src", "dst", "call_count"), "flow-steps")
+    two = Window.partitionBy("src").orderBy(F.desc("calls"), "dst")
+    out, last = None, None
+    for r in range(1, depth + 1):
+        if last is None:
+            on = steps.select("src", "dst", F.col("call_count").alias("calls"))
+        else:
+            rest = F.when(F.col("first") == F.col("src"), F.col("other")).otherwise(F.col("most"))
+            on = steps.join(last.withColumnRenamed("node_id", "dst"), "dst").select("src", "dst", (F.col("call_count") + rest).alias("calls")).filter("calls is not null")
+        best = on.withColumn("k", F.row_number().over(two)).filter("k <= 2").groupBy(F.col("src").alias("node_id")).agg(F.max(F.when(F.col("k") == 1, F.col("calls"))).alias("most"), F.max(F.when(F.col("k") == 1, F.col("dst"))).alias("first"), F.max(F.when(F.col("k") == 2, F.col("calls"))).alias("other"))
+        last = settled(best, "flow-ahead")
+        step = last.withColumn("r", F.lit(r))
+        out = step if out is None else out.unionByName(step)
+    return out.groupBy("node_id").agg(F.collect_list(F.struct("r", "most", "first", "other")).cast(AHEAD).alias("ahead"))  # `depth` entries each
+
+
+def _bound(depth: int):
+    """The highest score of what a partial path (path, calls, bonus, before: the node before its last, ahead: of its
+    last node) can become; null where it can't come to LEAST_NODES nodes."""
+    rest = "if(x.first = before, x.other, x.most)"
+    on = f"filter(ahead, x -> size(path) + x.r between {LEAST_NODES} and {depth + 1} and {rest} is not null)"
+    whole = f"(size(path) + x.r) * ((calls + {rest}) / (size(path) + x.r - 1)) * bonus"
+    here = f"if(size(path) >= {LEAST_NODES}, size(path) * (calls / (size(path) - 1)) * bonus, null)"
+    return F.expr(f"greatest(array_max(transform({on}, x -> {whole})), {here})")
+
+
+def _bonus(label):
+    low, prefix = F.lower(label), F.lit(False)
+    for p in ENTRY_PREFIXES:
+        prefix = prefix | low.startswith(p)
+    return F.when(low.isin(*ENTRY_NAMES), 2.0).when(prefix, 1.5).otherwise(1.0)
+
+
+def main_flows(nodes: DataFrame, entries: DataFrame, edges: DataFrame, max_flows: int = MAX_FLOWS, max_depth: int = MAX_DEPTH, front: int = FRONT) -> list[dict]:
+    """[{path, score, importance}]: the best paths that overlap little with those before them, as if all paths were
+    listed by score (ties: the lesser path first) and gone through; none is left out and few are looked at.
+
+    Paths are those of simple_paths(), of LEAST_NODES nodes at least. The search is best first: of all partial paths
+    those that can become most go on, `front` at once, by one join with the calls; a path is a flow as soon as no partial
+    path can become better. Partial paths are written where they are made, and stay there: what has gone on is known by
+    its place in the order. The driver has `front` rows at once, finished paths that may still be chosen, and the flows.
+    """
+    ahead = calls_ahead(edges, max_depth)
+    steps = edges.select("src", "dst", "call_count").join(ahead.withColumnRenamed("node_id", "dst"), "dst", "left")
+    steps = settled(steps.select(F.col("src").alias("last"), "dst", "call_count", "ahead"), "flow-edges")
+    begin = entries.select("node_id").distinct().join(nodes.select("node_id", _bonus(F.col("label")).alias("bonus")), "node_id").join(ahead, "node_id")
+    begin = begin.select(F.array("node_id").alias("path"), F.lit(0).cast("long").alias("calls"), "bonus", F.lit(None).cast("string").alias("before"), "ahead")
+    shape = ["path", "calls", "bonus", "bound"]
+    live = [(settled(begin.withColumn("bound", _bound(max_depth)).filter("bound is not null").select(*shape), "flow-front"), None)]
+    out, covered, done = [], set(), []
+
+    def low(path) -> bool:
+        return not out or len(set(path) & covered) / len(path) < MOST_OVERLAP
+
+    def left() -> DataFrame:
+        """Partial paths that haven't gone on and may still overlap little."""
+        rest = None
+        for table, cut in live:
+            if cut:
+                table = table.filter((F.col("bound") < cut[0]) | (F.col("bound") == cut[0]) & (F.col("path") > F.array(*map(F.lit, cut[1]))))
+            rest = table if rest is None else rest.unionByName(table)
+        if covered:
+            same = F.size(F.array_intersect("path", F.array(*map(F.lit, sorted(covered)))))
+            rest = rest.filter(same / F.lit(max_depth + 1) < MOST_OVERLAP)
+        return rest
+
+    while len(out) < max_flows:
+        head = left().orderBy(F.desc("bound"), "path").limit(front).collect()
+        first = (-head[0]["bound"], head[0]["path"]) if head else None
+        done = sorted(x for x in done if low(x[1]))
+        if done and (first is None or done[0] <= first):
+            score, path = done.pop(0)
+            out.append({"path": path, "score": -score})
+            covered |= set(path)
+            continue
+        if not head:
             break
+        cut = (head[-1]["bound"], head[-1]["path"])
+        live = [(t, c if c and (-c[0], c[1]) > (-cut[0], cut[1]) else cut) for t, c in live]
+        sent = nodes.sparkSession.createDataFrame([(k, r["path"], r["path"][-1], r["calls"], r["bonus"]) for k, r in enumerate(head) if len(r["path"]) <= max_depth], "k int, path array<string>, last string, calls long, bonus double")
+        on = steps.join(F.broadcast(sent), "last").filter(~F.array_contains("path", F.col("dst")))  # `front` rows
+        on = on.select("k", F.array_append("path", F.col("dst")).alias("path"), (F.col("calls") + F.col("call_count")).alias("calls"), "bonus", F.col("last").alias("before"), "ahead")
+        new = settled(on.withColumn("bound", _bound(max_depth)).select("k", *shape), "flow-front")
+        goes_on = {r["k"] for r in new.select("k").distinct().collect()}
+        for k, r in enumerate(head):
+            n = len(r["path"])
+            if k not in goes_on and n >= LEAST_NODES:
+                done.append((-(n * (r["calls"] / (n - 1)) * r["bonus"]), r["path"]))
+        live.append((new.filter("bound is not null").select(*shape), None))
+        if len(live) > TABLES:
+            live = [(settled(left(), "flow-front"), None)]
     top = max((f["score"] for f in out), default=0)
     return [f | {"importance": f["score"] / top if top else 0.0} for f in out]
 
 
+def side_calls(mains: list[dict], edges: DataFrame) -> DataFrame:
+    """(main, src, dst, call_count): calls by which others branch off a main flow: from one of its nodes to a node that no
+    main flow has. The flows' nodes are MAX_FLOWS * (MAX_DEPTH + 1) at most."""
+    on = [(k, n) for k, m in enumerate(mains) for n in m["path"]]
+    steps = F.broadcast(edges.sparkSession.createDataFrame(on, "main int, src string"))
+    known = F.broadcast(edges.sparkSession.createDataFrame(sorted({(n,) for _, n in on}), "dst string"))
+    return edges.join(steps, "src").join(known, "dst", "left_anti").select("main", "src", "dst", "call_count")
+
+
 def branch_flows(paths: DataFrame, mains: list[dict]) -> DataFrame:
     """(path, main): other paths under the main flow that they share most nodes with, the first of several; at least
     one node. The mains are at most MAX_FLOWS literals."""

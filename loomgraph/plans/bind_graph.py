@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import flows, graph, modules, render, resolve, search
+from ..sources.shared import settled
 from . import facts as f
 from . import summary
 
@@ -182,6 +183,9 @@ def _entry_sql(edges_sql: str) -> str:
  OR lower(label) IN ({', '.join(f"'{x}'" for x in flows.ENTRY_NAMES)}) OR {' OR '.join(f"starts_with(lower(label), '{p}')" for p in flows.ENTRY_PREFIXES)})"""
 
 
+_BONUS = f"CASE WHEN lower(label) IN ({', '.join(f"'{x}'" for x in flows.ENTRY_NAMES)}) THEN 2.0 WHEN {' OR '.join(f"starts_with(lower(label), '{p}')" for p in flows.ENTRY_PREFIXES)} THEN 1.5 ELSE 1.0 END"
+
+
 def _paths(spark, d):
     """All paths of the slice, from its own entries."""
     e = sparse_edges(spark, d)
@@ -203,13 +207,52 @@ def path_scores(spark, d):
     return s.select(F.array_join("path", ">").alias("path"), F.round("score", 6).alias("score"))
 
 
-PATH_SCORES = f"""{_PATHS} SELECT array_to_string(path, '>') AS path, round(len(path) * (CAST(calls AS DOUBLE) / (len(path) - 1)) * CASE
- WHEN lower(label) IN ({', '.join(f"'{x}'" for x in flows.ENTRY_NAMES)}) THEN 2.0 WHEN {' OR '.join(f"starts_with(lower(label), '{p}')" for p in flows.ENTRY_PREFIXES)} THEN 1.5 ELSE 1.0 END, 6) AS score
+PATH_SCORES = f"""{_PATHS} SELECT array_to_string(path, '>') AS path, round(len(path) * (CAST(calls AS DOUBLE) / (len(path) - 1)) * {_BONUS}, 6) AS score
 FROM p JOIN ({N}) n ON n.node_id = path[1]"""
 
 
+def whole_flows(spark, d) -> list[dict]:
+    """The main flows of the whole call graph, cycles and all, to the full depth."""
+    n, e = nodes(spark, d), settled(f.facts(spark, d, f.WEIGHTED), "flow-calls")
+    return flows.main_flows(n, flows.entry_nodes(n, e), e)
+
+
 def coverage(spark, d):
-    return flows.coverage(nodes(spark, d), _paths(spark, d)).select("n_core", "n_covered", F.round("coverage", 9).alias("coverage"))
+    mains = spark.createDataFrame([(m["path"],) for m in whole_flows(spark, d)], "path array<string>")
+    return flows.coverage(nodes(spark, d), mains).select("n_core", "n_covered", F.round("coverage", 9).alias("coverage"))
+
+
+_BEAM, _D, _W = 400, flows.MAX_DEPTH, f.for_sql(f.WEIGHTED)
+
+
+def _whole_flows_sql() -> str:
+    """The same flows: bounds by walks; of each flow a score that a few good paths reach, then all paths that can reach it."""
+    can = f"""greatest(list_max(list_transform(range(1, least(len(h), {_D + 1} - len(path)) + 1), lambda r: CASE WHEN len(path) + r >= {flows.LEAST_NODES} THEN (len(path) + r) * (CAST(calls + h[r] AS DOUBLE) / (len(path) + r - 1)) * bonus END)),
+ CASE WHEN len(path) >= {flows.LEAST_NODES} THEN len(path) * (CAST(calls AS DOUBLE) / (len(path) - 1)) * bonus END)"""
+    step = "SELECT list_append(x.path, e.dst) AS path, x.calls + e.call_count AS calls, bonus, e.h AS h FROM {t} x JOIN eh e ON e.src = x.path[-1] WHERE len(x.path) <= {d} AND NOT list_contains(x.path, e.dst)"
+    score = "len(path) * (CAST(calls AS DOUBLE) / (len(path) - 1)) * bonus"
+    ended = f"len(path) >= {flows.LEAST_NODES} AND (len(path) = {_D + 1} OR NOT EXISTS (SELECT 1 FROM e WHERE e.src = x.path[-1] AND NOT list_contains(x.path, e.dst)))"
+    few = f"len(list_intersect(path, (SELECT seen FROM v{{i}}))) / CAST({{of}} AS DOUBLE) < {flows.MOST_OVERLAP}"
+    out = [f"e AS MATERIALIZED ({_W})", f"ent AS MATERIALIZED ({_entry_sql('SELECT * FROM e')})", "d1 AS MATERIALIZED (SELECT src AS v, max(call_count) AS most FROM e GROUP BY 1)"]
+    out += [f"d{r} AS MATERIALIZED (SELECT src AS v, max(call_count + most) AS most FROM e JOIN d{r - 1} ON dst = v GROUP BY 1)" for r in range(2, _D + 1)]
+    out.append("ah AS MATERIALIZED (SELECT v, list(most ORDER BY r) AS h FROM (" + " UNION ALL ".join(f"SELECT {r} AS r, v, most FROM d{r}" for r in range(1, _D + 1)) + ") x GROUP BY 1)")
+    out.append("eh AS MATERIALIZED (SELECT e.src, e.dst, e.call_count, h FROM e LEFT JOIN ah ON v = e.dst)")
+    out.append(f"b0 AS MATERIALIZED (SELECT [n.node_id] AS path, CAST(0 AS BIGINT) AS calls, CAST({_BONUS} AS DOUBLE) AS bonus, h FROM ent JOIN ({N}) n USING (node_id) JOIN ah ON v = n.node_id)")
+    out += [f"b{k + 1} AS MATERIALIZED (SELECT * FROM ({step.format(t=f'b{k}', d=_D)}) x WHERE {can} IS NOT NULL ORDER BY {can} DESC, path LIMIT {_BEAM})" for k in range(_D)]
+    out.append("done AS MATERIALIZED (" + " UNION ALL ".join(f"SELECT path, {score} AS score FROM b{k} x WHERE {ended}" for k in range(1, _D + 1)) + ")")
+    out.append("v0 AS MATERIALIZED (SELECT CAST([] AS VARCHAR[]) AS seen)")
+    for i in range(flows.MAX_FLOWS):
+        ok = "true" if not i else few.format(i=i, of="len(path)")
+        part = "true" if not i else few.format(i=i, of=str(_D + 1))
+        out.append(f"i{i} AS MATERIALIZED (SELECT coalesce(max(score), 0) AS least FROM done WHERE {ok})")
+        out.append(f"x{i} AS (SELECT * FROM b0 WHERE {can} >= (SELECT least FROM i{i}) UNION ALL SELECT * FROM ({step.format(t=f'x{i}', d=_D)}) y WHERE {can} >= (SELECT least FROM i{i}) AND {part})")
+        out.append(f"k{i} AS MATERIALIZED (SELECT path, {score} AS score FROM x{i} x WHERE {ended} AND {ok} ORDER BY 2 DESC, path LIMIT 1)")
+        out.append(f"v{i + 1} AS MATERIALIZED (SELECT list_distinct(list_concat(seen, coalesce((SELECT path FROM k{i}), []))) AS seen FROM v{i})")
+    out.append("mains AS MATERIALIZED (" + " UNION ALL ".join(f"SELECT {i} AS flow, path, score FROM k{i}" for i in range(flows.MAX_FLOWS)) + ")")
+    return "WITH RECURSIVE " + ",\n".join(out)
+
+
+WHOLE_FLOWS = _whole_flows_sql()
 
 
 def resolve_callee(spark, d):
@@ -417,7 +460,7 @@ QUERIES = {
     "entry_nodes": (entry_nodes, _entry_sql(_WE)),
     "simple_paths": (simple_paths, f"{_PATHS} SELECT array_to_string(path, '>') AS path, len(path) AS n FROM p"),
     "path_scores": (path_scores, PATH_SCORES),
-    "coverage": (coverage, f"{_PATHS} SELECT (SELECT count(*) FROM ({N}) n) AS n_core, count(DISTINCT x) AS n_covered, round(count(DISTINCT x) / (SELECT count(*) FROM ({N}) n), 9) AS coverage FROM (SELECT unnest(path) AS x FROM p) q"),
+    "coverage": (coverage, f"{WHOLE_FLOWS} SELECT (SELECT count(*) FROM ({N}) n) AS n_core, count(DISTINCT x) AS n_covered, round(count(DISTINCT x) / (SELECT count(*) FROM ({N}) n), 9) AS coverage FROM (SELECT unnest(path) AS x FROM mains) q"),
     "flow_steps": (flow_steps, FLOW_STEPS),
     "resolve_callee": (resolve_callee, RESOLVE),
     "module_index": (module_index, MODULE_INDEX),

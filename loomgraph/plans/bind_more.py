@@ -154,32 +154,28 @@ SNIPPETS = f"""SELECT node_id, CASE WHEN ord % 20 = 1 THEN 'high' ELSE 'medium'
 # -- flows
 
 
-def _flows(spark, d):
-    paths = settled(b._paths(spark, d), "flow-paths")
-    e = b.sparse_edges(spark, d)
-    return paths, flows.main_flows(flows.path_scores(paths, b.nodes(spark, d), e))
-
-
 def main_flows(spark, d):
-    _, mains = _flows(spark, d)
-    rows = [(k, ">".join(x["path"]), round(float(x["score"]), 6), round(float(x["importance"]), 6)) for k, x in enumerate(mains)]
+    """Of the whole call graph."""
+    rows = [(k, ">".join(x["path"]), round(float(x["score"]), 6), round(float(x["importance"]), 6)) for k, x in enumerate(b.whole_flows(spark, d))]
     return spark.createDataFrame(rows, "flow int, path string, score double, importance double")
 
 
 def branch_flows(spark, d):
-    paths, mains = _flows(spark, d)
-    return flows.branch_flows(paths, mains).select(F.array_join("path", ">").alias("path"), "main")
+    """All paths of the slice, under its main flows, which are found by the search and, in SQL, among all paths."""
+    e, n = settled(b.sparse_edges(spark, d), "flow-calls"), b.nodes(spark, d)
+    mains = flows.main_flows(n, flows.entry_nodes(n, e), e, max_depth=4)
+    return flows.branch_flows(b._paths(spark, d), mains).select(F.array_join("path", ">").alias("path"), "main")
 
 
 def flow_report(spark, d):
-    paths, mains = _flows(spark, d)
-    told = flows.named_flows(mains, flows.branch_flows(paths, mains), b.nodes(spark, d))
+    """The main flows of the whole call graph, told step by step."""
+    mains, n = b.whole_flows(spark, d), b.nodes(spark, d)
+    told = flows.named_flows(mains, flows.side_calls(mains, b.f.facts(spark, d, b.f.WEIGHTED)), n)
     return told.select("flow", "name", F.round("importance", 6).alias("importance"), "step", "node_id", "text", "n_branches")
 
 
-_BONUS = f"CASE WHEN lower(label) IN ({', '.join(f"'{x}'" for x in flows.ENTRY_NAMES)}) THEN 2.0 WHEN {' OR '.join(f"starts_with(lower(label), '{p}')" for p in flows.ENTRY_PREFIXES)} THEN 1.5 ELSE 1.0 END"
 _PICK = "SELECT path, score FROM scored WHERE len(path) >= 3 AND {rest} ORDER BY score DESC, path LIMIT 1"
-_MAINS = f"""{b._PATHS}, scored AS MATERIALIZED (SELECT path, len(path) * (CAST(calls AS DOUBLE) / (len(path) - 1)) * CAST({_BONUS} AS DOUBLE) AS score FROM p JOIN ({N}) n ON n.node_id = path[1]),
+_MAINS = f"""{b._PATHS}, scored AS MATERIALIZED (SELECT path, len(path) * (CAST(calls AS DOUBLE) / (len(path) - 1)) * CAST({b._BONUS} AS DOUBLE) AS score FROM p JOIN ({N}) n ON n.node_id = path[1]),
 k0 AS MATERIALIZED ({_PICK.format(rest='true')}), v0 AS MATERIALIZED (SELECT path AS seen FROM k0)""" + "".join(
     f""", k{i} AS MATERIALIZED (SELECT s.path, s.score FROM scored s, v{i - 1} WHERE len(s.path) >= 3 AND len(list_intersect(s.path, seen)) / len(s.path) < {flows.MOST_OVERLAP} ORDER BY s.score DESC, s.path LIMIT 1),
 v{i} AS MATERIALIZED (SELECT list_distinct(list_concat(seen, coalesce((SELECT path FROM k{i}), []))) AS seen FROM v{i - 1})"""
@@ -190,9 +186,9 @@ branches AS (SELECT path, arg_min(flow, (-n, flow)) AS main FROM shared WHERE n
 _FLOW_NAME = "CASE lower(label) " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in naming.FLOWS.items()) + " ELSE coalesce(CASE " + " ".join(f"WHEN starts_with(lower(label), '{k}') THEN replace(ltrim(substr(lower(label), {len(k) + 1}), '_'), '_', ' ') || '{v}流程'" for k, v in naming.FLOW_VERBS.items()) + " END, label || '流程') END"
 _SPLIT = "lower(split_part(label, '_', 1))"
 _SAYS = "CASE " + _SPLIT + " " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in naming.VERBS.items()) + " ELSE '处理' END || ' ' || CASE WHEN contains(label, '_') THEN substr(label, strpos(label, '_') + 1) ELSE '数据' END"
-FLOW_REPORT = f"""{_BRANCHES}, st AS (SELECT flow, score, unnest(path) AS node_id, generate_subscripts(path, 1) - 1 AS step FROM mains)
+FLOW_REPORT = f"""{b.WHOLE_FLOWS}, st AS (SELECT flow, score, unnest(path) AS node_id, generate_subscripts(path, 1) - 1 AS step FROM mains)
 SELECT CAST(st.flow AS INT) AS flow, (SELECT {_FLOW_NAME} FROM ({N}) e JOIN st z ON z.node_id = e.node_id WHERE z.flow = st.flow AND z.step = 0) AS name, round(score / (SELECT max(score) FROM mains), 6) AS importance,
- CAST(step AS INT) AS step, st.node_id, {_SAYS} AS text, (SELECT count(*) FROM branches WHERE main = st.flow) AS n_branches FROM st JOIN ({N}) n ON n.node_id = st.node_id"""
+ CAST(step AS INT) AS step, st.node_id, {_SAYS} AS text, (SELECT count(*) FROM e JOIN st z ON z.node_id = e.src WHERE z.flow = st.flow AND e.dst NOT IN (SELECT node_id FROM st)) AS n_branches FROM st JOIN ({N}) n ON n.node_id = st.node_id"""
 
 # -- pictures
 
@@ -513,7 +509,7 @@ QUERIES = {
     "diagnose_scope": (diagnose_scope, f"SELECT name FROM ({M}) m WHERE contains(name, 'sup1')"),
     "scoped_search": (scoped_search, f"SELECT node_id, CAST(CASE WHEN module_group = 'm1/brand11' THEN {b._SCORE} ELSE ({b._SCORE}) * 0.5 END AS DOUBLE) AS score FROM ({N}) n WHERE ({b._SCORE}) > 0 ORDER BY score DESC, ord LIMIT 10"),
     "snippets": (snippets, SNIPPETS),
-    "main_flows": (main_flows, f"{_MAINS} SELECT flow, array_to_string(path, '>') AS path, round(score, 6) AS score, round(score / (SELECT max(score) FROM mains), 6) AS importance FROM mains"),
+    "main_flows": (main_flows, f"{b.WHOLE_FLOWS} SELECT flow, array_to_string(path, '>') AS path, round(score, 6) AS score, round(score / (SELECT max(score) FROM mains), 6) AS importance FROM mains"),
     "branch_flows": (branch_flows, f"{_BRANCHES} SELECT array_to_string(path, '>') AS path, main FROM branches"),
     "flow_report": (flow_report, FLOW_REPORT),
     "mermaid_focus": (b.mermaid_focus, MERMAID_FOCUS),

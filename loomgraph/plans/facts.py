@@ -26,6 +26,11 @@ SELECT l_partkey AS a, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY {_
 CALLS = f"""
 SELECT s.node_id AS src, d.node_id AS dst, d.label AS callee_name, c.ord AS ord
 FROM ({STEPS}) c JOIN ({NODES}) s ON c.a = s.ord JOIN ({NODES}) d ON c.b = d.ord"""
+#: All steps as weighted calls, cycles included: each step calls as often as its item has units.
+WEIGHTED = f"""
+SELECT s.node_id AS src, d.node_id AS dst, CAST(sum(q) AS BIGINT) AS call_count
+FROM (SELECT l_partkey AS a, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY {_ORDER}) AS b, CAST(l_quantity AS BIGINT) AS q FROM {{lineitem}}) c
+JOIN ({NODES}) s ON c.a = s.ord JOIN ({NODES}) d ON c.b = d.ord WHERE c.a <> c.b GROUP BY s.node_id, d.node_id"""
 #: A graph without cycles and with few ways on from each node, for enumerations of paths only, which are exponential:
 #: of all forward steps from a part, those to its nearest and its farthest follower.
 SPARSE = f"""

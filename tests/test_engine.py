@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -242,17 +244,65 @@ def test_flows(spark):
     assert [r["node_id"] for r in entries.collect()] == ["main"]
     paths = flows.simple_paths(entries, edges)
     assert {tuple(r["path"]) for r in paths.collect()} == {("main", "a", "d"), ("main", "a", "b", "c")}
-    mains = flows.main_flows(flows.path_scores(paths, nodes, edges))
+    mains = flows.main_flows(nodes, entries, edges)
     assert mains[0]["path"] == ["main", "a", "b", "c"] and mains[0]["importance"] == 1.0 and mains[0]["score"] == pytest.approx(4 * (7 / 3) * 2)
     assert {tuple(r["path"]): r["main"] for r in flows.branch_flows(paths, mains[:1]).collect()} == {("main", "a", "d"): 0}
     assert flows.coverage(nodes, paths).first()["coverage"] == 1.0
 
 
 def test_main_flows_beyond_a_hub(spark):
-    """More paths through one hub than any bound come before the others, which are found all the same."""
-    rows = [(["h", "i", "j", f"x{k}"], 9000.0 - k) for k in range(3000)] + [([f"{k}a", f"{k}b", f"{k}c"], 5.0 - k) for k in range(5)]
-    found = flows.main_flows(spark.createDataFrame(rows, "path array<string>, score double"))
-    assert [f["path"][0] for f in found] == ["h", "0a", "1a", "2a", "3a"]
+    """More paths through one hub than go on at once come before the others, which are found all the same."""
+    edges = [("h", "i", 9000), ("i", "j", 9000), *[("j", f"x{k}", 9000 - k) for k in range(700)]]
+    edges += [e for k in range(5) for e in ((f"{k}a", f"{k}b", 9 - k), (f"{k}b", f"{k}c", 9 - k))]
+    names = sorted({x for a, b, _ in edges for x in (a, b)})
+    nodes = spark.createDataFrame([(n, n, "function") for n in names], "node_id string, label string, node_type string")
+    calls = spark.createDataFrame(edges, "src string, dst string, call_count long")
+    found = flows.main_flows(nodes, flows.entry_nodes(nodes, calls), calls, front=64)
+    assert [f["path"] for f in found] == [["h", "i", "j", "x0"], *[[f"{k}a", f"{k}b", f"{k}c"] for k in range(4)]]
+    assert flows.main_flows(nodes, flows.entry_nodes(nodes, calls), calls.limit(0)) == []
+
+
+def plain_flows(names, edges, entries, depth, most=flows.MAX_FLOWS):
+    """By listing all paths."""
+    ahead = {}
+    for a, b, n in edges:
+        ahead.setdefault(a, []).append((b, n))
+    ended = []
+
+    def go(path, calls):
+        on = [(b, n) for b, n in ahead.get(path[-1], []) if b not in path]
+        if len(path) == depth + 1 or not on:
+            if len(path) >= flows.LEAST_NODES:
+                bonus = 2.0 if path[0] in flows.ENTRY_NAMES else 1.5 if path[0].startswith(flows.ENTRY_PREFIXES) else 1.0
+                ended.append((-(len(path) * (calls / (len(path) - 1)) * bonus), path))
+            return
+        for b, n in on:
+            go([*path, b], calls + n)
+
+    for e in entries:
+        go([e], 0)
+    out, seen = [], set()
+    for score, path in sorted(ended):
+        if len(out) < most and (not out or len(set(path) & seen) / len(path) < flows.MOST_OVERLAP):
+            out.append((path, -score))
+            seen |= set(path)
+    return out
+
+
+@pytest.mark.parametrize(("seed", "front", "depth"), [(1, 3, 5), (2, 512, 6), (3, 1, 3)])
+def test_main_flows_against_all_paths(spark, monkeypatch, seed, front, depth):
+    """Cycles, ties, dead ends before the full depth, entries of each bonus, and tables of partial paths merged."""
+    monkeypatch.setattr(flows, "TABLES", 3)
+    rng = random.Random(seed)
+    names = ["main", "handle_x", "free", *[f"n{k}" for k in range(11)]]
+    edges = sorted({(a, b): rng.choice([1, 1, 2, 5]) for _ in range(30) for a, b in [(rng.choice(names), rng.choice(names[3:]))] if a != b}.items())
+    edges = [(a, b, n) for (a, b), n in edges]
+    nodes = spark.createDataFrame([(n, n, "function") for n in names], "node_id string, label string, node_type string")
+    calls = spark.createDataFrame(edges, "src string, dst string, call_count long")
+    entries = flows.entry_nodes(nodes, calls)
+    found = flows.main_flows(nodes, entries, calls, max_depth=depth, front=front)
+    want = plain_flows(names, edges, [r["node_id"] for r in entries.collect()], depth)
+    assert [(f["path"], f["score"]) for f in found] == want and len(want) > 1
 
 
 def test_terms(spark):
