@@ -24,7 +24,7 @@ from .tokens import batches, encoder, pieces
 
 WINDOW, END_ID = 1024, 2
 #: Spans of text that a worker remembers with their ids; only speed depends on it.
-SPANS = 500_000
+SPANS = 1_000_000
 #: Up to so many rows of (task, length) are sent to all tasks; of more, pieces are joined with theirs.
 BROADCAST_BASES = 1_000_000
 
