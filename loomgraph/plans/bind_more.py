@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import functions as F
 
 from ..extract import router
@@ -435,6 +437,42 @@ def stored_tables(spark, d):
     return store.load("t", "https://a").select(F.lit("a").alias("which"), "n_nationkey", "n_name").unionByName(last)
 
 
+def store_versions(spark, d):
+    """Two tables over three versions: the second replaces one and appends to the other at once; what a writer that fails
+    has written isn't seen; the third adds a column. Version 2 is read after that, by its number."""
+    store = RepositoryStore(spark, new_folder(spark, "store"))
+    n = spark.read.parquet(f"{d}/nation.parquet").select("n_nationkey", "n_name")
+    with store.writing("u") as t:
+        t.save("a", n.filter("n_nationkey % 2 = 0"))
+        t.save("b", n.filter("n_nationkey < 5"))
+    with store.writing("u") as t:
+        t.save("a", n.filter("n_nationkey % 3 = 0"))
+        t.save("b", n.filter("n_nationkey > 20"), append=True)
+    try:
+        with store.writing("u") as t:
+            t.save("a", n)
+            t.save("b", n.select(F.raise_error(F.lit("a writer that fails"))))
+    except Exception as e:
+        if "a writer that fails" not in str(e):
+            raise
+    store.save("b", "u", n.filter("n_nationkey = 10").withColumn("extra", F.lit("x")), append=True)
+    shown = []
+    for v, name in ((1, "a"), (1, "b"), (2, "a"), (2, "b"), (3, "a"), (3, "b")):
+        found = store.load(name, "u", v)
+        extra = F.col("extra") if "extra" in found.columns else F.lit(None).cast("string")
+        shown.append(found.select(F.lit(v).alias("version"), F.lit(name).alias("name"), "n_nationkey", "n_name", extra.alias("extra")))
+    return functools.reduce(lambda x, y: x.unionByName(y), shown)
+
+
+STORE_VERSIONS = " UNION ALL ".join(
+    f"SELECT {v} AS version, '{name}' AS name, n_nationkey, n_name, {extra} AS extra FROM nation WHERE {where}"
+    for v, name, where, extra in (
+        (1, "a", "n_nationkey % 2 = 0", "NULL"), (1, "b", "n_nationkey < 5", "NULL"), (2, "a", "n_nationkey % 3 = 0", "NULL"), (2, "b", "n_nationkey < 5 OR n_nationkey > 20", "NULL"),
+        (3, "a", "n_nationkey % 3 = 0", "NULL"), (3, "b", "n_nationkey < 5 OR n_nationkey > 20 OR n_nationkey = 10", "CASE WHEN n_nationkey = 10 THEN 'x' END"),
+    )
+)
+
+
 def roles(spark, d):
     p = spark.read.parquet(f"{d}/part.parquet").select("p_partkey")
     named = F.element_at(F.array(*[F.lit(x) for x in _ROLES]), (F.col("p_partkey") % len(_ROLES) + 1).cast("int"))
@@ -530,6 +568,7 @@ QUERIES = {
     "watched_changes": (watched_changes, f"SELECT path || '.go' AS file_path, 'partial' AS parse_method, length(content) - length(replace(content, chr(10), '')) + CASE WHEN content <> '' AND NOT content LIKE '%' || chr(10) THEN 1 ELSE 0 END AS line_count FROM ({bs._NEW}) n"),
     "watch_status": (watch_status, "SELECT look, added, modified, removed, 3 AS looks, false AS active FROM (VALUES (0, (SELECT count(*) FROM documents), 0, 0), (1, (SELECT count(*) FROM documents WHERE doc_id % 10 = 2), 0, (SELECT count(*) FROM documents WHERE doc_id % 10 IN (0, 2))), (2, 0, 0, 0)) v(look, added, modified, removed)"),
     "stored_tables": (stored_tables, "SELECT 'a' AS which, n_nationkey, n_name FROM nation WHERE n_nationkey % 2 = 0 UNION ALL SELECT 'last', n_nationkey, n_name FROM nation WHERE n_nationkey IN (1, 3)"),
+    "store_versions": (store_versions, STORE_VERSIONS),
     "roles": (roles, f"SELECT p_partkey, {_CASE_ROLE} AS role FROM part"),
     "score_health": (score_health, "SELECT p_partkey, CASE WHEN p_partkey % 101 / 100 >= 0.7 THEN 'green' WHEN p_partkey % 101 / 100 >= 0.4 THEN 'yellow' ELSE 'red' END AS health FROM part"),
     "language_colors": (language_colors, f"SELECT DISTINCT language, CASE language WHEN 'python' THEN '#306998' WHEN 'typescript' THEN '#3178c6' WHEN 'go' THEN '#00add8' WHEN 'rust' THEN '#dea584' ELSE '#64748b' END AS color FROM ({bs._FILES}) f"),

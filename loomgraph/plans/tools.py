@@ -15,7 +15,7 @@ from ..functions.text import project_name
 from ..functions.naming import business_name, connection_verb, module_description
 from ..operators import diffs, glossary, graph, incremental, memory, modules, render, resolve, search, stats
 from ..sources.repository import MAX_FILES, ordered, scan
-from ..sources.store import RepositoryStore, write_json
+from ..sources.store import RepositoryStore, Transaction, write_json
 from . import codegen, roles, summary
 from .roles import BADGES, ROLES, role_column, role_of
 
@@ -49,39 +49,30 @@ class Engine:
         self.watches: dict = {}
         self.templates = summary.load_config(templates or [], summary.TEMPLATES)
 
-    def _kept(self, name: str, url: str, df: DataFrame) -> DataFrame:
-        """df as it is stored; an empty one as an empty table of its schema, without being computed again."""
-        self.store.save(name, url, df)
-        found = self.store.load(name, url)
-        return found if found is not None else self.spark.createDataFrame([], df.schema)
-
     # -- scanning
 
     def scan(self, url: str, listing: DataFrame, max_files: int | None = MAX_FILES) -> Repository:
         """Files to facts, graph and modules; only what changed is parsed where a former scan is known and less than
         FULL_SCAN_SHARE of it has changed."""
         files, counts = scan(listing, max_files)
-        files = self._kept("files", url, ordered(files))
-        now = incremental.snapshot(files)
-        was, old = self.store.load("snapshots", url), self.store.load("results", url)
-        results = None
-        if was is not None and old is not None:
-            changed = incremental.changes(was, now)
-            plan = incremental.plan_scan(was, now).first()
-            if plan["mode"] == "none":
-                results = old
-            elif plan["mode"] == "incremental":
-                changed = changed.checkpoint() if self.spark.sparkContext.getCheckpointDir() else changed
-                fresh = parse_files(files.join(changed.filter("change != 'removed'").select("path"), "path", "left_semi"))
-                # the former table is read while its successor is written: under another name first
-                self.store.save("results_next", url, incremental.merge(old, fresh, changed))
-                results = self._kept("results", url, self.store.load("results_next", url))
-        if results is None:
-            results = self._kept("results", url, parse_files(files))
-        self.store.save("snapshots", url, now)
-        return self._build(url, files, counts, results)
-
-    def _build(self, url: str, files: DataFrame, counts: DataFrame, results: DataFrame) -> Repository:
+        with self.store.writing(url) as t:  # all tables of a scan become one version, or none does
+            files = t.save("files", ordered(files))
+            now = t.save("snapshots", incremental.snapshot(files))
+            was, old = t.former("snapshots"), t.former("results")
+            results = None
+            if was is not None and old is not None:
+                changed = t.save("changes", incremental.changes(was, now))
+                plan = incremental.plan_scan(was, now).first()
+                if plan["mode"] == "none":
+                    results = old
+                elif plan["mode"] == "incremental":
+                    fresh = parse_files(files.join(changed.filter("change != 'removed'").select("path"), "path", "left_semi"))
+                    results = t.save("results", incremental.merge(old, fresh, changed))
+            if results is None:
+                results = t.save("results", parse_files(files))
+            return self._build(t, url, files, counts, results)
+
+    def _build(self, t: Transaction, url: str, files: DataFrame, counts: DataFrame, results: DataFrame) -> Repository:
         flat = facts(results)
         place = files.select(F.col("path").alias("file"), "ord", "line_count", "is_config")
         nodes, edges = resolve.build_graph(place, flat["functions"], flat["classes"], flat["imports"], flat["calls"])
@@ -93,21 +84,21 @@ class Engine:
             kind = F.when(F.col("type") == "test", 2).otherwise(0)
             grouped = under.select(*place.columns, kind.alias("kind"), "name", F.col("path").alias("dir_path"), F.col("name").alias("key"))
         mods = modules.build_modules(grouped, flat["functions"], flat["classes"], flat["calls"])
-        nodes = self._kept("nodes", url, resolve.assign_modules(nodes, grouped.select("name", "file", "ord")))
-        edges = self._kept("edges", url, edges)
+        nodes = t.save("nodes", resolve.assign_modules(nodes, grouped.select("name", "file", "ord")))
+        edges = t.save("edges", edges)
         listed = mods.withColumn("ord", F.struct("rank.kind", "rank.by_name", "rank.ord"))
-        mods = self._kept("modules", url, listed.drop("rank").withColumn("ord", F.col("ord.kind").cast("long") * 1_000_000_000 + F.col("ord.ord")))
+        mods = t.save("modules", listed.drop("rank").withColumn("ord", F.col("ord.kind").cast("long") * 1_000_000_000 + F.col("ord.ord")))
         return Repository(url, files, counts, results, nodes, edges, mods, graph.module_edges(nodes, edges))
 
     def open(self, url: str) -> Repository | None:
         """A repository scanned before."""
-        t = {n: self.store.load(n, url) for n in ("files", "results", "nodes", "edges", "modules")}
-        if t["files"] is None or t["results"] is None:
+        now = self.store.begin(url).tables  # one version, whoever writes meanwhile
+        if not {"files", "results", "nodes", "edges", "modules"} <= now.keys():
             return None
-        edges = t["edges"] if t["edges"] is not None else self.spark.createDataFrame([], "src string, dst string, data_label string, call_count long, is_critical_path boolean")
+        t = {n: self.store.reader(now[n]) for n in ("files", "results", "nodes", "edges", "modules")}
         from ..sources.repository import summarize
 
-        return Repository(url, t["files"], summarize(t["files"], t["files"].withColumn("skipped", F.lit(None).cast("string"))), t["results"], t["nodes"], edges, t["modules"], graph.module_edges(t["nodes"], edges))
+        return Repository(url, t["files"], summarize(t["files"], t["files"].withColumn("skipped", F.lit(None).cast("string"))), t["results"], t["nodes"], t["edges"], t["modules"], graph.module_edges(t["nodes"], t["edges"]))
 
     def scan_report(self, r: Repository, role: str = "pm") -> dict:
         """What a scan shows: overview, modules with health and names, links with verbs, pictures, parse quality."""
