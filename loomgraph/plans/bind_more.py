@@ -12,7 +12,7 @@ from ..operators import diffs, flows, glossary, graph, incremental, modules, ren
 from ..sources import repository
 from ..sources.shared import new_folder, settled
 from ..sources.store import RepositoryStore
-from ..streaming import watch
+from ..streaming import edits, watch
 from . import bind_graph as b
 from . import bind_sources as bs
 from . import facts as f
@@ -425,6 +425,53 @@ def watch_status(spark, d):
     return spark.createDataFrame(rows, "look long, added long, modified long, removed long").withColumn("looks", F.lit(s["looks"]).cast("long")).withColumn("active", F.lit(s["active"]))
 
 
+def _edits(spark, d):
+    """Three deliveries of edits: documents appear; a tenth is edited twice at once, some go, some come back under another
+    name, some are edited and set back; later, some are edited once more."""
+    docs = spark.read.parquet(f"{d}/documents.parquet").select(F.concat(F.lit("d"), F.col("doc_id"), F.lit(".go")).alias("path"), F.concat(F.lit("n"), F.col("doc_id"), F.lit(".go")).alias("other"), "text", (F.col("doc_id") % 10).alias("k"))
+    at = lambda seconds: F.timestamp_millis(F.lit(1_700_000_000_000 + int(seconds * 1000)))
+    edit = lambda where, path, content, t: docs.filter(where).select(F.col(path).alias("path"), content.cast("string").alias("content"), at(t).alias("at"))
+    tick = lambda t: spark.range(1).select(F.lit(None).cast("string").alias("path"), F.lit(None).cast("string").alias("content"), at(t).alias("at"))
+    more = lambda x: F.concat("text", F.lit(x))
+    second = [edit("k = 1", "path", more("y"), 10), edit("k = 1", "path", more("x"), 10.2), edit("k in (0, 2)", "path", F.lit(None), 10), edit("k = 2", "other", F.col("text"), 10), edit("k = 3", "path", more("z"), 10), edit("k = 3", "path", F.col("text"), 10.3), tick(20)]
+    third = [edit("k = 4", "path", more("w"), 30), edit("k = 1", "path", more("x"), 31), tick(40)]
+    return [edit("true", "path", F.col("text"), 0), functools.reduce(lambda x, y: x.unionByName(y), second), functools.reduce(lambda x, y: x.unionByName(y), third)]
+
+
+def _watched(spark, d):
+    """The store and the streams of a watch that is stopped after two deliveries and started again."""
+    at, store, streams = new_folder(spark, "edits"), RepositoryStore(spark, new_folder(spark, "store")), []
+    for k, delivered in enumerate(_edits(spark, d)):
+        delivered.write.mode("append").parquet(f"{at}/in")
+        if k:
+            source = spark.readStream.schema("path string, content string, at timestamp").parquet(f"{at}/in")
+            streams.append(edits.follow(source, store, "u", f"{at}/state", availableNow=True))
+            streams[-1].awaitTermination()
+    return store, streams
+
+
+def watched_edits(spark, d):
+    """All changes that the watch has told, over its restart, with the snapshot's hash where the path is still there."""
+    store, _ = _watched(spark, d)
+    left = store.load("snapshots", "u").select("path", F.col("sha256").alias("left"))
+    return store.load("told", "u").select("path", "change", "sha256").join(left, "path", "left")
+
+
+_EDITED = "SELECT 'd' || doc_id || '.go' AS path, 'n' || doc_id || '.go' AS other, text, doc_id % 10 AS k FROM documents"
+WATCHED_EDITS = f"""WITH e AS ({_EDITED}), t AS (
+ SELECT path, 'added' AS change, sha256(text) AS sha256 FROM e WHERE k IN (1, 3, 4, 5, 6, 7, 8, 9, 0, 2)
+ UNION ALL SELECT path, 'modified', sha256(text || 'x') FROM e WHERE k = 1 UNION ALL SELECT path, 'removed', NULL FROM e WHERE k IN (0, 2)
+ UNION ALL SELECT other, 'added', sha256(text) FROM e WHERE k = 2 UNION ALL SELECT path, 'modified', sha256(text || 'w') FROM e WHERE k = 4)
+SELECT t.path, change, sha256, CASE WHEN k IN (0, 2) AND t.path = e.path THEN NULL WHEN k = 1 THEN sha256(text || 'x') WHEN k = 4 THEN sha256(text || 'w') ELSE sha256(text) END AS left FROM t JOIN e ON t.path IN (e.path, e.other)"""
+
+
+def watch_progress(spark, d):
+    """What the second of the two streams reports, and the versions that the watch has made."""
+    store, streams = _watched(spark, d)
+    p = edits.progress(streams[-1])
+    return spark.createDataFrame([(p["active"], p["rows"], p["failed"], len(store.versions(store.key("u"))))], "active boolean, rows long, failed string, versions long")
+
+
 def stored_tables(spark, d):
     """A store's tables of two repositories: one replaced, one appended to, and the last one saved."""
     store = RepositoryStore(spark, new_folder(spark, "store"))
@@ -567,6 +614,8 @@ QUERIES = {
     "watch_filter": (watch_filter, f"SELECT {bs._PATH} AS path, doc_id % 8 NOT IN (4, 5, 6) AS watched FROM documents"),
     "watched_changes": (watched_changes, f"SELECT path || '.go' AS file_path, 'partial' AS parse_method, length(content) - length(replace(content, chr(10), '')) + CASE WHEN content <> '' AND NOT content LIKE '%' || chr(10) THEN 1 ELSE 0 END AS line_count FROM ({bs._NEW}) n"),
     "watch_status": (watch_status, "SELECT look, added, modified, removed, 3 AS looks, false AS active FROM (VALUES (0, (SELECT count(*) FROM documents), 0, 0), (1, (SELECT count(*) FROM documents WHERE doc_id % 10 = 2), 0, (SELECT count(*) FROM documents WHERE doc_id % 10 IN (0, 2))), (2, 0, 0, 0)) v(look, added, modified, removed)"),
+    "watched_edits": (watched_edits, WATCHED_EDITS),
+    "watch_progress": (watch_progress, "SELECT false AS active, count(*) FILTER (doc_id % 10 IN (1, 4)) + 1 AS rows, CAST(NULL AS VARCHAR) AS failed, 0 + 3 AS versions FROM documents"),
     "stored_tables": (stored_tables, "SELECT 'a' AS which, n_nationkey, n_name FROM nation WHERE n_nationkey % 2 = 0 UNION ALL SELECT 'last', n_nationkey, n_name FROM nation WHERE n_nationkey IN (1, 3)"),
     "store_versions": (store_versions, STORE_VERSIONS),
     "roles": (roles, f"SELECT p_partkey, {_CASE_ROLE} AS role FROM part"),

@@ -47,6 +47,7 @@ class Engine:
         """templates: files with prompts by level, (system, user) each, the first that can be read; else the built-in ones."""
         self.spark, self.store = spark, RepositoryStore(spark, root)
         self.watches: dict = {}
+        self.streams: dict = {}
         self.templates = summary.load_config(templates or [], summary.TEMPLATES)
 
     # -- scanning
@@ -294,6 +295,24 @@ class Engine:
             self.watches[url] = Watch(self.spark, listing, save)
         return self.watches[url]
 
+    def watch(self, url: str, stream: DataFrame, checkpoint: str, **trigger):
+        """A watch by a stream of edits (path, content, at), which goes on where it was stopped; a running one stays."""
+        from ..streaming import edits
+
+        if url not in self.streams or not self.streams[url].isActive:
+            self.streams[url] = edits.follow(stream, self.store, url, checkpoint, **trigger)
+        return self.streams[url]
+
+    def unwatch(self, url: str) -> dict:
+        """Stops such a watch; what it reports, or that there was none."""
+        from ..streaming import edits
+
+        query = self.streams.pop(url, None)
+        if query is None:
+            return {"status": "error", "error": "没有正在进行的监听"}
+        query.stop()
+        return {"status": "ok", **edits.progress(query)}
+
     def unfollow(self, url: str) -> dict:
         """Stops a repository's watch; what it had seen, or that there was none."""
         watch = self.watches.pop(url, None)
@@ -303,7 +322,9 @@ class Engine:
         return {"status": "ok", **watch.status()}
 
     def watching(self) -> dict:
-        return {url: watch.status() for url, watch in self.watches.items()}
+        from ..streaming import edits
+
+        return {url: watch.status() for url, watch in self.watches.items()} | {url: edits.progress(q) for url, q in self.streams.items()}
 
     # -- memory and terms
 
