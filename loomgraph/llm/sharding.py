@@ -8,13 +8,14 @@ shards up, so counts differ by one at most.
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize
 
 SHARDS = 40
-ROUNDS = 4
 #: A group is hot beyond so many rows, or beyond this share of all: so hot groups are at most 1 / HOT_SHARE.
 HOT_ROWS, HOT_SHARE = 512, 1e-4
 #: Parts that each shard's or group's documents are dealt to when they are numbered.
@@ -42,11 +43,12 @@ def _array(values: list[int]) -> Column:
     return F.array(*[F.lit(v).cast("long") for v in values])
 
 
-def propagate(state: DataFrame, quota: list[int], rounds: int = ROUNDS) -> DataFrame:
-    """state (g, shard, n) after at most `rounds` rounds; no shard takes in more than its quota leaves."""
+def propagate(state: DataFrame, quota: list[int], rounds: int | None = None) -> DataFrame:
+    """state (g, shard, n) when nothing moves any more, or after `rounds` rounds; no shard takes in more than its quota
+    leaves. It ends: a group's homes only gain, so each round leaves fewer documents away from home."""
     shards = len(quota)
     at_home = Window.partitionBy("g").orderBy(F.desc("n"), "shard")
-    for _ in range(rounds):
+    for _ in count() if rounds is None else range(rounds):
         load = {r["shard"]: r["n"] for r in state.groupBy("shard").agg(F.sum("n").alias("n")).collect()}  # a row per shard
         free = [max(0, quota[h] - load.get(h, 0)) for h in range(shards)]
         # A group's home is where most of it is; one larger than a shard has as many homes as it fills, filled in order.
@@ -94,7 +96,7 @@ def cut_links(sharded: DataFrame) -> DataFrame:
     return by.agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("links"), F.coalesce(F.sum(F.col("shards") - 1), F.lit(0)).alias("cut"))
 
 
-def shard_rows(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS, text: str = "text") -> DataFrame:
+def shard_rows(docs: DataFrame, shards: int = SHARDS, rounds: int | None = None, text: str = "text") -> DataFrame:
     """doc_id, size, text_crc32, law (`rows`: counts of shards are at most one apart), shard, slot, grown_shard (null).
 
     Null texts link with nothing, size 16, crc32 0; empty texts are equal texts. Ids may be null or repeat: rows
