@@ -15,6 +15,8 @@ from .graph import aggregate_calls, node_id
 #: Fixed: what module paths are cut of.
 SUFFIXES = (".py", ".js", ".ts", ".jsx", ".tsx", ".go", ".rs", ".java")
 MODULE = "<module>"
+#: A node's order: its file's place, then its own within so many bits.
+FILE_BITS = 24
 
 
 def _place(facts: DataFrame, files: DataFrame) -> DataFrame:
@@ -100,18 +102,31 @@ def resolve_callees(calls: DataFrame, defs: DataFrame, imports: DataFrame, files
     return c.withColumn("dst", F.coalesce(*found)).withColumn("tier", tier).drop("want", "t1", "t2", "t3", "first_file", "first_id", "other_id")
 
 
-def build_graph(files: DataFrame, functions: DataFrame, classes: DataFrame, imports: DataFrame, calls: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(nodes, edges) of extracted facts. Files' own nodes exist where a call starts from them."""
-    defs = definitions(functions, classes, files)
-    resolved = resolve_callees(resolve_callers(calls, defs, classes), defs, imports, files)
+def resolved_calls(files: DataFrame, defs: DataFrame, classes: DataFrame, imports: DataFrame, calls: DataFrame) -> DataFrame:
+    """(file, ord, caller_func, callee_name, src, dst, tier): calls with both ends, dst null where nothing has the name."""
+    return resolve_callees(resolve_callers(calls, defs, classes), defs, imports, files).select("file", "ord", "caller_func", "callee_name", "src", "dst", "tier")
+
+
+def edges_of(resolved: DataFrame, files: DataFrame) -> DataFrame:
     placed = resolved.join(files.select("file", F.col("ord").alias("file_ord")), "file")
-    edges = aggregate_calls(placed.select("src", "dst", "callee_name", F.struct("file_ord", "ord").alias("ord")))
-    own = nodes_of(defs)
-    from_module = placed.filter(F.col("src") == node_id(F.col("file"), F.lit(MODULE))).select(F.col("src").alias("node_id"), "file", F.lit(0).alias("line_start"), F.lit(0).alias("line_end"), F.lit("module").alias("node_type"), F.lit(MODULE).alias("label"), F.struct("file_ord", F.lit(2).alias("kind"), F.lit(0).cast(dict(functions.dtypes)["ord"]).alias("ord")).alias("seq")).dropDuplicates(["node_id"])
-    nodes = own.unionByName(from_module)
+    return aggregate_calls(placed.select("src", "dst", "callee_name", F.struct("file_ord", "ord").alias("ord")))
+
+
+def graph_nodes(files: DataFrame, defs: DataFrame, resolved: DataFrame) -> DataFrame:
+    """Nodes of definitions, and files' own nodes where a call starts from them."""
+    kind = defs.schema["seq"].dataType["ord"].dataType
+    starts = resolved.filter(F.col("src") == node_id(F.col("file"), F.lit(MODULE))).select("src", "file").distinct().join(files.select("file", F.col("ord").alias("file_ord")), "file")
+    from_module = starts.select(F.col("src").alias("node_id"), "file", F.lit(0).alias("line_start"), F.lit(0).alias("line_end"), F.lit("module").alias("node_type"), F.lit(MODULE).alias("label"), F.struct("file_ord", F.lit(2).alias("kind"), F.lit(0).cast(kind).alias("ord")).alias("seq"))
+    nodes = nodes_of(defs).unionByName(from_module)
     # A dense order would need all nodes in one task; seq orders them as well, packed into one number.
-    nodes = nodes.withColumn("ord", F.shiftleft(F.col("seq.file_ord").cast("long"), 24) + F.shiftleft(F.col("seq.kind").cast("long"), 22) + F.col("seq.ord")).drop("seq")
-    return nodes, edges
+    return nodes.withColumn("ord", F.shiftleft(F.col("seq.file_ord").cast("long"), FILE_BITS) + F.shiftleft(F.col("seq.kind").cast("long"), 22) + F.col("seq.ord")).drop("seq")
+
+
+def build_graph(files: DataFrame, functions: DataFrame, classes: DataFrame, imports: DataFrame, calls: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) of extracted facts."""
+    defs = definitions(functions, classes, files)
+    resolved = resolved_calls(files, defs, classes, imports, calls)
+    return graph_nodes(files, defs, resolved), edges_of(resolved, files)
 
 
 def assign_modules(nodes: DataFrame, module_files: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..extract import router
 from ..functions import naming, text
-from ..operators import diffs, flows, glossary, graph, incremental, modules, render, resolve, search, stats
+from ..operators import delta_graph, diffs, flows, glossary, graph, incremental, modules, render, resolve, search, stats
 from ..sources import repository
 from ..sources.shared import new_folder, settled
 from ..sources.store import RepositoryStore
@@ -96,6 +96,60 @@ srcs AS (SELECT cc.file, caller_func, CASE WHEN caller_func = '<module>' THEN cc
  FROM cc LEFT JOIN bc ON bc.file = cc.file AND bc.name = cc.caller_func)"""
 
 
+#: The same facts over many small files, of which edits touch few.
+_wide = lambda q: q.replace("% 40", "% 400").replace("40 - ", "400 - ")
+_OWN = lambda x: f"CAST(regexp_extract({x}, '[0-9]+') AS INT)"
+_ADDED, _EDITED_FILES, _GONE = (3, 17), (5, 12, 60), ("z20.py", "z61.py")
+
+
+def _edited_facts(spark, d):
+    """(facts before, facts after): two files come, three are edited (other names, half of the calls, no imports before),
+    and two go, of which one stood first, so names had their first definition there."""
+    new = {k: f.facts(spark, d, _wide(q)) for k, q in (("files", _FILES), ("functions", _DEFS), ("classes", _CLASSES), ("imports", _IMPORTS), ("calls", _USES))}
+    new["imports"] = new["imports"].select("file", "ord", "module", F.array("imported").alias("names"))
+    new["calls"] = new["calls"].withColumn("ord", F.col("ord").cast("long"))
+    k, old = F.regexp_extract("file", "[0-9]+", 0).cast("int"), {}
+    for name, t in new.items():
+        edited = k.isin(*_EDITED_FILES)
+        was = t.filter(~k.isin(*_ADDED))
+        if name == "functions":
+            was = was.withColumn("name", F.when(edited, F.concat("name", F.lit("0"))).otherwise(F.col("name")))
+        if name == "imports":
+            was = was.filter(~edited)
+        if name == "calls":
+            was = was.filter(~edited | (F.col("ord") % 2 == 0))
+        gone = t.filter(k.isin(20, 61)).withColumn("file", F.concat(F.lit("z"), k, F.lit(".py")))
+        if name == "files":
+            gone = gone.withColumn("ord", F.when(k == 20, -1).otherwise(1000).cast(dict(t.dtypes)["ord"]))
+        old[name] = settled(was.unionByName(gone), "facts-old")
+    return delta_graph.Facts(**old), delta_graph.Facts(**{n: settled(t, "facts-new") for n, t in new.items()})
+
+
+def _updated(spark, d):
+    old, new = _edited_facts(spark, d)
+    rows = [(f"g{k}.py", "added") for k in _ADDED] + [(f"g{k}.py", "modified") for k in _EDITED_FILES] + [(p, "removed") for p in _GONE]
+    there = old.files.select("file").unionByName(new.files.select("file")).distinct().withColumnRenamed("file", "path")
+    changed = settled(spark.createDataFrame(rows, "path string, change string").join(there, "path", "left_semi"), "edits")
+    return delta_graph.update(old, new, changed, delta_graph.build(old))
+
+
+def incremental_graph(spark, d):
+    """The graph after edits, from the one before: as if it were built anew."""
+    return _updated(spark, d)[0].edges.select("src", "dst", "call_count")
+
+
+def incremental_nodes(spark, d):
+    return _updated(spark, d)[0].nodes.select("node_id", "file", "node_type", "label", "line_start", "line_end")
+
+
+_WIDE_SQL = f"WITH {_wide(_TIERS_SQL)}, {_CALLERS_SQL}"
+INCREMENTAL_GRAPH = f"{_WIDE_SQL} SELECT src, dst, count(*) AS call_count FROM us JOIN srcs ON srcs.file = us.file AND srcs.caller_func = us.caller_func JOIN found ON found.file = us.file AND found.callee_name = us.callee_name WHERE dst IS NOT NULL AND src <> dst GROUP BY 1, 2"
+INCREMENTAL_NODES = f"""{_WIDE_SQL}, al AS (SELECT df.node_id, df.file, df.seq, CASE WHEN fn.is_method THEN 'method' ELSE 'function' END AS node_type, df.name AS label, fn.line_start, fn.line_end FROM fn JOIN fi ON fi.file = fn.file JOIN df ON df.seq = fi.ord * 10000000000 + fn.ord AND df.file = fn.file
+ UNION ALL SELECT df.node_id, df.file, df.seq, 'class', df.name, 1, 2 FROM cl JOIN fi ON fi.file = cl.file JOIN df ON df.seq = fi.ord * 10000000000 + 5000000000 + cl.ord AND df.file = cl.file)
+SELECT node_id, arg_max(file, seq) AS file, arg_max(node_type, seq) AS node_type, arg_max(label, seq) AS label, CAST(arg_max(line_start, seq) AS INT) AS line_start, CAST(arg_max(line_end, seq) AS INT) AS line_end FROM al GROUP BY 1
+UNION ALL SELECT DISTINCT src, us.file, 'module', '<module>', 0, 0 FROM us JOIN srcs ON srcs.file = us.file AND srcs.caller_func = us.caller_func JOIN fi ON fi.file = us.file WHERE src = us.file || '::<module>'"""
+
+
 def node_modules(spark, d):
     """Nodes by module, of modules that share files."""
     n = b.nodes(spark, d)
@@ -587,6 +641,8 @@ QUERIES = {
     "callee_tiers": (callee_tiers, f"WITH {_TIERS_SQL} SELECT file, callee_name, dst, coalesce(tier, 0) AS tier FROM found"),
     "caller_nodes": (caller_nodes, f"WITH {_DEFS_SQL}, us AS ({_F(_USES)}), {_CALLERS_SQL} SELECT file, caller_func, src FROM srcs"),
     "method_index": (method_index, f"WITH {_DEFS_SQL} SELECT file, name, node_id FROM mi"),
+    "incremental_graph": (incremental_graph, INCREMENTAL_GRAPH),
+    "incremental_nodes": (incremental_nodes, INCREMENTAL_NODES),
     "built_graph": (built_graph, f"WITH {_TIERS_SQL}, {_CALLERS_SQL} SELECT src, dst, count(*) AS call_count FROM us JOIN srcs ON srcs.file = us.file AND srcs.caller_func = us.caller_func JOIN found ON found.file = us.file AND found.callee_name = us.callee_name WHERE dst IS NOT NULL AND src <> dst GROUP BY 1, 2"),
     "node_modules": (node_modules, NODE_MODULES),
     "swift_targets": (swift_targets, SWIFT),

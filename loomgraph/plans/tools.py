@@ -13,7 +13,7 @@ from ..extract.router import facts, parse_files, quality, warning
 from ..functions import answers
 from ..functions.text import project_name
 from ..functions.naming import business_name, connection_verb, module_description
-from ..operators import diffs, glossary, graph, incremental, memory, modules, render, resolve, search, stats
+from ..operators import delta_graph, diffs, glossary, graph, incremental, memory, modules, render, resolve, search, stats
 from ..sources.repository import MAX_FILES, ordered, scan
 from ..sources.store import RepositoryStore, Transaction, write_json
 from . import codegen, roles, summary
@@ -60,7 +60,7 @@ class Engine:
             files = t.save("files", ordered(files))
             now = t.save("snapshots", incremental.snapshot(files))
             was, old = t.former("snapshots"), t.former("results")
-            results = None
+            results, edited = None, None
             if was is not None and old is not None:
                 changed = t.save("changes", incremental.changes(was, now))
                 plan = incremental.plan_scan(was, now).first()
@@ -68,15 +68,23 @@ class Engine:
                     results = old
                 elif plan["mode"] == "incremental":
                     fresh = parse_files(files.join(changed.filter("change != 'removed'").select("path"), "path", "left_semi"))
-                    results = t.save("results", incremental.merge(old, fresh, changed))
+                    results, edited = t.save("results", incremental.merge(old, fresh, changed)), changed
             if results is None:
                 results = t.save("results", parse_files(files))
-            return self._build(t, url, files, counts, results)
-
-    def _build(self, t: Transaction, url: str, files: DataFrame, counts: DataFrame, results: DataFrame) -> Repository:
-        flat = facts(results)
-        place = files.select(F.col("path").alias("file"), "ord", "line_count", "is_config")
-        nodes, edges = resolve.build_graph(place, flat["functions"], flat["classes"], flat["imports"], flat["calls"])
+            return self._build(t, url, files, counts, results, edited)
+
+    def _build(self, t: Transaction, url: str, files: DataFrame, counts: DataFrame, results: DataFrame, edited: DataFrame | None = None) -> Repository:
+        """edited: what has changed since the former version, whose graph is then brought up to date."""
+        now = self._facts(files, results)
+        place, flat = now.files, facts(results)
+        former = {n: t.former(n) for n in ("files", "results", "nodes", "edges", "resolved")}
+        if edited is None or None in former.values():
+            whole = delta_graph.build(now)
+        else:
+            was = delta_graph.Graph(former["nodes"].drop("module_group"), former["edges"], former["resolved"])
+            whole, _ = delta_graph.update(self._facts(former["files"], former["results"]), now, edited, was)
+        t.save("resolved", whole.resolved)
+        nodes, edges = whole.nodes, whole.edges
         grouped = modules.module_files(place)
         manifest = files.filter("path = 'Package.swift'").select("content").first()
         targets = swift_targets(manifest["content"] or "") if manifest else []
@@ -91,6 +99,11 @@ class Engine:
         mods = t.save("modules", listed.drop("rank").withColumn("ord", F.col("ord.kind").cast("long") * 1_000_000_000 + F.col("ord.ord")))
         return Repository(url, files, counts, results, nodes, edges, mods, graph.module_edges(nodes, edges))
 
+    def _facts(self, files: DataFrame, results: DataFrame) -> delta_graph.Facts:
+        flat = facts(results)
+        place = files.select(F.col("path").alias("file"), "ord", "line_count", "is_config")
+        return delta_graph.Facts(place, flat["functions"], flat["classes"], flat["imports"], flat["calls"])
+
     def open(self, url: str) -> Repository | None:
         """A repository scanned before."""
         now = self.store.begin(url).tables  # one version, whoever writes meanwhile
