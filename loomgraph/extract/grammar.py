@@ -15,12 +15,12 @@ METHOD, CONFIDENCE = "full", 1.0
 
 
 class Nodes(NamedTuple):
-    """Types of nodes, blank-joined, and the fields of a name and of what a class extends."""
+    """Types of nodes, and the fields of a name, of what a class extends and of parameters."""
 
-    functions: str
-    classes: str
-    imports: str
-    calls: str
+    functions: tuple[str, ...]
+    classes: tuple[str, ...]
+    imports: tuple[str, ...]
+    calls: tuple[str, ...]
     name: str | None = "name"
     base: str | None = None
     parameters: str | None = "parameters"
@@ -28,40 +28,40 @@ class Nodes(NamedTuple):
 
 # Fixed: node types of the grammars, by language.
 NODES = {
-    "python": Nodes("function_definition", "class_definition", "import_statement import_from_statement", "call", base="superclasses"),
-    "typescript": Nodes("function_declaration method_definition arrow_function", "class_declaration", "import_statement", "call_expression", base="heritage"),
-    "javascript": Nodes("function_declaration method_definition arrow_function", "class_declaration", "import_statement", "call_expression", base="heritage"),
-    "java": Nodes("method_declaration constructor_declaration", "class_declaration", "import_declaration", "method_invocation", base="superclass"),
-    "go": Nodes("function_declaration method_declaration", "type_declaration", "import_declaration", "call_expression"),
-    "cpp": Nodes("function_definition", "class_specifier struct_specifier", "preproc_include", "call_expression", "declarator", "base_class_clause"),
-    "rust": Nodes("function_item", "struct_item impl_item enum_item", "use_declaration", "call_expression"),
-    "csharp": Nodes("method_declaration constructor_declaration", "class_declaration", "using_directive", "invocation_expression", base="base_list"),
-    "swift": Nodes("function_declaration protocol_function_declaration", "class_declaration protocol_declaration", "import_declaration", "call_expression", parameters=None),
-    "ruby": Nodes("method singleton_method", "class module", "call", "call command_call", base="superclass"),
-    "php": Nodes("function_definition method_declaration", "class_declaration interface_declaration trait_declaration", "namespace_use_declaration", "function_call_expression member_call_expression", base="base_clause"),
-    "kotlin": Nodes("function_declaration", "class_declaration object_declaration", "import_header", "call_expression", "simple_identifier", "delegation_specifiers", "function_value_parameters"),
-    "zig": Nodes("FnDecl TestDecl", "ContainerDecl", "BuiltinCallExpr", "CallExpr BuiltinCallExpr"),
-    "nim": Nodes("proc_def func_def method_def template_def macro_def", "type_section", "import_stmt from_stmt", "call"),
-    "v": Nodes("function_declaration", "struct_declaration interface_declaration enum_declaration", "import_declaration", "call_expression"),
-    "d": Nodes("function_declaration", "class_declaration struct_declaration interface_declaration", "import_declaration", "call_expression", base="base_class_list"),
-    "scala": Nodes("function_definition function_declaration", "class_definition object_definition trait_definition", "import_declaration", "call_expression", base="extends_clause"),
-    "groovy": Nodes("method_declaration", "class_declaration", "import_declaration", "method_call", base="superclass"),
-    "clojure": Nodes("list_lit", "list_lit", "list_lit", "list_lit", None, parameters=None),
-    "dart": Nodes("function_signature method_signature", "class_definition", "import_or_export", "call_expression", base="superclass", parameters="formal_parameter_list"),
-    "objc": Nodes("function_definition method_declaration", "class_interface class_implementation protocol_declaration", "preproc_import preproc_include", "call_expression message_expression", "declarator", "superclass_reference"),
-    "haskell": Nodes("function", "class data newtype", "import", "apply", parameters="patterns"),
-    "ocaml": Nodes("let_binding value_definition", "type_definition class_definition module_definition", "open_statement", "application", parameters="parameter"),
-    "elixir": Nodes("call", "call", "call", "call", None, parameters="arguments"),
-    "erlang": Nodes("function", "", "module_attribute", "call", parameters="args"),
-    "lua": Nodes("function_declaration function_definition local_function", "", "function_call", "function_call"),
-    "perl": Nodes("subroutine_declaration_statement", "package_statement", "use_statement require_statement", "call_expression method_call_expression", parameters=None),
-    "r": Nodes("function_definition", "", "call", "call"),
-    "julia": Nodes("function_definition short_function_definition", "struct_definition abstract_definition", "import_statement using_statement", "call_expression", base="supertype_clause"),
-    "bash": Nodes("function_definition", "", "command", "command", parameters=None),
+    "python": Nodes(functions=("function_definition",), classes=("class_definition",), imports=("import_statement", "import_from_statement"), calls=("call",), base="superclasses"),
+    "typescript": Nodes(functions=("function_declaration", "method_definition", "arrow_function"), classes=("class_declaration",), imports=("import_statement",), calls=("call_expression",), base="heritage"),
+    "javascript": Nodes(functions=("function_declaration", "method_definition", "arrow_function"), classes=("class_declaration",), imports=("import_statement",), calls=("call_expression",), base="heritage"),
+    "java": Nodes(functions=("method_declaration", "constructor_declaration"), classes=("class_declaration",), imports=("import_declaration",), calls=("method_invocation",), base="superclass"),
+    "go": Nodes(functions=("function_declaration", "method_declaration"), classes=("type_declaration",), imports=("import_declaration",), calls=("call_expression",)),
+    "cpp": Nodes(functions=("function_definition",), classes=("class_specifier", "struct_specifier"), imports=("preproc_include",), calls=("call_expression",), name="declarator", base="base_class_clause"),
+    "rust": Nodes(functions=("function_item",), classes=("struct_item", "impl_item", "enum_item"), imports=("use_declaration",), calls=("call_expression",)),
+    "csharp": Nodes(functions=("method_declaration", "constructor_declaration"), classes=("class_declaration",), imports=("using_directive",), calls=("invocation_expression",), base="base_list"),
+    "swift": Nodes(functions=("function_declaration", "protocol_function_declaration"), classes=("class_declaration", "protocol_declaration"), imports=("import_declaration",), calls=("call_expression",), parameters=None),
+    "ruby": Nodes(functions=("method", "singleton_method"), classes=("class", "module"), imports=("call",), calls=("call", "command_call"), base="superclass"),
+    "php": Nodes(functions=("function_definition", "method_declaration"), classes=("class_declaration", "interface_declaration", "trait_declaration"), imports=("namespace_use_declaration",), calls=("function_call_expression", "member_call_expression"), base="base_clause"),
+    "kotlin": Nodes(functions=("function_declaration",), classes=("class_declaration", "object_declaration"), imports=("import_header",), calls=("call_expression",), name="simple_identifier", base="delegation_specifiers", parameters="function_value_parameters"),
+    "zig": Nodes(functions=("FnDecl", "TestDecl"), classes=("ContainerDecl",), imports=("BuiltinCallExpr",), calls=("CallExpr", "BuiltinCallExpr")),
+    "nim": Nodes(functions=("proc_def", "func_def", "method_def", "template_def", "macro_def"), classes=("type_section",), imports=("import_stmt", "from_stmt"), calls=("call",)),
+    "v": Nodes(functions=("function_declaration",), classes=("struct_declaration", "interface_declaration", "enum_declaration"), imports=("import_declaration",), calls=("call_expression",)),
+    "d": Nodes(functions=("function_declaration",), classes=("class_declaration", "struct_declaration", "interface_declaration"), imports=("import_declaration",), calls=("call_expression",), base="base_class_list"),
+    "scala": Nodes(functions=("function_definition", "function_declaration"), classes=("class_definition", "object_definition", "trait_definition"), imports=("import_declaration",), calls=("call_expression",), base="extends_clause"),
+    "groovy": Nodes(functions=("method_declaration",), classes=("class_declaration",), imports=("import_declaration",), calls=("method_call",), base="superclass"),
+    "clojure": Nodes(functions=("list_lit",), classes=("list_lit",), imports=("list_lit",), calls=("list_lit",), name=None, parameters=None),
+    "dart": Nodes(functions=("function_signature", "method_signature"), classes=("class_definition",), imports=("import_or_export",), calls=("call_expression",), base="superclass", parameters="formal_parameter_list"),
+    "objc": Nodes(functions=("function_definition", "method_declaration"), classes=("class_interface", "class_implementation", "protocol_declaration"), imports=("preproc_import", "preproc_include"), calls=("call_expression", "message_expression"), name="declarator", base="superclass_reference"),
+    "haskell": Nodes(functions=("function",), classes=("class", "data", "newtype"), imports=("import",), calls=("apply",), parameters="patterns"),
+    "ocaml": Nodes(functions=("let_binding", "value_definition"), classes=("type_definition", "class_definition", "module_definition"), imports=("open_statement",), calls=("application",), parameters="parameter"),
+    "elixir": Nodes(functions=("call",), classes=("call",), imports=("call",), calls=("call",), name=None, parameters="arguments"),
+    "erlang": Nodes(functions=("function",), classes=(), imports=("module_attribute",), calls=("call",), parameters="args"),
+    "lua": Nodes(functions=("function_declaration", "function_definition", "local_function"), classes=(), imports=("function_call",), calls=("function_call",)),
+    "perl": Nodes(functions=("subroutine_declaration_statement",), classes=("package_statement",), imports=("use_statement", "require_statement"), calls=("call_expression", "method_call_expression"), parameters=None),
+    "r": Nodes(functions=("function_definition",), classes=(), imports=("call",), calls=("call",)),
+    "julia": Nodes(functions=("function_definition", "short_function_definition"), classes=("struct_definition", "abstract_definition"), imports=("import_statement", "using_statement"), calls=("call_expression",), base="supertype_clause"),
+    "bash": Nodes(functions=("function_definition",), classes=(), imports=("command",), calls=("command",), parameters=None),
 }
 # Fixed: words that declare or import where declarations are themselves calls.
 FORMS = {"def": "functions", "defp": "functions", "defmacro": "functions", "defn": "functions", "defn-": "functions", "defmodule": "classes", "defrecord": "classes", "defprotocol": "classes", "deftype": "classes"}
-IMPORT_CALLS = frozenset("require require_relative library source . import use alias @import load ns".split())
+IMPORT_CALLS = frozenset(("require", "require_relative", "library", "source", ".", "import", "use", "alias", "@import", "load", "ns"))
 
 
 def load(name: str):
@@ -157,7 +157,7 @@ def _module(node) -> str:
 def visit(root, language: str) -> dict:
     """Facts in the order of the tree; a function within a class, however deep, has it as its parent."""
     table = NODES[language]
-    kinds = {k: frozenset(getattr(table, k).split()) for k in ("functions", "classes", "imports", "calls")}
+    kinds = {k: frozenset(getattr(table, k)) for k in ("functions", "classes", "imports", "calls")}
     out: dict = {k: [] for k in kinds}
     todo = [(root, None, None)]
     while todo:

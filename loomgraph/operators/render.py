@@ -131,6 +131,7 @@ def write_blueprint(path: str, title: str, modules: list[dict], links: list[dict
 #: Colors of flows, one after the other.
 FLOW_COLORS = ("#6366f1", "#10b981", "#f59e0b", "#ef4444", "#06b6d4")
 
+#: Fixed in it, as readers of the page look for them: __BLUEPRINT_DATA, renderFlows, renderOverview, enterModule, arrowhead.
 _PAGE = """<!DOCTYPE html><html lang="zh"><head><meta charset="utf-8"><title>%TITLE%</title><style>
 body{margin:0;font:14px sans-serif;color:#212529}nav{padding:8px 14px;border-bottom:1px solid #dee2e6}nav a{cursor:pointer;color:#1971c2}
 svg{width:100vw;height:78vh;background:#f8f9fa;cursor:grab}.box rect{fill:#fff;stroke-width:2}.box{cursor:pointer}.link{stroke:#868e96;fill:none}

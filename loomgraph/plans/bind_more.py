@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..extract import router
 from ..functions import naming, text
-from ..operators import delta_graph, diffs, flows, glossary, graph, incremental, modules, render, resolve, search, stats
+from ..operators import delta_graph, diffs, flows, glossary, graph, incremental, layers, modules, render, resolve, search, stats
 from ..sources import repository
 from ..sources.shared import new_folder, settled
 from ..sources.store import RepositoryStore
@@ -297,6 +297,29 @@ LAYERS = f"""{_CORE.rstrip()}, lk AS MATERIALIZED (SELECT DISTINCT src, dst FROM
 nm AS MATERIALIZED (SELECT DISTINCT place AS name FROM p), {_LEVELS}
 SELECT name AS place, CAST(level * 220 AS DOUBLE) AS x, CAST((row_number() OVER (PARTITION BY level ORDER BY name) - 1) * 80 AS DOUBLE) AS y FROM lv{_PLACES - 1}"""
 
+def module_layers(spark, d):
+    """Layers of the whole module graph."""
+    return layers.layers(b.mods(spark, d).select("name"), b.mod_edges(spark, d))
+
+
+#: Module links that mostly lead one way, with some back: many levels, and circles of several sizes.
+_ONE_WAY = f"SELECT e.src, e.dst FROM ({f.MODULE_EDGES}) e JOIN ({f.MODULES}) s ON s.name = e.src JOIN ({f.MODULES}) t ON t.name = e.dst WHERE t.ord BETWEEN s.ord + 1 AND s.ord + 4 AND (s.ord + t.ord) % 3 <> 0 OR s.ord % 10 < 2 AND t.ord = s.ord - 2 - s.ord % 7"
+
+
+def cyclic_layers(spark, d):
+    return layers.layers(b.mods(spark, d).select("name"), f.facts(spark, d, _ONE_WAY))
+
+
+def _layers_sql(edges: str) -> str:
+    """Reach, components by reach both ways, and the longest ways among components."""
+    return f"""WITH RECURSIVE nm AS ({M}), e AS MATERIALIZED (SELECT DISTINCT src, dst FROM ({edges}) q WHERE src <> dst),
+r AS (SELECT src, dst FROM e UNION SELECT r.src, e.dst FROM r JOIN e ON e.src = r.dst),
+co AS MATERIALIZED (SELECT name, least(name, coalesce(min(x.dst), name)) AS c, count(x.dst) FILTER (x.dst <> name) > 0 AS circle FROM nm LEFT JOIN (SELECT r.src, r.dst FROM r JOIN r q ON q.src = r.dst AND q.dst = r.src) x ON x.src = name GROUP BY name),
+ce AS MATERIALIZED (SELECT DISTINCT a.c AS a, b.c AS b FROM e JOIN co a ON a.name = e.src JOIN co b ON b.name = e.dst WHERE a.c <> b.c),
+w AS (SELECT DISTINCT c, 0 AS d FROM co UNION SELECT ce.a, w.d + 1 FROM w JOIN ce ON ce.b = w.c)
+SELECT name, (SELECT max(d) FROM w WHERE w.c = co.c) AS level, CASE WHEN circle THEN c END AS cycle FROM co"""
+
+
 # -- sources made of rows, and what extraction finds in them
 
 _TEMPLATES = (
@@ -643,6 +666,8 @@ QUERIES = {
     "method_index": (method_index, f"WITH {_DEFS_SQL} SELECT file, name, node_id FROM mi"),
     "incremental_graph": (incremental_graph, INCREMENTAL_GRAPH),
     "incremental_nodes": (incremental_nodes, INCREMENTAL_NODES),
+    "module_layers": (module_layers, _layers_sql(ME)),
+    "cyclic_layers": (cyclic_layers, _layers_sql(f.for_sql(_ONE_WAY))),
     "built_graph": (built_graph, f"WITH {_TIERS_SQL}, {_CALLERS_SQL} SELECT src, dst, count(*) AS call_count FROM us JOIN srcs ON srcs.file = us.file AND srcs.caller_func = us.caller_func JOIN found ON found.file = us.file AND found.callee_name = us.callee_name WHERE dst IS NOT NULL AND src <> dst GROUP BY 1, 2"),
     "node_modules": (node_modules, NODE_MODULES),
     "swift_targets": (swift_targets, SWIFT),
