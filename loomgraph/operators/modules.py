@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import triples
+
 #: Fixed: path parts and file names that mark tests and configuration.
 TEST_PARTS = ("test", "tests", "spec", "specs", "__tests__", "test_", "_test")
 CONFIG_PARTS = ("config", "conf", "settings", "cfg")
@@ -83,8 +85,22 @@ def build_modules(placed: DataFrame, functions: DataFrame, classes: DataFrame, c
     return out.select("name", "dir_path", "files", F.coalesce("entry_functions", none).alias("entry_functions"), F.coalesce("public_interfaces", none).alias("public_interfaces"), "total_lines", (F.col("kind") >= 2).alias("is_special"), F.struct("kind", F.when(F.col("kind") == 0, F.col("name")).otherwise("").alias("by_name"), "ord").alias("rank"))
 
 
-def find_module(modules: DataFrame, wanted: str) -> DataFrame:
-    """The module of that name or directory; else the only one that holds it, whatever its case; else none."""
+def module_index(modules: DataFrame, keep=None) -> triples.Index:
+    """For find_module() and modules_in_scope(): modules by the letters of their names and directories."""
+    return triples.index(modules, "name", "name", "dir_path", keep=keep)
+
+
+def _holding(modules: DataFrame, wanted: str, index: triples.Index | None) -> DataFrame:
+    """Modules that may hold what is wanted; by the index, which holds their exact names as well."""
+    if index is None or len(wanted) < triples.LENGTHS[0]:
+        return modules
+    return triples.holding(modules, index, "name", F.array(F.lit(wanted.lower())))
+
+
+def find_module(modules: DataFrame, wanted: str, index: triples.Index | None = None) -> DataFrame:
+    """The module of that name or directory; else the only one that holds it, whatever its case; else none. index:
+    module_index(modules); the result is the same."""
+    modules = _holding(modules, wanted, index)
     exact = modules.filter((F.col("name") == wanted) | (F.col("dir_path") == wanted)).withColumn("how", F.lit("exact"))
     low = wanted.lower()
     loose = modules.filter((F.lower("name").contains(low) | F.lower("dir_path").contains(low)) & (F.col("name") != wanted) & (F.col("dir_path") != wanted)).withColumn("how", F.lit("part"))
@@ -92,8 +108,9 @@ def find_module(modules: DataFrame, wanted: str) -> DataFrame:
     return both.filter((F.col("how") == "exact") | ((F.col("n_exact") == 0) & (F.col("n") == 1))).drop("n", "n_exact")
 
 
-def modules_in_scope(modules: DataFrame, wanted: str) -> DataFrame:
-    """All modules of that name or directory, or that hold it: several may."""
+def modules_in_scope(modules: DataFrame, wanted: str, index: triples.Index | None = None) -> DataFrame:
+    """All modules of that name or directory, or that hold it: several may. index: as in find_module()."""
+    modules = _holding(modules, wanted, index)
     low = wanted.lower()
     return modules.filter((F.col("name") == wanted) | (F.col("dir_path") == wanted) | F.lower("name").contains(low) | F.lower("dir_path").contains(low))
 

@@ -6,14 +6,23 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import keywords, module_score, node_score, numbered
+from . import triples
 
 SNIPPET = 20
 
 
-def match_nodes(nodes: DataFrame, query: str | Column, scope: DataFrame | None = None, limit: int = 10) -> DataFrame:
-    """The best nodes for a question with their score, earlier ones first among equals. scope: (file) of a module."""
+def node_index(nodes: DataFrame, keep=None) -> triples.Index:
+    """For match_nodes(): nodes by the letters of their names and paths."""
+    return triples.index(nodes, "node_id", "label", "file", keep=keep)
+
+
+def match_nodes(nodes: DataFrame, query: str | Column, scope: DataFrame | None = None, limit: int = 10, index: triples.Index | None = None) -> DataFrame:
+    """The best nodes for a question with their score, earlier ones first among equals. scope: (file) of a module.
+    index: node_index(nodes), by which only nodes that may hold a keyword are looked at; the result is the same."""
     words = keywords(F.lit(query) if isinstance(query, str) else query)
     known = nodes.filter("label != '<module>'")
+    if index is not None:
+        known = triples.holding(known, index, "node_id", words)
     inside = None
     if scope is not None:
         known = known.join(scope.select("file").distinct().withColumn("in_scope", F.lit(True)), "file", "left")

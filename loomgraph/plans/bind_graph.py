@@ -288,7 +288,9 @@ def score_nodes(spark, d):
 
 
 def topk_nodes(spark, d):
-    return search.match_nodes(nodes(spark, d), "where does mainCheck get handled", limit=5).select("node_id", "score", "ord")
+    n = nodes(spark, d)
+    known = search.node_index(n, lambda lists: settled(lists, "triples"))
+    return search.match_nodes(n, "where does mainCheck get handled", limit=5, index=known).select("node_id", "score", "ord")
 
 
 def diagnose(spark, d):

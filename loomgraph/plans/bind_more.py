@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..extract import router
 from ..functions import naming, text
-from ..operators import delta_graph, diffs, flows, glossary, graph, incremental, layers, modules, render, resolve, search, stats
+from ..operators import budget, delta_graph, diffs, flows, glossary, graph, incremental, layers, modules, render, resolve, search, stats, triples
 from ..sources import repository
 from ..sources.shared import new_folder, settled
 from ..sources.store import RepositoryStore
@@ -175,10 +175,15 @@ def _listed(spark, d):
     return b.mods(spark, d).select("name", F.col("name").alias("dir_path"))
 
 
+def _triples(lists):
+    return settled(lists, "triples")
+
+
 def module_lookup(spark, d):
     """A name as it is, the only one that holds a text, and a text that several hold."""
     m = _listed(spark, d)
-    parts = [modules.find_module(m, w).select(F.lit(w).alias("wanted"), "name", "how") for w in ("s1/sup1", "SUP99", "sup1", "nothing")]
+    known = modules.module_index(m, _triples)
+    parts = [modules.find_module(m, w, known).select(F.lit(w).alias("wanted"), "name", "how") for w in ("s1/sup1", "SUP99", "sup1", "nothing")]
     return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
 
 
@@ -186,14 +191,44 @@ LOOKUP = " UNION ALL ".join(f"SELECT '{w}' AS wanted, name, CASE WHEN name = '{w
 
 
 def diagnose_scope(spark, d):
-    return modules.modules_in_scope(_listed(spark, d), "SUP1").select("name")
+    m = _listed(spark, d)
+    return modules.modules_in_scope(m, "SUP1", modules.module_index(m, _triples)).select("name")
 
 
 def scoped_search(spark, d):
     """The best nodes inside a module: its own files count more."""
     n = b.nodes(spark, d)
     scope = n.filter("module_group = 'm1/brand11'").select("file")
-    return search.match_nodes(n, "where does mainCheck get handled", scope, 10).select("node_id", "score")
+    return search.match_nodes(n, "where does mainCheck get handled", scope, 10, search.node_index(n, _triples)).select("node_id", "score")
+
+
+def substring_candidates(spark, d):
+    """Searches in all documents, whole texts; the questions are the parts whose id is divisible by 100, each with a word of
+    its name and one that many documents hold."""
+    docs = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text")
+    asked = spark.read.parquet(f"{d}/part.parquet").select(F.col("p_partkey").alias("question"), F.array(F.lower(F.split("p_name", " ")[0]), F.lit("no")).alias("words")).filter("question % 100 = 0")
+    met = triples.candidates(triples.index(docs, "doc_id", "text", keep=_triples), asked)
+    rows = met.join(docs.withColumnRenamed("doc_id", "key"), "key").join(asked, "question")
+    return rows.filter(F.exists("words", lambda w: F.contains(F.lower("text"), w))).select("question", F.col("key").alias("doc_id"))
+
+
+def filled_budgets(spark, d):
+    """Context for many questions: documents by twenties, by priority, with runs of neighbours."""
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    at = F.col("doc_id") % 20
+    run = F.when(at.between(3, 7), "near").when(at.between(12, 18), "far")
+    texts = docs.select(F.floor(F.col("doc_id") / 20).alias("question"), at.alias("place"), F.concat(F.lit("d"), "doc_id").alias("label"), "text", run.alias("run"))
+    return budget.fill_budgets(texts, 9000).select("question", F.sha2("context", 256).alias("context"), F.array_join("labels", ",").alias("labels"), F.col("left").cast("int").alias("left"))
+
+
+_BUDGETED = """WITH RECURSIVE t AS (SELECT doc_id // 20 AS q, row_number() OVER (PARTITION BY doc_id // 20 ORDER BY doc_id % 20, 'd' || doc_id) AS k, 'd' || doc_id AS label, text,
+ CASE WHEN doc_id % 20 BETWEEN 3 AND 7 THEN 'near' WHEN doc_id % 20 BETWEEN 12 AND 18 THEN 'far' END AS run FROM documents WHERE length(text) > 0),
+w AS (SELECT q, CAST(0 AS BIGINT) AS k, 9000 AS room, CAST([] AS VARCHAR[]) AS ended, CAST([] AS VARCHAR[]) AS labels, CAST([] AS VARCHAR[]) AS texts FROM (SELECT DISTINCT doc_id // 20 AS q FROM documents) x
+ UNION ALL SELECT q, k, CASE WHEN fits THEN room - n ELSE room END, CASE WHEN NOT fits AND run IS NOT NULL THEN list_append(ended, run) ELSE ended END,
+  CASE WHEN fits THEN list_append(labels, label) ELSE labels END, CASE WHEN fits THEN list_append(texts, text) ELSE texts END
+ FROM (SELECT w.q, t.k, room, ended, labels, texts, label, text, run, CAST(length(text) AS INT) AS n, length(text) <= room AND NOT coalesce(list_contains(ended, run), false) AS fits FROM w JOIN t ON t.q = w.q AND t.k = w.k + 1) z)"""
+FILLED_BUDGETS = _BUDGETED + """
+SELECT q AS question, sha256(coalesce(array_to_string(texts, chr(10)), '')) AS context, array_to_string(labels, ',') AS labels, room AS left FROM w QUALIFY row_number() OVER (PARTITION BY q ORDER BY k DESC) = 1"""
 
 
 def snippets(spark, d):
@@ -668,6 +703,8 @@ QUERIES = {
     "incremental_nodes": (incremental_nodes, INCREMENTAL_NODES),
     "module_layers": (module_layers, _layers_sql(ME)),
     "cyclic_layers": (cyclic_layers, _layers_sql(f.for_sql(_ONE_WAY))),
+    "substring_candidates": (substring_candidates, "SELECT p_partkey AS question, doc_id FROM part JOIN documents ON contains(lower(text), lower(string_split(p_name, ' ')[1])) OR contains(lower(text), 'no') WHERE p_partkey % 100 = 0"),
+    "filled_budgets": (filled_budgets, FILLED_BUDGETS),
     "built_graph": (built_graph, f"WITH {_TIERS_SQL}, {_CALLERS_SQL} SELECT src, dst, count(*) AS call_count FROM us JOIN srcs ON srcs.file = us.file AND srcs.caller_func = us.caller_func JOIN found ON found.file = us.file AND found.callee_name = us.callee_name WHERE dst IS NOT NULL AND src <> dst GROUP BY 1, 2"),
     "node_modules": (node_modules, NODE_MODULES),
     "swift_targets": (swift_targets, SWIFT),

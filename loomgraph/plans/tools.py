@@ -13,7 +13,7 @@ from ..extract.router import facts, parse_files, quality, warning
 from ..functions import answers
 from ..functions.text import project_name
 from ..functions.naming import business_name, connection_verb, module_description
-from ..operators import delta_graph, diffs, glossary, graph, incremental, memory, modules, render, resolve, search, stats
+from ..operators import delta_graph, diffs, flows, glossary, graph, incremental, memory, modules, render, resolve, search, stats, triples
 from ..sources.repository import MAX_FILES, ordered, scan
 from ..sources.store import RepositoryStore, Transaction, write_json
 from . import codegen, roles, summary
@@ -34,6 +34,7 @@ class Repository:
     edges: DataFrame
     modules: DataFrame
     module_edges: DataFrame
+    lists: DataFrame | None = None  # nodes by letters, for lookups
 
     @property
     def module_list(self) -> DataFrame:
@@ -97,7 +98,8 @@ class Engine:
         edges = t.save("edges", edges)
         listed = mods.withColumn("ord", F.struct("rank.kind", "rank.by_name", "rank.ord"))
         mods = t.save("modules", listed.drop("rank").withColumn("ord", F.col("ord.kind").cast("long") * 1_000_000_000 + F.col("ord.ord")))
-        return Repository(url, files, counts, results, nodes, edges, mods, graph.module_edges(nodes, edges))
+        lists = t.save("triples", triples.lists_of(nodes, "node_id", "label", "file").repartitionByRange("gram").sortWithinPartitions("gram"))
+        return Repository(url, files, counts, results, nodes, edges, mods, graph.module_edges(nodes, edges), lists)
 
     def _facts(self, files: DataFrame, results: DataFrame) -> delta_graph.Facts:
         flat = facts(results)
@@ -112,7 +114,7 @@ class Engine:
         t = {n: self.store.reader(now[n]) for n in ("files", "results", "nodes", "edges", "modules")}
         from ..sources.repository import summarize
 
-        return Repository(url, t["files"], summarize(t["files"], t["files"].withColumn("skipped", F.lit(None).cast("string"))), t["results"], t["nodes"], t["edges"], t["modules"], graph.module_edges(t["nodes"], t["edges"]))
+        return Repository(url, t["files"], summarize(t["files"], t["files"].withColumn("skipped", F.lit(None).cast("string"))), t["results"], t["nodes"], t["edges"], t["modules"], graph.module_edges(t["nodes"], t["edges"]), self.store.reader(now["triples"]) if "triples" in now else None)
 
     def scan_report(self, r: Repository, role: str = "pm") -> dict:
         """What a scan shows: overview, modules with health and names, links with verbs, pictures, parse quality."""
@@ -167,7 +169,7 @@ class Engine:
         scope = None
         if module is not None:
             scope = modules.modules_in_scope(r.modules, module).select(F.explode("files").alias("file"))
-        seeds = search.match_nodes(r.nodes, query, scope, limit=5)
+        seeds = search.match_nodes(r.nodes, query, scope, limit=5, index=triples.of_lists(r.lists) if r.lists is not None else None)
         found, links = graph.trace(r.nodes, r.edges, seeds)
         places = search.locations(found, r.nodes, r.files)
         order = F.when(F.col("priority") == "high", 0).otherwise(1)
@@ -179,6 +181,22 @@ class Engine:
             self.remember(r.url, module, "diagnosis", query, "; ".join(x["ref"] for x in rows[:3]), 1.0 if rows else 0.0)
         return out
 
+    def flows(self, r: Repository) -> dict:
+        """Main flows of a repository, told step by step, and how much of it they cover. Entries are found by name, by
+        what nothing calls, and by the modules' entry functions."""
+        named = r.modules.select(F.explode("entry_functions").alias("name")).distinct()
+        entries = flows.entry_nodes(r.nodes, r.edges, named)
+        mains = flows.main_flows(r.nodes, entries, r.edges)
+        if not mains:
+            return {"flows": [], "coverage": 0.0}
+        told = flows.named_flows(mains, flows.side_calls(mains, r.edges), r.nodes).orderBy("flow", "step").collect()  # MAX_FLOWS paths
+        out = [{"name": "", "importance": m["importance"], "steps": []} for m in mains]
+        for x in told:
+            out[x["flow"]] |= {"name": x["name"], "entry": x["entry"], "branches": x["n_branches"]}
+            out[x["flow"]]["steps"].append({"node_id": x["node_id"], "file": x["file"], "text": x["text"]})
+        paths = self.spark.createDataFrame([(m["path"],) for m in mains], "path array<string>")
+        return {"flows": out, "coverage": flows.coverage(r.nodes, paths).first()["coverage"]}
+
     def ask_context(self, r: Repository, question: str, wanted: str, role: str = "pm", budget: int = answers.CONTEXT_CHARS) -> dict:
         """What a model needs to answer about a module, by priority and as far as a budget goes."""
         own = self.chapter(r, wanted)
