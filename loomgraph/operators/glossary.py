@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 CORRECTION, PACK, INFERRED = "user_correction", "domain_pack", "inferred"
@@ -46,6 +46,26 @@ def import_pack(terms: DataFrame, pack: DataFrame, domain: str = "general") -> D
     return kept.unionByName(added)
 
 
+PACK_FILE = "domain string, terms array<struct<source_term:string,target_phrase:string,context:string,domain:string,source:string,confidence:double,usage_count:long>>"
+
+
+def read_packs(spark: SparkSession, folder: str) -> DataFrame:
+    """(pack, source_term, target_phrase, context, domain, source, confidence, usage_count, ord) of a folder's JSON files,
+    each {domain, terms}. pack: the file's domain, its name where it has none. A file that is no such object has no terms;
+    terms without a source or a target are left out; what a term doesn't say is taken as a pack's usual."""
+    texts = spark.read.text(folder, wholetext=True, pathGlobFilter="*.json").select(F.col("_metadata.file_name").alias("name"), F.from_json("value", PACK_FILE).alias("p"))
+    each = texts.select(F.coalesce("p.domain", F.regexp_replace("name", r"\.json$", "")).alias("pack"), F.posexplode("p.terms").alias("ord", "t"))
+    sound = each.filter("t.source_term is not null and t.target_phrase is not null")
+    return sound.select("pack", "t.source_term", "t.target_phrase", F.coalesce("t.context", F.lit("")).alias("context"), F.coalesce("t.domain", "pack").alias("domain"), F.coalesce("t.source", F.lit(PACK)).alias("source"), F.coalesce("t.confidence", F.lit(0.8)).alias("confidence"), F.coalesce("t.usage_count", F.lit(0)).cast("long").alias("usage_count"), F.col("ord").cast("long").alias("ord"))
+
+
+def packed_layers(terms: DataFrame, packs: DataFrame, domain: str | None = None) -> list[DataFrame]:
+    """project_layers() with the packs of a folder: that of the project's domain, then the general one."""
+    columns = terms.columns
+    of = lambda d: packs.filter(F.col("pack") == d).select(*columns)
+    return project_layers(terms, of(domain) if domain and domain != "general" else None, of("general"))
+
+
 def resolve(layers: list[DataFrame]) -> DataFrame:
     """Layers of terms, the first one's wins. project_layers() makes them of a glossary and packs."""
     tagged = [df.withColumn("layer", F.lit(i)) for i, df in enumerate(layers)]

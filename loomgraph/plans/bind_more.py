@@ -6,7 +6,7 @@ import functools
 
 from pyspark.sql import functions as F
 
-from ..extract import router
+from ..extract import router, tables
 from ..functions import naming, text
 from ..operators import budget, delta_graph, diffs, flows, glossary, graph, incremental, layers, modules, render, resolve, search, stats, triples
 from ..sources import repository
@@ -212,6 +212,50 @@ def substring_candidates(spark, d):
     return rows.filter(F.exists("words", lambda w: F.contains(F.lower("text"), w))).select("question", F.col("key").alias("doc_id"))
 
 
+def read_settings(content: str, path: str) -> dict:
+    """An extractor of a caller's own: sections and keys."""
+    out, section = [], ""
+    for n, line in enumerate(content.splitlines(), 1):
+        if line.startswith("["):
+            section = line.strip("[]")
+        elif "=" in line:
+            key, value = line.split("=", 1)
+            out.append({"section": section, "key": key, "value": value, "line": n})
+    return {"settings": out, "functions": [{"name": section, "line_start": 1, "line_end": n}] if content else []}
+
+
+def table_function(spark, d):
+    """Extraction called from SQL: by an extractor of the caller's own, of a kind of its own and of a usual one, and as
+    scans read a language."""
+    tables.register(spark, [tables.Extractor("ini", read_settings, {"settings": "section string, key string, value string, line int"})])
+    part = spark.read.parquet(f"{d}/part.parquet")
+    ini = F.concat(F.lit("[a"), F.col("p_size"), F.lit("]\nname="), "p_name", F.lit("\n[b]\nbrand="), "p_brand", F.lit("\nsize="), F.col("p_size"))
+    python = F.concat(F.lit("import os\ndef f"), F.col("p_partkey"), F.lit("(x, y):\n    return go(x)\n"))
+    files = part.select(F.concat(F.lit("p"), F.col("p_partkey")).alias("path"), F.when(F.col("p_partkey") % 2 == 0, "ini").otherwise("python").alias("language"), F.when(F.col("p_partkey") % 2 == 0, ini).otherwise(python).alias("content"))
+    return spark.sql("""
+      SELECT f.path, 'settings' AS kind, x.section || '.' || x.key || '=' || x.value AS fact, x.line AS line FROM {files} f, LATERAL extract_facts(f.path, f.language, f.content, 'settings') x
+      UNION ALL SELECT f.path, 'functions', x.name, x.line_start FROM {files} f, LATERAL extract_facts(f.path, f.language, f.content, 'functions') x
+      UNION ALL SELECT f.path, 'calls', x.callee_name, x.line FROM {files} f, LATERAL extract_facts(f.path, f.language, f.content, 'calls') x""", files=files)
+
+
+TABLE_FUNCTION = """WITH i AS (SELECT 'p' || p_partkey AS path, * FROM part WHERE p_partkey % 2 = 0), p AS (SELECT 'p' || p_partkey AS path, p_partkey FROM part WHERE p_partkey % 2 = 1)
+SELECT path, 'settings' AS kind, 'a' || p_size || '.name=' || p_name AS fact, 2 AS line FROM i UNION ALL SELECT path, 'settings', 'b.brand=' || p_brand, 4 FROM i UNION ALL SELECT path, 'settings', 'b.size=' || p_size, 5 FROM i
+UNION ALL SELECT path, 'functions', 'b', 1 FROM i UNION ALL SELECT path, 'functions', 'f' || p_partkey, 2 FROM p UNION ALL SELECT path, 'calls', 'go', 3 FROM p"""
+
+
+def packs_of_files(spark, d):
+    """Packs written as files by field, read back as layers below a project's own terms."""
+    part = spark.read.parquet(f"{d}/part.parquet")
+    at, pack = new_folder(spark, "packs"), F.when(F.col("p_partkey") % 3 == 0, "general").when(F.col("p_partkey") % 3 == 1, "trade").otherwise("other")
+    term = F.struct(F.concat(F.lit("t"), F.col("p_partkey") % 40).alias("source_term"), F.concat(pack, F.lit(" "), "p_name").alias("target_phrase"))
+    told = part.groupBy(pack.alias("domain")).agg(F.sort_array(F.collect_list(F.struct("p_partkey", term.alias("t")))).alias("x")).select("domain", F.transform("x", lambda y: y.t).alias("terms"))
+    told.write.option("maxRecordsPerFile", 1).json(at)  # a file for each of three packs
+    packs = glossary.read_packs(spark, at)
+    own = part.filter("p_partkey % 40 = 5").select(F.lit("t5").alias("source_term"), "p_name", "p_partkey").orderBy("p_partkey").limit(1)
+    terms = own.select("source_term", F.concat(F.lit("own "), "p_name").alias("target_phrase"), F.lit("").alias("context"), F.lit("general").alias("domain"), F.lit(glossary.CORRECTION).alias("source"), F.lit(1.0).alias("confidence"), F.lit(0).cast("long").alias("usage_count"), F.lit(0).cast("long").alias("ord"))
+    return glossary.resolve(glossary.packed_layers(terms, packs, "trade")).select("source_term", "target_phrase")
+
+
 def filled_budgets(spark, d):
     """Context for many questions: documents by twenties, by priority, with runs of neighbours."""
     docs = spark.read.parquet(f"{d}/documents.parquet")
@@ -704,6 +748,9 @@ QUERIES = {
     "module_layers": (module_layers, _layers_sql(ME)),
     "cyclic_layers": (cyclic_layers, _layers_sql(f.for_sql(_ONE_WAY))),
     "substring_candidates": (substring_candidates, "SELECT p_partkey AS question, doc_id FROM part JOIN documents ON contains(lower(text), lower(string_split(p_name, ' ')[1])) OR contains(lower(text), 'no') WHERE p_partkey % 100 = 0"),
+    "table_function": (table_function, TABLE_FUNCTION),
+    "packs_of_files": (packs_of_files, """WITH p AS (SELECT 't' || p_partkey % 40 AS t, p_name, p_partkey, p_partkey % 3 AS k FROM part)
+SELECT t AS source_term, CASE WHEN t = 't5' THEN 'own ' || (SELECT arg_min(p_name, p_partkey) FROM p x WHERE x.t = 't5') ELSE coalesce('trade ' || arg_min(p_name, p_partkey) FILTER (k = 1), 'general ' || arg_min(p_name, p_partkey) FILTER (k = 0)) END AS target_phrase FROM p WHERE k <> 2 GROUP BY t"""),
     "filled_budgets": (filled_budgets, FILLED_BUDGETS),
     "built_graph": (built_graph, f"WITH {_TIERS_SQL}, {_CALLERS_SQL} SELECT src, dst, count(*) AS call_count FROM us JOIN srcs ON srcs.file = us.file AND srcs.caller_func = us.caller_func JOIN found ON found.file = us.file AND found.callee_name = us.callee_name WHERE dst IS NOT NULL AND src <> dst GROUP BY 1, 2"),
     "node_modules": (node_modules, NODE_MODULES),

@@ -141,10 +141,43 @@ DIFFS = (
 )
 
 
+_DEEP = "'r' || doc_id % 5 || '/' || source || '/p' || doc_id % 7 || '/f' || doc_id || '.py'"
+_OLD_DEEP = f"SELECT {_DEEP} AS path, text AS content FROM documents WHERE doc_id % 35 <> 4"
+_NEW_DEEP = f"SELECT {_DEEP} AS path, CASE WHEN doc_id % 35 = 6 THEN text || 'x' ELSE text END AS content FROM documents WHERE doc_id % 70 <> 8"
+TREE_DIFF = f"""SELECT coalesce(o.path, n.path) AS path, CASE WHEN o.path IS NULL THEN 'added' WHEN n.path IS NULL THEN 'removed' ELSE 'modified' END AS change
+FROM ({_OLD_DEEP}) o FULL JOIN ({_NEW_DEEP}) n ON o.path = n.path WHERE o.path IS NULL OR n.path IS NULL OR o.content <> n.content"""
+
+
+def _deep(spark, d):
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    return [incremental.snapshot(spark.sql(q.replace("FROM documents", "FROM {documents}"), documents=docs)) for q in (_OLD_DEEP, _NEW_DEEP)]
+
+
+def tree_diff(spark, d):
+    """Snapshots compared by their trees: files come, go and change in some directories, the others are left alone."""
+    old, new = _deep(spark, d)
+    return incremental.changes_by_tree(old, new, incremental.hash_tree(old), incremental.hash_tree(new))[0]
+
+
+def hash_tree(spark, d):
+    """How many files each directory holds, with its digests' agreement between two snapshots."""
+    old, new = (incremental.hash_tree(x) for x in _deep(spark, d))
+    now = new.select("dir", F.struct("a", "b").alias("now"))
+    return old.join(now, "dir", "left").select("dir", "depth", "n", F.struct("a", "b").eqNullSafe(F.col("now")).alias("same"))
+
+
+HASH_TREE = f"""WITH f AS (SELECT 0 AS k, path, content FROM ({_OLD_DEEP}) o UNION ALL SELECT 1, path, content FROM ({_NEW_DEEP}) n),
+u AS (SELECT k, path, content, CAST(unnest(range(0, len(string_split(path, '/')))) AS INT) AS depth FROM f),
+e AS (SELECT k, depth, array_to_string(list_slice(string_split(path, '/'), 1, depth), '/') AS dir, path || chr(1) || content AS x FROM u),
+g AS (SELECT k, depth, dir, count(*) AS n, string_agg(x, chr(2) ORDER BY x) AS all_x FROM e GROUP BY 1, 2, 3)
+SELECT o.dir, o.depth, o.n, coalesce(o.all_x = n.all_x, false) AS same FROM g o LEFT JOIN g n ON n.k = 1 AND n.dir = o.dir WHERE o.k = 0"""
+
 QUERIES = {
     "scan_files": (scan_files, _FILES),
     "scan_summary": (scan_summary, SUMMARY),
     "language_stats": (language_stats, f"SELECT language, count(*) AS files, CAST(sum(line_count) AS BIGINT) AS lines FROM ({_FILES}) f WHERE NOT is_config GROUP BY 1"),
+    "tree_diff": (tree_diff, TREE_DIFF),
+    "hash_tree": (hash_tree, HASH_TREE),
     "snapshot_hash": (snapshot_hash, f"SELECT path, sha256(content) AS sha256 FROM ({_OLD}) o"),
     "snapshot_diff": (snapshot_diff, _CHANGES),
     "incremental_merge": (incremental_merge, f"SELECT path, sha256(content) AS sha256 FROM ({_NEW}) n"),
