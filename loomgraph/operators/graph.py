@@ -142,22 +142,37 @@ def call_chains(nodes: DataFrame, edges: DataFrame, module: str, depth: int = 2)
     return out.select("node_id", F.col("label").alias("function"), "file", "line_start", F.coalesce("callers", none).alias("callers"), F.coalesce("callees", none).alias("callees"))
 
 
-def _breadth_first(edges: DataFrame, seeds: DataFrame, depth: int, order: DataFrame) -> DataFrame:
-    """(node_id, depth, parent): each node once, at its least depth, under the parent that comes first in order.
-    What each step finds is written, so no step is computed again, and the walk ends where nothing new is found."""
-    spark = edges.sparkSession
-    out = spark.createDataFrame([], "node_id string, depth int, parent string")
-    seen = front = seeds.select("node_id").join(order, "node_id", "left").select("node_id", F.coalesce("ord", F.lit(0)).alias("ord"))
+#: Up to so many rows a frontier, or all that was seen, is sent to where the edges lie; more are met by shuffles.
+BROADCAST_FRONT = 50_000
+
+
+def _walk(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
+    """(direction, node_id, ord, depth, parent): each node once for each direction, at its least depth, under the parent
+    that comes first in order. edges: src, dst, src_ord, dst_ord; seeds: node_id, ord.
+
+    A step takes both directions at once. What it finds is written and counted, so no step is computed again, the next
+    one knows whether to send it or to shuffle, and the walk ends where nothing new is found.
+    """
+    ways = F.explode(F.array(F.lit("upstream"), F.lit("downstream"))).alias("direction")
+    front = seen = settled(seeds.select(ways, "node_id", "ord").distinct(), "walk")
+    n = n_seen = front.count()
+    out = seeds.select(F.lit("").alias("direction"), "node_id", "ord", F.lit(0).alias("depth"), F.lit("").alias("parent")).limit(0)
     for d in range(1, depth + 1):
-        step = front.join(edges.select(F.col("src").alias("node_id"), F.col("dst").alias("next")), "node_id")
-        step = step.groupBy("next").agg(F.min_by("node_id", F.struct("ord", "node_id")).alias("parent")).withColumnRenamed("next", "node_id")
-        found = step.join(seen.select("node_id"), "node_id", "left_anti").join(order, "node_id", "left")
-        found = settled(found.select("node_id", F.lit(d).alias("depth"), "parent", F.coalesce("ord", F.lit(0)).alias("ord")), "walk")
-        out = out.unionByName(found.drop("ord"))
-        if found.isEmpty():
+        if not n:
             break
-        front = found.select("node_id", "ord")
-        seen = seen.unionByName(front)
+        at = F.broadcast(front) if n <= BROADCAST_FRONT else front
+        known = F.broadcast(seen) if n_seen <= BROADCAST_FRONT else seen
+        steps = None
+        for way, here, there in (("upstream", "dst", "src"), ("downstream", "src", "dst")):
+            own = at.filter(F.col("direction") == way).select("direction", F.col("node_id").alias(here), F.col("ord").alias("parent_ord"))
+            step = edges.join(own, here).select("direction", F.col(there).alias("node_id"), F.col(f"{there}_ord").alias("ord"), F.col(here).alias("parent"), "parent_ord")
+            steps = step if steps is None else steps.unionByName(step)
+        new = steps.join(known.select("direction", "node_id"), ["direction", "node_id"], "left_anti")
+        found = new.groupBy("direction", "node_id").agg(F.min("ord").alias("ord"), F.min_by("parent", F.struct("parent_ord", "parent")).alias("parent"))
+        front = settled(found.select("direction", "node_id", "ord", F.lit(d).alias("depth"), "parent"), "walk")
+        out = out.unionByName(front)
+        n = front.count()
+        seen, n_seen = seen.unionByName(front.select("direction", "node_id", "ord")), n_seen + n
     return out
 
 
@@ -166,23 +181,24 @@ def trace(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, depth: int = 3,
 
     Callers are followed first, so a node reached both ways is upstream. Of all found, seeds stay and others by
     direction, depth and ord as far as `cap` goes (a fixed rule, where a queue would overshoot by chance). Links are
-    those by which nodes were found and those between seeds. Edges and seeds are written once, as each step meets them.
+    those by which nodes were found and those between seeds. Edges, with the order of their ends, are written once.
     """
-    edges, seeds = settled(edges.select("src", "dst"), "trace-edges"), settled(seeds.select("node_id"), "trace-seeds")
-    order = settled(nodes.select("node_id", "ord"), "trace-order")
-    back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-    up = _breadth_first(back, seeds, depth, order).select("node_id", F.lit("upstream").alias("direction"), "depth", "parent")
-    down = _breadth_first(edges, seeds, depth, order).select("node_id", F.lit("downstream").alias("direction"), "depth", "parent")
-    root = seeds.select("node_id", F.lit("seed").alias("direction"), F.lit(0).alias("depth"), F.lit(None).cast("string").alias("parent"))
+    order = nodes.select("node_id", F.coalesce("ord", F.lit(0)).alias("ord"))
+    placed = edges.select("src", "dst")
+    for end in ("src", "dst"):
+        placed = placed.join(order.withColumnsRenamed({"node_id": end, "ord": f"{end}_ord"}), end, "left").fillna(0, [f"{end}_ord"])
+    placed = settled(placed.select("src", "dst", "src_ord", "dst_ord"), "trace-edges")
+    seeds = settled(seeds.select("node_id").join(order, "node_id", "left").select("node_id", F.coalesce("ord", F.lit(0)).alias("ord")), "trace-seeds")
+    root = seeds.select(F.lit("seed").alias("direction"), "node_id", "ord", F.lit(0).alias("depth"), F.lit(None).cast("string").alias("parent"))
     rank = F.when(F.col("direction") == "seed", 0).when(F.col("direction") == "upstream", 1).otherwise(2)
-    first = Window.partitionBy("node_id").orderBy(rank)
-    every = root.unionByName(up).unionByName(down).withColumn("k", F.row_number().over(first)).filter("k = 1").drop("k")
+    first = F.min_by(F.struct("direction", "depth", "parent", "ord"), rank).alias("x")
+    every = root.unionByName(_walk(placed, seeds, depth)).groupBy("node_id").agg(first).select("node_id", "x.*")
     # TakeOrderedAndProject: each task sends `cap` rows at most
-    kept = every.join(order, "node_id", "left").orderBy(rank, "depth", F.coalesce("ord", F.lit(0)), "node_id").limit(cap)
-    kept = settled(root.unionByName(kept.select("node_id", "direction", "depth", "parent")).dropDuplicates(["node_id"]), "trace-found")
+    kept = every.orderBy(rank, "depth", "ord", "node_id").limit(cap)
+    kept = settled(root.select("node_id", "direction", "depth", "parent").unionByName(kept.select("node_id", "direction", "depth", "parent")).dropDuplicates(["node_id"]), "trace-found")
     by_tree = kept.filter("parent is not null").select(F.when(F.col("direction") == "upstream", F.col("node_id")).otherwise(F.col("parent")).alias("src"), F.when(F.col("direction") == "upstream", F.col("parent")).otherwise(F.col("node_id")).alias("dst"))
-    s = seeds.select(F.col("node_id"))
-    between = edges.join(s.withColumnRenamed("node_id", "src"), "src", "left_semi").join(s.withColumnRenamed("node_id", "dst"), "dst", "left_semi").select("src", "dst")
+    s = seeds.select("node_id").distinct()
+    between = placed.select("src", "dst").join(s.withColumnRenamed("node_id", "src"), "src", "left_semi").join(s.withColumnRenamed("node_id", "dst"), "dst", "left_semi").select("src", "dst")
     return kept.select("node_id", "direction", "depth"), by_tree.unionByName(between).distinct()
 
 
