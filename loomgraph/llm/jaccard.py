@@ -26,7 +26,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import input_parallelism, materialize, text_key, tidy
+from .common import input_parallelism, materialize, tidy
 from .tokens import batches
 
 WORDS, PERCENT = 4, 85
@@ -628,11 +628,11 @@ def jaccard_components(docs: DataFrame, text: str = "text", words: int = WORDS,
 
 def row_components(docs: DataFrame, text: str = "text", words: int = WORDS, percent: int = PERCENT, keyed: bool = False) -> DataFrame:
     """One row per row of docs: doc_id, n, comp (a set that stands for all that are reachable by links; null without
-    shingles); keyed: key, which with the id tells rows apart, too."""
+    shingles); keyed: key, 128 bits of the text (null: null), which with the id tell rows apart, too."""
     spark = docs.sparkSession
     rows = docs.select("doc_id", F.col(text).alias("text"))
     parts = input_parallelism(docs, PART_BYTES)
-    named, types = (docs.select("doc_id", F.col(text).alias("text"), text_key(text).alias("key")), ", key long") if keyed else (rows, "")
+    named, types = (docs.select("doc_id", F.col(text).alias("text"), F.unhex(F.md5(F.col(text))).alias("key")), ", key binary") if keyed else (rows, "")
     classes = materialize(named.mapInArrow(tidy(_classes(words)), "doc_id long, n long, class binary, sketch binary" + types), "join-classes")
     sketches = classes.filter("sketch is not null").groupBy("class").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"))
     sketches = materialize(sketches, "join-sketches")

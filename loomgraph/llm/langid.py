@@ -139,8 +139,9 @@ def _count_grams(batch_iterator):
 
 
 def fit(docs: DataFrame, text: str = "text", lang: str = "lang", fit_docs: int = FIT_DOCS) -> LanguageFilter:
-    """From rows with a language and a text. Of languages with more than fit_docs rows, those whose hashes of id and text
-    are lowest are taken, fit_docs in expectation. Any number of languages; the driver gets counts by language and at
+    """From rows with a language and a text; a text counts once for a language, however often it repeats. Of languages with
+    more than fit_docs rows, the texts whose hashes are lowest are taken, fit_docs at most in expectation. Any number of
+    languages; the driver gets counts by language and at
     most SLOTS masks. An empty table, or one without languages, gives a filter that answers `und`."""
     known = docs.filter(F.col(lang).isNotNull() & F.col(text).isNotNull())
     counts = {r[0]: r[1] for r in known.groupBy(lang).count().collect()}
@@ -150,8 +151,9 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", fit_docs: int =
     if not names:
         return LanguageFilter([], np.zeros((1, SLOTS), kind), np.zeros(0))
     share = F.create_map(*[F.lit(x) for k in names for x in (k, float(min(1.0, fit_docs / counts[k])))])
-    sample = known.filter((F.pmod(F.xxhash64("doc_id", text), F.lit(1 << 20)) / F.lit(1 << 20)) < share[F.col(lang)])
-    counted = sample.select(F.col(lang).alias("lang"), F.col(text).alias("text")).mapInArrow(tidy(_count_grams), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    sample = known.filter((F.pmod(F.xxhash64(text), F.lit(1 << 20)) / F.lit(1 << 20)) < share[F.col(lang)])
+    once = sample.groupBy(F.col(lang).alias("lang"), F.xxhash64(F.lit(1), text).alias("h")).agg(F.first(text).alias("text"))
+    counted = once.select("lang", "text").mapInArrow(tidy(_count_grams), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     counted = materialize(counted, "langid-grams")
     totals = {r[0]: r[1] for r in counted.groupBy("lang").agg(F.sum("n")).collect()}
     place = F.create_map(*[F.lit(x) for i, k in enumerate(names) for x in (k, i)])

@@ -73,3 +73,68 @@ def test_run_equals_its_stages(spark, tmp_path):
     empty = tmp_path / "empty"
     make(spark).limit(0).write.parquet(str(empty / "documents.parquet"))
     assert corpus_pipeline.run(spark, str(empty)).count() == 0
+
+
+CLASHING = ("gone_id", "gone_key", "__gone_id", "key", "comp", "place", "stays", "lang_pred", "score", "margin", "line", "host", "__host", "__rules", "__left", "n_lines", "n_dropped", "piece", "start", "length", "ids", "n", "class", "text_key", "__t", "__d", "linked", "nth", "last")
+
+
+def odd_rows(spark):
+    """Nulls in each column, empties, repeats, ties, a very long text."""
+    rng = np.random.default_rng(5)
+    words = "the thing with other then there that from where".split()
+    say = lambda n: " ".join(rng.choice(words, n))
+    rows = [(k, f"shared head\n{say(60)} token=abcdefgh{k}x there.\n{say(20)}", "en", "s1") for k in range(12)]
+    rows += [(k, say(70), None, None) for k in range(20, 26)] + [(None, say(50), "en", "s1"), (None, None, None, None), (30, "", "en", "s1"), (31, None, "en", None), (3, rows[3][1], "en", "s1"), (3, say(40), "en", "s2"), (40, (say(9) + " \n") * 6000 + "secret=0123456789abcdef", "en", "s1")]
+    return spark.createDataFrame([(*r, len(r[1]) if r[1] else None) for r in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+
+
+@pytest.mark.parametrize("stage", [f for _, f in corpus_pipeline.STAGES])
+def test_each_stage_with_odd_rows_and_clashing_columns(spark, stage):
+    docs = odd_rows(spark)
+    run = lambda df: stage(spark, df, "")
+    shown = lambda df: sorted(map(str, df.drop("sequence_id", "offset").collect()))  # noqa: E731  which sequence is free
+    plain = run(docs)
+    more = docs
+    for name in CLASHING:
+        more = more.withColumn(name, F.lit("x"))
+    clashing = run(more)
+    assert clashing.columns == plain.columns and (stage is corpus_pipeline.pack or plain.columns == COLUMNS)
+    assert shown(clashing) == shown(plain) and plain.count() > 0
+    empty = run(docs.limit(0))
+    assert empty.columns == plain.columns and empty.count() == 0
+    if stage in (corpus_pipeline.lines, corpus_pipeline.redact):
+        assert plain.count() == docs.count() and plain.filter("text is null").count() == 2
+    if stage is corpus_pipeline.redact:
+        assert plain.filter("doc_id = 40").first().text.endswith("[SECRET]") and not plain.filter("text like '%token=%'").count()
+    if stage is corpus_pipeline.pack:
+        assert plain.filter("doc_id = 40").agg(F.sum("length")).first()[0] == plain.filter("doc_id = 40").first().doc_tokens > 6000
+
+
+def brute_pipeline(rows):
+    """What stays of rows (doc_id, text, source), step by step and in plain Python, up to packing; all are in a known language."""
+    hosts = {}
+    for _, _, s in rows:
+        hosts[s] = hosts.get(s, 0) + 1
+    on = {}
+    for k, (_, t, s) in enumerate(rows):
+        for line in t.split("\n"):
+            on.setdefault((s, line.strip(" \t\r")), set()).add(k)
+    drop = {key for key, ks in on.items() if key[1] and len(ks) >= 5 and len(ks) > 0.2 * hosts[key[0]]}
+    rows = [(d, "\n".join(x for x in t.split("\n") if (s, x.strip(" \t\r")) not in drop)) for d, t, s in rows]
+    stays = {c for _, _, c in brute_components(rows, words=5, percent=80)}
+    return {d: t.replace("token=abcdefgh12", "[SECRET]") for d, t in rows if d in stays}
+
+
+def test_whole_run_against_brute_force(spark, tmp_path):
+    rng = np.random.default_rng(9)
+    words = "the thing with other then there that from where which about their would these could after".split()
+    base = [(k, "menu of site\n" + " ".join(rng.choice(words, 90)) + (" token=abcdefgh12 end." if k % 5 == 0 else "."), f"s{k % 2}") for k in range(50)]
+    rows = base + [(100 + k, base[k][1].replace(".", " more."), "s0") for k in range(0, 20, 3)] + [(200, base[7][1], "s1")]
+    spark.createDataFrame([(d, t, "en", s, len(t)) for d, t, s in rows], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    from tokenizers import Tokenizer
+
+    known = Tokenizer.from_file(packing.vocabulary("word_bpe_49k.json"))
+    want = {d: [*known.encode(t, add_special_tokens=False).ids, packing.END_ID] for d, t in brute_pipeline(rows).items()}
+    got = corpus_pipeline.run(spark, str(tmp_path)).toPandas().sort_values(["doc_id", "start"])
+    assert {d: np.frombuffer(b"".join(p.ids), "<u4").tolist() for d, p in got.groupby("doc_id")} == want and len(want) < len(rows)
+    assert (got.groupby("sequence_id").length.sum() <= packing.WINDOW).all()
