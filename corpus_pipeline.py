@@ -10,12 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph.llm import jaccard, langid, line_dedup, packing, secrets
-from loomgraph.llm.common import materialize, scratch, ship_package, text_key, written
+from loomgraph.llm.common import materialize, scratch, ship_package, written
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: Near copies share this percentage of their word shingles of this size; the op4 query keeps its own contract (4, 85).
 NEAR_WORDS, NEAR_PERCENT = 5, 80
-#: Up to so many copies' keys are sent to all executors, so texts stay where they are: 16 bytes each, so 16 MB at most.
+#: Up to so many copies' keys are sent to all executors, so texts stay where they are: 24 bytes each, so 24 MB at most.
 BROADCAST_GONE = 1_000_000
 #: Below this share of known n-grams a text is in no learned language.
 LEAST_SCORE = 0.1
@@ -32,6 +32,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     whole, an empty table gives none, and columns beyond those of documents are dropped.
     """
     ship_package(spark)
+    docs = docs.select(*COLUMNS)
     found = langid.predict(docs, langid.fit_split(docs), keep=("doc_id", "lang", "source", "n_chars"))
     known = found.filter((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE))
     return known.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*COLUMNS)
@@ -39,8 +40,9 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that stand on too many documents of a source go. All rows stay, those with null or empty texts and repeated
-    ones too; a null source is a source; an empty table gives none; columns beyond those of documents are dropped."""
-    return _columns(line_dedup.drop_boilerplate(docs))
+    ones too, and null ids; texts of any length are read whole; a null source is a source; an empty table gives none;
+    columns beyond those of documents are dropped first."""
+    return _columns(line_dedup.drop_boilerplate(docs.select(*COLUMNS)))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -64,22 +66,23 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     gone = linked.join(stays, "comp").filter("place != stays").select(F.col("doc_id").alias("__gone_id"), F.col("key").alias("__gone_key")).distinct()
     gone = materialize(gone, "pipeline-gone")
     side = F.broadcast(gone) if gone.count() <= BROADCAST_GONE else gone
-    left = docs.join(side, docs["doc_id"].eqNullSafe(F.col("__gone_id")) & (text_key() == F.col("__gone_key")), "left_anti")
+    left = docs.join(side, docs["doc_id"].eqNullSafe(F.col("__gone_id")) & (F.unhex(F.md5("text")) == F.col("__gone_key")), "left_anti")
     ids = rows.agg(F.count("*"), F.countDistinct(F.struct("doc_id", "key"))).first()
     return _columns(left if ids[0] == ids[1] else left.dropDuplicates(["doc_id", "text"]))
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets are replaced by a mark; all rows stay, null and empty texts as they are, null and repeated ids too. An
-    empty table gives none; columns beyond those of documents are dropped."""
-    return _columns(secrets.redact(docs))
+    """Secrets are replaced by a mark; all rows stay, null and empty texts as they are, null and repeated ids too. Texts of
+    any length are read whole. An empty table gives none; columns beyond those of documents are dropped first."""
+    return _columns(secrets.redact(docs.select(*COLUMNS)))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sequences for training, by piece: null and empty texts give their end id, null ids come first, rows with the same
-    id follow each other, an empty table gives none, other columns are dropped."""
+    id, alike or not, follow each other, texts of any length are cut into as many pieces as they fill, an empty table
+    gives none, other columns are dropped first."""
     ship_package(spark)
-    return packing.pack_documents(docs, packing.vocabulary("word_bpe_49k.json"))
+    return packing.pack_documents(docs.select(*COLUMNS), packing.vocabulary("word_bpe_49k.json"))
 
 
 STAGES = [("language ID", language), ("line dedup", lines), ("n-gram Jaccard join", near_duplicates), ("secret scans", redact), ("packing", pack)]
