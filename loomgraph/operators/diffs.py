@@ -97,15 +97,19 @@ def place_of(lines: list[str], wanted: list[str], hint: int) -> int | None:
     return next((k for r in (near, range(last + 1)) for k in r if have[k : k + len(want)] == want), None)
 
 
-def repair(text: str, files: dict[str, str]) -> str | None:
-    """The diff with hunks where their lines stand; None where nothing moves or lines can't be found."""
+def repair(text: str, files: dict[str, str], places: dict[int, int | None] | None = None) -> str | None:
+    """The diff with hunks where their lines stand; None where nothing moves or lines can't be found. places: of a diff
+    of one file, where hunk_places() has found its hunks; else they are looked for here."""
     out, moved = [], False
     for d in parse(text):
         if d.path not in files:
             continue
         out += [f"--- a/{d.path}", f"+++ b/{d.path}"]
-        for h in d.hunks:
-            at = place_of(files[d.path].splitlines(), h.old(), h.old_start - 1) if h.old() else h.old_start - 1
+        for n, h in enumerate(d.hunks):
+            if places is not None:
+                at = None if places.get(n) is None else places[n] - 1
+            else:
+                at = place_of(files[d.path].splitlines(), h.old(), h.old_start - 1) if h.old() else h.old_start - 1
             if at is None:
                 return None
             shift = at - (h.old_start - 1)
@@ -166,7 +170,7 @@ def git_check(root: str, text: str) -> tuple[bool, str]:
     return done.returncode == 0 or "not a git repository" in done.stderr.lower(), done.stderr.strip()
 
 
-def validate(text: str, files: dict[str, str]) -> dict:
+def validate(text: str, files: dict[str, str], places: dict[int, int | None] | None = None) -> dict:
     """Format, then context, then repair of places: valid, message, details, repaired_diff."""
     sound, remarks = check_format(text)
     if not sound:
@@ -174,7 +178,7 @@ def validate(text: str, files: dict[str, str]) -> dict:
     wrong = mismatches(text, files)
     if not wrong:
         return {"valid": True, "message": "ok", "details": remarks, "repaired_diff": None}
-    fixed = repair(text, files)
+    fixed = repair(text, files, places)
     if fixed and not mismatches(fixed, files):
         return {"valid": True, "message": "repaired", "details": wrong, "repaired_diff": fixed}
     return {"valid": False, "message": "context", "details": wrong, "repaired_diff": None}
@@ -210,19 +214,44 @@ def context_mismatches(lines: DataFrame, files: DataFrame) -> DataFrame:
     return j.filter(F.col("actual").isNull() | (F.rtrim("text") != F.rtrim("actual"))).select("diff_id", "path", "line", F.col("text").alias("expected"), "actual")
 
 
+def hunk_places(lines: DataFrame, files: DataFrame, nearby: int = NEARBY) -> DataFrame:
+    """(diff_id, path, hunk, old_start, place): where each hunk's old lines stand in its file, from 1, white space at ends
+    of lines aside; null where they don't, or where there is no such file. Of several places the first of those within
+    `nearby` lines of the stated one, else the first of all, as place_of() chooses. A hunk without old lines stays.
+
+    Files are cut into windows as long as the hunks that ask for them, each with one hash of its lines' hashes; windows
+    and hunks meet by path, length and hash, wherever the hunk says that it stands.
+    """
+    bare = lambda x: F.regexp_replace(x, r"\s+$", "")
+    sized = lines.filter("tag in (' ', '-')").groupBy("diff_id", "path", "hunk", "old_start").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda x: F.xxhash64(bare(x.text))).alias("want"))
+    asked = sized.select("diff_id", "path", "hunk", "old_start", F.size("want").alias("m"), F.xxhash64("want").alias("w"))
+    lengths = asked.select("path", "m").distinct()
+    text = F.when(F.col("content") == "", F.array().cast("array<string>")).otherwise(F.split(F.regexp_replace("content", "\n$", ""), "\n"))
+    have = files.join(lengths.select("path").distinct(), "path", "left_semi").select("path", F.transform(text, lambda x: F.xxhash64(bare(x))).alias("h"))
+    starts = F.when(F.size("h") >= F.col("m"), F.sequence(F.lit(0), F.size("h") - F.col("m"))).otherwise(F.array().cast("array<int>"))
+    windows = have.join(lengths, "path").select("path", "m", F.posexplode(F.transform(starts, lambda s: F.xxhash64(F.slice("h", s + 1, F.col("m"))))).alias("s", "w"))
+    hint = F.col("old_start") - 1
+    near = F.col("s").between(hint - nearby, hint + nearby - 1)
+    met = asked.join(windows, ["path", "m", "w"]).groupBy("diff_id", "path", "hunk", "old_start").agg((F.min(F.struct(~near, "s")).getField("s") + 1).alias("place"))
+    every = lines.select("diff_id", "path", "hunk", "old_start").distinct()
+    plain = every.join(sized.select("diff_id", "path", "hunk"), ["diff_id", "path", "hunk"], "left_anti").withColumn("place", F.col("old_start"))
+    return sized.drop("want").join(met, ["diff_id", "path", "hunk", "old_start"], "left").unionByName(plain)
+
+
 CHECKED = "diff_id string, path string, valid boolean, message string, details array<string>, repaired string, applied string"
 
 
 def check_diffs(diffs: DataFrame, files: DataFrame) -> DataFrame:
-    """One row per diff and file: verdict, repaired diff and the file with it applied. diffs: diff_id, text; a diff
-    is split by file first, so each part meets its own file by path."""
+    """One row per diff and file: verdict, repaired diff and the file with it applied. diffs: diff_id, text; a diff is
+    split by file first, so each part meets its own file by path. Where hunks stand is found for all of them at once by
+    hunk_places()."""
 
     def split(batches):
         import pyarrow as pa
 
         for batch in batches:
-            rows = [(i, d.path, "\n".join([f"--- {d.old_path}", f"+++ {d.new_path}", *[x for h in d.hunks for x in (h.header(), *h.lines)]]) + "\n") for i, t in zip(batch["diff_id"].to_pylist(), batch["text"].to_pylist(), strict=True) for d in parse(t or "")]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in list(zip(*rows, strict=True)) or [[]] * 3], names=["diff_id", "path", "text"])
+            rows = [(i, d.path, f"{i}\0{k}", "\n".join([f"--- {d.old_path}", f"+++ {d.new_path}", *[x for h in d.hunks for x in (h.header(), *h.lines)]]) + "\n") for i, t in zip(batch["diff_id"].to_pylist(), batch["text"].to_pylist(), strict=True) for k, d in enumerate(parse(t or ""))]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in list(zip(*rows, strict=True)) or [[]] * 4], names=["diff_id", "path", "part", "text"])
 
     def check(batches):
         import pyarrow as pa
@@ -230,11 +259,14 @@ def check_diffs(diffs: DataFrame, files: DataFrame) -> DataFrame:
         kinds = [pa.string(), pa.string(), pa.bool_(), pa.string(), pa.list_(pa.string()), pa.string(), pa.string()]
         for batch in batches:
             rows = []
-            for i, p, t, c in zip(*(batch[x].to_pylist() for x in ("diff_id", "path", "text", "content")), strict=True):
-                v = validate(t, {} if c is None else {p: c})
+            for i, p, t, c, found in zip(*(batch[x].to_pylist() for x in ("diff_id", "path", "text", "content", "places")), strict=True):
+                v = validate(t, {} if c is None else {p: c}, {x["hunk"]: x["place"] for x in found or ()})
                 done = apply(c or "", v["repaired_diff"] or t)[0] if v["valid"] else None
                 rows.append((i, p, v["valid"], v["message"], v["details"], v["repaired_diff"], done))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows, strict=True)) or [[]] * 7, kinds, strict=True)], names=[x.split()[0] for x in CHECKED.split(", ")])
 
-    parts = diffs.select(F.col("diff_id").cast("string"), "text").mapInArrow(split, "diff_id string, path string, text string")
-    return parts.join(files.select("path", "content"), "path", "left").select("diff_id", "path", "text", "content").mapInArrow(check, CHECKED)
+    parts = diffs.select(F.col("diff_id").cast("string"), "text").mapInArrow(split, "diff_id string, path string, part string, text string")
+    places = hunk_places(diff_lines(parts.select(F.col("part").alias("diff_id"), "text")), files.select("path", "content"))
+    by_part = places.groupBy(F.col("diff_id").alias("part")).agg(F.collect_list(F.struct("hunk", "place")).alias("places"))  # a diff's hunks
+    met = parts.join(files.select("path", "content"), "path", "left").join(by_part, "part", "left")
+    return met.select("diff_id", "path", "text", "content", "places").mapInArrow(check, CHECKED)

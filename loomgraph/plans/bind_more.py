@@ -515,6 +515,22 @@ DIFF_CHECKS = f"""WITH q AS ({_DIFF_FILE.format(part='part')}) SELECT path, NOT
  CASE WHEN NOT wrong THEN sha256((SELECT string_agg(CASE WHEN n = k + 1 THEN 'new ' || i ELSE 'line ' || n END, chr(10) ORDER BY n) FROM unnest(range(1, 41)) u(n))) END AS applied FROM q"""
 
 
+_MOVED = "SELECT 'f' || CAST(p_partkey AS STRING) || '.txt' AS path, p_partkey AS i, CAST(p_partkey % 60 AS INT) AS a, CAST(p_partkey * 37 % 380 + 1 AS INT) AS s, CAST(p_partkey % 3 + 2 AS INT) AS m FROM {part}"
+
+
+def diff_places(spark, d):
+    """Hunks sought in whole files, whose lines repeat: many stand far from where the hunk says, some nowhere."""
+    rows = _sql(spark, d, _MOVED, "part")
+    head = F.concat(F.lit("--- a/"), "path", F.lit("\n+++ b/"), "path", F.lit("\n@@ -"), "s", F.lit(","), "m", F.lit(" +"), "s", F.lit(","), "m", F.lit(" @@\n"))
+    body = F.expr("concat(array_join(transform(sequence(0, m - 1), n -> concat(if(n = 1, '-', ' '), 'row ', a + n, if(n = 0, '  ', ''))), '\\n'), '\\n+more\\n')")
+    files = rows.select("path", F.expr("concat(array_join(transform(sequence(0, 399), n -> concat('row ', n % 50)), '\\n'), '\\n')").alias("content"))
+    return diffs.hunk_places(diffs.diff_lines(rows.select(F.col("path").alias("diff_id"), F.concat(head, body).alias("text"))), files).select("path", "hunk", "old_start", F.coalesce("place", F.lit(0)).alias("place"))
+
+
+DIFF_PLACES = f"""WITH q AS ({_MOVED.format(part='part')}), c AS (SELECT path, s, k FROM q, unnest(range(0, 400)) u(k) WHERE k % 50 = a AND a + m <= 50 AND k + m <= 400)
+SELECT path, 0 AS hunk, s AS old_start, coalesce(CAST((SELECT coalesce(min(k) FILTER (k >= s - 21 AND k < s + 19), min(k)) + 1 FROM c WHERE c.path = q.path) AS INT), 0) AS place FROM q"""
+
+
 def diff_mismatches(spark, d):
     t, files = _diffs(spark, d)
     return diffs.context_mismatches(diffs.diff_lines(t), files).select("path", "line", "expected", "actual")
@@ -770,6 +786,7 @@ SELECT t AS source_term, CASE WHEN t = 't5' THEN 'own ' || (SELECT arg_min(p_nam
     "fact_tables": (fact_tables, FACT_TABLES),
     "parse_quality": (parse_quality, PARSE_QUALITY),
     "diff_rows": (diff_rows, DIFF_ROWS),
+    "diff_places": (diff_places, DIFF_PLACES),
     "diff_checks": (diff_checks, DIFF_CHECKS),
     "diff_mismatches": (diff_mismatches, DIFF_MISMATCHES),
     "architecture": (architecture, ARCHITECTURE),

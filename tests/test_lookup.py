@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomgraph.functions import answers
-from loomgraph.operators import budget, modules, search, triples
+from loomgraph.operators import budget, diffs, modules, search, triples
 from loomgraph.plans.tools import Engine
 
 
@@ -61,3 +61,28 @@ def test_flows_of_a_scan(spark, tmp_path):
     assert [[s["node_id"] for s in f["steps"]] for f in told["flows"]] == [["app.py::main", "work.py::load", "work.py::parse"]]
     assert told["flows"][0]["importance"] == 1.0 and told["flows"][0]["branches"] == 1 and told["coverage"] == pytest.approx(3 / 5)
     assert [x["node_id"] for x in e.diagnose(e.open("u"), "where is parse done")["locations"]][:1] == ["work.py::parse"]
+
+
+def test_hunks_are_found_as_line_by_line(spark):
+    rng = random.Random(6)
+    files, texts = {}, []
+    for f in range(12):
+        files[f"f{f}.py"] = [rng.choice(["a", "b ", "", "  c", "d\t"]) for _ in range(rng.randint(0, 90))]
+        hunks = []
+        for _ in range(rng.randint(1, 4)):
+            k = rng.randrange(max(1, len(files[f"f{f}.py"])))
+            want = files[f"f{f}.py"][k : k + rng.randint(1, 4)] or ["nowhere"]
+            if rng.random() < 0.2:
+                want = [*want, "zzz"]
+            hunks += [f"@@ -{rng.randint(1, 90)},{len(want)} +1,1 @@", *[rng.choice(" -") + x.rstrip() + rng.choice(["", " "]) for x in want], "+new"]
+        texts.append((f"d{f}", "\n".join([f"--- a/f{f}.py", f"+++ b/f{f}.py", *hunks, "@@ -7,0 +7,1 @@", "+only new"]) + "\n"))
+    texts.append(("lost", "--- a/none.py\n+++ b/none.py\n@@ -3,1 +3,1 @@\n-x\n+y\n"))
+    table = spark.createDataFrame([(p, "\n".join(x) + "\n") for p, x in files.items()], "path string, content string")
+    got = {(r["diff_id"], r["hunk"]): r["place"] for r in diffs.hunk_places(diffs.diff_lines(spark.createDataFrame(texts, "diff_id string, text string")), table).collect()}
+    want = {}
+    for name, text in texts:
+        for d in diffs.parse(text):
+            for n, h in enumerate(d.hunks):
+                at = diffs.place_of(("\n".join(files[d.path]) + "\n").splitlines(), h.old(), h.old_start - 1) if d.path in files and h.old() else None if h.old() else h.old_start - 1
+                want[name, n] = None if at is None else at + 1
+    assert got == want and None in want.values() and len({v for v in want.values()}) > 10
