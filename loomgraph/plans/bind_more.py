@@ -797,7 +797,7 @@ SELECT t AS source_term, CASE WHEN t = 't5' THEN 'own ' || (SELECT arg_min(p_nam
     "watched_changes": (watched_changes, f"SELECT path || '.go' AS file_path, 'partial' AS parse_method, length(content) - length(replace(content, chr(10), '')) + CASE WHEN content <> '' AND NOT content LIKE '%' || chr(10) THEN 1 ELSE 0 END AS line_count FROM ({bs._NEW}) n"),
     "watch_status": (watch_status, "SELECT look, added, modified, removed, 3 AS looks, false AS active FROM (VALUES (0, (SELECT count(*) FROM documents), 0, 0), (1, (SELECT count(*) FROM documents WHERE doc_id % 10 = 2), 0, (SELECT count(*) FROM documents WHERE doc_id % 10 IN (0, 2))), (2, 0, 0, 0)) v(look, added, modified, removed)"),
     "watched_edits": (watched_edits, WATCHED_EDITS),
-    "watch_progress": (watch_progress, "SELECT false AS active, count(*) FILTER (doc_id % 10 IN (1, 4)) + 1 AS rows, CAST(NULL AS VARCHAR) AS failed, 0 + 3 AS versions FROM documents"),
+    "watch_progress": (watch_progress, "SELECT false AS active, count(*) FILTER (doc_id % 10 IN (1, 4)) + 1 AS rows, CAST(NULL AS VARCHAR) AS failed, CAST(3 AS BIGINT) AS versions FROM documents"),
     "stored_tables": (stored_tables, "SELECT 'a' AS which, n_nationkey, n_name FROM nation WHERE n_nationkey % 2 = 0 UNION ALL SELECT 'last', n_nationkey, n_name FROM nation WHERE n_nationkey IN (1, 3)"),
     "store_versions": (store_versions, STORE_VERSIONS),
     "roles": (roles, f"SELECT p_partkey, {_CASE_ROLE} AS role FROM part"),
