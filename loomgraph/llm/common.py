@@ -113,10 +113,15 @@ def input_parallelism(df: DataFrame, part_bytes: int = PART_BYTES) -> int:
     return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(-(-known // part_bytes), 1 << 18))
 
 
+#: Input, as files hold it, that is dealt anew in any case: it may lie in one piece, and moving it costs next to nothing.
+SMALL_BYTES = 48 << 20
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """df, dealt anew only where its files come in far fewer splits than there is work for."""
+    """df, dealt anew only where it is small or its files come in far fewer splits than there is work for."""
     wanted = input_parallelism(df)
-    return df.repartition(wanted) if 4 * df.rdd.getNumPartitions() < wanted else df
+    small = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= SMALL_BYTES
+    return df.repartition(wanted) if small or 4 * df.rdd.getNumPartitions() < wanted else df
 
 
 def let(value: str, name: str, body: str) -> str:
