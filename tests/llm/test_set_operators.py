@@ -262,3 +262,17 @@ def test_sketches_never_rule_out_a_link():
             width = min(r.shape[1] for r in raw)
             differ = int(np.bitwise_count(jaccard._folded(raw[0], width) ^ jaccard._folded(raw[1], width)).sum())
             assert differ <= len(set(a.tolist()) ^ set(b.tolist()))
+
+
+def test_ann_finds_the_nearest_of_very_long_and_very_short_vectors(spark):
+    rng = np.random.default_rng(5)
+    for size in (1e25, 1e-25):
+        x = (rng.normal(size=(3000, 16)) * size).astype(np.float32)
+        df = spark.createDataFrame([(k, r.tolist()) for k, r in enumerate(x)], "vec_id long, embedding array<float>")
+        got = ann.nearest_neighbours(df, F.col("vec_id") % 100 == 0).toPandas()
+        hits = 0
+        for q, of in got.groupby("query_id"):
+            true = x.astype(np.float64) @ x[q].astype(np.float64)
+            true[q] = -np.inf
+            hits += len(set(of["vec_id"]) & set(np.argsort(-true)[:20].tolist()))
+        assert hits >= 0.9 * 20 * 30
