@@ -12,9 +12,13 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shared import dealt
+
 HUNK = re.compile(r"@@\s*-(\d+)(?:,(\d+))?\s*\+(\d+)(?:,(\d+))?\s*@@")
 #: Lines either way of the stated place that are searched before the whole file.
 NEARBY = 20
+#: Windows are held against the hashes that are asked for in their own file, while these are so few.
+FEW = 64
 
 
 @dataclass
@@ -199,18 +203,21 @@ def diff_lines(diffs: DataFrame) -> DataFrame:
             rows = [(i, d.path, n, h.old_start, h.new_start, k, x[:1], x[1:]) for i, t in zip(batch["diff_id"].to_pylist(), batch["text"].to_pylist(), strict=True) for d in parse(t or "") for n, h in enumerate(d.hunks) for k, x in enumerate(h.lines)]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows, strict=True)) or [[]] * 8, kinds, strict=True)], names=names)
 
-    return diffs.select(F.col("diff_id").cast("string"), "text").mapInArrow(run, LINES)
+    return dealt(diffs.select(F.col("diff_id").cast("string"), "text"), "diff_id").mapInArrow(run, LINES)
 
 
 def context_mismatches(lines: DataFrame, files: DataFrame) -> DataFrame:
-    """(diff_id, path, line, expected, actual) where old lines of many diffs differ from files (path, content). Both
-    sides are dealt by path and line: a plain left join."""
+    """(diff_id, path, line, expected, actual) where old lines of many diffs differ from files (path, content). Of each
+    file only the lines that diffs ask for move, once; both sides are dealt by path and line: a plain left join."""
     from pyspark.sql import Window
 
     w = Window.partitionBy("diff_id", "path", "hunk").orderBy("pos")
     old = lines.filter("tag != '+'").withColumn("line", F.col("old_start") + F.row_number().over(w) - 1)
-    have = files.join(old.select("path").distinct(), "path", "left_semi").select("path", F.posexplode(F.split(F.regexp_replace("content", "\n$", ""), "\n")).alias("k", "actual")).withColumn("line", F.col("k") + 1)
-    j = old.join(have.select("path", "line", "actual"), ["path", "line"], "left")
+    asked = old.groupBy("path").agg(F.collect_set("line").alias("asked"))  # a file's lines, and those that it lacks
+    text = dealt(files.select("path", "content"), "path").join(asked.hint("merge"), "path").select("path", "asked", F.split(F.regexp_replace("content", "\n$", ""), "\n").alias("all"))
+    there = F.filter("asked", lambda k: (k >= 1) & (k <= F.size("all")))
+    have = text.select("path", F.explode(F.transform(there, lambda k: F.struct(k.alias("line"), F.get("all", (k - 1).cast("int")).alias("actual")))).alias("x")).select("path", "x.line", "x.actual")
+    j = old.join(have.hint("merge"), ["path", "line"], "left")
     return j.filter(F.col("actual").isNull() | (F.rtrim("text") != F.rtrim("actual"))).select("diff_id", "path", "line", F.col("text").alias("expected"), "actual")
 
 
@@ -225,17 +232,20 @@ def hunk_places(lines: DataFrame, files: DataFrame, nearby: int = NEARBY) -> Dat
     bare = lambda x: F.regexp_replace(x, r"\s+$", "")
     sized = lines.filter("tag in (' ', '-')").groupBy("diff_id", "path", "hunk", "old_start").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda x: F.xxhash64(bare(x.text))).alias("want"))
     asked = sized.select("diff_id", "path", "hunk", "old_start", F.size("want").alias("m"), F.xxhash64("want").alias("w"))
-    lengths = asked.select("path", "m").distinct()
+    wanted = asked.groupBy("path", "m").agg(F.collect_set("w").alias("ws"))
     text = F.when(F.col("content") == "", F.array().cast("array<string>")).otherwise(F.split(F.regexp_replace("content", "\n$", ""), "\n"))
-    have = files.join(lengths.select("path").distinct(), "path", "left_semi").select("path", F.transform(text, lambda x: F.xxhash64(bare(x))).alias("h"))
+    have = dealt(files.select("path", "content"), "path").select("path", F.transform(text, lambda x: F.xxhash64(bare(x))).alias("h"))
     starts = F.when(F.size("h") >= F.col("m"), F.sequence(F.lit(0), F.size("h") - F.col("m"))).otherwise(F.array().cast("array<int>"))
-    windows = have.join(lengths, "path").select("path", "m", F.posexplode(F.transform(starts, lambda s: F.xxhash64(F.slice("h", s + 1, F.col("m"))))).alias("s", "w"))
+    each = F.transform(starts, lambda s: F.struct(s.alias("s"), F.xxhash64(F.slice("h", s + 1, F.col("m"))).alias("w")))
+    # Where few are asked for, windows that nobody asks for don't leave their file.
+    kept = F.filter(each, lambda x: (F.size("ws") > FEW) | F.array_contains("ws", x.w))
+    windows = have.hint("merge").join(wanted, "path").select("path", "m", F.explode(kept).alias("x")).select("path", "m", "x.s", "x.w").hint("merge")
     hint = F.col("old_start") - 1
     near = F.col("s").between(hint - nearby, hint + nearby - 1)
     met = asked.join(windows, ["path", "m", "w"]).groupBy("diff_id", "path", "hunk", "old_start").agg((F.min(F.struct(~near, "s")).getField("s") + 1).alias("place"))
     every = lines.select("diff_id", "path", "hunk", "old_start").distinct()
-    plain = every.join(sized.select("diff_id", "path", "hunk"), ["diff_id", "path", "hunk"], "left_anti").withColumn("place", F.col("old_start"))
-    return sized.drop("want").join(met, ["diff_id", "path", "hunk", "old_start"], "left").unionByName(plain)
+    plain = every.join(sized.select("diff_id", "path", "hunk").hint("merge"), ["diff_id", "path", "hunk"], "left_anti").withColumn("place", F.col("old_start"))
+    return sized.drop("want").join(met.hint("merge"), ["diff_id", "path", "hunk", "old_start"], "left").unionByName(plain)
 
 
 CHECKED = "diff_id string, path string, valid boolean, message string, details array<string>, repaired string, applied string"
@@ -265,8 +275,8 @@ def check_diffs(diffs: DataFrame, files: DataFrame) -> DataFrame:
                 rows.append((i, p, v["valid"], v["message"], v["details"], v["repaired_diff"], done))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows, strict=True)) or [[]] * 7, kinds, strict=True)], names=[x.split()[0] for x in CHECKED.split(", ")])
 
-    parts = diffs.select(F.col("diff_id").cast("string"), "text").mapInArrow(split, "diff_id string, path string, part string, text string")
+    parts = dealt(diffs.select(F.col("diff_id").cast("string"), "text"), "diff_id").mapInArrow(split, "diff_id string, path string, part string, text string")
     places = hunk_places(diff_lines(parts.select(F.col("part").alias("diff_id"), "text")), files.select("path", "content"))
     by_part = places.groupBy(F.col("diff_id").alias("part")).agg(F.collect_list(F.struct("hunk", "place")).alias("places"))  # a diff's hunks
-    met = parts.join(files.select("path", "content"), "path", "left").join(by_part, "part", "left")
+    met = parts.join(files.select("path", "content").hint("merge"), "path", "left").join(by_part.hint("merge"), "part", "left")
     return met.select("diff_id", "path", "text", "content", "places").mapInArrow(check, CHECKED)
