@@ -43,7 +43,8 @@ def locations(found: DataFrame, nodes: DataFrame, files: DataFrame | None = None
     out = out.withColumn("priority", F.when(F.col("direction") == "seed", "high").otherwise("medium"))
     out = out.withColumn("ref", F.concat("file", F.lit(":L"), "line_start", F.lit("-L"), "line_end"))
     if files is not None:
-        text = files.select(F.col("path").alias("file"), "content")
+        # Files are sized by their rows, not by what they hold: they would be sent whole to all tasks. Only those asked for move.
+        text = files.select(F.col("path").alias("file"), "content").join(out.select("file").distinct(), "file", "left_semi").hint("merge")
         last = F.when(F.col("line_end") > 0, F.col("line_end")).otherwise(F.col("line_start") + SNIPPET)
         first = F.greatest(F.col("line_start"), F.lit(1))
         lines = F.array_join(F.slice(F.split("content", "\n"), first, F.greatest(last - first + 1, F.lit(1))), "\n")
