@@ -28,9 +28,10 @@ def safe_label(text: Column) -> Column:
 
 
 def joined(rows: DataFrame, head: str = "graph TD") -> DataFrame:
-    """One row: head and lines (part, k1, k2, line) in order."""
-    row = F.struct("part", "k1", "k2", "line")
-    return rows.agg(F.concat(F.lit(head), F.coalesce(F.array_join(F.transform(F.array_sort(F.collect_list(row)), lambda x: F.concat(F.lit("\n"), x.line)), ""), F.lit(""))).alias("mermaid"))
+    """One row: head and lines (part, k1, k2, line) in order. Lines are put together by k1 first, so that the task that has
+    the whole picture holds texts, not lines."""
+    lines = rows.groupBy("part", "k1").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k2", "line"))), lambda x: F.concat(F.lit("\n"), x.line)), "").alias("text"))
+    return lines.agg(F.concat(F.lit(head), F.coalesce(F.array_join(F.array_sort(F.collect_list(F.struct("part", "k1", "text"))).getField("text"), ""), F.lit(""))).alias("mermaid"))
 
 
 def arrow(count: Column, heavy: int, label: Column | None = None) -> Column:
