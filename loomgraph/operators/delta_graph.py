@@ -87,10 +87,11 @@ def update(old: Facts, new: Facts, changed: DataFrame, graph: Graph) -> tuple[Gr
         led = new.imports.join(moved_modules(old.files, new.files), "module", "left_semi").select("file").distinct()
         touched = _small(few.unionByName(led).distinct(), "delta-touched")
 
+    last = F.element_at(F.split("callee_name", r"\\."), -1)
+
     def looked_at(calls: DataFrame) -> DataFrame:
         """Calls of touched files, and of others those of names that have changed."""
         own = calls.join(touched, "file", "left_semi")
-        last = F.element_at(F.split("callee_name", r"\\."), -1)
         rest = calls.join(touched, "file", "left_anti").withColumn("name", last).join(names, "name", "left_semi").select(*calls.columns)
         return own.unionByName(rest)
 
@@ -103,15 +104,15 @@ def update(old: Facts, new: Facts, changed: DataFrame, graph: Graph) -> tuple[Gr
     fresh = settled(resolve.resolved_calls(new.files, settled(met, "delta-defs"), new.classes.join(home, "file", "left_semi"), new.imports.join(home, "file", "left_semi"), again), "delta-fresh")
     gone = settled(looked_at(graph.resolved), "delta-gone")
 
-    key = ["file", "ord"]
-    stays = graph.resolved.join(F.broadcast(gone.select(*key)) if gone.count() <= BROADCAST_ROWS else gone.select(*key), key, "left_anti")
+    # By the same conditions: two calls of a file may stand at the same place.
+    stays = graph.resolved.join(touched, "file", "left_anti").withColumn("name", last).join(names, "name", "left_anti").select(*graph.resolved.columns)
     resolved = settled(stays.unionByName(fresh), "resolved")
     ends = "src is not null and dst is not null and src != dst"
     ways = gone.filter(ends).select("src", "dst", F.lit(-1).alias("n")).unionByName(fresh.filter(ends).select("src", "dst", F.lit(1).alias("n")))
-    # Calls that were resolved as before cancel out.
-    same = gone.select(*key, "src", "dst", "callee_name").join(fresh.select(*key, F.col("src").alias("s"), F.col("dst").alias("d"), F.col("callee_name").alias("c")), key)
-    same = same.filter(F.col("src").eqNullSafe(F.col("s")) & F.col("dst").eqNullSafe(F.col("d")) & (F.col("callee_name") == F.col("c"))).select(*key)
-    moved = gone.join(same, key, "left_anti").select("src", "dst").unionByName(fresh.join(same, key, "left_anti").select("src", "dst")).filter(ends).distinct()
+    # Calls that were resolved as before cancel out, each against one of the other side.
+    call = ["file", "ord", "src", "dst", "callee_name"]
+    both = gone.filter(ends).select(*call, F.lit(-1).alias("n")).unionByName(fresh.filter(ends).select(*call, F.lit(1).alias("n")))
+    moved = both.groupBy(*call).agg(F.sum("n").alias("n")).filter("n != 0").select("src", "dst").distinct()
     pairs = _small(moved, "delta-pairs")
     counts = ways.groupBy("src", "dst").agg(F.sum("n").alias("more"))
     labels = resolve.edges_of(resolved.join(pairs, ["src", "dst"], "left_semi").select(*resolved.columns), new.files).select("src", "dst", F.col("data_label").alias("label"))
