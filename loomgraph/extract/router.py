@@ -9,6 +9,7 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shared import dealt
 from . import grammar, native, patterns
 
 SCHEMA = (
@@ -108,8 +109,10 @@ def _parse_batches(batches):
 
 
 def parse_files(files: DataFrame) -> DataFrame:
-    """files: path, language, content, is_config, line_count. One row per file; nothing is shuffled."""
-    return files.select("path", "language", "content", "is_config", F.col("line_count").cast("long").alias("line_count")).mapInArrow(_parse_batches, SCHEMA)
+    """files: path, language, content, is_config, line_count. One row per file. Files are dealt by
+    path first, as many small ones may lie in one piece."""
+    rows = files.select("path", "language", "content", "is_config", F.col("line_count").cast("long").alias("line_count"))
+    return dealt(rows, "path").mapInArrow(_parse_batches, SCHEMA)
 
 
 def facts(results: DataFrame) -> dict[str, DataFrame]:
