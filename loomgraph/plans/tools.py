@@ -98,7 +98,7 @@ class Engine:
         edges = t.save("edges", edges)
         listed = mods.withColumn("ord", F.struct("rank.kind", "rank.by_name", "rank.ord"))
         mods = t.save("modules", listed.drop("rank").withColumn("ord", F.col("ord.kind").cast("long") * 1_000_000_000 + F.col("ord.ord")))
-        lists = t.save("triples", triples.lists_of(nodes, "node_id", "label", "file").repartitionByRange("gram").sortWithinPartitions("gram"))
+        lists = t.save("triples", triples.lists_of(nodes, "node_id", "label", "file").repartitionByRange("gram", "key").sortWithinPartitions("gram", "key"))
         return Repository(url, files, counts, results, nodes, edges, mods, graph.module_edges(nodes, edges), lists)
 
     def _facts(self, files: DataFrame, results: DataFrame) -> delta_graph.Facts:
