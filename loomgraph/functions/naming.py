@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shared import settled
+
+#: Up to so many segments of paths their names are sent to all tasks; more are joined by shuffles.
+BROADCAST_SEGMENTS = 100_000
+
 # Fixed: names of path segments, in the order in which partial matches are tried.
 SEGMENTS = {
     "auth": "认证系统", "authentication": "认证系统", "authorization": "授权系统", "oauth": "OAuth 认证", "sso": "单点登录", "rbac": "权限管理", "permissions": "权限管理", "acl": "访问控制",
@@ -63,7 +68,7 @@ def _either_way(key: Column, table: dict[str, str]) -> Column:
 
 
 def business_name(path: Column, table: dict[str, str] = SEGMENTS) -> Column:
-    segment = F.lower(F.element_at(F.split(F.regexp_replace(path, "/+$", ""), "/"), -1))
+    segment = F.lower(_last(path))
     by_token = F.get(F.filter(F.transform(F.split(segment, "_"), lambda t: F.element_at(_map(table), t)), lambda x: x.isNotNull()), F.lit(0))
     return F.coalesce(F.element_at(_map(table), segment), _either_way(segment, table), by_token, segment)
 
@@ -73,6 +78,20 @@ def connection_verb(target: Column, table: dict[str, str] = CONNECTIONS) -> Colu
     return F.coalesce(F.element_at(_map(table), low), _either_way(low, table), F.lit("调用"))
 
 
+def _last(path: Column) -> Column:
+    return F.element_at(F.split(F.regexp_replace(path, "/+$", ""), "/"), -1)
+
+
+def business_names(rows: DataFrame, path: str = "path") -> DataFrame:
+    """rows with name and verb: business_name() of a column of paths and connection_verb() of their last segment. Each
+    tries all entries of a table, so they are worked out once for each segment, of which there are few, not for each row."""
+    placed = rows.withColumn("__segment", _last(F.col(path)))
+    known = placed.select("__segment").distinct().select(F.col("__segment").alias("__known"), business_name(F.col("__segment")).alias("name"), connection_verb(F.col("__segment")).alias("verb"))
+    known = settled(known, "names")
+    known = F.broadcast(known) if known.count() <= BROADCAST_SEGMENTS else known
+    return placed.join(known, F.col("__segment").eqNullSafe(F.col("__known")), "left").drop("__segment", "__known")
+
+
 def function_explanation(name: Column, params: Column, return_type: Column, docstring: Column) -> Column:
     """The docstring, else what the name tells, with parameters and result."""
     words = F.split(name, "_")

@@ -61,7 +61,7 @@ _MSCORE = " + ".join([f"CASE WHEN contains(lower(name), '{w}') THEN 3.0 WHEN con
 def business_names(spark, d):
     p = _parts(spark, d)
     path = F.concat(F.lit("src/"), F.element_at(F.array(*map(F.lit, _SEGMENTS)), (F.col("p_partkey") % len(_SEGMENTS) + 1).cast("int")))
-    return p.select("p_partkey", naming.business_name(path).alias("name"), naming.connection_verb(F.element_at(F.split(path, "/"), -1)).alias("verb"))
+    return naming.business_names(p.select("p_partkey", path.alias("path"))).select("p_partkey", "name", "verb")
 
 
 _SEGMENTS = ("auth", "user_cache", "my_orders", "zzqx", "loggers", "payment_api", "h5k", "xx_billing_yy", "Config")
