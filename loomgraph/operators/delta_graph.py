@@ -56,6 +56,32 @@ def build(facts: Facts) -> Graph:
     return Graph(resolve.graph_nodes(facts.files, defs, resolved), resolve.edges_of(resolved, facts.files), resolved)
 
 
+def build_nodes(facts: Facts) -> DataFrame:
+    """Nodes of build() alone. They take no callees, and callers are looked for once for each name in a file."""
+    return _graph_nodes(facts, facts.calls)
+
+
+def _graph_nodes(facts: Facts, calls: DataFrame) -> DataFrame:
+    defs = facts.definitions()
+    callers = calls.select("file", "caller_func").distinct()
+    return resolve.graph_nodes(facts.files, defs, resolve.resolve_callers(callers, defs, facts.classes))
+
+
+def update_nodes(new: Facts, changed: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Nodes of update() alone: new, changed as there; nodes: those before the edits."""
+    few = _small(changed.select(F.col("path").alias("file")), "delta-files")
+    after = new.of(few)
+    return _merged_nodes(nodes, _graph_nodes(after, after.calls), few, new.files)
+
+
+def _merged_nodes(nodes: DataFrame, own: DataFrame, few: DataFrame, files: DataFrame) -> DataFrame:
+    """Nodes are of one file each: own ones of the few files; others stay, with their file's new place."""
+    place = files.select("file", F.col("ord").alias("file_ord"))
+    within = F.col("ord").bitwiseAND(F.lit((1 << resolve.FILE_BITS) - 1))
+    others = nodes.join(few, "file", "left_anti").join(place, "file").withColumn("ord", F.shiftleft(F.col("file_ord").cast("long"), resolve.FILE_BITS) + within)
+    return others.select(*own.columns).unionByName(own)
+
+
 def _small(df: DataFrame, tag: str) -> DataFrame:
     """df, written, to be sent to all tasks if it has few rows."""
     kept = settled(df, tag)
@@ -122,12 +148,6 @@ def update(old: Facts, new: Facts, changed: DataFrame, graph: Graph) -> tuple[Gr
     turned = turned.select("src", "dst", F.col("label").alias("data_label"), n.cast("long").alias("call_count"), (n >= CRITICAL_CALLS).alias("is_critical_path")).filter("call_count > 0")
     edges = kept.unionByName(turned)
 
-    # Nodes are of one file each: others stay, with their file's new place.
-    own = after.definitions()
-    nodes = resolve.graph_nodes(after.files, own, resolved.join(few, "file", "left_semi"))
-    place = new.files.select("file", F.col("ord").alias("file_ord"))
-    within = F.col("ord").bitwiseAND(F.lit((1 << resolve.FILE_BITS) - 1))
-    others = graph.nodes.join(few, "file", "left_anti").join(place, "file").withColumn("ord", F.shiftleft(F.col("file_ord").cast("long"), resolve.FILE_BITS) + within)
-    nodes = others.select(*nodes.columns).unionByName(nodes)
+    nodes = _merged_nodes(graph.nodes, resolve.graph_nodes(after.files, after.definitions(), resolved.join(few, "file", "left_semi")), few, new.files)
     report = new.calls.agg(F.count("*").alias("n_calls")).crossJoin(F.broadcast(again.agg(F.count("*").alias("n_again")))).crossJoin(F.broadcast(pairs.agg(F.count("*").alias("n_pairs"))))  # one row each
     return Graph(nodes, edges, resolved), report
