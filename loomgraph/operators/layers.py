@@ -60,8 +60,16 @@ def _back(color: DataFrame, edges: DataFrame) -> DataFrame:
 
 def components(names: DataFrame, edges: DataFrame) -> DataFrame:
     """(name, component): the least name of those that each can reach and be reached from; alone: its own."""
+    return _components(*_given(names, edges))
+
+
+def _given(names: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Names and the edges among them, each once, written: what they are made of isn't computed again."""
     names = settled(names.select("name").distinct(), "layers-names")
-    edges = settled(_among(edges.filter("src != dst").distinct(), names), "layers-edges")
+    return names, settled(_among(edges.filter("src != dst").select("src", "dst").distinct(), names), "layers-edges")
+
+
+def _components(names: DataFrame, edges: DataFrame) -> DataFrame:
     out = None
     while True:
         names, edges, off = _trimmed(names, edges)
@@ -82,7 +90,8 @@ def layers(names: DataFrame, edges: DataFrame) -> DataFrame:
     """(name, level, cycle): level 0 calls nothing else; others stand one beyond the farthest of what they call. Those on
     a circle share a level, and cycle is the circle's least name; null: on none. Names are taken once; edges from or to
     other names, and to oneself, don't count. As many steps as there are levels."""
-    of = settled(components(names, edges), "layers-of")
+    names, edges = _given(names, edges)
+    of = settled(_components(names, edges), "layers-of")
     a, b = of.select(F.col("name").alias("src"), F.col("component").alias("a")), of.select(F.col("name").alias("dst"), F.col("component").alias("b"))
     left = settled(edges.join(a, "src").join(b, "dst").filter("a != b").select("a", "b").distinct(), "layers-left")
     wait = settled(of.select("component").distinct(), "layers-wait")
