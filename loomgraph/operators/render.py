@@ -27,11 +27,34 @@ def safe_label(text: Column) -> Column:
     return F.translate(text, "\"<>", "'‹›")
 
 
+#: Bytes that a row's text can have.
+MOST_BYTES = (1 << 31) - 64
+
+
+def _whole(batches):
+    """All texts (text), in their order, as one. It is held once: the batch that is sent on is a view of it."""
+    import struct
+
+    import pyarrow as pa
+
+    out = bytearray()
+    for batch in batches:
+        for text in batch["text"]:
+            if text.is_valid:
+                out += text.as_buffer()
+        if len(out) > MOST_BYTES:
+            raise ValueError("a picture of more than 2 GB has no room in one row; draw a part of the graph")
+    one = pa.StringArray.from_buffers(1, pa.py_buffer(struct.pack("<ii", 0, len(out))), pa.py_buffer(out))
+    yield pa.RecordBatch.from_arrays([one], names=["mermaid"])
+
+
 def joined(rows: DataFrame, head: str = "graph TD") -> DataFrame:
-    """One row: head and lines (part, k1, k2, line) in order. Lines are put together by k1 first, so that the task that has
-    the whole picture holds texts, not lines."""
+    """One row: head and lines (part, k1, k2, line) in order. Lines are put together by k1 first. The task that has the
+    whole picture goes through these texts sorted, on disk where they are many, and holds nothing but the one that they become."""
     lines = rows.groupBy("part", "k1").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k2", "line"))), lambda x: F.concat(F.lit("\n"), x.line)), "").alias("text"))
-    return lines.agg(F.concat(F.lit(head), F.coalesce(F.array_join(F.array_sort(F.collect_list(F.struct("part", "k1", "text"))).getField("text"), ""), F.lit(""))).alias("mermaid"))
+    first = rows.sparkSession.range(1).select(F.lit(-1).alias("part"), F.lit("").alias("k1"), F.lit(head).alias("text"))
+    one = lines.unionByName(first).repartition(1).sortWithinPartitions("part", "k1").select("text")
+    return one.mapInArrow(_whole, "mermaid string")
 
 
 def arrow(count: Column, heavy: int, label: Column | None = None) -> Column:
