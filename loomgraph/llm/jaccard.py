@@ -20,6 +20,7 @@ Orders need no exact counts, so counts may merge shingles and take in copies: re
 
 from __future__ import annotations
 
+import zlib
 from itertools import combinations
 
 import numpy as np
@@ -36,11 +37,11 @@ SHORT_LIST = 32
 BLOCK, BLOCK_SHINGLES = 1024, 1 << 23
 #: Bits of a sketch at least; larger sets have the next power of two from their size on.
 SKETCH_BITS = 512
-#: Bits that tell which shingles, by their upper 32 bits, were met twice or more. Fixed: beyond some billions of
-#: shingles the filter fills up and only saves less.
-TWICE_BITS = 1 << 27
-#: A shingle met so often is common, and the table of common ones is held to so many rows by raising that count.
-COMMON, MOST_COMMON = 16, 1 << 18
+#: Slots that tell how common shingles are, by their upper bits, each in 4 bits: so many for each part of the input, in these
+#: bounds. Beyond some billions of shingles slots are shared by more and only save less.
+SLOTS_EACH, SLOTS_LEAST, SLOTS_MOST = 1 << 22, 1 << 20, 1 << 27
+#: The highest level: shingles met 2 ** 15 times or more.
+TOP_LEVEL = 15
 #: Bits of the filter that tells which sets are candidates: so many for each, in these bounds. False positives only
 #: cost work.
 FILTER_BITS_EACH, FILTER_BITS_LEAST, FILTER_BITS_MOST = 16, 1 << 20, 1 << 28
@@ -252,8 +253,18 @@ def _send_shingles(words: int, parts: int):
     return run
 
 
-def _count_shingles(least: int):
-    """Rows (shingle, n) of common ones, and (first byte, null, bytes) of the bits of those met twice."""
+def slot_count(parts: int) -> int:
+    return min(SLOTS_MOST, max(SLOTS_LEAST, 1 << (SLOTS_EACH * parts - 1).bit_length()))
+
+
+def _slots_of(values: np.ndarray, slots: int) -> np.ndarray:
+    """Slots of 32-bit values, in the same order."""
+    return values >> np.uint32(32 - slots.bit_length() + 1)
+
+
+def _count_shingles(slots: int):
+    """Rows (first slot, packed levels): how often the most common of each slot's shingles was met, as a power of two (0:
+    none was met twice)."""
 
     def run(batch_iterator):
         import pyarrow as pa
@@ -267,54 +278,42 @@ def _count_shingles(least: int):
             many = [np.frombuffer(b, np.uint32).reshape(2, -1) for _, b in rows]
             once = [_from_deltas(a) for a, _ in rows]
             values, at = np.unique(np.concatenate(once + [m[0] for m in many]), return_inverse=True)
-            count = np.bincount(at, np.concatenate([np.ones(sum(map(len, once)))] + [m[1] for m in many]), len(values)).astype(np.int64)
-            keep = count >= least
-            twice = values[count >= 2] >> np.uint32(32 - TWICE_BITS.bit_length() + 1)
-            bits = np.zeros(0, np.uint8)
-            first = int(twice[0]) // 8 if len(twice) else 0
-            if len(twice):
-                bits = np.zeros(int(twice[-1]) // 8 - first + 1, np.uint8)
-                np.bitwise_or.at(bits, twice // 8 - first, np.left_shift(1, twice % 8).astype(np.uint8))
-            yield pa.RecordBatch.from_arrays([pa.array(values[keep].astype(np.int64)), pa.array(count[keep]), pa.nulls(int(keep.sum()), pa.binary())], names=["shingle", "n", "bits"])
-            yield pa.RecordBatch.from_arrays([pa.array([first], pa.int64()), pa.array([None], pa.int64()), pa.array([bits.tobytes()], pa.binary())], names=["shingle", "n", "bits"])
+            count = np.bincount(at, np.concatenate([np.ones(sum(map(len, once)))] + [m[1] for m in many]), len(values))
+            slot, level = _slots_of(values[count >= 2], slots).astype(np.int64), np.minimum(np.log2(count[count >= 2]), TOP_LEVEL).astype(np.uint8)
+            if not len(slot):
+                continue
+            first = int(slot[0]) & ~1
+            levels = np.zeros((int(slot[-1]) - first) // 2 * 2 + 2, np.uint8)
+            np.maximum.at(levels, slot - first, level)
+            packed = levels[::2] | levels[1::2] << 4
+            yield pa.RecordBatch.from_arrays([pa.array([first], pa.int64()), pa.array([zlib.compress(packed.tobytes(), 1)], pa.binary())], names=["first", "levels"])
 
     return run
 
 
-def corpus_shingles(docs: DataFrame, words: int, parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The most common shingles' upper 32 bits, sorted, and how common each is: MOST_COMMON at most; and the bits of
-    those met twice or more: TWICE_BITS."""
-    counted = materialize(docs.mapInArrow(tidy(_send_shingles(words, parts)), "part int, once binary, often binary").repartition(parts, "part").mapInArrow(tidy(_count_shingles(COMMON)), "shingle long, n long, bits binary"), "join-common")
-    common = counted.filter("n is not null")
-    level = F.floor(F.log2("n")).cast("int")
-    above, least = 0, 0
-    for r in common.groupBy(level.alias("level")).count().orderBy(F.desc("level")).collect():  # a row per power of two
-        above += r["count"]
-        if above > MOST_COMMON:
-            least = 1 << (r["level"] + 1)
-            break
-    rows = common.filter(F.col("n") >= least).select("shingle", "n").toArrow()
-    shingle, n = rows["shingle"].to_numpy().astype(np.uint32), rows["n"].to_numpy()
-    order = np.argsort(shingle)
-    bits = np.zeros(TWICE_BITS // 8, np.uint8)
-    for r in counted.filter("n is null").select("shingle", "bits").toLocalIterator():
-        part = np.frombuffer(r["bits"], np.uint8)
-        bits[r["shingle"] : r["shingle"] + len(part)] |= part
-    return shingle[order], n[order], bits
-
-
-def _prefix(s: np.ndarray, corpus: tuple[np.ndarray, np.ndarray, np.ndarray], percent: int) -> np.ndarray:
-    """The lists that a set enters: its first shingles in order, without those that no other set has."""
-    shingle, n, bits = corpus
-    size = prefix_size(len(s), percent)
-    if len(shingle):
-        key = (s >> np.uint64(32)).astype(np.uint32)
-        at = np.minimum(np.searchsorted(shingle, key), len(shingle) - 1)
-        weight = np.where(shingle[at] == key, n[at], 0)
-        s = s[np.lexsort((s, weight))]
-    s = s[:size]
-    place = s >> np.uint64(64 - TWICE_BITS.bit_length() + 1)
-    return s[bits[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8) & np.uint8(1) == 1]
+def corpus_shingles(docs: DataFrame, words: int, parts: int) -> np.ndarray:
+    """How common shingles are, by slots of their upper bits, two slots in a byte."""
+    slots = slot_count(parts)
+    counted = materialize(docs.mapInArrow(tidy(_send_shingles(words, parts)), "part int, once binary, often binary").repartition(parts, "part").mapInArrow(tidy(_count_shingles(slots)), "first long, levels binary"), "join-common")
+    out = np.zeros(slots // 2, np.uint8)
+    for r in counted.toLocalIterator():
+        part = np.frombuffer(zlib.decompress(r["levels"]), np.uint8)
+        here = out[r["first"] // 2 : r["first"] // 2 + len(part)]
+        # neighbours may share a slot, of which each knows its own shingles
+        here[:] = np.maximum(here & 15, part & 15) | np.maximum(here & 240, part & 240)
+    return out
+
+
+def levels_of(s: np.ndarray, corpus: np.ndarray) -> np.ndarray:
+    slot = _slots_of((s >> np.uint64(32)).astype(np.uint32), 2 * len(corpus))
+    return corpus[slot >> 1] >> ((slot & 1) << 2).astype(np.uint8) & 15
+
+
+def _prefix(s: np.ndarray, corpus: np.ndarray, percent: int) -> np.ndarray:
+    """The lists that a set (sorted) enters: its first shingles in order, the rarest ones, without those that no other has."""
+    level = levels_of(s, corpus)
+    first = np.argsort(level, kind="stable")[: prefix_size(len(s), percent)]
+    return s[first[level[first] > 0]]
 
 
 def subsets(s: np.ndarray, percent: int):
